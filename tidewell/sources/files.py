@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
+# text files keep microseconds; the default formats stop at milliseconds
+TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def read_delimited(
@@ -19,7 +24,7 @@ def read_delimited(
     reader = spark.read.option("header", header).option("sep", sep)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).csv(path)
+    return reader.options(**TIME_FORMATS).schema(schema).csv(path)
 
 
 def read_indexed_ssv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -35,10 +40,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tup
     the same scan without caching it.
     """
     marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", **TIME_FORMATS}
     lines = spark.read.text(path).where(F.trim("value") != "")
     parsed = lines.select(
         "value",
-        F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"),
+        F.from_json("value", marked, options).alias("r"),
     )
     bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
     good = parsed.where(~bad).select(*(F.col(f"r.`{n}`").alias(n) for n in schema.names))
@@ -78,7 +84,7 @@ def write_partitioned(df: DataFrame, path: str, partition: str, incremental: boo
 def write_delimited(df: DataFrame, path: str, sep: str = ",", single_file: bool = False) -> None:
     """CSV with header. ``single_file`` sends everything through one task: small outputs only."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    out.write.mode("overwrite").options(**TIME_FORMATS).option("header", True).option("sep", sep).csv(path)
 
 
 def write_two_copies(df: DataFrame, first: str, second: str) -> None:
@@ -88,7 +94,8 @@ def write_two_copies(df: DataFrame, first: str, second: str) -> None:
 
 
 def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
+    mode = "append" if append else "overwrite"
+    df.write.mode(mode).options(**TIME_FORMATS).option("ignoreNullFields", False).json(path)
 
 
 def write_report(document: DataFrame, path: str) -> None:
@@ -98,7 +105,7 @@ def write_report(document: DataFrame, path: str) -> None:
 
 def plan_size(df: DataFrame) -> int:
     """Size in bytes that Spark's own statistics give for the table."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
