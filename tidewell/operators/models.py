@@ -35,7 +35,7 @@ def fit_binary(
 
 
 def apply_binary(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Adds the prediction and the probability of class 1."""
+    """Adds the prediction and, as ``score``, the probability of class 1."""
     out = model.transform(df)
     return out.withColumn("score", vector_to_array("probability")[1]).select(
         *df.columns, F.col("prediction").cast("int").alias("prediction"), "score"

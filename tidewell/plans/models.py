@@ -1,0 +1,304 @@
+"""Queries of the feature, model, evaluation and forecast operators."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tidewell.operators import features as E
+from tidewell.operators import forecast as G
+from tidewell.operators import metrics as Q
+from tidewell.operators import models as M
+from tidewell.operators.aggregates import exact_mean, nan_profile
+from tidewell.operators.joins import score_distinct, with_group_stats
+from tidewell.plans.aggregates import mean_sql
+from tidewell.plans.common import BARS, SCORED, bars, scored_labels
+from tidewell.plans.registry import query
+from tidewell.plans.relational import LINE_KEY, LINE_KEY_SQL
+from tidewell.session import scratch_path, stage
+from tidewell.tables import load
+
+
+@query("index_by_frequency", """
+WITH c AS (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS code FROM orders GROUP BY 1)
+SELECT o_orderkey, o_orderpriority, CAST(code AS INTEGER) AS code FROM orders JOIN c USING (o_orderpriority)""")
+def index_by_frequency(spark, d):
+    rows = load(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return E.encode(rows, E.category_codes(rows, "o_orderpriority"), "o_orderpriority", "code")
+
+
+@query("index_alphabetical", """
+SELECT p_partkey, p_brand, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS code FROM part""")
+def index_alphabetical(spark, d):
+    rows = load(spark, d, "part").select("p_partkey", "p_brand")
+    return E.encode(rows, E.category_codes(rows, "p_brand", by="alphabet"), "p_brand", "code")
+
+
+@query("onehot_vector", """
+WITH c AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS code FROM part GROUP BY 1),
+n AS (SELECT count(*) AS n FROM c)
+SELECT p_partkey, list_transform(range(n - 1), lambda i: CASE WHEN i = code THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS type_vector
+FROM part JOIN c USING (p_type), n""")
+def onehot_vector(spark, d):
+    return E.one_hot_vector(load(spark, d, "part").select("p_partkey", "p_type"), "p_type", "type_vector").drop("p_type")
+
+
+@query("onehot_columns", """
+SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS "o_orderstatus_F", CAST(o_orderstatus = 'O' AS INTEGER) AS "o_orderstatus_O",
+  CAST(o_orderstatus = 'P' AS INTEGER) AS "o_orderstatus_P" FROM orders""")
+def onehot_columns(spark, d):
+    return E.one_hot_columns(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
+
+
+@query("target_encode", f"""
+SELECT {LINE_KEY_SQL}, CAST(sum(CAST(l_tax AS DECIMAL(24,4))) OVER r AS DOUBLE) / count(l_tax) OVER r AS route_rate, count(*) OVER r AS route_count,
+  CAST(sum(CAST(l_tax AS DECIMAL(24,4))) OVER t AS DOUBLE) / count(l_tax) OVER t AS tail_rate, count(*) OVER t AS tail_count
+FROM lineitem WINDOW r AS (PARTITION BY l_partkey, l_suppkey), t AS (PARTITION BY l_suppkey)""")
+def target_encode(spark, d):
+    rows = load(spark, d, "lineitem").select(*LINE_KEY, "l_tax")
+    routed = E.target_statistics(rows, ["l_partkey", "l_suppkey"], "l_tax", "route")
+    return E.target_statistics(routed, ["l_suppkey"], "l_tax", "tail").drop("l_tax")
+
+
+@query("target_encode_train", f"""
+WITH s AS (SELECT l_suppkey, {mean_sql('l_tax')} AS tail_rate, count(*) AS tail_count FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1)
+SELECT {LINE_KEY_SQL}, tail_rate, tail_count FROM lineitem LEFT JOIN s USING (l_suppkey)""")
+def target_encode_train(spark, d):
+    rows = load(spark, d, "lineitem").select(*LINE_KEY, "l_tax")
+    train = F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")
+    return E.target_statistics(rows, ["l_suppkey"], "l_tax", "tail", train=train).drop("l_tax")
+
+
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("assemble_features", f"SELECT {LINE_KEY_SQL}, [l_quantity, l_extendedprice, l_discount] AS features FROM lineitem")
+def assemble_features(spark, d):
+    vectors = E.assemble(load(spark, d, "lineitem"), NUMERIC)
+    return vectors.select(*LINE_KEY, vector_to_array("features").alias("features"))
+
+
+@query("scale_standard", f"""
+SELECT {LINE_KEY_SQL}, round(l_quantity / stddev_samp(l_quantity) OVER (), 6) AS quantity, round(l_tax / stddev_samp(l_tax) OVER (), 6) AS tax FROM lineitem""")
+def scale_standard(spark, d):
+    scaled = E.scale_standard(load(spark, d, "lineitem"), ["l_quantity", "l_tax"])
+    values = vector_to_array("scaled")
+    return scaled.select(*LINE_KEY, F.round(values[0], 6).alias("quantity"), F.round(values[1], 6).alias("tax"))
+
+
+@query("scale_population", f"""
+SELECT {LINE_KEY_SQL}, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS l_quantity,
+  round((l_tax - avg(l_tax) OVER ()) / stddev_pop(l_tax) OVER (), 6) AS l_tax FROM lineitem""")
+def scale_population(spark, d):
+    rows = load(spark, d, "lineitem").select(*LINE_KEY, "l_quantity", "l_tax")
+    scaled = E.scale_population(rows, ["l_quantity", "l_tax"])
+    return scaled.withColumns({c: F.round(c, 6) for c in ("l_quantity", "l_tax")})
+
+
+@query("scale_minmax", f"""
+WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, round((l_extendedprice - lo) / (hi - lo) * 2 - 1, 6) AS scaled, round(l_extendedprice, 2) AS restored FROM lineitem, r""")
+def scale_minmax(spark, d):
+    rows = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    fitted = E.fit_range(rows, ["l_extendedprice"])
+    scaled = E.scale_minmax(rows, fitted, ["l_extendedprice"])
+    back = E.scale_minmax(scaled.withColumn("scaled", F.col("l_extendedprice")), fitted, ["l_extendedprice"], inverse=True)
+    return back.withColumn("scaled", F.round("scaled", 6)).withColumn("restored", F.round("l_extendedprice", 2)).drop("l_extendedprice")
+
+
+@query("nan_guard", """
+SELECT 'l_quantity' AS column_name, count(*) FILTER (l_orderkey % 8 = 0) AS missing FROM lineitem
+UNION ALL SELECT 'l_tax', count(*) FILTER (l_partkey % 9 = 0) FROM lineitem
+UNION ALL SELECT 'l_discount', 0 FROM lineitem GROUP BY 1""")
+def nan_guard(spark, d):
+    rows = load(spark, d, "lineitem").select(
+        F.when(F.col("l_orderkey") % 8 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        F.when(F.col("l_partkey") % 9 != 0, F.col("l_tax")).alias("l_tax"),
+        "l_discount",
+    )
+    return nan_profile(rows)
+
+
+UNIFORM = "CAST('0x' || substr(md5({} || '|{}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("hash_split", f"""
+SELECT o_orderkey, CASE WHEN {UNIFORM.format('o_orderkey', 42)} < 0.2 THEN 'test' ELSE 'train' END AS part FROM orders""")
+def hash_split(spark, d):
+    return E.hash_split(load(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], test=0.2)
+
+
+@query("hash_split_stratified", f"""
+WITH u AS (SELECT o_orderkey, o_orderstatus, {UNIFORM.format('o_orderkey', 42)} AS u FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY u, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM u)
+SELECT o_orderkey, o_orderstatus, CASE WHEN rn <= round(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM p""")
+def hash_split_stratified(spark, d):
+    return E.hash_split(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], test=0.2, strata="o_orderstatus")
+
+
+@query("hash_sample", f"SELECT o_orderkey, o_totalprice FROM orders WHERE {UNIFORM.format('o_orderkey', 42)} < 0.01")
+def hash_sample(spark, d):
+    return E.hash_sample(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 0.01)
+
+
+@query("class_weights", """
+SELECT doc_id, quality, CASE WHEN quality = 1 THEN (count(*) FILTER (quality = 0) OVER ()) / (count(*) FILTER (quality = 1) OVER ()) ELSE 1.0::DOUBLE END AS weight FROM labels""")
+def class_weights(spark, d):
+    return E.class_weights(load(spark, d, "labels").select("doc_id", "quality"), "quality")
+
+
+@query("auc_rank", f"""
+WITH {SCORED}, r AS (SELECT quality, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM scored)
+SELECT round((sum(rk) FILTER (quality = 1) - (count(*) FILTER (quality = 1)) * (count(*) FILTER (quality = 1) + 1) / 2)
+  / ((count(*) FILTER (quality = 1)) * (count(*) FILTER (quality = 0))), 9) AS auc FROM r""")
+def auc_rank(spark, d):
+    return Q.area_under_roc(scored_labels(spark, d), "score", "quality").select(F.round("auc", 9).alias("auc"))
+
+
+@query("average_precision", f"""
+WITH {SCORED}, g AS (SELECT score, sum(quality) AS pos, count(*) AS n FROM scored GROUP BY 1),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM g WINDOW w AS (ORDER BY score DESC))
+SELECT round(sum(tp / seen * pos / (SELECT sum(quality) FROM scored)), 9) AS average_precision FROM c""")
+def average_precision(spark, d):
+    scored = Q.average_precision(scored_labels(spark, d), "score", "quality")
+    return scored.select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@query("roc_points", f"""
+WITH {SCORED}, g AS (SELECT score, sum(quality) AS pos, count(*) - sum(quality) AS neg FROM scored GROUP BY 1)
+SELECT score AS threshold, sum(neg) OVER w / (SELECT sum(1 - quality) FROM scored) AS fpr, sum(pos) OVER w / (SELECT sum(quality) FROM scored) AS tpr
+FROM g WINDOW w AS (ORDER BY score DESC)""")
+def roc_points(spark, d):
+    return Q.roc_points(scored_labels(spark, d), "score", "quality")
+
+
+@query("regression_errors", """
+WITH m AS (SELECT l_extendedprice AS y, CAST(sum(CAST(l_extendedprice AS DECIMAL(24,4))) OVER w AS DOUBLE) / count(*) OVER w AS p
+  FROM lineitem WINDOW w AS (PARTITION BY l_suppkey))
+SELECT round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(avg(abs(p - y)), 4) AS mae, round(avg((p - y) * (p - y)), 1) AS mse FROM m""")
+def regression_errors(spark, d):
+    rows = load(spark, d, "lineitem").select("l_suppkey", "l_extendedprice")
+    predicted = with_group_stats(rows, ["l_suppkey"], {"p": exact_mean(F.col("l_extendedprice"))})
+    errors = Q.regression_errors(predicted, "p", "l_extendedprice")
+    return errors.select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("mse", 1).alias("mse"))
+
+
+# --- fitted models: checked by tests, not by SQL ---
+
+
+def _quality_rows(spark, d):
+    rows = scored_labels(spark, d).withColumnRenamed("score", "distinct_share")
+    return stage(E.hash_split(rows, ["doc_id"]), "quality")
+
+
+FEATURES = ["distinct_share", "n_words", "n_chars"]
+
+
+@query("fit_logistic")
+def fit_logistic(spark, d):
+    rows = _quality_rows(spark, d)
+    model = M.fit_binary(rows.where("part = 'train'"), FEATURES, "quality")
+    return M.apply_binary(model, rows)
+
+
+def _vectors(spark, d):
+    rows = load(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("label"))
+    return stage(rows, "embeddings")
+
+
+@query("fit_multiclass")
+def fit_multiclass(spark, d):
+    rows = M.with_vector(_vectors(spark, d), "embedding")
+    model = M.fit_multiclass(rows, "features", "label")
+    return Q.accuracy(model.transform(rows), "prediction", "label")
+
+
+@query("fit_forest")
+def fit_forest(spark, d):
+    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    split = E.hash_split(load(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], seed=174)
+    rows = stage(split.select(*columns, "l_extendedprice", "part"), "forest")
+    model = M.fit_forest(rows.where("part = 'train'"), columns, "l_extendedprice", trees=10)
+    return Q.regression_errors(model.transform(rows.where("part = 'test'")), "prediction", "l_extendedprice")
+
+
+def _plane(spark, d):
+    return M.project(M.with_vector(_vectors(spark, d), "embedding"), "features")
+
+
+@query("pca_project")
+def pca_project(spark, d):
+    return _plane(spark, d).select("vec_id", vector_to_array("pca").alias("pca"))
+
+
+@query("kmeans_assign")
+def kmeans_assign(spark, d):
+    return M.cluster(_plane(spark, d), "pca", k=3).select("vec_id", "cluster")
+
+
+@query("silhouette")
+def silhouette(spark, d):
+    clustered = M.cluster(_plane(spark, d), "pca", k=3)
+    return spark.createDataFrame([(M.silhouette(clustered, "pca", "cluster"),)], "silhouette double")
+
+
+@query("model_round_trip")
+def model_round_trip(spark, d):
+    """Predictions of a stored and reloaded model beside those of the original."""
+    rows = M.with_vector(_vectors(spark, d), "embedding")
+    model = M.fit_multiclass(rows, "features", "label", max_iter=10)
+    path = scratch_path(spark, "model")
+    M.save_model(model, path)
+    first = model.transform(rows).select("vec_id", F.col("prediction").alias("before"))
+    again = M.load_model(path).transform(rows).select("vec_id", F.col("prediction").alias("after"))
+    return first.join(again, "vec_id").withColumn("same", F.col("before") == F.col("after"))
+
+
+@query("predict_log")
+def predict_log(spark, d):
+    rows = M.with_vector(_vectors(spark, d), "embedding")
+    model = M.fit_multiclass(rows, "features", "label", max_iter=10)
+    return M.prediction_log(model, rows, "vec_id", ["embedding"])
+
+
+@query("predict_distinct")
+def predict_distinct(spark, d):
+    """A fitted model applied once per distinct feature tuple."""
+    columns = ["l_quantity", "l_discount", "l_tax"]
+    rows = load(spark, d, "lineitem").select(*LINE_KEY, *columns)
+    label = (F.col("l_quantity") > 25).cast("int")
+    model = M.fit_binary(rows.withColumn("label", label), columns, "label", max_iter=5)
+    return score_distinct(rows, columns, lambda t: M.apply_binary(model, t), "prediction")
+
+
+LAGS, HORIZON, REFERENCE = 5, 3, date(2024, 1, 25)
+
+
+def _step_model(spark, d):
+    rows = stage(bars(spark, d), "bars")
+    return rows, G.fit_direct(rows, "series", "day", LAGS, HORIZON)
+
+
+@query("forecast_direct")
+def forecast_direct(spark, d):
+    rows, model = _step_model(spark, d)
+    return G.predict_direct(rows, "series", "day", model)
+
+
+@query("forecast_recursive")
+def forecast_recursive(spark, d):
+    rows, model = _step_model(spark, d)
+    ahead = G.forecast_recursive(rows, "series", "day", model, REFERENCE, days=10)
+    return G.history_and_forecast(rows, "series", "day", ahead, REFERENCE, LAGS)
+
+
+@query("forecast_dates", f"""
+WITH {BARS}, past AS (SELECT series, day, close AS historical_close FROM bars WHERE day BETWEEN DATE '2024-01-20' AND DATE '2024-01-25'),
+ahead AS (SELECT DISTINCT series, CAST(unnest(generate_series(DATE '2024-01-26', DATE '2024-02-04', INTERVAL 1 DAY)) AS DATE) AS day FROM bars WHERE day <= DATE '2024-01-25')
+SELECT series, day, historical_close, historical_close IS NULL AS forecast FROM past FULL JOIN ahead USING (series, day)""")
+def forecast_dates(spark, d):
+    """The dates and history of the recursive forecast, which SQL can check."""
+    out = forecast_recursive(spark, d)
+    return out.select("series", "day", "historical_close", F.col("predicted_close").isNotNull().alias("forecast"))
