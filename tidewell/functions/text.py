@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.attach import attach
+from tidewell.session import stage
 
 # English stop words, without those that hold an apostrophe
 # (the cleaning removes apostrophes first, so they could never match).
@@ -49,8 +50,12 @@ def word_terms(tokens: Column) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): occurrences of every term in every text."""
-    terms = df.select(key, F.explode(word_terms(clean_tokens(F.col(text)))).alias("term"))
+    """(key, term, tf): occurrences of every term in every text.
+
+    Whole texts are moved by key first: they are smaller than their terms, and the
+    count by (key, term) then needs no further shuffle.
+    """
+    terms = df.select(key, text).repartition(key).select(key, F.explode(word_terms(clean_tokens(F.col(text)))).alias("term"))
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -58,50 +63,65 @@ def smooth_idf(n: Column, document_count: Column) -> Column:
     return F.log((1 + n) / (1 + document_count)) + 1
 
 
-def tfidf_weights(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Long sparse weights (key, term, df, weight): tf times smooth idf, rows of unit length.
+def _term_tables(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Term counts, document counts per term, and the number of texts.
 
-    A frequent term is answered by the broadcast part of ``attach``; only rarer terms
-    meet their document count in a shuffle. The norm is a window per text, as long as
-    the text itself.
+    The term counts feed both the document counts and the weights, so they are written
+    once instead of tokenising the texts for each.
     """
-    counts = term_counts(df, key, text)
+    counts = stage(term_counts(df, key, text), "terms")
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    total = df.agg(F.count("*").alias("_tw_n"))
-    raw = (
+    return counts, frequency, df.agg(F.count("*").alias("n"))
+
+
+def _weighted(counts: DataFrame, frequency: DataFrame, total: DataFrame) -> DataFrame:
+    """Adds df, n and the raw weight: tf times smooth idf.
+
+    A frequent term is answered by the broadcast part of ``attach``; only rarer terms
+    meet their document count in a shuffle.
+    """
+    return (
         attach(counts, frequency, ["term"], weight="df")
         .crossJoin(F.broadcast(total))
-        .withColumn("_tw_w", F.col("tf") * smooth_idf(F.col("_tw_n"), F.col("df")))
+        .withColumn("raw", F.col("tf") * smooth_idf(F.col("n"), F.col("df")))
     )
-    norm = F.sqrt(F.sum(F.col("_tw_w") * F.col("_tw_w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "df", (F.col("_tw_w") / norm).alias("weight"))
+
+
+def tfidf_weights(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Long sparse weights (key, term, df, weight), the weights of a text of unit length.
+
+    The norm is a window per text, as long as the text itself.
+    """
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return _weighted(*_term_tables(df, key, text)).select(key, "term", "df", (F.col("raw") / norm).alias("weight"))
 
 
 def most_similar(df: DataFrame, key: str, text: str, query: str, k: int = 3) -> DataFrame:
     """The k texts closest to the query by cosine of TF-IDF weights.
 
-    Query terms unknown to the table are dropped. The query's own weights come from
-    the document counts that travel with the matching rows.
+    Query terms unknown to the table are dropped. One aggregate per text gives both the
+    product with the query and the text's length; the query's own weights come from the
+    document counts that travel with the rows.
     """
     spark = df.sparkSession
     # as many rows as the query text has terms
     asked = term_counts(spark.createDataFrame([(0, query)], "q int, text string"), "q", "text").select(
-        "term", F.col("tf").alias("_tw_qtf")
-    )
-    weights = tfidf_weights(df, key, text).join(F.broadcast(asked), "term")
-    total = df.agg(F.count("*").alias("_tw_n"))
-    scored = weights.crossJoin(F.broadcast(total)).withColumn(
-        "_tw_qw", F.col("_tw_qtf") * smooth_idf(F.col("_tw_n"), F.col("df"))
+        F.col("term").alias("_tw_term"), F.col("tf").alias("_tw_qtf")
     )
-    # the query's length needs each of its known terms once
-    query_norm = (
-        scored.groupBy("term").agg(F.max("_tw_qw").alias("_tw_qw"))
-        .agg(F.sqrt(F.sum(F.col("_tw_qw") * F.col("_tw_qw"))).alias("_tw_qn"))
+    counts, frequency, total = _term_tables(df, key, text)
+    is_asked = F.col("term") == F.col("_tw_term")
+    query_weight = F.col("_tw_qtf") * smooth_idf(F.col("n"), F.col("df"))
+    raw = F.col("raw")
+    rows = _weighted(counts, frequency, total).join(F.broadcast(asked), is_asked, "left")
+    per_text = rows.groupBy(key).agg(
+        F.sum(raw * query_weight).alias("_tw_dot"), F.sqrt(F.sum(raw * raw)).alias("_tw_norm")
     )
-    per_text = scored.groupBy(key).agg(F.sum(F.col("weight") * F.col("_tw_qw")).alias("_tw_dot"))
+    known = frequency.join(F.broadcast(asked), is_asked).crossJoin(F.broadcast(total))
+    query_norm = known.agg(F.sqrt(F.sum(query_weight * query_weight)).alias("_tw_qn"))
+    score = F.col("_tw_dot") / F.col("_tw_norm") / F.col("_tw_qn")
     return (
-        per_text.crossJoin(F.broadcast(query_norm))
-        .select(key, F.round(F.col("_tw_dot") / F.col("_tw_qn"), 6).alias("score"))
+        per_text.where(F.col("_tw_dot").isNotNull()).crossJoin(F.broadcast(query_norm))
+        .select(key, F.round(score, 6).alias("score"))
         .orderBy(F.desc("score"), key)
         .limit(k)
     )

@@ -63,7 +63,10 @@ def feature_psi(expected: DataFrame, recent: DataFrame, columns: Sequence[str],
     sides = both.withColumn("side", F.lit("e")).unionByName(_long(recent, columns).withColumn("side", F.lit("a")))
     # one row per monitored column: as many as the caller listed
     placed = sides.join(F.broadcast(edges), "column_name")
-    reached = F.size(F.filter("edges", lambda e: e <= F.col("value")))
+    reached = sum(
+        (F.coalesce(F.get("edges", F.lit(i)) <= F.col("value"), F.lit(False)).cast("int") for i in range(bins + 1)),
+        F.lit(0),
+    )
     n_edges = F.size("edges")
     bin_no = (
         F.when(F.col("value") > F.element_at("edges", -1), F.lit(None).cast("int"))

@@ -95,27 +95,27 @@ def exact_quantiles(
         counted, keys, [F.col(value).asc()], {"_tw_upto": F.col("_tw_n")}, {"_tw_total": F.col("_tw_n")}
     )
 
-    def covers(position: Column) -> Column:
-        return (F.col("_tw_upto") > position) & (F.col("_tw_upto") - F.col("_tw_n") <= position)
-
-    at = {name: F.lit(float(f)) * (F.col("_tw_total") - 1) for name, f in fractions.items()}
-    low = {name: F.floor(p) for name, p in at.items()}
-    high = {name: F.ceil(p) for name, p in at.items()}
-    wanted = reduce(lambda a, b: a | b, (covers(p) for p in [*low.values(), *high.values()]))
-    picks = placed.where(wanted).groupBy(*keys).agg(
-        F.max("_tw_total").alias("_tw_total"),
-        *(F.max(F.when(covers(p), F.col(value))).alias(f"_tw_lo_{n}") for n, p in low.items()),
-        *(F.max(F.when(covers(p), F.col(value))).alias(f"_tw_hi_{n}") for n, p in high.items()),
+    start, end = F.col("_tw_upto") - F.col("_tw_n"), F.col("_tw_upto")
+
+    def near(fraction: Column) -> Column:
+        """Whether the row holds one of the two positions around the quantile."""
+        position = fraction * (F.col("_tw_total") - 1)
+        return (start <= F.ceil(position)) & (end > F.floor(position))
+
+    levels = list(fractions.values())
+    wanted = reduce(lambda a, b: a | b, (near(F.lit(float(f))) for f in levels))
+    # from here on at most two rows per group and level
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("f")) for i, f in enumerate(levels))))
+    hits = placed.where(wanted).withColumn("_tw_q", asked).where(near(F.col("_tw_q.f")))
+    position = F.col("_tw_q.f") * (F.col("_tw_total") - 1)
+    ends = hits.groupBy(*keys, F.col("_tw_q.i").alias("_tw_i")).agg(
+        F.max(F.when(end > F.floor(position), F.when(start <= F.floor(position), F.col(value)))).alias("_tw_lo"),
+        F.max(F.when(end > F.ceil(position), F.when(start <= F.ceil(position), F.col(value)))).alias("_tw_hi"),
+        F.max(position - F.floor(position)).alias("_tw_part"),
     )
-    return picks.select(
-        *keys,
-        *(
-            (
-                F.col(f"_tw_lo_{n}")
-                + (F.col(f"_tw_hi_{n}") - F.col(f"_tw_lo_{n}")) * (p - F.floor(p))
-            ).cast("double").alias(n)
-            for n, p in at.items()
-        ),
+    level = F.col("_tw_lo") + (F.col("_tw_hi") - F.col("_tw_lo")) * F.col("_tw_part")
+    return ends.withColumn("_tw_level", level.cast("double")).groupBy(*keys).agg(
+        *(F.max(F.when(F.col("_tw_i") == i, F.col("_tw_level"))).alias(name) for i, name in enumerate(fractions))
     )
 
 

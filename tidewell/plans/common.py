@@ -114,10 +114,9 @@ clients AS (
 # --- decision and outcome logs from the event table ---
 
 
-def decisions(spark: SparkSession, folder: str) -> DataFrame:
+def as_decisions(events: DataFrame) -> DataFrame:
     """Every event but a purchase is a decision about an offer."""
-    events = load(spark, folder, "events").where(F.col("event_type") != "purchase")
-    return events.select(
+    return events.where(F.col("event_type") != "purchase").select(
         "event_id",
         "user_id",
         F.col("ts").alias("decided_at"),
@@ -126,17 +125,24 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+def as_outcomes(events: DataFrame) -> DataFrame:
     """A purchase is the outcome of an earlier event; some point at no decision, some repeat."""
-    events = load(spark, folder, "events").where(F.col("event_type") == "purchase")
     back = F.get_json_object("props", "$.k").cast("bigint") * 17 % 900 + 1
-    return events.select(
+    return events.where(F.col("event_type") == "purchase").select(
         (F.col("event_id") - back).alias("event_id"),
         (F.col("value") >= 20).cast("int").alias("reward"),
         F.col("ts").alias("observed_at"),
     )
 
 
+def decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return as_decisions(load(spark, folder, "events"))
+
+
+def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return as_outcomes(load(spark, folder, "events"))
+
+
 def offer_log(spark: SparkSession, folder: str) -> DataFrame:
     """Every decision with its reward, 0 while there is no outcome."""
     return join_outcomes(decisions(spark, folder), outcomes(spark, folder), "event_id", "observed_at")

@@ -169,15 +169,16 @@ def golden_select(spark, d):
 
 
 def golden_decisions(spark, d):
-    """Logged choices with a derived estimate; some cases have no decision."""
-    return decisions(spark, d).where(F.col("event_id") % 6 != 0).select(
+    """Logged choices with a derived estimate; the log starts late, so some cases have none."""
+    start = F.lit(datetime(2024, 1, 6)).cast("timestamp_ntz")
+    return decisions(spark, d).where(F.col("decided_at") >= start).select(
         "event_id", F.col("arm").alias("arm_chosen"),
         F.round(uniform(F.col("event_id"), seed="estimate") * 10, 2).alias("estimated_conversion"),
     )
 
 
 EVALUATED = f"""{GOLDEN},
-chosen AS (SELECT event_id, arm AS arm_chosen, round({UNIFORM.format('event_id', 'estimate')} * 10, 2) AS estimated_conversion FROM decisions WHERE event_id % 6 <> 0),
+chosen AS (SELECT event_id, arm AS arm_chosen, round({UNIFORM.format('event_id', 'estimate')} * 10, 2) AS estimated_conversion FROM decisions WHERE decided_at >= TIMESTAMP '2024-01-06'),
 evaluated AS (SELECT g.*, arm_chosen, estimated_conversion, coalesce(arm_chosen = arm_expected OR estimated_conversion > 5, false) AS passed,
   CASE WHEN arm_chosen IS NULL THEN 'no decision' END AS error FROM golden g LEFT JOIN chosen USING (event_id))"""
 

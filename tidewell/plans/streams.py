@@ -1,0 +1,133 @@
+"""Queries of the streaming operators: run to the end of the input, sinks read back."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tidewell.operators.offers import posterior_estimates
+from tidewell.plans.changes import CHANGES, ORDERS, change_log, orders
+from tidewell.plans.common import LOGS, as_decisions, as_outcomes, offer_log
+from tidewell.plans.registry import query
+from tidewell.session import scratch_path
+from tidewell.sources.files import write_json_lines
+from tidewell.streaming import streams as S
+from tidewell.tables import load
+
+
+def event_stream(spark, d):
+    """The event table as an unbounded source, with a zoned event time."""
+    schema = load(spark, d, "events").schema
+    stream = S.log_stream(spark, d, schema, name_filter="events.parquet")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(spark, stream, label):
+    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    S.drain_to_files(stream, out, checkpoint)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def plain_time(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("stream_source", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def stream_source(spark, d):
+    return plain_time(_run(spark, event_stream(spark, d), "stream-source"), "ts")
+
+
+@query("stream_json_log", "SELECT event_id, event_type, value FROM events")
+def stream_json_log(spark, d):
+    """A JSON-lines log as the source."""
+    rows, path = load(spark, d, "events").select("event_id", "event_type", "value"), scratch_path(spark, "stream-log")
+    write_json_lines(rows, path)
+    return _run(spark, S.log_stream(spark, path, rows.schema, kind="json"), "stream-json")
+
+
+@query("stream_outcome_join", f"""
+WITH {LOGS}, mark AS (SELECT least((SELECT max(decided_at) FROM decisions), (SELECT max(observed_at) FROM outcomes)) - INTERVAL 1 HOUR AS m),
+joined AS (SELECT d.event_id, user_id, decided_at, segment, arm, reward, observed_at FROM decisions d LEFT JOIN outcomes o
+  ON d.event_id = o.event_id AND observed_at BETWEEN decided_at AND decided_at + INTERVAL 2 DAY)
+SELECT event_id, user_id, decided_at, segment, arm, coalesce(reward, 0) AS reward, observed_at FROM joined, mark
+WHERE observed_at IS NOT NULL OR decided_at + INTERVAL 2 DAY < m""")
+def stream_outcome_join(spark, d):
+    """Decisions with late outcomes; an unmatched one appears once its horizon is over."""
+    events = event_stream(spark, d)
+    late = as_outcomes(events).withColumnRenamed("event_id", "decision_id")
+    joined = S.join_late_outcomes(
+        as_decisions(events), late, "event_id", "decided_at", "decision_id", "observed_at", horizon_days=2
+    )
+    return plain_time(_run(spark, joined, "stream-join"), "decided_at", "observed_at")
+
+
+@query("stream_weekly_rate", """
+WITH w AS (SELECT time_bucket(INTERVAL 7 DAY, ts, (SELECT date_trunc('day', min(ts)) FROM events)) AS window_start,
+  count(*) AS n_obs, count(*) FILTER (event_type = 'purchase') AS n_conv FROM events GROUP BY 1)
+SELECT window_start, n_obs, n_conv, n_conv / n_obs AS rate FROM w WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def stream_weekly_rate(spark, d):
+    first = load(spark, d, "events").agg(F.to_date(F.min("ts"))).first()[0]
+    rewards = event_stream(spark, d).withColumn("reward", (F.col("event_type") == "purchase").cast("int"))
+    return plain_time(_run(spark, S.windowed_rate(rewards, "ts", "reward", first), "stream-rate"), "window_start")
+
+
+@query("stream_dedup", "SELECT event_id, ts, event_type FROM events")
+def stream_dedup(spark, d):
+    events = event_stream(spark, d).select("event_id", "ts", "event_type")
+    again = event_stream(spark, d).select("event_id", "ts", "event_type")
+    return plain_time(_run(spark, S.first_delivery(events.union(again), "event_id", "ts"), "stream-dedup"), "ts")
+
+
+@query("stream_refit", f"""
+WITH {LOGS} SELECT CAST(4 AS BIGINT) AS versions, CAST(count(*) AS BIGINT) AS fitted_rows, CAST(sum(reward) AS BIGINT) AS hits FROM offer_log""")
+def stream_refit(spark, d):
+    """New estimates whenever enough joined outcomes are pending; each outcome is fitted once."""
+    path, root = scratch_path(spark, "refit-log"), scratch_path(spark, "refit")
+    rows = offer_log(spark, d).select("event_id", "segment", "arm", "reward")
+    rows.repartition(4, "event_id").write.parquet(path)
+
+    def fit(waiting, target):
+        posterior_estimates(waiting, "segment", "arm", "reward").write.mode("overwrite").parquet(target)
+
+    sink = S.RefitSink(root, fit)
+    stream = S.log_stream(spark, path, rows.schema, files_per_batch=1)
+    S.drain_batches(stream, sink, scratch_path(spark, "refit-checkpoint"))
+    models = spark.read.parquet(f"{root}/models").agg(F.sum("hits").alias("hits"))
+    return sink.versions(spark).agg(
+        F.count("*").alias("versions"), F.sum("n_rows").alias("fitted_rows")
+    ).crossJoin(F.broadcast(models))
+
+
+@query("stream_incremental", "SELECT event_id, ts, event_type FROM events")
+def stream_incremental(spark, d):
+    """Two drops into one folder and a run after each, and a third run that finds nothing new."""
+    folder, out, checkpoint = (scratch_path(spark, f"incremental-{p}") for p in ("in", "out", "checkpoint"))
+    events = load(spark, d, "events").select("event_id", "ts", "event_type")
+    cut = F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz")
+    for drop in (events.where(F.col("ts") < cut), events.where(F.col("ts") >= cut), None):
+        if drop is not None:
+            drop.write.mode("append").parquet(folder)
+        S.drain_to_files(S.log_stream(spark, folder, events.schema), out, checkpoint)
+    return spark.read.schema(events.schema).parquet(out)
+
+
+@query("stream_arm_totals", f"""
+WITH {LOGS} SELECT arm, count(*) AS rounds, CAST(sum(reward) AS BIGINT) AS total_reward, sum(reward) / count(*) AS rate FROM offer_log GROUP BY 1""")
+def stream_arm_totals(spark, d):
+    path, out = scratch_path(spark, "totals-log"), scratch_path(spark, "totals")
+    rows = offer_log(spark, d).select("event_id", "arm", "reward")
+    rows.repartition(3, "event_id").write.parquet(path)
+    totals = S.arm_totals(S.log_stream(spark, path, rows.schema, files_per_batch=1), "arm", "reward")
+    S.drain_batches(totals, S.batch_writer(out), scratch_path(spark, "totals-checkpoint"), mode="update")
+    return S.latest_totals(spark, out, "arm")
+
+
+@query("stream_apply_changes", f"WITH {ORDERS}, {CHANGES} SELECT * FROM changed")
+def stream_apply_changes(spark, d):
+    path, out = scratch_path(spark, "change-log"), scratch_path(spark, "changes")
+    log = change_log(spark, d)
+    log.repartition(3, "seq").write.parquet(path)
+    stream = S.log_stream(spark, path, log.schema, files_per_batch=1)
+    S.drain_batches(stream, S.batch_writer(out), scratch_path(spark, "change-checkpoint"))
+    return S.current_table(spark, orders(spark, d), out, "o_orderkey", "seq", "op")

@@ -29,8 +29,8 @@ weights AS (SELECT doc_id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY doc_
 
 
 @query("page_title", r"""
-SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages""")
+SELECT page_id, regexp_replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g') AS title FROM pages""")
 def page_title(spark, d):
     return P.page_titles(load(spark, d, "pages"), "page_id")
 
@@ -41,8 +41,8 @@ def page_content(spark, d):
 
 
 @query("page_headers", r"""
-SELECT page_id, list_transform(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), lambda h: replace(replace(replace(replace(replace(trim(h),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS headers FROM pages""")
+SELECT page_id, list_transform(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), lambda h: regexp_replace(replace(replace(replace(replace(trim(h),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g')) AS headers FROM pages""")
 def page_headers(spark, d):
     return P.page_contents(load(spark, d, "pages"), "page_id").select("page_id", "headers")
 

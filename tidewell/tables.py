@@ -3,13 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def load_events_utc(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with ``ts`` as a zoned timestamp, the type watermarks need."""
-    return load(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
