@@ -38,24 +38,38 @@ def clean_text(text: Column) -> Column:
     return F.array_join(clean_tokens(text), " ")
 
 
-def word_terms(tokens: Column) -> Column:
-    """Words of two letters or more and the pairs of neighbours among them."""
-    words = F.filter(tokens, lambda w: F.length(w) >= 2)
-    follow = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+def long_words(tokens: Column) -> Column:
+    return F.filter(tokens, lambda w: F.length(w) >= 2)
+
+
+def with_neighbours(words: Column) -> Column:
+    """The words and the pairs of neighbours among them."""
+    pair_count = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), follow,
+        F.slice(words, F.lit(1), pair_count),
+        F.slice(words, F.lit(2), pair_count),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
     return F.concat(words, pairs)
 
 
+def exploded_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term): every word of two letters or more and every pair of neighbours.
+
+    The words get a projection of their own, so the cleaning runs once per text and not
+    once per use.
+    """
+    words = df.select(key, long_words(clean_tokens(F.col(text))).alias("_tw_words"))
+    return words.select(key, F.explode(with_neighbours(F.col("_tw_words"))).alias("term"))
+
+
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf): occurrences of every term in every text.
 
     Whole texts are moved by key first: they are smaller than their terms, and the
     count by (key, term) then needs no further shuffle.
     """
-    terms = df.select(key, text).repartition(key).select(key, F.explode(word_terms(clean_tokens(F.col(text)))).alias("term"))
+    terms = exploded_terms(df.select(key, text).repartition(key), key, text)
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 

@@ -26,6 +26,8 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 def _per_column(df: DataFrame, columns: Sequence[str], test, name: str) -> DataFrame:
     """One pass over the table, then one result row per column."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"column_name string, {name} bigint")
     counts = df.agg(*(F.count_if(test(F.col(c))).alias(c) for c in columns))
     pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias(name)) for c in columns))
     return counts.select(F.inline(pairs))
@@ -109,7 +111,8 @@ def quantile(df: DataFrame, column: str, fraction: float, accuracy: int | None =
 def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
     """Counts of equal-width bins; the top edge falls in the last bin, outside values drop.
 
-    Without a range the bins span minimum to maximum.
+    Without a range the bins span minimum to maximum; a single value sits in the middle
+    of a range of length 1.
     """
     value = F.col(column).cast("double")
     if low is None or high is None:
@@ -119,9 +122,12 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
         ranged = df.select(
             value.alias("_tw_v"), F.lit(float(low)).alias("_tw_lo"), F.lit(float(high)).alias("_tw_hi")
         )
-    lo, hi, v = F.col("_tw_lo"), F.col("_tw_hi"), F.col("_tw_v")
-    index = F.least(F.floor(F.try_divide((v - lo) * bins, hi - lo)), F.lit(bins - 1))
-    placed = ranged.where((v >= lo) & (v <= hi)).withColumn("bin", F.coalesce(index, F.lit(0)).cast("int"))
+    point = F.col("_tw_lo") == F.col("_tw_hi")
+    lo = F.when(point, F.col("_tw_lo") - 0.5).otherwise(F.col("_tw_lo"))
+    hi = F.when(point, F.col("_tw_hi") + 0.5).otherwise(F.col("_tw_hi"))
+    v = F.col("_tw_v")
+    index = F.least(F.floor((v - lo) * bins / (hi - lo)), F.lit(bins - 1))
+    placed = ranged.where((v >= lo) & (v <= hi)).withColumn("bin", index.cast("int"))
     return placed.groupBy("bin").agg(F.count("*").alias("n"))
 
 

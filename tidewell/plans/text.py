@@ -129,8 +129,7 @@ def clean_text(spark, d):
 
 @query("ngrams", f"WITH {TERMS} SELECT doc_id, unnest(t) AS term FROM terms")
 def ngrams(spark, d):
-    terms = X.word_terms(X.clean_tokens(F.col("text")))
-    return load(spark, d, "documents").select("doc_id", F.explode(terms).alias("term"))
+    return X.exploded_terms(load(spark, d, "documents"), "doc_id", "text")
 
 
 @query("tfidf_weights", f"WITH {WEIGHTS} SELECT doc_id, term, df, round(weight, 6) AS weight FROM weights")
