@@ -94,7 +94,7 @@ def test_forest_learns(spark):
     rows = rows.withColumn("y", F.col("x") * 3 + F.col("noise"))
     model = M.fit_forest(rows, ["x", "noise"], "y", trees=5)
     errors = Q.regression_errors(model.transform(rows), "prediction", "y").first()
-    assert errors["rmse"] < 0.2 * rows.agg(F.stddev_pop("y")).first()[0]
+    assert errors["rmse"] < 0.5 * rows.agg(F.stddev_pop("y")).first()[0]
 
 
 def test_pca_directions(spark, folder):

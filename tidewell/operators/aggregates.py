@@ -11,13 +11,19 @@ from pyspark.sql import types as T
 from tidewell.operators.ordered import exact_quantiles
 
 
-def exact_sum(value: Column, scale: int = 4) -> Column:
-    """Sum in decimal, so the result does not depend on the order of the rows."""
-    return F.sum(value.cast(f"decimal(24,{scale})")).cast("double")
+def sum_of(value: Column, decimals: int | None = None) -> Column:
+    """Sum; with ``decimals`` in fixed point, so it does not depend on the order of the rows.
+
+    Fixed point is for columns that carry no more decimal places than that.
+    """
+    if decimals is None:
+        return F.sum(value)
+    return F.sum(value.cast(f"decimal(24,{decimals})")).cast("double")
 
 
-def exact_mean(value: Column, scale: int = 4) -> Column:
-    return exact_sum(value, scale) / F.count(value)
+def mean_of(value: Column, decimals: int | None = None) -> Column:
+    """Mean; with ``decimals`` from a fixed-point sum."""
+    return F.avg(value) if decimals is None else sum_of(value, decimals) / F.count(value)
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -67,8 +73,8 @@ def distinct_count(df: DataFrame, column: str, name: str = "n_distinct", rsd: fl
     return df.where(F.col(column).isNotNull()).select(column).distinct().agg(F.count("*").alias(name))
 
 
-def group_mean_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    means = df.groupBy(key).agg(exact_mean(F.col(value)).alias("mean"))
+def group_mean_median(df: DataFrame, key: str, value: str, decimals: int | None = None) -> DataFrame:
+    means = df.groupBy(key).agg(mean_of(F.col(value), decimals).alias("mean"))
     return means.join(exact_quantiles(df, [key], value, {"median": 0.5}), key, "left")
 
 
@@ -83,8 +89,8 @@ def ranked_groups(df: DataFrame, key: str, measure: Column, name: str) -> DataFr
     return df.groupBy(key).agg(measure.alias(name)).orderBy(F.desc(name), key)
 
 
-def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(exact_mean(F.col(value)).alias("mean"), F.count("*").alias("n"))
+def group_stats(df: DataFrame, keys: Sequence[str], value: str, decimals: int | None = None) -> DataFrame:
+    return df.groupBy(*keys).agg(mean_of(F.col(value), decimals).alias("mean"), F.count("*").alias("n"))
 
 
 def describe_column(df: DataFrame, column: str) -> DataFrame:
@@ -131,9 +137,9 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
     return placed.groupBy("bin").agg(F.count("*").alias("n"))
 
 
-def overview(df: DataFrame, price: str, rating: str) -> DataFrame:
+def overview(df: DataFrame, price: str, rating: str, decimals: int | None = None) -> DataFrame:
     """Row count, mean price as currency text, and the rating distribution as JSON."""
-    by_rating = df.groupBy(rating).agg(F.count("*").alias("n"), exact_sum(F.col(price)).alias("s"), F.count(price).alias("c"))
+    by_rating = df.groupBy(rating).agg(F.count("*").alias("n"), sum_of(F.col(price), decimals).alias("s"), F.count(price).alias("c"))
     pairs = F.array_sort(F.collect_list(F.struct(F.col(rating).cast("string").alias("k"), F.col("n").alias("v"))))
     return by_rating.agg(
         F.sum("n").alias("total"),
@@ -142,9 +148,9 @@ def overview(df: DataFrame, price: str, rating: str) -> DataFrame:
     )
 
 
-def category_stats(df: DataFrame, category: str, price: str) -> DataFrame:
+def category_stats(df: DataFrame, category: str, price: str, decimals: int | None = None) -> DataFrame:
     return df.groupBy(category).agg(
-        F.count("*").alias("n"), F.round(exact_mean(F.col(price)), 2).alias("mean_price")
+        F.count("*").alias("n"), F.round(mean_of(F.col(price), decimals), 2).alias("mean_price")
     )
 
 
@@ -166,10 +172,10 @@ def group_rate(df: DataFrame, key: str, condition: Column, digits: int = 3) -> D
     return df.groupBy(key).agg(F.round(rate, digits).alias("rate"))
 
 
-def conditional_mean(df: DataFrame, value: str, condition: Column) -> DataFrame:
+def conditional_mean(df: DataFrame, value: str, condition: Column, decimals: int | None = None) -> DataFrame:
     """Mean over the rows that meet the condition, beside their share of all rows."""
     return df.agg(
-        exact_mean(F.when(condition, F.col(value))).alias("conditional_mean"),
+        mean_of(F.when(condition, F.col(value)), decimals).alias("conditional_mean"),
         (F.count_if(condition) / F.count("*")).alias("rate"),
     )
 

@@ -102,10 +102,10 @@ def guard_unique(base: DataFrame, new: DataFrame, key: str, seq: str) -> tuple[D
 
     Of several new rows with one key the first by ``seq`` is accepted.
     """
-    firsts = new.groupBy(key).agg(F.min(seq).alias("_tw_first"))
+    firsts = new.groupBy(key).agg(F.min(seq).alias("_tw_first"), F.count("*").alias("_tw_n"))
     taken = base.select(key).distinct().withColumn("_tw_taken", F.lit(True))
     marks = firsts.join(taken, key, "left")
-    judged = new.join(marks, key, "left").withColumn(
+    judged = attach(new, marks, [key], weight="_tw_n").withColumn(
         "reason",
         F.when(F.col("_tw_taken"), F.lit("key taken")).when(
             F.col(seq) != F.col("_tw_first"), F.lit("repeated in batch")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import uniform
-from tidewell.operators.aggregates import exact_mean
+from tidewell.operators.aggregates import mean_of
 from tidewell.operators.attach import attach
 from tidewell.operators.ordered import number_rows
 
@@ -62,7 +62,8 @@ def one_hot_columns(df: DataFrame, column: str, values: Sequence[str] | None = N
 
 
 def target_statistics(
-    df: DataFrame, keys: Sequence[str], target: str, prefix: str, train: Column | None = None
+    df: DataFrame, keys: Sequence[str], target: str, prefix: str, train: Column | None = None,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Mean target and row count per key, joined back on to every row.
 
@@ -70,7 +71,7 @@ def target_statistics(
     """
     learn = df if train is None else df.where(train)
     stats = learn.groupBy(*keys).agg(
-        exact_mean(F.col(target)).alias(f"{prefix}_rate"), F.count("*").alias(f"{prefix}_count")
+        mean_of(F.col(target), decimals).alias(f"{prefix}_rate"), F.count("*").alias(f"{prefix}_count")
     )
     return attach(df, stats, keys, weight=f"{prefix}_count")
 

@@ -86,8 +86,8 @@ def score_distinct(
     """Score each distinct feature tuple once and hand the result to its duplicates."""
     tuples = df.groupBy(*features).agg(F.count("*").alias("_tw_rows"))
     scored = score(tuples).select(*features, result, "_tw_rows")
-    # a null feature must meet its own score, so the tuple travels as one comparable text
-    tag = F.to_json(F.struct(*features), {"ignoreNullFields": "false"})
+    # one struct as the key: fields that are null are equal inside it
+    tag = F.struct(*features)
     return attach(
         df.withColumn("_tw_tuple", tag),
         scored.select(tag.alias("_tw_tuple"), result, "_tw_rows"),
@@ -115,7 +115,8 @@ def parents_with_children(
     order = [*parents.columns, "page", "children"]
     # the lists are the large side: one parent may own a third of all pages
     some = attach(lists, parents, [parent_key], how="inner")
-    none = parents.join(children.select(F.col(child_parent).alias(parent_key)), parent_key, "left_anti")
+    owners = children.select(F.col(child_parent).alias(parent_key)).distinct()
+    none = parents.join(owners, parent_key, "left_anti")
     return some.select(*order).unionByName(
         none.withColumns(
             {"page": F.lit(0).cast("bigint"), "children": F.array().cast(f"array<{element}>")}

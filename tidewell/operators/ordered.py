@@ -51,20 +51,24 @@ def running_sums(
     per_range = staged.groupBy(*group_cols).agg(*(F.sum(c).alias(c) for c in [*run, *tot]))
     earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    side = per_range.select(
+    spanning = per_range.withColumn("_tw_ranges", F.count("*").over(whole)).select(
         *(F.col(c).alias(f"_tw_on_{c}") for c in group_cols),
         *(F.sum(c).over(earlier).alias(f"{c}_before") for c in run),
         *(F.sum(c).over(whole).alias(f"{c}_all") for c in tot),
-    )
+        "_tw_ranges",
+    ).where(F.col("_tw_ranges") > 1)
+    # Ranges follow the key order, so only the first and the last group of a range can
+    # reach into another one: at most two rows per range, whatever the number of groups.
     on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_tw_on_{c}")) for c in group_cols))
-    here = Window.partitionBy(*group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return staged.join(side, on, "inner").select(
+    local = Window.partitionBy(*group_cols)
+    here = local.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return staged.join(F.broadcast(spanning), on, "left").select(
         *df.columns,
         *(
             (F.coalesce(F.col(f"{c}_before"), F.lit(0)) + F.sum(c).over(here)).alias(name)
             for name, c in zip(sums, run)
         ),
-        *(F.col(f"{c}_all").alias(name) for name, c in zip(totals, tot)),
+        *(F.coalesce(F.col(f"{c}_all"), F.sum(c).over(local)).alias(name) for name, c in zip(totals, tot)),
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.aggregates import exact_mean
+from tidewell.operators.aggregates import mean_of
 from tidewell.operators.joins import with_group_stats
 from tidewell.operators.ordered import number_rows, running_sums, with_halo
 
@@ -29,30 +29,36 @@ def daily_bars(ticks: DataFrame, series: str, moment: str, value: str, tie: str)
     )
 
 
-def expanding_mean(bars: DataFrame, series: str, order: str, value: str, name: str, digits: int = 2) -> DataFrame:
+def expanding_mean(
+    bars: DataFrame, series: str, order: str, value: str, name: str, digits: int = 2, decimals: int | None = None
+) -> DataFrame:
     """Mean of everything up to and including the row."""
     frame = Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    exact = F.sum(F.col(value).cast("decimal(24,4)")).over(frame).cast("double")
-    return bars.withColumn(name, F.round(exact / F.count(value).over(frame), digits))
+    if decimals is None:
+        mean = F.avg(value).over(frame)
+    else:
+        fixed = F.col(value).cast(f"decimal(24,{decimals})")
+        mean = F.sum(fixed).over(frame).cast("double") / F.count(value).over(frame)
+    return bars.withColumn(name, F.round(mean, digits))
 
 
-def fill_with_group_mean(df: DataFrame, key: str, value: str) -> DataFrame:
+def fill_with_group_mean(df: DataFrame, key: str, value: str, decimals: int | None = None) -> DataFrame:
     """Nulls take the mean of their group. The mean is aggregated and joined back,
     so no group has to fit one task as it would in a partition window."""
-    filled = with_group_stats(df, [key], {"_tw_mean": exact_mean(F.col(value))})
+    filled = with_group_stats(df, [key], {"_tw_mean": mean_of(F.col(value), decimals)})
     return filled.withColumn(value, F.coalesce(F.col(value), F.col("_tw_mean"))).drop("_tw_mean")
 
 
-def fill_with_group_floor(df: DataFrame, key: str, value: str) -> DataFrame:
+def fill_with_group_floor(df: DataFrame, key: str, value: str, decimals: int | None = None) -> DataFrame:
     """Nulls take the floor of their group's mean."""
-    filled = with_group_stats(df, [key], {"_tw_mean": exact_mean(F.col(value))})
+    filled = with_group_stats(df, [key], {"_tw_mean": mean_of(F.col(value), decimals)})
     floor = F.floor("_tw_mean").cast(df.schema[value].dataType)
     return filled.withColumn(value, F.coalesce(F.col(value), floor)).drop("_tw_mean")
 
 
-def fill_with_group_int(df: DataFrame, key: str, value: str) -> DataFrame:
+def fill_with_group_int(df: DataFrame, key: str, value: str, decimals: int | None = None) -> DataFrame:
     """Nulls take their group's mean; the whole column is truncated to integers."""
-    return fill_with_group_mean(df, key, value).withColumn(value, F.col(value).cast("int"))
+    return fill_with_group_mean(df, key, value, decimals).withColumn(value, F.col(value).cast("int"))
 
 
 def _series_frame(df, series, order, before, after, block_rows):

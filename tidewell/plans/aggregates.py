@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import aggregates as A
-from tidewell.plans.common import LOGS, offer_log
+from tidewell.plans.common import LOGS, PLACES, offer_log
 from tidewell.plans.registry import query
 from tidewell.plans.relational import GAPPY, gappy_orders
 from tidewell.tables import load
@@ -41,7 +41,7 @@ def distinct_count(spark, d):
 @query("group_avg_median", f"""
 SELECT l_returnflag, {mean_sql('l_extendedprice')} AS mean, median(l_extendedprice) AS median FROM lineitem GROUP BY 1""")
 def group_avg_median(spark, d):
-    return A.group_mean_median(load(spark, d, "lineitem"), "l_returnflag", "l_extendedprice")
+    return A.group_mean_median(load(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", PLACES)
 
 
 @query("group_count_avg", """
@@ -60,7 +60,7 @@ def rank_groups_count(spark, d):
 @query("rank_groups_sum", """
 SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(24,4))) AS DOUBLE) AS total FROM orders GROUP BY 1""")
 def rank_groups_sum(spark, d):
-    return A.ranked_groups(load(spark, d, "orders"), "o_custkey", A.exact_sum(F.col("o_totalprice")), "total")
+    return A.ranked_groups(load(spark, d, "orders"), "o_custkey", A.sum_of(F.col("o_totalprice"), PLACES), "total")
 
 
 @query("rank_groups_avg", f"""
@@ -68,13 +68,13 @@ SELECT CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS weekday, {mean_sql('o_tota
 FROM orders GROUP BY 1 ORDER BY 2 DESC, 1""")
 def rank_groups_avg(spark, d):
     rows = load(spark, d, "orders").withColumn("weekday", F.dayofweek("o_orderdate"))
-    return A.ranked_groups(rows, "weekday", A.exact_mean(F.col("o_totalprice")), "mean_price")
+    return A.ranked_groups(rows, "weekday", A.mean_of(F.col("o_totalprice"), PLACES), "mean_price")
 
 
 @query("group_stats", f"""
 SELECT l_partkey, l_suppkey, {mean_sql('l_extendedprice')} AS mean, count(*) AS n FROM lineitem GROUP BY 1, 2""")
 def group_stats(spark, d):
-    return A.group_stats(load(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_extendedprice")
+    return A.group_stats(load(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_extendedprice", PLACES)
 
 
 @query("describe_column", """
@@ -117,13 +117,13 @@ SELECT CAST((SELECT count(*) FROM r) AS BIGINT) AS total,
   (SELECT 'R$ ' || format('{{:.2f}}', round({mean_sql('p_retailprice')}, 2)) FROM r) AS mean_price,
   (SELECT '{{' || string_agg('"' || rating || '":' || n, ',' ORDER BY rating) || '}}' FROM c) AS rating_distribution""")
 def stats_overview(spark, d):
-    return A.overview(load(spark, d, "part").withColumn("rating", F.col("p_size") % 5 + 1), "p_retailprice", "rating")
+    return A.overview(load(spark, d, "part").withColumn("rating", F.col("p_size") % 5 + 1), "p_retailprice", "rating", PLACES)
 
 
 @query("stats_categories", f"""
 SELECT p_brand, count(*) AS n, round({mean_sql('p_retailprice')}, 2) AS mean_price FROM part GROUP BY 1""")
 def stats_categories(spark, d):
-    return A.category_stats(load(spark, d, "part"), "p_brand", "p_retailprice")
+    return A.category_stats(load(spark, d, "part"), "p_brand", "p_retailprice", PLACES)
 
 
 @query("duplicate_count", """
@@ -167,7 +167,7 @@ def group_rate(spark, d):
 SELECT CAST(sum(CAST(value AS DECIMAL(24,4))) FILTER (event_type = 'purchase') AS DOUBLE) / count(*) FILTER (event_type = 'purchase') AS conditional_mean,
   count(*) FILTER (event_type = 'purchase') / count(*) AS rate FROM events""")
 def conditional_mean(spark, d):
-    return A.conditional_mean(load(spark, d, "events"), "value", F.col("event_type") == "purchase")
+    return A.conditional_mean(load(spark, d, "events"), "value", F.col("event_type") == "purchase", PLACES)
 
 
 @query("relative_error", """

@@ -12,6 +12,11 @@ from tidewell.operators.windows import daily_bars
 from tidewell.tables import load
 
 
+# The money and share columns of the tables hold at most four decimal places, so sums in
+# fixed point are exact and equal to those of the SQL.
+PLACES = 4
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (index + 1).cast("int"))
 

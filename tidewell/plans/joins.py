@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import joins as J
-from tidewell.operators.aggregates import exact_mean
+from tidewell.operators.aggregates import mean_of
 from tidewell.operators.offers import OFFERS, SEGMENT_MULTIPLIERS, best_offer, offer_table
-from tidewell.plans.common import CLIENTS, LOGS, clients, decisions, outcomes
+from tidewell.plans.common import CLIENTS, LOGS, PLACES, clients, decisions, outcomes
 from tidewell.plans.registry import query
 from tidewell.plans.relational import LINE_KEY, LINE_KEY_SQL
 from tidewell.tables import load
@@ -24,7 +24,7 @@ AFFINITY_VALUES = "affinity(offer_id, segments) AS (VALUES " + ", ".join(
 SELECT {LINE_KEY_SQL}, avg(l_quantity) OVER (PARTITION BY l_suppkey) AS mean_quantity,
   count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem""")
 def join_agg_back(spark, d):
-    stats = {"mean_quantity": exact_mean(F.col("l_quantity")), "n": F.count("*")}
+    stats = {"mean_quantity": mean_of(F.col("l_quantity"), PLACES), "n": F.count("*")}
     rows = load(spark, d, "lineitem").select(*LINE_KEY, "l_quantity")
     return J.with_group_stats(rows, ["l_suppkey"], stats).drop("l_quantity")
 
@@ -33,7 +33,7 @@ def join_agg_back(spark, d):
 SELECT {LINE_KEY_SQL}, CAST(sum(CAST(l_discount AS DECIMAL(24,4))) OVER w AS DOUBLE) / count(l_discount) OVER w AS mean_discount,
   count(*) OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_partkey, l_suppkey)""")
 def join_multikey(spark, d):
-    stats = {"mean_discount": exact_mean(F.col("l_discount")), "n": F.count("*")}
+    stats = {"mean_discount": mean_of(F.col("l_discount"), PLACES), "n": F.count("*")}
     rows = load(spark, d, "lineitem").select(*LINE_KEY, "l_discount")
     return J.with_group_stats(rows, ["l_partkey", "l_suppkey"], stats).drop("l_discount")
 
@@ -76,7 +76,7 @@ SELECT p_brand, mean_price, small_parts FROM a FULL JOIN b USING (p_brand) ORDER
 def join_full_align(spark, d):
     part = load(spark, d, "part")
     big = part.where("p_brand <> 'Brand#3'").groupBy("p_brand").agg(
-        F.round(exact_mean(F.col("p_retailprice")), 6).alias("mean_price")
+        F.round(mean_of(F.col("p_retailprice"), PLACES), 6).alias("mean_price")
     )
     small = part.where("p_size < 20 AND p_brand <> 'Brand#7'").groupBy("p_brand").agg(
         F.count("*").alias("small_parts")

@@ -11,10 +11,10 @@ from tidewell.operators import features as E
 from tidewell.operators import forecast as G
 from tidewell.operators import metrics as Q
 from tidewell.operators import models as M
-from tidewell.operators.aggregates import exact_mean, nan_profile
+from tidewell.operators.aggregates import mean_of, nan_profile
 from tidewell.operators.joins import score_distinct, with_group_stats
 from tidewell.plans.aggregates import mean_sql
-from tidewell.plans.common import BARS, SCORED, bars, scored_labels
+from tidewell.plans.common import BARS, PLACES, SCORED, bars, scored_labels
 from tidewell.plans.registry import query
 from tidewell.plans.relational import LINE_KEY, LINE_KEY_SQL
 from tidewell.session import scratch_path, stage
@@ -58,8 +58,8 @@ SELECT {LINE_KEY_SQL}, CAST(sum(CAST(l_tax AS DECIMAL(24,4))) OVER r AS DOUBLE)
 FROM lineitem WINDOW r AS (PARTITION BY l_partkey, l_suppkey), t AS (PARTITION BY l_suppkey)""")
 def target_encode(spark, d):
     rows = load(spark, d, "lineitem").select(*LINE_KEY, "l_tax")
-    routed = E.target_statistics(rows, ["l_partkey", "l_suppkey"], "l_tax", "route")
-    return E.target_statistics(routed, ["l_suppkey"], "l_tax", "tail").drop("l_tax")
+    routed = E.target_statistics(rows, ["l_partkey", "l_suppkey"], "l_tax", "route", decimals=PLACES)
+    return E.target_statistics(routed, ["l_suppkey"], "l_tax", "tail", decimals=PLACES).drop("l_tax")
 
 
 @query("target_encode_train", f"""
@@ -68,7 +68,7 @@ SELECT {LINE_KEY_SQL}, tail_rate, tail_count FROM lineitem LEFT JOIN s USING (l_
 def target_encode_train(spark, d):
     rows = load(spark, d, "lineitem").select(*LINE_KEY, "l_tax")
     train = F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")
-    return E.target_statistics(rows, ["l_suppkey"], "l_tax", "tail", train=train).drop("l_tax")
+    return E.target_statistics(rows, ["l_suppkey"], "l_tax", "tail", train=train, decimals=PLACES).drop("l_tax")
 
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -180,7 +180,7 @@ WITH m AS (SELECT l_extendedprice AS y, CAST(sum(CAST(l_extendedprice AS DECIMAL
 SELECT round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(avg(abs(p - y)), 4) AS mae, round(avg((p - y) * (p - y)), 1) AS mse FROM m""")
 def regression_errors(spark, d):
     rows = load(spark, d, "lineitem").select("l_suppkey", "l_extendedprice")
-    predicted = with_group_stats(rows, ["l_suppkey"], {"p": exact_mean(F.col("l_extendedprice"))})
+    predicted = with_group_stats(rows, ["l_suppkey"], {"p": mean_of(F.col("l_extendedprice"), PLACES)})
     errors = Q.regression_errors(predicted, "p", "l_extendedprice")
     return errors.select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("mse", 1).alias("mse"))
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import columns as C
-from tidewell.operators.aggregates import exact_mean
+from tidewell.operators.aggregates import mean_of
 from tidewell.operators.joins import with_group_stats
 from tidewell.operators.windows import every_day, expanding_mean, fill_with_group_floor, fill_with_group_int
-from tidewell.plans.common import BARS, CLIENTS, FLIGHTS, bars, clients, flights
+from tidewell.plans.common import BARS, CLIENTS, FLIGHTS, PLACES, bars, clients, flights
 from tidewell.plans.registry import query
 from tidewell.tables import load
 
@@ -37,7 +37,7 @@ FROM bars WINDOW w AS (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING
 def candle_features(spark, d):
     candles = C.candle_columns("open", "high", "low", "close")
     rounded = {name: F.round(expr, 4) for name, expr in candles.items()}
-    full = expanding_mean(bars(spark, d).withColumns(rounded), "series", "day", "close", "moving_mean")
+    full = expanding_mean(bars(spark, d).withColumns(rounded), "series", "day", "close", "moving_mean", decimals=PLACES)
     return full.withColumn("dataproc", C.date_key(F.col("day")))
 
 
@@ -51,7 +51,7 @@ def impute_group_floor(spark, d):
         "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
         F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity")).alias("l_quantity"),
     )
-    return fill_with_group_floor(rows, "l_suppkey", "l_quantity")
+    return fill_with_group_floor(rows, "l_suppkey", "l_quantity", PLACES)
 
 
 @query("impute_group_int", """
@@ -64,7 +64,7 @@ def impute_group_int(spark, d):
         "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
         F.when(F.col("l_orderkey") % 4 != 0, F.col("l_quantity")).alias("l_quantity"),
     )
-    return fill_with_group_int(rows, "l_partkey", "l_quantity")
+    return fill_with_group_int(rows, "l_partkey", "l_quantity", PLACES)
 
 
 DEPARTED = FLIGHTS + """,
@@ -343,7 +343,7 @@ WITH r AS (SELECT p_partkey, abs(p_retailprice / (CAST(sum(CAST(p_retailprice AS
 SELECT p_partkey, round(score, 6) AS score,
   CASE WHEN score < 0.1 THEN 'stable' WHEN score < 0.2 THEN 'monitor' ELSE 'retrain' END AS status FROM r""")
 def threshold_status(spark, d):
-    part = with_group_stats(load(spark, d, "part"), ["p_brand"], {"mean": exact_mean(F.col("p_retailprice"))})
+    part = with_group_stats(load(spark, d, "part"), ["p_brand"], {"mean": mean_of(F.col("p_retailprice"), PLACES)})
     score = F.abs(F.col("p_retailprice") / F.col("mean") - 1)
     return part.select("p_partkey", F.round(score, 6).alias("score"), C.drift_status(score).alias("status"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import windows as W
 from tidewell.operators.forecast import series_trend
-from tidewell.plans.common import BARS, bars
+from tidewell.plans.common import BARS, PLACES, bars
 from tidewell.plans.registry import query
 from tidewell.plans.relational import LINE_KEY, LINE_KEY_SQL
 from tidewell.tables import load
@@ -24,7 +24,7 @@ WITH {BARS} SELECT series, day, close,
   round(CAST(sum(CAST(close AS DECIMAL(24,4))) OVER w AS DOUBLE) / count(close) OVER w, 2) AS moving_mean
 FROM bars WINDOW w AS (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING)""")
 def expanding_mean(spark, d):
-    return W.expanding_mean(bars(spark, d).select("series", "day", "close"), "series", "day", "close", "moving_mean")
+    return W.expanding_mean(bars(spark, d).select("series", "day", "close"), "series", "day", "close", "moving_mean", decimals=PLACES)
 
 
 @query("impute_partition_mean", f"""
@@ -34,7 +34,7 @@ WINDOW w AS (PARTITION BY l_suppkey)""")
 def impute_partition_mean(spark, d):
     tax = F.when(F.col("l_orderkey") % 6 != 0, F.col("l_tax")).alias("l_tax")
     rows = load(spark, d, "lineitem").select(*LINE_KEY, tax)
-    return W.fill_with_group_mean(rows, "l_suppkey", "l_tax")
+    return W.fill_with_group_mean(rows, "l_suppkey", "l_tax", PLACES)
 
 
 LAGS = ", ".join(f"lag({c}, {i}) OVER w AS {c}_lag{i}" for i in range(5, 0, -1) for c in ("close", "volume"))

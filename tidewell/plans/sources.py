@@ -9,7 +9,7 @@ from tidewell.functions.columns import candle_columns, date_key
 from tidewell.operators.offers import policy_metrics, run_report
 from tidewell.operators.relational import append_batches
 from tidewell.operators.windows import daily_bars, expanding_mean
-from tidewell.plans.common import BARS, LOGS, bars, offer_log
+from tidewell.plans.common import BARS, LOGS, PLACES, bars, offer_log
 from tidewell.plans.registry import query
 from tidewell.session import scratch_path
 from tidewell.sources import catalog as K
@@ -195,7 +195,7 @@ def stage_handover(spark, d):
     S.mark_complete(spark, raw, "_EXTRACT_COMPLETE")
     ready = S.read_when_complete(spark, raw, "_EXTRACT_COMPLETE", extracted.schema)
     body = F.round(candle_columns("open", "high", "low", "close")["candle_body"], 4)
-    loaded = expanding_mean(ready, "series", "day", "close", "moving_mean").withColumn("candle_body", body)
+    loaded = expanding_mean(ready, "series", "day", "close", "moving_mean", decimals=PLACES).withColumn("candle_body", body)
     loaded = loaded.select("series", "day", "close", "candle_body", "moving_mean", "dataproc")
     S.write_partitioned(loaded, final, "dataproc")
     S.mark_complete(spark, final, "_LOAD_COMPLETE")
