@@ -77,6 +77,25 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch, tmp_path):
     assert session.scratch_path(cluster, "x").startswith("hdfs://shared/dir/tidewell/x-")
 
 
+def test_local_session_falls_back_to_a_temporary_folder(monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, applicationId = "local[2]", "app-without-folder"
+        chosen = []
+
+        def setCheckpointDir(self, path):
+            self.chosen.append(path)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    first, second = session.scratch_path(Session(), "x"), session.scratch_path(Session(), "x")
+    assert first != second and first.startswith(Context.chosen[0]) and len(Context.chosen) == 1
+
+
 def folders(tmp_path, *names):
     return [str(tmp_path / n) for n in names]
 

@@ -31,6 +31,8 @@ def attach(
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     values = [c for c in per_key.columns if c not in keys]
+    # said once up front, so both uses of per_key stay the same plan and share its shuffle
+    per_key = per_key.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
     if weight is None:
         counts = big.groupBy(*keys).agg(F.count("*").alias("_tw_w"))
         heaviest = counts.orderBy(F.desc("_tw_w")).limit(MAX_HOT_KEYS).select(*keys)
@@ -53,8 +55,8 @@ def attach(
             F.when(answered | lacks_key, F.spark_partition_id() + 1).otherwise(F.lit(0)).cast("bigint"),
         )
     )
-    # pmod by 1 is always 0 but stays a column, so the salt remains a join key
-    zero = F.pmod(F.xxhash64(*keys), F.lit(1).cast("bigint"))
+    # always 0, but computed from the key, so the salt remains a join key
+    zero = F.xxhash64(*keys).bitwiseAND(F.lit(0).cast("bigint"))
     cold = per_key.select(
         *(F.col(k).alias(f"_tw_k_{k}") for k in keys),
         zero.alias("_tw_zero"),
