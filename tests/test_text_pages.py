@@ -80,6 +80,11 @@ def test_title_and_content(spark):
     assert content[2] == ([], ["no title"]) and content[3] == ([], [])
 
 
+def test_rejected_markup_does_not_lose_the_page(spark):
+    pages = spark.createDataFrame([(1, "<title>t</title><p>a</p><![odd[ <p>b"), (2, "<title>u")], "id int, html string")
+    assert {r["id"]: r["title"] for r in P.page_titles(pages, "id").collect()} == {1: "t", 2: "u"}
+
+
 CARD = """<ol class="row"><li class="col"><article class="product_pod"><div><a href="x"><img src="../../media/i.jpg"></a></div>
 <p class="star-rating Three"></p><h3><a href="../../book_1/index.html" title="Full &quot;Title&quot;">Full...</a></h3>
 <div><p class="price_color">Â£51.77</p><p class="instock availability"><i class="icon-ok"></i> In stock</p></div></article></li>

@@ -96,8 +96,12 @@ class PageReader(HTMLParser):
 
 def read_page(html: str | None, wanted: set[str]) -> list[Element]:
     reader = PageReader(wanted)
-    reader.feed(html or "")
-    reader.close()
+    try:
+        reader.feed(html or "")
+        reader.close()
+    except AssertionError:
+        # a declaration the parser rejects: keep what came before it, not lose the job
+        reader._end_run()
     return reader.found
 
 
@@ -193,17 +197,22 @@ def page_cards(pages: DataFrame, key: str, url: str, html: str = "html") -> Data
     )
 
 
-def page_categories(pages: DataFrame, key: str, html: str = "html", container: str = "breadcrumb") -> DataFrame:
-    """Text of the link in the third entry of the breadcrumb list, or a default."""
+def page_categories(
+    pages: DataFrame, key: str, html: str = "html", tag: str = "ul", mark: str | None = "breadcrumb"
+) -> DataFrame:
+    """Text of the link in the third entry of the breadcrumb list, or a default.
+
+    The list is the first ``tag`` element with the class ``mark``; None takes any class.
+    """
 
     def third(found: list[Element]):
-        crumbs = next((e for e in found if e.tag == "ul" and container in e.classes()), None)
+        crumbs = next((e for e in found if e.tag == tag and (mark is None or mark in e.classes())), None)
         entries = [e for e in found if e.tag == "li" and crumbs is not None and e.within(crumbs)]
         if len(entries) < 3:
             return None
         return next((e.text() for e in found if e.tag == "a" and e.within(entries[2])), None)
 
-    out = _map_pages(pages, html, [key], {"ul", "li", "a"}, third, StringType())
+    out = _map_pages(pages, html, [key], {tag, "li", "a"}, third, StringType())
     return out.select(key, F.coalesce(F.nullif(F.col("_tw"), F.lit("")), F.lit(NO_CATEGORY)).alias("category"))
 
 

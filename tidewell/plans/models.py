@@ -244,16 +244,30 @@ def silhouette(spark, d):
     return spark.createDataFrame([(M.silhouette(clustered, "pca", "cluster"),)], "silhouette double")
 
 
-@query("model_round_trip")
+@query("silhouette_by_label", """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(64)) AS i FROM e),
+y AS (SELECT label, list(s ORDER BY i) AS y FROM (SELECT label, i, sum(x) AS s FROM u GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT label, y, count(*) AS n, sum(list_dot_product(v, v)) AS psi FROM e JOIN y USING (label) GROUP BY 1, 2),
+d AS (SELECT e.vec_id, e.label, c.label AS other, n, list_dot_product(v, v) + psi / n - 2 * list_dot_product(v, y) / n AS dist FROM e CROSS JOIN c),
+s AS (SELECT vec_id, max(CASE WHEN other = label THEN CASE WHEN n = 1 THEN NULL ELSE dist * n / (n - 1) END END) AS a,
+  min(CASE WHEN other <> label THEN dist END) AS b FROM d GROUP BY 1)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette FROM s""")
+def silhouette_by_label(spark, d):
+    rows = M.with_vector(_vectors(spark, d), "embedding")
+    return spark.createDataFrame([(round(M.silhouette(rows, "features", "label"), 6),)], "silhouette double")
+
+
+@query("model_round_trip", "SELECT vec_id, true AS same FROM embeddings")
 def model_round_trip(spark, d):
-    """Predictions of a stored and reloaded model beside those of the original."""
+    """Whether a stored and reloaded model predicts as the original did, per row."""
     rows = M.with_vector(_vectors(spark, d), "embedding")
     model = M.fit_multiclass(rows, "features", "label", max_iter=10)
     path = scratch_path(spark, "model")
     M.save_model(model, path)
     first = model.transform(rows).select("vec_id", F.col("prediction").alias("before"))
     again = M.load_model(path).transform(rows).select("vec_id", F.col("prediction").alias("after"))
-    return first.join(again, "vec_id").withColumn("same", F.col("before") == F.col("after"))
+    return first.join(again, "vec_id").select("vec_id", (F.col("before") == F.col("after")).alias("same"))
 
 
 @query("predict_log")

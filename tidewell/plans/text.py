@@ -108,10 +108,12 @@ def page_category(spark, d):
     return P.page_categories(load(spark, d, "part").select("p_partkey", html.alias("html")), "p_partkey")
 
 
-@query("page_categories_nav")
+@query("page_categories_nav", r"""
+WITH n AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)
+SELECT page_id, CASE WHEN len(t) >= 3 AND t[3] <> '' THEN t[3] ELSE 'Desconhecido' END AS category FROM n""")
 def page_categories_nav(spark, d):
-    """The stored pages have no breadcrumb class, so they get the default."""
-    return P.page_categories(load(spark, d, "pages"), "page_id")
+    """The third entry of the navigation list of the stored pages."""
+    return P.page_categories(load(spark, d, "pages"), "page_id", tag="nav", mark=None)
 
 
 @query("page_links_udtf", r"""
