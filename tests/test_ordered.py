@@ -6,10 +6,20 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.attach import attach
-from tidewell.operators.ordered import exact_quantiles, number_rows, running_sums
+from tidewell.operators.ordered import RANGE, exact_quantiles, number_rows, running_sums, split_in_ranges
 from tidewell.operators.windows import chronological_split, lag_matrix, lead_targets
 
 
+@pytest.fixture(scope="module", autouse=True)
+def many_ranges(spark):
+    """Keep small inputs in several ranges, as large ones are."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One key holds half of the rows; one key is null."""
@@ -21,6 +31,13 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
+def test_a_hot_key_spans_even_ranges(skewed):
+    ranged = split_in_ranges(skewed, ["k"], [F.col("id")])
+    sizes = [r["count"] for r in ranged.groupBy(RANGE).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert ranged.where("k = 0").select(RANGE).distinct().count() > 2
+
+
 @pytest.mark.parametrize("parts", [1, 17])
 def test_running_sums_equal_window(skewed, parts):
     got = running_sums(skewed.repartition(parts), ["k"], [F.desc("v"), F.col("id")], {"s": F.col("v")}, {"t": F.col("v")})

@@ -126,9 +126,6 @@ def repair_arrival(spark, d):
     return _landed(spark, d).select("flight", "arrival", "taxi_in", "wheels_on")
 
 
-MINUTES = "(CAST({0} // 100 AS INTEGER) * 60 + {0} % 100)"
-
-
 @query("overnight_diff", f"""
 WITH {LANDED}, g AS (
   SELECT flight, wheels_on - wheels_off AS air, arrival - departure AS elapsed,
