@@ -27,6 +27,7 @@ def test_search_wildcards_are_literal(books):
     assert ids(R.search(books, title="A_B")) == [3]
     assert ids(R.search(books, title=None, category="FICTION")) == [2, 5]
     assert ids(R.search(books)) == [1, 2, 3, 4, 5]
+    assert ids(R.search(books, title="", category="poetry")) == [4]
     assert ids(R.search(books, title="nothing")) == []
 
 
@@ -115,6 +116,15 @@ def test_profiles(spark):
     assert A.duplicate_rows(frame.unionByName(frame), frame.columns).first()[0] == 3
 
 
+def test_overview_and_categories_with_missing_values(spark):
+    frame = spark.createDataFrame([("Five", 10.0), ("Five", 11.2), (None, 30.0), ("One", None)], "r string, p double")
+    assert A.overview(frame, "p", "r").first()[:] == (4, "R$ 17.07", '{"Five":2,"One":1,"null":0}')
+    assert A.overview(frame.where("p = 10"), "p", "r").first()["mean_price"] == "R$ 10.0"
+    assert {r["r"]: (r["n"], r["mean_price"]) for r in A.category_stats(frame, "r", "p").collect()} == {
+        "Five": (2, 10.6), None: (0, 30.0), "One": (1, None)
+    }
+
+
 def test_histogram_edges(spark):
     frame = spark.createDataFrame([(float(v),) for v in (-61, -60, 0, 180, 181)], "v double")
     assert dict(A.histogram(frame, "v", 50, -60, 180).collect()) == {0: 1, 12: 1, 49: 1}

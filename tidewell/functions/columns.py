@@ -174,8 +174,8 @@ def drift_status(score: Column, watch: float = 0.1, act: float = 0.2) -> Column:
 
 
 def reais(value: Column) -> Column:
-    """Two-decimal currency text."""
-    return F.concat(F.lit("R$ "), F.format_string("%.2f", value))
+    """Currency text: the value rounded to cents, as the number prints."""
+    return F.concat(F.lit("R$ "), F.round(value, 2).cast("string"))
 
 
 # --- segments and hashes ---

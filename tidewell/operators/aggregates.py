@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions.columns import reais
 from tidewell.operators.ordered import exact_quantiles
 
 
@@ -138,19 +139,26 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
 
 
 def overview(df: DataFrame, price: str, rating: str, decimals: int | None = None) -> DataFrame:
-    """Row count, mean price as currency text, and the rating distribution as JSON."""
-    by_rating = df.groupBy(rating).agg(F.count("*").alias("n"), sum_of(F.col(price), decimals).alias("s"), F.count(price).alias("c"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(rating).cast("string").alias("k"), F.col("n").alias("v"))))
+    """Row count, mean price as currency text, and the rating distribution as JSON.
+
+    Rows without a rating show as ``null`` with count 0, since the count is of ratings.
+    """
+    by_rating = df.groupBy(rating).agg(
+        F.count("*").alias("rows"), F.count(rating).alias("n"),
+        sum_of(F.col(price), decimals).alias("s"), F.count(price).alias("c"),
+    )
+    name = F.coalesce(F.col(rating).cast("string"), F.lit("null"))
+    pairs = F.array_sort(F.collect_list(F.struct(name.alias("k"), F.col("n").alias("v"))))
     return by_rating.agg(
-        F.sum("n").alias("total"),
-        F.concat(F.lit("R$ "), F.format_string("%.2f", F.round(F.sum("s") / F.sum("c"), 2))).alias("mean_price"),
+        F.sum("rows").alias("total"),
+        reais(F.try_divide(F.sum("s"), F.sum("c"))).alias("mean_price"),
         F.to_json(F.map_from_entries(pairs)).alias("rating_distribution"),
     )
 
 
 def category_stats(df: DataFrame, category: str, price: str, decimals: int | None = None) -> DataFrame:
     return df.groupBy(category).agg(
-        F.count("*").alias("n"), F.round(mean_of(F.col(price), decimals), 2).alias("mean_price")
+        F.count(category).alias("n"), F.round(mean_of(F.col(price), decimals), 2).alias("mean_price")
     )
 
 

@@ -161,7 +161,11 @@ def policy_metrics(log: DataFrame, arm: str, reward: str, by: Sequence[str] = ()
     per_arm = log.groupBy(*by, F.col(arm).alias("_tw_arm")).agg(
         F.count("*").alias("n"), F.sum(F.col(reward).cast("bigint")).alias("r")
     )
-    pair = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("_tw_arm"), v))))
+
+    def pair(value: Column) -> Column:
+        entry = F.when(F.col("_tw_arm").isNotNull(), F.struct(F.col("_tw_arm"), value))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+
     return per_arm.groupBy(*by).agg(
         F.sum("n").alias("total_rounds"),
         F.sum("r").alias("total_reward"),

@@ -42,9 +42,9 @@ def literal_pattern(text: str) -> str:
 
 
 def search(df: DataFrame, **pieces: str | None) -> DataFrame:
-    """Case-insensitive 'contains' per column; an argument left None does not filter."""
+    """Case-insensitive 'contains' per column; an absent or empty argument does not filter."""
     return df.where(
-        all_of([F.col(c).ilike(f"%{literal_pattern(p)}%") for c, p in pieces.items() if p is not None])
+        all_of([F.col(c).ilike(f"%{literal_pattern(p)}%") for c, p in pieces.items() if p])
     )
 
 
@@ -53,7 +53,7 @@ def where_ends_with(
 ) -> DataFrame:
     """Case-insensitive ends-with and an upper bound, both optional."""
     tests = []
-    if ending is not None:
+    if ending:
         tests.append(F.col(column).ilike(f"%{literal_pattern(ending)}"))
     if at_most is not None:
         tests.append(F.col(bound) <= at_most)

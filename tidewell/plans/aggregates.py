@@ -114,7 +114,7 @@ def histogram_span(spark, d):
 WITH r AS (SELECT p_size % 5 + 1 AS rating, p_retailprice FROM part),
 c AS (SELECT rating, count(*) AS n FROM r GROUP BY 1)
 SELECT CAST((SELECT count(*) FROM r) AS BIGINT) AS total,
-  (SELECT 'R$ ' || format('{{:.2f}}', round({mean_sql('p_retailprice')}, 2)) FROM r) AS mean_price,
+  (SELECT 'R$ ' || CAST(round({mean_sql('p_retailprice')}, 2) AS VARCHAR) FROM r) AS mean_price,
   (SELECT '{{' || string_agg('"' || rating || '":' || n, ',' ORDER BY rating) || '}}' FROM c) AS rating_distribution""")
 def stats_overview(spark, d):
     return A.overview(load(spark, d, "part").withColumn("rating", F.col("p_size") % 5 + 1), "p_retailprice", "rating", PLACES)

@@ -307,7 +307,7 @@ def json_fields(spark, d):
 
 @query("format_numbers", """
 SELECT p_partkey, round(p_retailprice / 7, 4) AS rounded, round(p_retailprice / 7 * 100, 2) AS percent,
-  'R$ ' || format('{:.2f}', p_retailprice) AS price_text FROM part""")
+  'R$ ' || CAST(round(p_retailprice, 2) AS VARCHAR) AS price_text FROM part""")
 def format_numbers(spark, d):
     seventh = F.col("p_retailprice") / 7
     return load(spark, d, "part").select(

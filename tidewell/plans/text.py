@@ -47,6 +47,15 @@ def page_headers(spark, d):
     return P.page_contents(load(spark, d, "pages"), "page_id").select("page_id", "headers")
 
 
+@query("page_content_counts", r"""
+WITH c AS (SELECT page_id, regexp_replace(html, '<script.*?</script>', '', 'gs') AS h FROM pages)
+SELECT page_id, CAST(len(regexp_extract_all(h, '<h[123][ >]')) AS INTEGER) AS n_headers, CAST(len(regexp_extract_all(h, '<p[ >]')) AS INTEGER) AS n_paragraphs FROM c""")
+def page_content_counts(spark, d):
+    return P.page_contents(load(spark, d, "pages"), "page_id").select(
+        "page_id", F.size("headers").alias("n_headers"), F.size("paragraphs").alias("n_paragraphs")
+    )
+
+
 PAGE_SIZE = 20
 # Rating words of the derived listing pages.
 WORDS = ["One", "Two", "Three", "Four", "Five"]

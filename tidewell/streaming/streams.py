@@ -59,7 +59,8 @@ def join_late_outcomes(
 ) -> DataFrame:
     """Each decision with its outcome within the horizon; reward 0 once the horizon is over.
 
-    Both watermarks and the time bound let the state of expired decisions be dropped.
+    Both watermarks and the time bound let the state of expired decisions be dropped. An
+    outcome log with re-deliveries goes through ``first_delivery`` before.
     """
     left = decisions.withWatermark(decided, lateness)
     right = outcomes.withWatermark(observed, lateness)
