@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import linededup, packing, quality
+from tidewell.llm import decontam, htmltext, licenses, linededup, neardup, packing, quality, secrets, sharding, warc
 from tidewell.llm.common import prepare
 from tidewell.tables import load
 
@@ -24,14 +24,47 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(load(prepare(spark), folder, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return decontam.leaks(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_report(load(prepare(spark), folder, "pages"))
+
+
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards_of(load(prepare(spark), folder, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.main_text(load(prepare(spark), folder, "pages"))
+
+
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(load(prepare(spark), folder, "documents"), words_per_shingle=2)
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(load(prepare(spark), folder, "documents"), ranks_path())
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_hits(load(prepare(spark), folder, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(load(prepare(spark), folder, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.line_report(load(prepare(spark), folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op7_packing, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_decontamination, op3_warc, op4_sharding, op5_html_extraction, op6_near_dedup, op7_packing,
+        op8_license_scan, op9_secret_scan, op10_line_dedup,
+    )
 }
