@@ -50,7 +50,10 @@ def shingles(words: Column) -> Column:
 
 def band_values(items: Column) -> Column:
     """The smallest value of every hash function over a set."""
-    return F.array(*(F.array_min(F.transform(items, lambda s, i=i: F.xxhash64(s, F.lit(i)))) for i in range(BANDS)))
+    def smallest(i: int) -> Column:
+        return F.array_min(F.transform(items, lambda s: F.xxhash64(s, F.lit(i))))
+
+    return F.array(*(smallest(i) for i in range(BANDS)))
 
 
 def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
@@ -85,15 +88,16 @@ def license_hits(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     every = F.array(*(F.lit(s) for r in seeds for s in r.s)).cast("array<bigint>")
     rows = rows.where(F.arrays_overlap("all", every))
 
-    windows = F.array().cast("array<struct<c:int,start:int,items:array<bigint>>>")
-    for r in seeds:
-        c, own = r.c, F.array(*(F.lit(s) for s in r.s)).cast("array<bigint>")
+    def windows(c: int, own: list[int]) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(c))
         cut = F.transform(
-            starts, lambda at, c=c: F.struct(F.lit(c).alias("c"), at.alias("start"), F.slice("all", at + 1, F.lit(2 * c)).alias("items"))
+            starts, lambda at: F.struct(F.lit(c).alias("c"), at.alias("start"), F.slice("all", at + 1, F.lit(2 * c)).alias("items"))
         )
-        windows = F.concat(windows, F.filter(cut, lambda w, own=own: F.arrays_overlap(w["items"], own)))
-    opened = rows.select("doc_id", F.inline(windows))
+        return F.filter(cut, lambda w: F.arrays_overlap(w["items"], F.array(*(F.lit(s) for s in own)).cast("array<bigint>")))
+
+    opened = rows.select("doc_id", F.inline(F.concat(*(windows(r.c, r.s) for r in seeds)))) if seeds else None
+    if opened is None:
+        return spark.createDataFrame([], f"doc_id {docs.schema[doc_id].dataType.simpleString()}, license string, template bigint, contained_permille bigint, first_word bigint")
     bands = opened.select("doc_id", "c", "start", "items", F.posexplode(band_values(F.array_distinct("items"))).alias("band", "key"))
     buckets = table.select(
         F.col("template"), "license", F.col("items").alias("wanted"), F.col("c").alias("t_c"), F.posexplode("keys").alias("t_band", "t_key")
