@@ -34,9 +34,9 @@ def test_many_ranges_give_the_same(spark, folder, db, name, monkeypatch):
 
 
 @pytest.mark.parametrize("name", ["join_agg_back", "join_multikey", "target_encode", "score_distinct", "join_order_lines", "tfidf_weights", "apply_changes", "unique_key_guard"])
-def test_cold_keys_give_the_same(spark, folder, db, name, monkeypatch):
-    """Small inputs have fewer keys than the broadcast holds; here nearly all go through the shuffle."""
-    monkeypatch.setattr("tidewell.operators.attach.MAX_HOT_KEYS", 2)
+def test_hot_keys_give_the_same(spark, folder, db, name, monkeypatch):
+    """Small inputs have no hot keys; here every key with a thousandth of the rows is one."""
+    monkeypatch.setattr("tidewell.operators.attach.HOT_ROWS", 1)
     got = QUERIES[name](spark, folder).toArrow()
     assert compare(got, db.sql(SQL[name]).to_arrow_table()) is None
 

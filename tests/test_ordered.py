@@ -89,8 +89,9 @@ def test_chronological_split_shares(skewed):
 
 @pytest.mark.parametrize("weight", [None, "n"])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_attach_equals_join(spark, skewed, weight, how, monkeypatch):
-    monkeypatch.setattr("tidewell.operators.attach.MAX_HOT_KEYS", 3)
+@pytest.mark.parametrize("hot_rows", [1, 1000, 10**9])
+def test_attach_equals_join(spark, skewed, weight, how, hot_rows, monkeypatch):
+    monkeypatch.setattr("tidewell.operators.attach.HOT_ROWS", hot_rows)
     per_key = skewed.where("k IS NULL OR k <> 5").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
     got = attach(skewed, per_key, ["k"], weight=weight, how=how)
     want = skewed.join(per_key, "k", how).select(got.columns)
@@ -102,3 +103,29 @@ def test_attach_keeps_salt_as_join_key(skewed):
     per_key = skewed.groupBy("k").agg(F.count("*").alias("n"))
     plan = attach(skewed, per_key, ["k"], weight="n")._jdf.queryExecution().optimizedPlan().toString()
     assert "_tw_salt" in plan and "_tw_zero" in plan
+
+
+@pytest.mark.parametrize("present", [True, False])
+def test_attach_spreads_a_hot_key(spark, present):
+    """Half of the rows share a key; also when that key has no partner they spread over the tasks."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(kept, ("false", "16", "-1")):
+        spark.conf.set(k, v)
+    try:
+        big = spark.range(0, 400_000, numPartitions=32).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+        per_key = spark.range(0, 400_000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+        if present:
+            per_key = per_key.union(spark.createDataFrame([(-1, 2)], "k bigint, v int"))
+        joined = attach(big, per_key, ["k"])
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 3 * 400_000 / 16
+        assert joined.agg(F.count("v"), F.count("*")).first() == (400_000 if present else 200_000, 400_000)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_attach_without_hot_keys_is_one_join(spark):
+    big, per_key = spark.range(50_000).select(F.col("id").alias("k")), spark.range(50_000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    plan = attach(big, per_key, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
