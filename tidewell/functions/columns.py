@@ -121,26 +121,37 @@ def last_word_int(text: Column) -> Column:
 
 
 def resolve_link(base: Column, href: Column) -> Column:
-    """A link as seen from ``base``: absolute, host-relative or folder-relative."""
-    root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    """A link as seen from ``base``: absolute, host-relative or folder-relative, with any number of ``.`` and ``..``."""
+    root = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^(https?:)", 1)
-    path = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"^https?://[^/]*", "")
-    folder = F.regexp_replace(path, r"[^/]*$", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    joined = F.concat(folder, href)
-    # resolve './' and 'x/../' one level per pass, then what climbs above the root
-    joined = F.regexp_replace(joined, r"(?<=/)(?:\./)+", "")
-    for _ in range(8):
-        joined = F.regexp_replace(joined, r"/(?!\.\./)[^/?#]+/\.\./", "/")
-    joined = F.regexp_replace(joined, r"^(?:/\.\.)+(?=/)", "")
+    base_path = F.regexp_extract(base, r"^https?://[^/?#]*([^?#]*)", 1)
+    base_steps = F.split(base_path, "/")
+    path = F.regexp_extract(href, r"^[^?#]*", 0)
+    rest = F.substr(href, F.length(path) + 1)
+    steps = F.split(path, "/")
+
+    # below a folder empty steps vanish, but for the first and the last
+    below = F.concat(F.slice(base_steps, F.lit(1), F.greatest(F.size(base_steps) - 1, F.lit(1))), steps)
+    inner = F.filter(F.slice(below, F.lit(2), F.size(below) - 2), lambda step: step != "")
+    below = F.concat(F.slice(below, 1, 1), inner, F.slice(below, -1, 1))
+    given = F.when(path.startswith("/"), steps).otherwise(below)
+
+    def follow(done: Column, step: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(step == "..", up).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
+
+    walked = F.aggregate(given, F.array().cast("array<string>"), follow)
+    last = F.element_at(given, -1)
+    walked = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    joined = F.array_join(walked, "/")
+    joined = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
     return (
         F.when(href == "", base)
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(root, href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
-        .when(href.startswith("?"), F.concat(root, path, href))
-        .otherwise(F.concat(root, joined))
+        .when(href.startswith("?"), F.concat(root, base_path, href))
+        .otherwise(F.concat(root, joined, rest))
     )
 
 

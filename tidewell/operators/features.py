@@ -15,9 +15,6 @@ from tidewell.operators.aggregates import mean_of
 from tidewell.operators.attach import attach
 from tidewell.operators.ordered import number_rows
 
-MAX_ONE_HOT = 1000
-
-
 def category_codes(df: DataFrame, column: str, by: str = "frequency") -> DataFrame:
     """Fitted map (category, code, row count); by descending frequency or alphabetical.
 
@@ -49,16 +46,22 @@ def one_hot_vector(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def one_hot_columns(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """One 0/1 column ``column_value`` per category, none dropped; the category goes."""
+    """One 0/1 column ``column_value`` per category, none dropped; the category goes.
+
+    The categories become column names, so without ``values`` all of them are looked up. For a
+    column with very many categories use ``one_hot_pairs``.
+    """
     if values is None:
-        found = df.select(column).distinct().orderBy(column).limit(MAX_ONE_HOT + 1).collect()
-        if len(found) > MAX_ONE_HOT:
-            raise ValueError(f"{column} has more than {MAX_ONE_HOT} categories")
-        values = [r[0] for r in found if r[0] is not None]
-    flags = {
-        f"{column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in values
-    }
-    return df.withColumns(flags).drop(column)
+        found = df.where(F.col(column).isNotNull()).select(column).distinct().collect()
+        values = sorted(r[0] for r in found)
+    flags = [F.coalesce(F.col(column) == v, F.lit(False)).cast("int").alias(f"{column}_{v}") for v in values]
+    return df.select(*(c for c in df.columns if c != column), *flags)
+
+
+def one_hot_pairs(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The same in sparse form: (keys, code, value 1) of every row with a category, for any number of categories."""
+    coded = encode(df.select(*keys, column), category_codes(df, column, by="alphabet"), column, "code", unknown=None)
+    return coded.where(F.col(column).isNotNull()).select(*keys, "code", F.lit(1).alias("value"))
 
 
 def target_statistics(

@@ -38,22 +38,21 @@ def join_outcomes(
 ) -> DataFrame:
     """Events with their outcome. Left: a missing outcome is reward 0.
 
-    With ``decided`` and ``horizon_days`` an outcome outside [decision, decision +
-    horizon] counts as missing.
+    With ``decided`` and ``horizon_days`` only outcomes within [decision, decision +
+    horizon] count, and the earliest of these is taken.
     """
-    joined = attach(events, first_outcome(outcomes, key, observed), [key], how=how)
-    if horizon_days is not None:
-        in_time = F.col(observed).between(
-            F.col(decided), F.col(decided) + F.make_dt_interval(F.lit(horizon_days))
-        )
-        joined = joined.withColumns(
-            {
-                "reward": F.when(in_time, F.col("reward")),
-                observed: F.when(in_time, F.col(observed)),
-            }
-        )
-        if how == "inner":
-            joined = joined.where(F.col("reward").isNotNull())
+    if horizon_days is None:
+        joined = attach(events, first_outcome(outcomes, key, observed), [key], how=how)
+    else:
+        # first what is in time, then the earliest of that
+        moments = events.select(key, F.col(decided).alias("_tw_decided")).where(F.col(decided).isNotNull()).distinct()
+        late = F.col("_tw_decided") + F.make_dt_interval(F.lit(horizon_days))
+        in_time = outcomes.join(moments, key).where(F.col(observed).between(F.col("_tw_decided"), late))
+        rest = [c for c in outcomes.columns if c != key]
+        lot = F.struct(F.col(observed), *(F.col(c) for c in rest if c != observed))
+        first = in_time.groupBy(key, "_tw_decided").agg(F.min_by(F.struct(*rest), lot).alias("_tw"))
+        per_decision = first.select(key, F.col("_tw_decided").alias(decided), "_tw.*")
+        joined = attach(events, per_decision, [key, decided], how=how)
     return joined.withColumn("reward", F.coalesce(F.col("reward"), F.lit(0)))
 
 

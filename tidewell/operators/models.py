@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -11,7 +13,8 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import uniform
@@ -25,7 +28,7 @@ def _prepared(columns: Sequence[str]) -> list:
 
 
 def fit_binary(
-    train: DataFrame, columns: Sequence[str], label: str, weight: str | None = None, max_iter: int = 30
+    train: DataFrame, columns: Sequence[str], label: str, weight: str | None = None, max_iter: int = 100
 ) -> PipelineModel:
     """Assemble, scale, logistic regression."""
     model = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter)
@@ -42,7 +45,7 @@ def apply_binary(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
-def fit_multiclass(train: DataFrame, features: str, label: str, max_iter: int = 20) -> PipelineModel:
+def fit_multiclass(train: DataFrame, features: str, label: str, max_iter: int = 200) -> PipelineModel:
     model = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, family="multinomial")
     return Pipeline(stages=[model]).fit(train)
 
@@ -81,10 +84,14 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     """Load a stored pipeline; a missing one is refused with a clear message."""
+    spark = SparkSession.getActiveSession()
     try:
-        return PipelineModel.load(path)
-    except Exception as error:
+        spark.read.text(f"{path}/metadata")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no fitted model at {path}") from error
+    return PipelineModel.load(path)
 
 
 def prediction_log(model: PipelineModel, df: DataFrame, key: str, inputs: Sequence[str]) -> DataFrame:
@@ -98,30 +105,34 @@ def prediction_log(model: PipelineModel, df: DataFrame, key: str, inputs: Sequen
     )
 
 
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) draw from a uniform of 32 bits: its cumulative probabilities leave nothing above 12."""
+    cumulative = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+    weight = F.lit(12.0)
+    for count, upto in reversed(list(enumerate(cumulative))):
+        weight = F.when(u < upto, F.lit(float(count))).otherwise(weight)
+    return weight
+
+
 def bootstrap_models(
-    train: DataFrame, columns: Sequence[str], label: str, key: str, members: int = 5
+    train: DataFrame, columns: Sequence[str], label: str, key: str, members: int = 30, balance: str | None = None
 ) -> list[PipelineModel]:
     """Members fitted on Poisson-weighted copies of the rows.
 
     The weight of a row is drawn from its key and the member number, so no copy is
-    stored and the draw does not depend on the partitioning.
+    stored and the draw does not depend on the partitioning. ``balance`` names a weight column that multiplies it.
     """
     models = []
     for member in range(members):
-        u = uniform(F.col(key), seed=f"bootstrap{member}")
-        # Poisson(1) by its cumulative probabilities
-        weight = (
-            F.when(u < 0.36787944, 0.0).when(u < 0.73575888, 1.0).when(u < 0.91969860, 2.0)
-            .when(u < 0.98101184, 3.0).when(u < 0.99634015, 4.0).otherwise(5.0)
-        )
-        models.append(
-            fit_binary(train.withColumn("_tw_weight", weight), columns, label, weight="_tw_weight", max_iter=10)
-        )
+        weight = poisson_weight(uniform(F.col(key), seed=f"bootstrap{member}"))
+        if balance:
+            weight = weight * F.col(balance)
+        models.append(fit_binary(train.withColumn("_tw_weight", weight), columns, label, weight="_tw_weight"))
     return models
 
 
 def ensemble_estimate(models: Sequence[PipelineModel], df: DataFrame) -> DataFrame:
-    """Mean and population deviation of the members' probabilities, per row."""
+    """Mean and sample deviation of the members' probabilities, per row."""
     out = df
     for i, model in enumerate(models):
         out = apply_binary(model, out).withColumnRenamed("score", f"_tw_p{i}").drop("prediction")
@@ -130,6 +141,6 @@ def ensemble_estimate(models: Sequence[PipelineModel], df: DataFrame) -> DataFra
     spread = F.aggregate(members, F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
     return (
         out.withColumn("mean", mean)
-        .withColumn("std", F.sqrt(spread / len(models)))
+        .withColumn("std", F.sqrt(spread / max(1, len(models) - 1)))
         .select(*df.columns, "mean", "std")
     )
