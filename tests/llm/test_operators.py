@@ -283,7 +283,7 @@ def test_archives(session):
     pages += [(100 + i, "http://c/ä b\r\n", "<p>copy</p>") for i in range(40)] + [(200, None, None), (201, "u", ""), (None, "u", "<p>copy</p>"), (None, None, "alone"), (None, "z", "alone")]
     pages += [pages[0], pages[60]]
     table = session.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, sha string").repartition(4)
-    got = plain(warc.archive_report(table).drop("archive").collect())
+    got = plain(warc.archive_report(table).collect())
     first = {}
     for page, _, html in pages:
         if page is not None:

@@ -38,7 +38,7 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
-    return htmltext.main_text(load(prepare(spark), folder, "pages"))
+    return htmltext.main_text(load(prepare(spark), folder, "pages")).drop("n_lines")
 
 
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

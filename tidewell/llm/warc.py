@@ -238,4 +238,4 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
 def archive_report(pages: DataFrame) -> DataFrame:
     """Write all pages to new archives and read the archives back."""
     folder = fresh_folder(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, folder), folder)
+    return read_archives(write_archives(pages, folder), folder).drop("archive")
