@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import licenses, quality
+from tidewell.llm import licenses, quality, secrets
 
 SQL: dict[str, str] = {}
 
@@ -150,6 +150,55 @@ FROM sure GROUP BY doc_id, license, template
 
 SQL["op8_license_scan"] = _licenses()
 
+def _secrets() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def matches(kind: str, pattern: str, group: int = 0, least: int = 0) -> str:
+        """Positions are the lengths of what lies between the matches and of the matches, added up."""
+        return f"""
+    SELECT rid, {secrets.KINDS.index(kind)} AS kind, stop - len AS start, stop FROM (
+        SELECT rid, len, g, sum(gap + len) OVER (PARTITION BY rid ORDER BY i) AS stop FROM (
+            SELECT rid, i, length(between[i]) AS gap, length(found[i]) AS len, length(grp[i]) AS g FROM (
+                SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
+                    SELECT rid, regexp_extract_all(t, {quoted(pattern)}, 0) AS found, regexp_extract_all(t, {quoted(pattern)}, {group}) AS grp,
+                        string_split_regex(t, {quoted(pattern)}) AS between FROM docs)))) WHERE g >= {least}"""
+
+    # without look-around: whole runs, of which the end is the key
+    run, end = "[A-Za-z0-9+/=]{32,}", "(?:^|=)([A-Za-z0-9+/]{32,}={0,2})$"
+    key = f"""
+    SELECT rid, {secrets.KINDS.index("key")} AS kind, stop - length(k) AS start, stop FROM (
+        SELECT rid, regexp_extract(substr(t, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)), '{end}', 1) AS k, stop
+        FROM ({matches("key", run)}) JOIN docs USING (rid)) WHERE k <> ''"""
+    kinds, roles = [quoted(k) for k in secrets.KINDS], [quoted(secrets.ROLES[k]) for k in secrets.KINDS]
+    enough = " OR ".join(
+        f"kind = {secrets.KINDS.index(k)} AND " + " AND ".join(f"list_contains(near, {quoted(r)})" for r in needs) for k, needs in secrets.NEEDS.items()
+    )
+    say = f"[{', '.join(kinds)}][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT)"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({matches("assign", secrets.ASSIGN, 2, 6)} UNION ALL {matches("access", secrets.ACCESS)} UNION ALL {matches("hex", secrets.HEX)}),
+maybe AS ({matches("account", secrets.ACCOUNT)} UNION ALL {key} UNION ALL {matches("endpoint", secrets.ENDPOINT)}),
+weak AS (SELECT * FROM maybe w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.start < w.stop AND b.stop > w.start)),
+every AS (SELECT *, [{', '.join(roles)}][kind + 1] AS role FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
+linked AS (
+    SELECT rid, kind, start, stop FROM (
+        SELECT w.*, list(DISTINCT o.role) AS near FROM weak w JOIN every o ON o.rid = w.rid AND o.start < w.stop + {secrets.SCOPE} AND o.stop > w.start - {secrets.SCOPE} GROUP BY ALL
+    ) WHERE {enough}
+),
+based AS (
+    SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        string_agg({say}, ',' ORDER BY start, kind, stop) AS said FROM base GROUP BY rid
+),
+told AS (SELECT rid, string_agg({say}, ',' ORDER BY start, kind, stop) AS said FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(based.said, '')) AS base_sha256, coalesce(told.said, '') AS spans
+FROM docs LEFT JOIN based USING (rid) LEFT JOIN told USING (rid)
+"""
+
+
+SQL["op9_secret_scan"] = _secrets()
+
 SQL["op10_line_dedup"] = r"""
 WITH lines AS (
     SELECT doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
