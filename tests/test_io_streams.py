@@ -3,6 +3,8 @@
 import datetime
 import json
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,7 +155,8 @@ def test_totals_match_batch(spark, tmp_path):
     source, out, checkpoint = folders(tmp_path, "in", "out", "cp")
     log.repartition(3).write.parquet(source)
     totals = X.arm_totals(X.log_stream(spark, source, log.schema, files_per_batch=1), "arm", "reward")
-    X.drain_batches(totals, X.batch_writer(out), checkpoint, mode="update")
+    X.drain_batches(totals, X.totals_writer(out, "arm"), checkpoint, mode="update")
+    assert sum(p.name.startswith("batch=") for p in Path(out).iterdir()) <= 2
     got = {r["arm"]: (r["rounds"], r["total_reward"]) for r in X.latest_totals(spark, out, "arm").collect()}
     assert got == {"0": (30, 15), "1": (30, 15), "2": (30, 15)}
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions.columns import uniform
 from tidewell.operators import features as E
 from tidewell.operators import forecast as G
 from tidewell.operators import metrics as Q
@@ -77,16 +78,54 @@ def test_stratified_split_is_exact_and_stable(spark):
 
 
 def test_model_floors(spark, folder):
-    queries = entry.queries()
-    small = "/root/testdata/sf0.01"
-    assert queries["fit_multiclass"](spark, small).first()["accuracy"] > 0.3
-    fitted = queries["fit_logistic"](spark, small)
-    assert 0.5 < Q.area_under_roc(fitted, "score", "quality").first()["auc"] <= 1
-    assert queries["model_round_trip"](spark, folder).where("NOT same").count() == 0
-    assert queries["kmeans_assign"](spark, folder).select("cluster").distinct().count() == 3
-    assert -1 <= queries["silhouette"](spark, folder).first()[0] <= 1
-    ensemble = queries["bootstrap_estimates"](spark, folder)
-    assert ensemble.where("mean NOT BETWEEN 0 AND 1 OR std < 0").count() == 0
+    from tidewell.plans import models as plans
+
+    rows = plans._quality_rows(spark, "/root/testdata/sf0.01")
+    fitted = M.apply_binary(M.fit_binary(rows, plans.FEATURES, "quality"), rows)
+    crude = Q.area_under_roc(rows, "distinct_share", "quality").first()["auc"]
+    assert max(0.5, crude) < Q.area_under_roc(fitted, "score", "quality").first()["auc"] <= 1
+
+
+def test_poisson_weights(spark):
+    draws = spark.range(200_000).select(M.poisson_weight(uniform(F.col("id"))).alias("w")).agg(F.avg("w"), F.var_pop("w"), F.max("w")).first()
+    assert draws[0] == pytest.approx(1, abs=0.01) and draws[1] == pytest.approx(1, abs=0.02) and draws[2] > 5
+    assert spark.range(1).select(M.poisson_weight(F.lit(1 - 2.0**-32))).first()[0] > 9
+
+
+def test_ensemble_has_the_sample_deviation(spark):
+    train = spark.range(400).select(F.col("id"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    models = M.bootstrap_models(train, ["x"], "y", "id", members=4)
+    row = M.ensemble_estimate(models, train.limit(1)).first()
+    scores = [M.apply_binary(m, train.limit(1)).first()["score"] for m in models]
+    assert row["mean"] == pytest.approx(np.mean(scores)) and row["std"] == pytest.approx(np.std(scores, ddof=1))
+
+
+def test_earliest_outcome_within_the_horizon(spark):
+    """One before the decision and one after the horizon do not hide the one between."""
+    from tidewell.operators.joins import join_outcomes
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    events = spark.createDataFrame([(1, day(10)), (1, day(20)), (2, day(10)), (3, None)], "k int, decided timestamp")
+    outcomes = spark.createDataFrame(
+        [(1, 0, day(9)), (1, 1, day(12)), (1, 1, day(11)), (1, 0, day(30)), (2, 1, day(13)), (3, 1, day(1))], "k int, reward int, observed timestamp"
+    )
+    got = join_outcomes(events, outcomes, "k", "observed", decided="decided", horizon_days=2).collect()
+    assert {(r.k, r.decided, r.reward, r.observed) for r in got} == {
+        (1, day(10), 1, day(11)), (1, day(20), 0, None), (2, day(10), 0, None), (3, None, 0, None)
+    }
+
+
+def test_unknown_segments_have_equal_shares(spark):
+    people = spark.createDataFrame([(1, "A_reativacao_positiva"), (2, None), (3, "?")], "client int, segment string")
+    got = B.offer_propensity(people, "segment", B.offer_table(spark)).collect()
+    assert len(got) == 15 and {r.propensity for r in got if r.client > 1} == {0.2}
+
+
+def test_one_decision_for_a_golden_case(spark):
+    cases = spark.createDataFrame([(1, "a"), (2, "a")], "event_id int, arm_expected string")
+    made = spark.createDataFrame([(1, "b", 1.0), (1, "a", 7.0), (9, "a", 1.0)], "event_id int, arm_chosen string, estimated_conversion double")
+    got = {r.event_id: (r.passed, r.error) for r in B.golden_evaluate(cases, made, "event_id").collect()}
+    assert got == {1: (True, None), 2: (False, "no decision")}
 
 
 def test_forest_learns(spark):
@@ -102,7 +141,8 @@ def test_pca_directions(spark, folder):
     matrix = np.array([r["embedding"] for r in rows], dtype=float)
     _, vectors = np.linalg.eigh(np.cov(matrix.T))
     want = np.abs(matrix @ vectors[:, ::-1][:, :2])
-    got = {r["vec_id"]: r["pca"] for r in entry.queries()["pca_project"](spark, folder).collect()}
+    projected = M.project(M.with_vector(spark.read.parquet(f"{folder}/embeddings.parquet"), "embedding"), "features")
+    got = {r["vec_id"]: r["pca"].toArray() for r in projected.collect()}
     assert np.abs(np.array([got[r["vec_id"]] for r in rows])) == pytest.approx(want, abs=1e-6)
 
 

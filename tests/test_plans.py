@@ -68,13 +68,37 @@ def test_choice_needs_no_shuffle_of_clients(spark, folder, queries):
     assert "Generate" not in plan.split("estimates")[0]
 
 
-@pytest.mark.parametrize("name", ["running_sum", "running_count", "chrono_split", "paginate", "roc_points"])
+@pytest.mark.parametrize("name", ["running_sum", "running_count", "chrono_split", "roc_points"])
 def test_row_windows_are_split_by_range(spark, folder, queries, name):
     windows = re.findall(r"windowspecdefinition\(([^)]*)\)", queries[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString())
     assert windows and all("_tw_range" in w for w in windows if "specifiedwindowframe(RowFrame, unboundedpreceding$(), currentrow$()" in w)
     assert any("_tw_range" in w for w in windows)
 
 
+def test_keyless_numbers_need_one_shuffle(spark):
+    from tidewell.operators.ordered import number_rows
+
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("tidewell.operators.ordered.stage", lambda df, label: seen.append(physical(df)) or df)
+        plan = physical(number_rows(spark.range(1000).select("id"), [], [F.col("id").desc()], total="n"))
+    assert seen[0].count("Exchange") == 1 and "rangepartitioning" in seen[0]
+    # on top of the ranges: their sizes only
+    assert "hashpartitioning(id" not in plan and plan.count("rangepartitioning") <= 2
+
+
+def test_released_scratch_is_gone(spark):
+    import os
+
+    from tidewell import session
+
+    path = session.stage(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    kept, session._staged[:] = session._staged[:-1], session._staged[-1:]
+    assert session.release_staged(spark) == 1 and not os.path.exists(path)
+    session._staged[:] = kept
+
+
 def test_repartitioning_does_not_change_results(spark, folder, queries, tmp_path):
     """Same hashes from inputs in one file and in many."""
 

@@ -226,7 +226,7 @@ def page_totals(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return out.select(key, F.coalesce(last_word_int(F.col("_tw")), F.lit(1)).alias("total_pages"))
 
 
-@F.udtf(returnType="position int, href string, label string")
+@F.udtf(returnType="position int, href string, label string", useArrow=True)
 class PageLinks:
     """Table function: the links inside the page's navigation, one row each."""
 

@@ -64,13 +64,23 @@ def exploded_terms(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): occurrences of every term in every text.
+    """(key, term, tf): occurrences of every term in every text, counted inside the row.
 
-    Whole texts are moved by key first: they are smaller than their terms, and the
-    count by (key, term) then needs no further shuffle.
+    The sorted terms of a text hold equal ones next to each other: where a run starts
+    and how long it is gives the count, without moving texts or terms.
     """
-    terms = exploded_terms(df.select(key, text).repartition(key), key, text)
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    words = df.select(key, long_words(clean_tokens(F.col(text))).alias("_tw_words"))
+    ordered = words.select(key, F.sort_array(with_neighbours(F.col("_tw_words"))).alias("_tw_s"))
+    terms = F.col("_tw_s")
+    first = F.filter(
+        F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1))
+    )
+    none = F.array().cast("array<int>")
+    starts = ordered.select(key, "_tw_s", F.when(F.size(terms) > 0, first).otherwise(none).alias("_tw_at"))
+    at = F.col("_tw_at")
+    ends = F.slice(F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(terms))), F.lit(1), F.size(at))
+    runs = F.zip_with(at, ends, lambda i, j: F.struct(F.get(terms, i).alias("term"), (j - i).cast("bigint").alias("tf")))
+    return starts.select(key, F.inline(runs))
 
 
 def smooth_idf(n: Column, document_count: Column) -> Column:
@@ -113,9 +123,9 @@ def tfidf_weights(df: DataFrame, key: str, text: str) -> DataFrame:
 def most_similar(df: DataFrame, key: str, text: str, query: str, k: int = 3) -> DataFrame:
     """The k texts closest to the query by cosine of TF-IDF weights.
 
-    Query terms unknown to the table are dropped. One aggregate per text gives both the
-    product with the query and the text's length; the query's own weights come from the
-    document counts that travel with the rows.
+    Query terms unknown to the table are dropped; a text without a shared term scores 0, so there
+    are k rows whenever there are k texts. One aggregate per text gives both the product with the query
+    and the text's length; the query's own weights come from the document counts that travel with the rows.
     """
     spark = df.sparkSession
     # as many rows as the query text has terms
@@ -133,9 +143,13 @@ def most_similar(df: DataFrame, key: str, text: str, query: str, k: int = 3) ->
     known = frequency.join(F.broadcast(asked), is_asked).crossJoin(F.broadcast(total))
     query_norm = known.agg(F.sqrt(F.sum(query_weight * query_weight)).alias("_tw_qn"))
     score = F.col("_tw_dot") / F.col("_tw_norm") / F.col("_tw_qn")
-    return (
+    scored = (
         per_text.where(F.col("_tw_dot").isNotNull()).crossJoin(F.broadcast(query_norm))
         .select(key, F.round(score, 6).alias("score"))
         .orderBy(F.desc("score"), key)
         .limit(k)
     )
+    # the k first texts with score 0, of which only those without a score of their own fill up
+    others = df.select(key, F.lit(0.0).alias("score")).orderBy(key).limit(2 * k)
+    best = scored.unionByName(others).groupBy(key).agg(F.max("score").alias("score"))
+    return best.orderBy(F.desc("score"), key).limit(k)

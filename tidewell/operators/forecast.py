@@ -126,22 +126,7 @@ def history_and_forecast(
 
 
 def series_trend(bars: DataFrame, series: str, day: str, value: str) -> DataFrame:
-    """Least-squares slope per day of each series, by a function over the whole series.
-
-    For bars only: a series has one row per day.
-    """
-
-    def slope(frame: pd.DataFrame) -> pd.DataFrame:
-        x = pd.to_datetime(frame[day]).map(pd.Timestamp.toordinal).to_numpy(dtype=float)
-        y = frame[value].to_numpy(dtype=float)
-        x = x - x.mean()
-        spread = float((x * x).sum())
-        trend = float((x * (y - y.mean())).sum() / spread) if spread else None
-        return pd.DataFrame({series: [frame[series].iloc[0]], "n": [len(frame)], "slope": [trend]})
-
-    kind = bars.schema[series].dataType.simpleString()
-    return bars.select(series, day, value).groupBy(series).applyInPandas(
-        slope, f"`{series}` {kind}, n bigint, slope double"
+    """Least-squares slope per day of each series; null where all days are the same."""
+    return bars.groupBy(series).agg(
+        F.count("*").alias("n"), F.regr_slope(F.col(value).cast("double"), F.unix_date(day).cast("double")).alias("slope")
     )
-
-

@@ -8,7 +8,7 @@ from itertools import accumulate
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -67,8 +67,18 @@ def project(df: DataFrame, features: str, k: int = 2, name: str = "pca") -> Data
     return PCA(k=k, inputCol=features, outputCol=name).fit(df).transform(df)
 
 
+def standardised(df: DataFrame, features: str, name: str) -> DataFrame:
+    """Vectors centred and scaled to unit deviation."""
+    scaler = StandardScaler(inputCol=features, outputCol=name, withMean=True, withStd=True)
+    return scaler.fit(df).transform(df)
+
+
+def fit_clusters(df: DataFrame, features: str, k: int = 3, seed: int = 42, name: str = "cluster") -> KMeansModel:
+    return KMeans(k=k, seed=seed, featuresCol=features, predictionCol=name).fit(df)
+
+
 def cluster(df: DataFrame, features: str, k: int = 3, seed: int = 42, name: str = "cluster") -> DataFrame:
-    return KMeans(k=k, seed=seed, featuresCol=features, predictionCol=name).fit(df).transform(df)
+    return fit_clusters(df, features, k, seed, name).transform(df)
 
 
 def silhouette(df: DataFrame, features: str, cluster_column: str) -> float:

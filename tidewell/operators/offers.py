@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.files import broadcast_if_small
 from tidewell.functions.columns import SEGMENTS, clip, keyed_hash, standard_normal
 
 # The offers, in list order (ties go to the earlier offer).
@@ -88,7 +89,7 @@ def estimates_by_segment(estimates: DataFrame) -> DataFrame:
 def thompson_choose(
     clients: DataFrame, key: str, segment: str, estimates: DataFrame, version: str = "v1.0", seed: int = 42
 ) -> DataFrame:
-    """Sampled choice per client, with reason codes.
+    """Sampled choice per client, with reason codes and the estimates of all offers.
 
     All offers of a client are compared inside its row: no expansion to client x offer
     rows and no shuffle. Estimates are frozen for the batch.
@@ -116,6 +117,10 @@ def thompson_choose(
         F.round("_tw_best.std", 4).alias("uncertainty_std"),
         (F.col("_tw_best.std") > 0.05).alias("exploring"),
         F.round("_tw_best.sample", 4).alias("ts_sample"),
+        F.transform(
+            "_tw_estimates",
+            lambda e: F.struct(e["arm"].alias("arm"), F.round(e["mean"], 6).alias("mean"), F.round(e["std"], 6).alias("std")),
+        ).alias("estimates"),
     )
 
 
@@ -135,8 +140,8 @@ def best_offer(pairs: DataFrame, keys: Sequence[str], arm: str, value: str, posi
 def offer_propensity(clients: DataFrame, segment: str, offers: DataFrame) -> DataFrame:
     """Probability of each offer: 1, plus a bonus where the segment has affinity, normalised.
 
-    The normaliser is worked out per segment on the fixed offers, so clients are
-    expanded without a shuffle.
+    An unknown or missing segment has affinity to none, so all its offers are equally likely. The
+    normaliser is worked out per segment on the fixed offers, so clients are expanded without a shuffle.
     """
     spark = clients.sparkSession
     segments = spark.createDataFrame([(s,) for s in SEGMENTS], "_tw_segment string")
@@ -145,10 +150,18 @@ def offer_propensity(clients: DataFrame, segment: str, offers: DataFrame) -> Dat
         1.0 + F.when(F.array_contains("segment_affinity", F.col("_tw_segment")), AFFINITY_BONUS).otherwise(0.0),
     )
     sums = weighted.groupBy("_tw_segment").agg(F.sum("_tw_w").alias("_tw_sum"))
-    table = weighted.join(sums, "_tw_segment").select(
-        "_tw_segment", "offer_id", (F.col("_tw_w") / F.col("_tw_sum")).alias("propensity")
+    table = weighted.join(sums, "_tw_segment").groupBy("_tw_segment").agg(
+        F.collect_list(F.struct("offer_id", (F.col("_tw_w") / F.col("_tw_sum")).alias("propensity"))).alias("_tw_own")
     )
-    return clients.join(F.broadcast(table), F.col(segment) == F.col("_tw_segment")).drop("_tw_segment")
+    count = F.size(F.collect_list("offer_id"))
+    even = offers.agg(
+        F.transform(F.collect_list("offer_id"), lambda o: F.struct(o.alias("offer_id"), F.lit(0.0).alias("propensity"))).alias("_tw_ids"),
+        (1.0 / count).alias("_tw_share"),
+    )
+    # one row for each known segment, and one row
+    known = clients.join(F.broadcast(table), F.col(segment) == F.col("_tw_segment"), "left").crossJoin(F.broadcast(even))
+    equal = F.transform("_tw_ids", lambda o: F.struct(o["offer_id"].alias("offer_id"), F.col("_tw_share").alias("propensity")))
+    return known.select(*clients.columns, F.inline(F.coalesce("_tw_own", equal)))
 
 
 def policy_metrics(log: DataFrame, arm: str, reward: str, by: Sequence[str] = ()) -> DataFrame:
@@ -229,11 +242,14 @@ def golden_select(log: DataFrame, key: str, segment: str, arm: str, reward: str,
 def golden_evaluate(cases: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """Per case: passed when the offer is the expected one or the estimate exceeds 5 percent.
 
-    A case without a decision fails with the reason.
+    A case without a decision fails with the reason. Of several decisions for a case the one with the
+    highest estimate counts. The cases are few, so the decisions are reduced to theirs before any shuffle.
     """
-    joined = cases.join(
-        decisions.select(key, "arm_chosen", "estimated_conversion"), key, "left"
+    own = decisions.join(broadcast_if_small(cases.select(key).distinct()), key, "left_semi")
+    single = own.groupBy(key).agg(
+        F.max_by(F.struct("arm_chosen", "estimated_conversion"), F.struct("estimated_conversion", "arm_chosen")).alias("_tw")
     )
+    joined = cases.join(single.select(key, "_tw.*"), key, "left")
     right = F.col("arm_chosen") == F.col("arm_expected")
     return joined.withColumn(
         "passed", F.coalesce(right | (F.col("estimated_conversion") > 5.0), F.lit(False))

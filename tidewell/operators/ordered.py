@@ -79,9 +79,26 @@ def number_rows(
     name: str = "rn",
     total: str | None = None,
 ) -> DataFrame:
-    """1-based position of every row in its group, and the group size on demand."""
+    """1-based position of every row in its group, and the group size on demand.
+
+    Without keys the rows are shuffled once: sorted inside even ranges, they are counted as
+    they are written, and a table with one row per range says how many come before.
+    """
     one = F.lit(1).cast("bigint")
-    return running_sums(df, keys, order, {name: one}, {total: one} if total else None)
+    if keys:
+        return running_sums(df, keys, order, {name: one}, {total: one} if total else None)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(ranged.withColumn("_tw_at", F.monotonically_increasing_id()), "ranges")
+    # an id is the number of the range and, in its lower 33 bits, the place in it
+    part, place = F.shiftright("_tw_at", 33), F.col("_tw_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_tw_part")).agg(F.count("*").alias("_tw_n"))
+    earlier = Window.orderBy("_tw_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(
+        "_tw_part", F.coalesce(F.sum("_tw_n").over(earlier), F.lit(0)).alias("_tw_before"), F.sum("_tw_n").over(Window.partitionBy()).alias("_tw_all")
+    )
+    joined = placed.join(F.broadcast(before), part == F.col("_tw_part"))
+    extra = [F.col("_tw_all").alias(total)] if total else []
+    return joined.select(*df.columns, (F.col("_tw_before") + place + 1).alias(name), *extra)
 
 
 def exact_quantiles(

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.sources.files import broadcast_if_small
 from tidewell.functions.columns import all_of, any_of, keyed_hash
 from tidewell.operators.ordered import exact_quantiles, number_rows
 
@@ -81,10 +82,14 @@ def trim_outliers(df: DataFrame, column: str, fraction: float = 0.99, accuracy:
 
 
 def lookup(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows for the requested keys, with ``found`` telling the missing ones."""
-    marked = df.withColumn("_tw_found", F.lit(True))
+    """Rows for the requested keys, with ``found`` telling the missing ones.
+
+    Few keys are broadcast, so only their rows are shuffled.
+    """
+    keys = wanted.select(key).distinct()
+    marked = df.join(broadcast_if_small(keys), key, "left_semi").withColumn("_tw_found", F.lit(True))
     return (
-        wanted.select(key).distinct().join(marked, key, "left")
+        keys.join(marked, key, "left")
         .withColumn("found", F.coalesce(F.col("_tw_found"), F.lit(False)))
         .drop("_tw_found")
     )

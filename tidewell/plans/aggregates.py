@@ -91,9 +91,15 @@ def quantile_exact(spark, d):
     return A.quantile(load(spark, d, "lineitem"), "l_extendedprice", 0.99)
 
 
-@query("quantile_approx")
+@query("quantile_approx", "SELECT count(l_extendedprice) AS n, true AS is_value, true AS in_error FROM lineitem")
 def quantile_approx(spark, d):
-    return A.quantile(load(spark, d, "lineitem"), "l_extendedprice", 0.99, accuracy=100)
+    """The approximate quantile is a value of the column whose rank is off by a hundredth of the rows at most."""
+    rows = load(spark, d, "lineitem").select("l_extendedprice")
+    found = A.quantile(rows, "l_extendedprice", 0.99, accuracy=100)
+    v, q = F.col("l_extendedprice"), F.col("quantile")
+    counts = rows.crossJoin(F.broadcast(found)).agg(F.count(v).alias("n"), F.count_if(v < q).alias("below"), F.count_if(v <= q).alias("upto"))
+    in_error = (F.col("upto") >= 0.98 * F.col("n")) & (F.col("below") <= F.col("n"))
+    return counts.select("n", (F.col("upto") > F.col("below")).alias("is_value"), in_error.alias("in_error"))
 
 
 @query("histogram", """

@@ -39,11 +39,9 @@ def join_multikey(spark, d):
 
 
 @query("join_outcomes_left", f"""
-WITH {LOGS}, hits AS (
-  SELECT d.*, CASE WHEN o.observed_at BETWEEN decided_at AND decided_at + INTERVAL 2 DAY THEN o.reward END AS r,
-    CASE WHEN o.observed_at BETWEEN decided_at AND decided_at + INTERVAL 2 DAY THEN o.observed_at END AS observed_at
-  FROM decisions d LEFT JOIN first_outcomes o USING (event_id))
-SELECT event_id, user_id, decided_at, segment, arm, coalesce(r, 0) AS reward, observed_at FROM hits""")
+WITH {LOGS}, hits AS (SELECT d.event_id, first(reward ORDER BY observed_at, reward) AS r, min(observed_at) AS observed_at FROM decisions d JOIN outcomes o
+  ON d.event_id = o.event_id AND o.observed_at BETWEEN decided_at AND decided_at + INTERVAL 2 DAY GROUP BY 1)
+SELECT event_id, user_id, decided_at, segment, arm, coalesce(r, 0) AS reward, observed_at FROM decisions LEFT JOIN hits USING (event_id)""")
 def join_outcomes_left(spark, d):
     return J.join_outcomes(
         decisions(spark, d), outcomes(spark, d), "event_id", "observed_at", decided="decided_at", horizon_days=2

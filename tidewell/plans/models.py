@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import features as E
@@ -13,8 +15,10 @@ from tidewell.operators import metrics as Q
 from tidewell.operators import models as M
 from tidewell.operators.aggregates import mean_of, nan_profile
 from tidewell.operators.joins import score_distinct, with_group_stats
+from tidewell.operators.relational import trim_outliers
+from tidewell.operators.windows import daily_bars, look_back
 from tidewell.plans.aggregates import mean_sql
-from tidewell.plans.common import BARS, PLACES, SCORED, bars, scored_labels
+from tidewell.plans.common import PLACES, SCORED, scored_labels
 from tidewell.plans.registry import query
 from tidewell.plans.relational import LINE_KEY, LINE_KEY_SQL
 from tidewell.session import scratch_path, stage
@@ -52,6 +56,12 @@ def onehot_columns(spark, d):
     return E.one_hot_columns(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
 
 
+@query("onehot_pairs", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code, 1 AS value FROM orders""")
+def onehot_pairs(spark, d):
+    return E.one_hot_pairs(load(spark, d, "orders"), ["o_orderkey"], "o_orderpriority")
+
+
 @query("target_encode", f"""
 SELECT {LINE_KEY_SQL}, CAST(sum(CAST(l_tax AS DECIMAL(24,4))) OVER r AS DOUBLE) / count(l_tax) OVER r AS route_rate, count(*) OVER r AS route_count,
   CAST(sum(CAST(l_tax AS DECIMAL(24,4))) OVER t AS DOUBLE) / count(l_tax) OVER t AS tail_rate, count(*) OVER t AS tail_count
@@ -185,7 +195,7 @@ def regression_errors(spark, d):
     return errors.select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("mse", 1).alias("mse"))
 
 
-# --- fitted models: checked by tests, not by SQL ---
+# --- fitted models: a fit has no SQL, what must hold for it has ---
 
 
 def _quality_rows(spark, d):
@@ -196,11 +206,28 @@ def _quality_rows(spark, d):
 FEATURES = ["distinct_share", "n_words", "n_chars"]
 
 
-@query("fit_logistic")
+@query("fit_logistic", f"""
+WITH {SCORED} SELECT doc_id, CASE WHEN {UNIFORM.format('doc_id', 42)} < 0.2 THEN 'test' ELSE 'train' END AS part, true AS in_range, true AS decided FROM scored""")
 def fit_logistic(spark, d):
+    """Per row: the score is a probability, and the prediction is the side of one half it lies on."""
     rows = _quality_rows(spark, d)
-    model = M.fit_binary(rows.where("part = 'train'"), FEATURES, "quality")
-    return M.apply_binary(model, rows)
+    scored = M.apply_binary(M.fit_binary(rows.where("part = 'train'"), FEATURES, "quality"), rows)
+    return scored.select(
+        "doc_id", "part", F.col("score").between(0, 1).alias("in_range"), (F.col("prediction") == (F.col("score") > 0.5).cast("int")).alias("decided")
+    )
+
+
+@query("fit_logistic_gradient", f"""
+WITH {SCORED} SELECT count(*) AS n_train, true AS level_fits, true AS features_fit FROM scored WHERE {UNIFORM.format('doc_id', 42)} >= 0.2""")
+def fit_logistic_gradient(spark, d):
+    """At the optimum the errors of the training rows are uncorrelated with every feature and with a constant."""
+    train = _quality_rows(spark, d).where("part = 'train'")
+    scored = M.apply_binary(M.fit_binary(train, FEATURES, "quality"), train)
+    miss = F.col("score") - F.col("quality")
+    slopes = [F.abs(F.avg(miss * F.col(c)) / F.greatest(F.stddev(F.col(c).cast("double")), F.lit(1e-9))) for c in FEATURES]
+    return scored.agg(
+        F.count("*").alias("n_train"), (F.abs(F.avg(miss)) < 1e-3).alias("level_fits"), (F.greatest(*slopes) < 1e-2).alias("features_fit")
+    )
 
 
 def _vectors(spark, d):
@@ -208,40 +235,81 @@ def _vectors(spark, d):
     return stage(rows, "embeddings")
 
 
-@query("fit_multiclass")
+@query("fit_multiclass", f"""
+WITH t AS (SELECT label, count(*) AS n FROM embeddings WHERE {UNIFORM.format('vec_id', 42)} < 0.2 GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_test, true AS in_range, true AS learns FROM t""")
 def fit_multiclass(spark, d):
-    rows = M.with_vector(_vectors(spark, d), "embedding")
-    model = M.fit_multiclass(rows, "features", "label")
-    return Q.accuracy(model.transform(rows), "prediction", "label")
+    """Accuracy on rows held out; on its own rows the model beats always naming the most frequent label."""
+    rows = E.hash_split(M.with_vector(_vectors(spark, d), "embedding"), ["vec_id"])
+    model = M.fit_multiclass(rows.where("part = 'train'"), "features", "label")
+    accuracy = {p: Q.accuracy(model.transform(rows.where(F.col("part") == p)), "prediction", "label").first()["accuracy"] for p in ("train", "test")}
+    counts = rows.groupBy("part", "label").agg(F.count("*").alias("n")).groupBy("part").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()
+    share = {r["part"]: r["most"] / r["n"] for r in counts}
+    facts = rows.where("part = 'test'").agg(F.count("*").alias("n_test"))
+    return facts.select("n_test", F.lit(0 <= accuracy["test"] <= 1).alias("in_range"), F.lit(accuracy["train"] > share["train"]).alias("learns"))
+
 
+FOREST = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
-@query("fit_forest")
+
+@query("fit_forest", f"""
+WITH limits AS (SELECT quantile_cont(l_extendedprice, 0.99) AS q FROM lineitem),
+kept AS (SELECT md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, 174)) AS h FROM lineitem, limits WHERE l_extendedprice > 0 AND l_extendedprice <= q)
+SELECT count(*) AS n_test, true AS near_deviation FROM kept WHERE CAST('0x' || substr(h, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.2""")
 def fit_forest(spark, d):
-    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
-    split = E.hash_split(load(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], seed=174)
-    rows = stage(split.select(*columns, "l_extendedprice", "part"), "forest")
-    model = M.fit_forest(rows.where("part = 'train'"), columns, "l_extendedprice", trees=10)
-    return Q.regression_errors(model.transform(rows.where("part = 'test'")), "prediction", "l_extendedprice")
+    """A regression on the trimmed positive targets; its error on held-out rows against their deviation.
+
+    The columns of this table say nothing about the price, so the error cannot be far below it.
+    """
+    rows = trim_outliers(load(spark, d, "lineitem"), "l_extendedprice", 0.99)
+    split = E.hash_split(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], seed=174)
+    rows = stage(split.select(*FOREST, "l_extendedprice", "part"), "forest")
+    test = rows.where("part = 'test'")
+    model = M.fit_forest(rows.where("part = 'train'"), FOREST, "l_extendedprice")
+    errors = Q.regression_errors(model.transform(test), "prediction", "l_extendedprice")
+    spread = test.agg(F.count("*").alias("n_test"), F.stddev("l_extendedprice").alias("deviation"))
+    return errors.crossJoin(F.broadcast(spread)).select("n_test", (F.col("rmse") < 1.1 * F.col("deviation")).alias("near_deviation"))
 
 
 def _plane(spark, d):
-    return M.project(M.with_vector(_vectors(spark, d), "embedding"), "features")
+    """Two principal components of the scaled vectors."""
+    scaled = M.standardised(M.with_vector(_vectors(spark, d), "embedding"), "features", "even")
+    return M.project(scaled, "even")
 
 
-@query("pca_project")
+@query("pca_project", "SELECT count(*) AS n, true AS uncorrelated, true AS falling, true AS centred FROM embeddings")
 def pca_project(spark, d):
-    return _plane(spark, d).select("vec_id", vector_to_array("pca").alias("pca"))
+    """Projections are uncorrelated, centred, and the first varies most."""
+    pca = vector_to_array("pca")
+    plane = _plane(spark, d).select("vec_id", pca[0].alias("x"), pca[1].alias("y"))
+    return plane.agg(
+        F.count("*").alias("n"), (F.abs(F.corr("x", "y")) < 1e-6).alias("uncorrelated"),
+        (F.variance("x") >= F.variance("y")).alias("falling"), ((F.abs(F.avg("x")) < 1e-6) & (F.abs(F.avg("y")) < 1e-6)).alias("centred"),
+    )
 
 
-@query("kmeans_assign")
+def _clusters(spark, d):
+    plane = stage(_plane(spark, d).select("vec_id", "pca"), "plane")
+    return plane, M.fit_clusters(plane, "pca", k=3)
+
+
+@query("kmeans_assign", "SELECT vec_id, true AS nearest FROM embeddings")
 def kmeans_assign(spark, d):
-    return M.cluster(_plane(spark, d), "pca", k=3).select("vec_id", "cluster")
+    """Per row: no published centre is nearer than that of its cluster."""
+    plane, model = _clusters(spark, d)
+    xy = vector_to_array("pca")
+    away = F.array(*(sum(((xy[i] - F.lit(float(c[i]))) * (xy[i] - F.lit(float(c[i]))) for i in range(2)), F.lit(0.0)) for c in model.clusterCenters()))
+    rows = model.transform(plane).select("vec_id", "cluster", away.alias("away"))
+    return rows.select("vec_id", (F.get("away", "cluster") <= F.array_min("away") + 1e-9).alias("nearest"))
 
 
-@query("silhouette")
+@query("silhouette", "SELECT 3 AS clusters, true AS in_range, true AS positive")
 def silhouette(spark, d):
-    clustered = M.cluster(_plane(spark, d), "pca", k=3)
-    return spark.createDataFrame([(M.silhouette(clustered, "pca", "cluster"),)], "silhouette double")
+    plane, model = _clusters(spark, d)
+    clustered = model.transform(plane)
+    score = F.lit(M.silhouette(clustered, "pca", "cluster"))
+    used = clustered.agg(F.count_distinct("cluster").cast("int").alias("clusters"))
+    return used.select("clusters", score.between(-1, 1).alias("in_range"), (score > 0).alias("positive"))
 
 
 @query("silhouette_by_label", """
@@ -262,7 +330,7 @@ def silhouette_by_label(spark, d):
 def model_round_trip(spark, d):
     """Whether a stored and reloaded model predicts as the original did, per row."""
     rows = M.with_vector(_vectors(spark, d), "embedding")
-    model = M.fit_multiclass(rows, "features", "label", max_iter=10)
+    model = M.fit_multiclass(rows, "features", "label")
     path = scratch_path(spark, "model")
     M.save_model(model, path)
     first = model.transform(rows).select("vec_id", F.col("prediction").alias("before"))
@@ -270,49 +338,120 @@ def model_round_trip(spark, d):
     return first.join(again, "vec_id").select("vec_id", (F.col("before") == F.col("after")).alias("same"))
 
 
-@query("predict_log")
+@query("predict_log", "SELECT vec_id, true AS same, true AS logged FROM embeddings")
 def predict_log(spark, d):
+    """Per row: the logged class is the one with the highest score of the published weights."""
     rows = M.with_vector(_vectors(spark, d), "embedding")
-    model = M.fit_multiclass(rows, "features", "label", max_iter=10)
-    return M.prediction_log(model, rows, "vec_id", ["embedding"])
+    model = M.fit_multiclass(rows, "features", "label")
+    log = M.prediction_log(model, rows, "vec_id", ["embedding"])
+    fitted = model.stages[-1]
+    scores = F.array(*(
+        F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), F.array(*(F.lit(float(w)) for w in weights)), lambda x, w: x * w), F.lit(float(b)), lambda s, x: s + x)
+        for weights, b in zip(fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray())
+    ))
+    best = F.array_position(scores, F.array_max(scores)) - 1
+    return log.select("vec_id", (F.col("predicted_class") == best).alias("same"), F.col("created_at").isNotNull().alias("logged"))
 
 
-@query("predict_distinct")
+@query("predict_distinct", f"SELECT {LINE_KEY_SQL}, true AS same FROM lineitem")
 def predict_distinct(spark, d):
-    """A fitted model applied once per distinct feature tuple."""
+    """A model applied once per distinct feature tuple, against the sign of its published weights for every row."""
     columns = ["l_quantity", "l_discount", "l_tax"]
-    rows = load(spark, d, "lineitem").select(*LINE_KEY, *columns)
+    rows = stage(load(spark, d, "lineitem").select(*LINE_KEY, *columns), "distinct")
     label = (F.col("l_quantity") > 25).cast("int")
-    model = M.fit_binary(rows.withColumn("label", label), columns, "label", max_iter=5)
-    return score_distinct(rows, columns, lambda t: M.apply_binary(model, t), "prediction")
+    model = M.fit_binary(rows.withColumn("label", label), columns, "label")
+    scored = score_distinct(rows, columns, lambda t: M.apply_binary(model, t), "prediction")
+    scaler, fitted = model.stages[1], model.stages[2]
+    margin = F.lit(float(fitted.intercept))
+    for c, w, spread in zip(columns, fitted.coefficients, scaler.std):
+        margin = margin + F.col(c) * float(w / spread if spread else 0.0)
+    side = (margin > 0).cast("int")
+    return scored.select(*LINE_KEY, ((F.col("prediction") == side) | (F.abs(margin) < 1e-6)).alias("same"))
 
 
-LAGS, HORIZON, REFERENCE = 5, 3, date(2024, 1, 25)
+LAGS, HORIZON, REFERENCE = 30, 10, date(2000, 6, 30)
 
 
-def _step_model(spark, d):
-    rows = stage(bars(spark, d), "bars")
-    return rows, G.fit_direct(rows, "series", "day", LAGS, HORIZON)
+def _order_bars(spark, d):
+    """Daily bars of the orders, one series per status: years of days."""
+    return daily_bars(load(spark, d, "orders"), "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderkey")
+
 
+ORDER_BARS = """
+bars AS (SELECT o_orderstatus AS series, CAST(o_orderdate AS DATE) AS day, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS close, count(o_totalprice) AS volume
+  FROM orders GROUP BY 1, 2)"""
 
-@query("forecast_direct")
+
+def _step_model(spark, d):
+    """Scaled bars, the range they were scaled by, and a model; range and model know nothing after the reference date."""
+    rows = stage(_order_bars(spark, d).select("series", "day", F.col("close").cast("double"), F.col("volume").cast("double")), "bars")
+    known = rows.where(F.col("day") <= F.lit(REFERENCE))
+    fitted = stage(E.fit_range(known, ["close", "volume"]), "range")
+    scaled = stage(E.scale_minmax(rows, fitted, ["close", "volume"], low=0.0, high=1.0), "scaled")
+    return scaled, fitted, G.fit_direct(scaled.where(F.col("day") <= F.lit(REFERENCE)), "series", "day", LAGS, HORIZON)
+
+
+def _weighted_lags(model, step):
+    """The step's forecast from an array of closes and volumes, latest last, and the published weights."""
+    weights = [float(w) for w in model.weights[step]]
+    total = F.lit(model.intercepts[step])
+    for lag in range(model.lags):
+        total = total + F.get("closes", F.lit(lag)) * weights[2 * lag] + F.get("volumes", F.lit(lag)) * weights[2 * lag + 1]
+    return total
+
+
+@query("forecast_direct", f"""
+WITH {ORDER_BARS}, n AS (SELECT series, day, row_number() OVER (PARTITION BY series ORDER BY day) AS rn FROM bars)
+SELECT series, day, true AS first_step, true AS last_step FROM n WHERE rn > {LAGS}""")
 def forecast_direct(spark, d):
-    rows, model = _step_model(spark, d)
-    return G.predict_direct(rows, "series", "day", model)
+    """Ten steps from thirty lags; the first and the last are worked out again from the lag arrays and the published weights."""
+    rows, _, model = _step_model(spark, d)
+    ahead = G.predict_direct(rows, "series", "day", model)
+    before = Window.partitionBy("series").orderBy("day").rowsBetween(-LAGS, -1)  # one row per day of a series
+    lags = rows.select("series", "day", F.collect_list("close").over(before).alias("closes"), F.collect_list("volume").over(before).alias("volumes"))
+    both = ahead.join(lags, ["series", "day"]).where(F.size("closes") == LAGS)
+
+    def close_to(step):
+        return F.abs(F.col(f"forecast{step}") - _weighted_lags(model, step - 1)) < 1e-6
+
+    return both.select("series", "day", close_to(1).alias("first_step"), close_to(HORIZON).alias("last_step"))
+
+
+def _recursive(spark, d):
+    rows, fitted, model = _step_model(spark, d)
+    ahead = G.forecast_recursive(rows, "series", "day", model, REFERENCE, days=25)
+    prices = E.scale_minmax(ahead.withColumnRenamed("predicted_close", "close"), fitted, ["close"], low=0.0, high=1.0, inverse=True)
+    return rows, fitted, model, prices.withColumnRenamed("close", "predicted_close")
 
 
-@query("forecast_recursive")
+@query("forecast_recursive", f"""
+WITH {ORDER_BARS} SELECT DISTINCT series, CAST(unnest(generate_series(DATE '{REFERENCE}' + 1, DATE '{REFERENCE}' + 25, INTERVAL 1 DAY)) AS DATE) AS day, true AS follows
+FROM bars WHERE day <= DATE '{REFERENCE}'""")
 def forecast_recursive(spark, d):
-    rows, model = _step_model(spark, d)
-    ahead = G.forecast_recursive(rows, "series", "day", model, REFERENCE, days=10)
-    return G.history_and_forecast(rows, "series", "day", ahead, REFERENCE, LAGS)
+    """Beyond the horizon predictions are inputs: each block of ten days is worked out again from the days before it."""
+    rows, fitted, model, prices = _recursive(spark, d)
+    scaled = E.scale_minmax(prices.withColumnRenamed("predicted_close", "close"), fitted, ["close"], low=0.0, high=1.0)
+    past = look_back(rows, "series", "day", ["close", "volume"], REFERENCE, LAGS).select("series", F.col("close").alias("past"), F.col("volume").alias("held"))
+    # 25 values for each series
+    made = scaled.groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "close"))), lambda s: s["close"]).alias("made"))
+    both = past.join(made, "series")
+    checks = []
+    for step in (0, HORIZON - 1, HORIZON, 2 * HORIZON, 24):
+        block = step // HORIZON * HORIZON
+        known = F.slice(F.concat("past", F.slice("made", 1, block)), block + 1, LAGS)
+        volumes = F.slice(F.concat("held", F.array_repeat(F.element_at("held", -1), block)), block + 1, LAGS)
+        at = both.select("series", "made", known.alias("closes"), volumes.alias("volumes"))
+        checks.append(at.select("series", (F.abs(F.get("made", F.lit(step)) - _weighted_lags(model, step - block)) < 1e-6).alias("ok")))
+    every = reduce(lambda x, y: x.unionByName(y), checks).groupBy("series").agg(F.bool_and("ok").alias("follows"))
+    return prices.select("series", "day").join(every, "series")
 
 
 @query("forecast_dates", f"""
-WITH {BARS}, past AS (SELECT series, day, close AS historical_close FROM bars WHERE day BETWEEN DATE '2024-01-20' AND DATE '2024-01-25'),
-ahead AS (SELECT DISTINCT series, CAST(unnest(generate_series(DATE '2024-01-26', DATE '2024-02-04', INTERVAL 1 DAY)) AS DATE) AS day FROM bars WHERE day <= DATE '2024-01-25')
+WITH {ORDER_BARS}, past AS (SELECT series, day, round(close, 2) AS historical_close FROM bars WHERE day BETWEEN DATE '{REFERENCE}' - {LAGS} AND DATE '{REFERENCE}'),
+ahead AS (SELECT DISTINCT series, CAST(unnest(generate_series(DATE '{REFERENCE}' + 1, DATE '{REFERENCE}' + 25, INTERVAL 1 DAY)) AS DATE) AS day FROM bars WHERE day <= DATE '{REFERENCE}')
 SELECT series, day, historical_close, historical_close IS NULL AS forecast FROM past FULL JOIN ahead USING (series, day)""")
 def forecast_dates(spark, d):
-    """The dates and history of the recursive forecast, which SQL can check."""
-    out = forecast_recursive(spark, d)
-    return out.select("series", "day", "historical_close", F.col("predicted_close").isNotNull().alias("forecast"))
+    """The look-back period beside the recursive forecast, aligned by date."""
+    bars_of, prices = _order_bars(spark, d), _recursive(spark, d)[3]
+    out = G.history_and_forecast(bars_of, "series", "day", prices, REFERENCE, LAGS)
+    return out.select("series", "day", F.round("historical_close", 2).alias("historical_close"), F.col("predicted_close").isNotNull().alias("forecast"))

@@ -64,15 +64,23 @@ def posterior_estimates(spark, d):
     return estimates(spark, d).withColumns({c: F.round(c, 9) for c in ("mean", "std")})
 
 
-@query("bootstrap_estimates")
+OFFER_FEATURES = ["duration_months", "rate"]
+
+
+@query("bootstrap_estimates", f"""
+WITH {CLIENTS}, {OFFER_VALUES} SELECT client, offer_id, true AS is_share, true AS spread FROM clients CROSS JOIN offers""")
 def bootstrap_estimates(spark, d):
-    """Mean and deviation over an ensemble of logistic models, per client and offer."""
-    log = offer_log(spark, d).withColumn("arm_code", F.array_position(F.array(*(F.lit(a) for a in B.ARMS)), F.col("arm")).cast("double"))
-    train = stage(log.select("event_id", "arm_code", (F.col("user_id") % 5).cast("double").alias("segment_code"), "reward"), "bootstrap")
-    models = M.bootstrap_models(train, ["arm_code", "segment_code"], "reward", "event_id", members=3)
-    arms = spark.createDataFrame([(a, float(i + 1)) for i, a in enumerate(B.ARMS)], "arm string, arm_code double")
-    people = clients(spark, d).select("client", (F.col("client") % 5).cast("double").alias("segment_code"))
-    return M.ensemble_estimate(models, pair_with_all(people, arms))
+    """Mean and deviation over thirty logistic models of offer and client features, per client and offer."""
+    offers = B.offer_table(spark).select("offer_id", *(F.col(c).cast("double") for c in OFFER_FEATURES))
+    scaled = E.scale_minmax(offers, E.fit_range(offers, OFFER_FEATURES), OFFER_FEATURES, low=0.0, high=1.0)
+    flags = [(F.col("segment") == s).cast("double").alias(f"segment{i}") for i, s in enumerate(SEGMENTS[:-1])]
+    columns = [*OFFER_FEATURES, *(f"segment{i}" for i in range(len(flags)))]
+    log = offer_log(spark, d).join(F.broadcast(scaled), F.col("arm") == F.col("offer_id"))
+    train = E.class_weights(log.select("event_id", *OFFER_FEATURES, *flags, "reward"), "reward")
+    models = M.bootstrap_models(stage(train, "bootstrap"), columns, "reward", "event_id", balance="weight")
+    people = pair_with_all(clients(spark, d).select("client", *flags), scaled)
+    out = M.ensemble_estimate(models, people)
+    return out.select("client", "offer_id", F.col("mean").between(0, 1).alias("is_share"), (F.col("std") > 0).alias("spread"))
 
 
 NORMAL = "sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {a})) * cos(6.283185307179586::DOUBLE * {b})".format(
@@ -86,7 +94,8 @@ samples AS (SELECT client, c.segment, position, arm, mean, std, greatest(0.0::DO
   FROM clients c JOIN estimates e ON c.segment = e.segment),
 best AS (SELECT * FROM samples QUALIFY row_number() OVER (PARTITION BY client ORDER BY sample DESC, position) = 1)
 SELECT client, segment, arm AS arm_chosen, 'v1.0' AS policy_version, round(mean * 100, 2) AS estimated_conversion, round(std, 4) AS uncertainty_std,
-  std > 0.05 AS exploring, round(sample, 4) AS ts_sample FROM best""")
+  std > 0.05 AS exploring, round(sample, 4) AS ts_sample, every AS estimates FROM best JOIN
+  (SELECT segment, list({{'arm': arm, 'mean': round(mean, 6), 'std': round(std, 6)}} ORDER BY position) AS every FROM estimates GROUP BY 1) USING (segment)""")
 def thompson_choose(spark, d):
     people = clients(spark, d).select("client", "segment")
     return B.thompson_choose(people, "client", "segment", estimates(spark, d))
@@ -98,11 +107,15 @@ def baseline_choose(spark, d):
 
 
 @query("offer_propensity", f"""
-WITH {CLIENTS}, {AFFINITY_VALUES}, w AS (SELECT client, segment, offer_id, 1.0::DOUBLE + CASE WHEN list_contains(segments, segment) THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS w
-  FROM clients CROSS JOIN affinity)
+WITH {CLIENTS}, {AFFINITY_VALUES},
+people AS (SELECT client, CASE WHEN client % 11 = 0 THEN NULL WHEN client % 13 = 0 THEN 'unheard_of' ELSE segment END AS segment FROM clients),
+w AS (SELECT client, segment, offer_id, 1.0::DOUBLE + CASE WHEN list_contains(segments, segment) THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS w
+  FROM people CROSS JOIN affinity)
 SELECT client, segment, offer_id, round(w / sum(w) OVER (PARTITION BY client), 9) AS propensity FROM w""")
 def offer_propensity(spark, d):
-    people = clients(spark, d).select("client", "segment")
+    k = F.col("client")
+    lost = F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.lit("unheard_of")).otherwise(F.col("segment"))
+    people = clients(spark, d).select("client", lost.alias("segment"))
     out = B.offer_propensity(people, "segment", B.offer_table(spark))
     return out.withColumn("propensity", F.round("propensity", 9))
 
@@ -169,12 +182,14 @@ def golden_select(spark, d):
 
 
 def golden_decisions(spark, d):
-    """Logged choices with a derived estimate; the log starts late, so some cases have none."""
+    """Logged choices with a derived estimate; the log starts late, so some cases have none, and some have a second, lower one."""
     start = F.lit(datetime(2024, 1, 6)).cast("timestamp_ntz")
-    return decisions(spark, d).where(F.col("decided_at") >= start).select(
+    once = decisions(spark, d).where(F.col("decided_at") >= start).select(
         "event_id", F.col("arm").alias("arm_chosen"),
         F.round(uniform(F.col("event_id"), seed="estimate") * 10, 2).alias("estimated_conversion"),
     )
+    again = once.where(F.col("event_id") % 3 == 0).withColumn("estimated_conversion", F.col("estimated_conversion") - 1)
+    return once.unionByName(again)
 
 
 EVALUATED = f"""{GOLDEN},

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.offers import posterior_estimates
 from tidewell.plans.changes import CHANGES, ORDERS, change_log, orders
-from tidewell.plans.common import LOGS, as_decisions, as_outcomes, offer_log
+from tidewell.plans.common import LOGS, as_decisions, as_outcomes, decisions, offer_log
 from tidewell.plans.registry import query
 from tidewell.session import scratch_path
 from tidewell.sources.files import write_json_lines
@@ -46,14 +46,13 @@ def stream_json_log(spark, d):
     return _run(spark, S.log_stream(spark, path, rows.schema, kind="json"), "stream-json")
 
 
-@query("stream_outcome_join", f"""
-WITH {LOGS}, mark AS (SELECT least((SELECT max(decided_at) FROM decisions), (SELECT max(observed_at) FROM outcomes)) - INTERVAL 1 HOUR AS m),
-joined AS (SELECT d.event_id, user_id, decided_at, segment, arm, reward, observed_at FROM decisions d LEFT JOIN outcomes o
-  ON d.event_id = o.event_id AND observed_at BETWEEN decided_at AND decided_at + INTERVAL 2 DAY)
-SELECT event_id, user_id, decided_at, segment, arm, coalesce(reward, 0) AS reward, observed_at FROM joined, mark
-WHERE observed_at IS NOT NULL OR decided_at + INTERVAL 2 DAY < m""")
-def stream_outcome_join(spark, d):
-    """Decisions with late outcomes; an unmatched one appears once its horizon is over."""
+LATE = f"""{LOGS},
+mark AS (SELECT least((SELECT max(decided_at) FROM decisions), (SELECT max(observed_at) FROM outcomes)) - INTERVAL 1 HOUR AS m),
+in_time AS (SELECT d.event_id, first(reward ORDER BY observed_at, reward) AS reward, min(observed_at) AS observed_at FROM decisions d JOIN outcomes o
+  ON d.event_id = o.event_id AND o.observed_at BETWEEN decided_at AND decided_at + INTERVAL 2 DAY GROUP BY 1)"""
+
+
+def late_outcomes(spark, d):
     events = event_stream(spark, d)
     late = as_outcomes(events).withColumnRenamed("event_id", "decision_id")
     joined = S.join_late_outcomes(
@@ -62,6 +61,19 @@ def stream_outcome_join(spark, d):
     return plain_time(_run(spark, joined, "stream-join"), "decided_at", "observed_at")
 
 
+@query("stream_outcome_join", f"""
+WITH {LATE} SELECT d.*, coalesce(reward, 0) AS reward, observed_at FROM decisions d LEFT JOIN in_time USING (event_id), mark WHERE decided_at + INTERVAL 2 DAY < m""")
+def stream_outcome_join(spark, d):
+    """Decisions whose horizon is over, each once, with their first outcome in time."""
+    return late_outcomes(spark, d)
+
+
+@query("stream_outcome_pending", f"WITH {LATE} SELECT d.* FROM decisions d, mark WHERE decided_at + INTERVAL 2 DAY >= m")
+def stream_outcome_pending(spark, d):
+    """Decisions that the stream still holds."""
+    return S.pending_decisions(decisions(spark, d), late_outcomes(spark, d), "event_id")
+
+
 @query("stream_weekly_rate", """
 WITH w AS (SELECT time_bucket(INTERVAL 7 DAY, ts, (SELECT date_trunc('day', min(ts)) FROM events)) AS window_start,
   count(*) AS n_obs, count(*) FILTER (event_type = 'purchase') AS n_conv FROM events GROUP BY 1)
@@ -119,7 +131,7 @@ def stream_arm_totals(spark, d):
     rows = offer_log(spark, d).select("event_id", "arm", "reward")
     rows.repartition(3, "event_id").write.parquet(path)
     totals = S.arm_totals(S.log_stream(spark, path, rows.schema, files_per_batch=1), "arm", "reward")
-    S.drain_batches(totals, S.batch_writer(out), scratch_path(spark, "totals-checkpoint"), mode="update")
+    S.drain_batches(totals, S.totals_writer(out, "arm"), scratch_path(spark, "totals-checkpoint"), mode="update")
     return S.latest_totals(spark, out, "arm")
 
 

@@ -35,9 +35,16 @@ def page_title(spark, d):
     return P.page_titles(load(spark, d, "pages"), "page_id")
 
 
-@query("page_content")
+@query("page_content", r"""
+SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(html, '<script.*?</script>', '', 'gs'), '<p>[^<&]*</p>')) AS INTEGER) AS n_plain, true AS all_found FROM pages""")
 def page_content(spark, d):
-    return P.page_contents(load(spark, d, "pages"), "page_id")
+    """Paragraphs without inner markup, by pattern, are all among those the page reader finds, in order."""
+    pages = load(spark, d, "pages").select("page_id", "html")
+    bare = F.regexp_replace("html", "(?s)<script.*?</script>", "")
+    plain = F.transform(F.regexp_extract_all(bare, F.lit("<p>([^<&]*)</p>"), F.lit(1)), lambda t: F.trim(t))
+    found = P.page_contents(pages, "page_id").select(F.col("page_id").alias("found_id"), "paragraphs")
+    both = pages.select("page_id", plain.alias("plain")).join(found, F.col("page_id") == F.col("found_id"))
+    return both.select("page_id", F.size("plain").alias("n_plain"), (F.size(F.array_except("plain", "paragraphs")) == 0).alias("all_found"))
 
 
 @query("page_headers", r"""
@@ -160,3 +167,9 @@ s AS (SELECT doc_id, round(sum(weight * q) / (SELECT sqrt(sum(q * q)) FROM asked
 SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 3""")
 def text_similar(spark, d):
     return X.most_similar(load(spark, d, "documents"), "doc_id", "text", QUESTION, k=3)
+
+
+@query("text_similar_unknown", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents ORDER BY doc_id LIMIT 3")
+def text_similar_unknown(spark, d):
+    """No text shares a word with the question: still three rows."""
+    return X.most_similar(load(spark, d, "documents"), "doc_id", "text", "qqqq zzzz", k=3)

@@ -21,6 +21,7 @@ RUNTIME_SETTINGS = {
 }
 
 _local_scratch: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def local_session(cpus: int = 8, app: str = "tidewell", extra: dict[str, str] | None = None) -> SparkSession:
@@ -80,4 +81,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete what this process has staged so far; for use once the results built on it are written."""
+    count = 0
+    while _staged:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        count += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return count

@@ -117,11 +117,23 @@ _dimensions: dict[tuple[str, str], DataFrame] = {}
 
 
 def cached_dimension(spark: SparkSession, path: str) -> DataFrame:
-    """A reference table kept in memory for the application and broadcast when small."""
+    """A small reference table kept in memory for the application; a larger one is read anew at each use.
+
+    ``forget_dimension`` frees it, for example after the table has changed.
+    """
     slot = (spark.sparkContext.applicationId, path)
     if slot not in _dimensions:
-        _dimensions[slot] = spark.read.parquet(path).cache()
-    return broadcast_if_small(_dimensions[slot])
+        table = spark.read.parquet(path)
+        if plan_size(table) > BROADCAST_LIMIT:
+            return table
+        _dimensions[slot] = table.cache()
+    return F.broadcast(_dimensions[slot])
+
+
+def forget_dimension(spark: SparkSession, path: str) -> None:
+    kept = _dimensions.pop((spark.sparkContext.applicationId, path), None)
+    if kept is not None:
+        kept.unpersist()
 
 
 def _file(spark: SparkSession, path: str):
@@ -130,6 +142,17 @@ def _file(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file(spark, path)
+    return bool(files.exists(target))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of superseded state, if it is there."""
+    files, target = _file(spark, path)
+    files.delete(target, True)
+
+
 def mark_complete(spark: SparkSession, folder: str, marker: str) -> None:
     """Leave an empty marker file, to be called after a stage's write has returned."""
     files, target = _file(spark, f"{folder}/{marker}")
@@ -137,8 +160,7 @@ def mark_complete(spark: SparkSession, folder: str, marker: str) -> None:
 
 
 def is_complete(spark: SparkSession, folder: str, marker: str) -> bool:
-    files, target = _file(spark, f"{folder}/{marker}")
-    return bool(files.exists(target))
+    return folder_exists(spark, f"{folder}/{marker}")
 
 
 def read_when_complete(spark: SparkSession, folder: str, marker: str, schema: T.StructType) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.operators.changes import apply_changes
+from tidewell.sources.files import folder_exists, remove_folder
 
 
 def log_stream(
@@ -57,10 +58,11 @@ def join_late_outcomes(
     decisions: DataFrame, outcomes: DataFrame, key: str, decided: str, outcome_key: str, observed: str,
     horizon_days: int = 30, lateness: str = "1 hour",
 ) -> DataFrame:
-    """Each decision with its outcome within the horizon; reward 0 once the horizon is over.
+    """Each decision once, with its earliest outcome within the horizon, or reward 0; emitted once the horizon is over.
 
-    Both watermarks and the time bound let the state of expired decisions be dropped. An
-    outcome log with re-deliveries goes through ``first_delivery`` before.
+    Both watermarks and the time bound let the state of expired decisions be dropped. Re-sent outcomes
+    meet in an aggregate per decision, whose state goes with the same watermark. What is not emitted yet
+    is the difference to the decision log, see ``pending_decisions``.
     """
     left = decisions.withWatermark(decided, lateness)
     right = outcomes.withWatermark(observed, lateness)
@@ -68,7 +70,16 @@ def join_late_outcomes(
         F.col(decided), F.col(decided) + F.expr(f"interval {int(horizon_days)} days")
     )
     joined = left.join(right, (F.col(key) == F.col(outcome_key)) & in_time, "leftOuter")
-    return joined.drop(outcome_key).withColumn("reward", F.coalesce(F.col("reward"), F.lit(0)))
+    rest = [c for c in outcomes.columns if c != outcome_key]
+    lot = F.struct(observed, *(c for c in rest if c != observed))
+    first = joined.groupBy(*decisions.columns).agg(F.min_by(F.struct(*rest), lot).alias("_tw"))
+    out = first.select(*decisions.columns, "_tw.*")
+    return out.withColumn("reward", F.coalesce(F.col("reward"), F.lit(0)))
+
+
+def pending_decisions(decisions: DataFrame, emitted: DataFrame, key: str) -> DataFrame:
+    """Logged decisions that the stream has not given out yet, because their horizon is still open."""
+    return decisions.join(emitted.select(key).distinct(), key, "left_anti")
 
 
 def windowed_rate(stream: DataFrame, moment: str, reward: str, first_day, days: int = 7, lateness: str = "1 day") -> DataFrame:
@@ -95,11 +106,30 @@ def arm_totals(stream: DataFrame, arm: str, reward: str) -> DataFrame:
     )
 
 
+def totals_writer(out: str, arm: str) -> Callable[[DataFrame, int], None]:
+    """Keep the newest totals of every offer: each batch writes those of the batch before, renewed where it has newer ones.
+
+    Only the last two states are kept, the older one for a batch that is replayed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = f"{out}/batch={number - 1}"
+        if folder_exists(spark, before):
+            kept = spark.read.schema(batch.schema).parquet(before)
+            batch = kept.join(batch.select(arm), arm, "left_anti").select(*batch.columns).unionByName(batch)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        remove_folder(spark, f"{out}/batch={number - 2}")
+
+    return write
+
+
 def latest_totals(spark: SparkSession, out: str, arm: str) -> DataFrame:
-    """The newest emitted totals per offer, with the rate."""
+    """The newest totals per offer, with the rate."""
     rows = spark.read.parquet(out)
-    newest = rows.groupBy(arm).agg(F.max_by(F.struct("rounds", "total_reward"), "batch").alias("_tw"))
-    return newest.select(arm, "_tw.*").withColumn("rate", F.col("total_reward") / F.col("rounds"))
+    last = rows.agg(F.max("batch")).first()[0]
+    newest = rows.where(F.col("batch") == last)
+    return newest.select(arm, "rounds", "total_reward").withColumn("rate", F.col("total_reward") / F.col("rounds"))
 
 
 def current_table(spark: SparkSession, base: DataFrame, out: str, key: str, seq: str, op: str) -> DataFrame:
@@ -113,44 +143,39 @@ def current_table(spark: SparkSession, base: DataFrame, out: str, key: str, seq:
 class RefitSink:
     """Refit once enough new observations are pending, then start counting anew.
 
-    Rows, counts and versions live in folders per batch number, so a replayed batch
-    replaces its own files and a lost driver finds its state again.
+    Rows, the running count and versions live in folders per batch number, so a replayed batch
+    replaces its own files and a lost driver finds its state again. A batch reads the one-row
+    state of the batch before it, however many batches there were.
     """
 
+    STATE = "since bigint, pending bigint"
+
     def __init__(
         self, root: str, fit: Callable[[DataFrame, str], None], every: int = 100, at_least: int = 50
     ):
         self.root, self.fit, self.every, self.at_least = root, fit, every, at_least
 
-    def _rows(self, spark: SparkSession, name: str, schema: str) -> list:
-        try:
-            return spark.read.schema(schema).parquet(f"{self.root}/{name}").collect()
-        except Exception as error:  # nothing written yet
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
+    def _state(self, spark: SparkSession, number: int) -> tuple[int, int]:
+        """Last batch that was fitted, and the rows since, after batch ``number``."""
+        path = f"{self.root}/state/batch={number}"
+        if number < 0 or not folder_exists(spark, path):
+            return -1, 0
+        return tuple(spark.read.schema(self.STATE).parquet(path).first())
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{self.root}/rows/batch={number}")
-        n = spark.read.parquet(f"{self.root}/rows/batch={number}").count()
-        spark.createDataFrame([(n,)], "n bigint").coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/counts/batch={number}"
-        )
-        done = [r["batch"] for r in self._rows(spark, "versions", "n_rows bigint, batch bigint") if r["batch"] < number]
-        since = max(done, default=-1)
-        pending = [
-            r for r in self._rows(spark, "counts", "n bigint, batch bigint") if since < r["batch"] <= number
-        ]
-        total = sum(r["n"] for r in pending)
-        if total < max(self.every, self.at_least):
-            return
-        waiting = spark.read.parquet(f"{self.root}/rows").where(
-            (F.col("batch") > since) & (F.col("batch") <= number)
-        )
-        self.fit(waiting.drop("batch"), f"{self.root}/models/batch={number}")
-        spark.createDataFrame([(total,)], "n_rows bigint").coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/versions/batch={number}"
+        since, pending = self._state(spark, number - 1)
+        pending += spark.read.parquet(f"{self.root}/rows/batch={number}").count()
+        if pending >= max(self.every, self.at_least):
+            waiting = spark.read.parquet(f"{self.root}/rows").where((F.col("batch") > since) & (F.col("batch") <= number))
+            self.fit(waiting.drop("batch"), f"{self.root}/models/batch={number}")
+            spark.createDataFrame([(pending,)], "n_rows bigint").coalesce(1).write.mode("overwrite").parquet(
+                f"{self.root}/versions/batch={number}"
+            )
+            since, pending = number, 0
+        spark.createDataFrame([(since, pending)], self.STATE).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.root}/state/batch={number}"
         )
 
     def versions(self, spark: SparkSession) -> DataFrame:
