@@ -83,8 +83,10 @@ def license_hits(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
         .where(reduce(lambda a, b: a | b, (F.col("keys")[i] == F.xxhash64("s", F.lit(i)) for i in range(BANDS))))
         .groupBy("c").agg(F.collect_set("s").alias("s")).collect()
     )
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("words"))
-    rows = words.select("doc_id", shingles(F.col("words")).alias("all"))
+    # the words are bound once for all shingles of a text, and the shingles are a row of their own before any filter,
+    # or the optimiser would work them out again for each use
+    hashed = F.transform(F.array(tokens(F.col(text))), shingles)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(hashed).alias("all"))
     every = F.array(*(F.lit(s) for r in seeds for s in r.s)).cast("array<bigint>")
     rows = rows.where(F.arrays_overlap("all", every))
 
