@@ -21,7 +21,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Metric -> (smallest spread taken for a fence, whether low values are rejected too); all in parts per thousand.
 METRICS = {
-    "word_length": (200, True),
+    "word_length": (500, True),
     "symbols": (25, False),
     "dup_lines": (150, False),
     "repeats": (100, False),
