@@ -529,3 +529,28 @@ def test_documents_without_columns_of_use(session):
     assert packing.pack_documents(docs, ranks_path()).agg(F.sum("length")).first()[0] == 7
     check_shards(sharding.shards_of(docs).collect(), [(None, None)] * 7)
     assert secrets.secret_report(docs).count() == 7 and licenses.license_hits(docs).count() == 0
+
+
+def test_near_duplicates_of_a_cluster_without_a_middle(session, monkeypatch):
+    """Copies of a text that is not there itself, more or less edited, in sub-groups: every link counts, though most pairs are no links."""
+    draw = random.Random(18)
+    rows = []
+    base = prose(draw, 160)
+    for group in range(6):
+        stem = list(base)
+        for at in draw.sample(range(160), 4 + 2 * group):
+            stem[at] = f"g{group}x{at}"
+        for _ in range(14):
+            copy = list(stem)
+            for at in draw.sample(range(160), draw.randint(0, 9)):
+                copy[at] = f"c{draw.randint(1, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = session.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    seen = []
+    plain_within = neardup.within_clusters
+    monkeypatch.setattr(neardup, "within_clusters", lambda *a: seen.append(plain_within(*a)) or seen[-1])
+    got = plain(neardup.near_duplicates(docs, words_per_shingle=2).collect())
+    want = groups_by_force(rows, 2)
+    assert got == want
+    assert 1 < len({c for _, _, c, _ in want}) < len(rows)
+    assert 0 < seen[0].count() < 84 * 83 // 4
