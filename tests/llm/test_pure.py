@@ -87,6 +87,19 @@ def test_search_agrees_with_brute_force():
         assert {h[0]: h[2] for h in hits} == want
 
 
+def test_long_items_are_found_with_fewer_windows(monkeypatch):
+    monkeypatch.setattr(decontam, "ITEM_WINDOWS", 24)
+    assert decontam.offsets(1000).tolist()[:5] == [0, 1, 2, 3, 200] and len(decontam.offsets(1000)) <= 24
+    assert decontam.offsets(9).tolist() == list(range(10))
+    draw = random.Random(21)
+    items = [(i, " ".join(prose(draw, n))) for i, n in enumerate([400, 90, 2000])]
+    index = decontam.Index(items)
+    for i, text in items:
+        for lead in range(9):
+            doc = prose(draw, lead) + text.split() + prose(draw, 5)
+            assert [h[0] for h in index.search([" ".join(doc)])[0]] == [i]
+
+
 def test_minimal_perfect_hash():
     draw = np.random.RandomState(4)
     for n in (0, 1, 2, 500, 20_000):

@@ -28,7 +28,9 @@ STRIDE = 4
 #: Window sizes in words; an item takes the largest that fits it with STRIDE - 1 words to spare.
 WINDOWS = (4, 8, 16, 32)
 STEPS = 32
-#: Words of the items searched in one pass; an index takes about 2 kB a word.
+#: Windows of one item that are indexed. Longer items have theirs in even runs of STRIDE, so one of each run still coincides.
+ITEM_WINDOWS = 2000
+#: Item windows searched in one pass; an index takes about 2 kB a window.
 BLOCK_WORDS = 30_000
 TABLE_BITS = 18
 CACHE_WORDS = 500_000
@@ -151,6 +153,14 @@ class Pattern:
         return distance, end - length, end
 
 
+def offsets(last: int) -> np.ndarray:
+    """Starts of the indexed windows of an item, from 0 to ``last``."""
+    runs, most = last // STRIDE + 1, ITEM_WINDOWS // STRIDE
+    chosen = np.unique(np.linspace(0, runs - 1, min(runs, most)).astype(np.int64)) * STRIDE
+    every = (chosen[:, None] + np.arange(STRIDE)[None, :]).ravel()
+    return every[every <= last]
+
+
 class Index:
     """Band tables of a bounded block of items; sent to the tasks whole."""
 
@@ -171,8 +181,9 @@ class Index:
             if not mine:
                 continue
             self.sizes.add(w)
-            item = np.concatenate([np.full(len(parts[i]) - w + 1, i) for i in mine])
-            offset = np.concatenate([np.arange(len(parts[i]) - w + 1) for i in mine])
+            own = [offsets(len(parts[i]) - w) for i in mine]
+            item = np.concatenate([np.full(len(o), i) for i, o in zip(mine, own)])
+            offset = np.concatenate(own)
             for _, e, band, key, valid in walk(all_words, begins[item] + offset, {w}):
                 order = np.argsort(key[valid], kind="stable")
                 keys = key[valid][order]
@@ -250,7 +261,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     reported; repeated rows are searched each; other columns pass through; empty tables give no hits.
     """
     items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
+    windows = F.least(F.size(F.split("text", r"[\x20\x09-\x0D]+")), F.lit(ITEM_WINDOWS))
+    total = items.agg(F.coalesce(F.sum(windows), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_WORDS))
     out = docs.withColumn("_tw_hits", F.lit(None).cast(HITS)) if not total else docs
     for block in range(blocks if total else 0):
