@@ -53,11 +53,12 @@ def feature_psi(expected: DataFrame, recent: DataFrame, columns: Sequence[str],
 
     Bin edges are quantiles of the expected rows with repeated edges merged, the last
     bin is closed, and values outside stay out of the bins but count in the share. A
-    single edge gives 0. All columns share one pass over each side.
+    single edge gives 0. All columns share their passes: a sketch, a count around the bracketed edges, and the count per bin.
     """
     both = _long(expected, columns)
     fractions = {f"_tw_q{i}": i / bins for i in range(bins + 1)}
-    edges = exact_quantiles(both, ["column_name"], "value", fractions).select(
+    # as many groups as the caller listed columns
+    edges = exact_quantiles(both, ["column_name"], "value", fractions, few_groups=True).select(
         "column_name", F.array_distinct(F.array(*fractions)).alias("edges")
     )
     sides = both.withColumn("side", F.lit("e")).unionByName(_long(recent, columns).withColumn("side", F.lit("a")))

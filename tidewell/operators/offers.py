@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.sources.files import broadcast_if_small
@@ -19,6 +19,14 @@ OFFERS = [
     ("cashback", "app", 0, 0.02, ["C_alta_propensao", "E_cold_start_generico"], 0.09),
     ("previdencia", "email", 24, 0.06, ["C_alta_propensao", "D_comprometido_financeiramente"], 0.12),
 ]
+# Name and description of each offer.
+OFFER_TEXTS = {
+    "dep_6m_8pct": ("Depósito 6m 8% a.a.", "Depósito de curto prazo com rentabilidade atrativa"),
+    "dep_12m_10pct": ("Depósito 12m 10% a.a.", "Depósito de médio prazo com taxa competitiva"),
+    "reativacao": ("Oferta de Reativação", "Oferta personalizada para clientes com histórico positivo"),
+    "cashback": ("Cashback no débito", "Benefício imediato para novos engajamentos"),
+    "previdencia": ("Previdência Privada", "Produto de longo prazo para planejamento financeiro"),
+}
 SEGMENT_MULTIPLIERS = {
     "A_reativacao_positiva": 2.0,
     "B_reativacao_negativa": 0.5,
@@ -29,6 +37,7 @@ SEGMENT_MULTIPLIERS = {
 DEFAULT_RATE = 0.10
 AFFINITY_BONUS = 0.3
 HORIZON_DAYS = 30
+# Segment, expected offer and kind of each golden case, then why, in the same order.
 GOLDEN_TEMPLATES = [
     ("A_reativacao_positiva", "reativacao", "typical"),
     ("A_reativacao_positiva", "dep_6m_8pct", "typical"),
@@ -38,18 +47,29 @@ GOLDEN_TEMPLATES = [
     ("B_reativacao_negativa", "cashback", "adversarial"),
     ("E_cold_start_generico", "previdencia", "adversarial"),
 ]
+GOLDEN_REASONS = [
+    "Cliente com histórico positivo deve receber oferta de reativação",
+    "Alternativa válida para reativação positiva",
+    "Estudante/aposentado: alta propensão para depósito curto",
+    "Cold-start: oferta de baixo compromisso para engajamento inicial",
+    "Cliente endividado: não deve receber produtos de alto valor",
+    "Reativação negativa: oferta simples para reconquistar",
+    "Cold-start NÃO deve receber previdência — produto de longo prazo",
+]
+RANDOM_REASON = "Caso gerado automaticamente do histórico de eventos"
+RANDOM_PASS, RANDOM_FAIL = "reward >= reward_expected", "reward = 0 E arm_expected tem alta taxa histórica"
 ARMS = [offer[0] for offer in OFFERS]
 KNOWN_RATES = {offer[0]: offer[5] for offer in OFFERS}
 BEST_ARM = max(ARMS, key=KNOWN_RATES.get)
 
 OFFER_SCHEMA = (
     "position int, offer_id string, channel string, duration_months int, rate double, "
-    "segment_affinity array<string>, base_conversion_rate double"
+    "segment_affinity array<string>, base_conversion_rate double, name string, description string"
 )
 
 
 def offer_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *offer) for i, offer in enumerate(OFFERS)], OFFER_SCHEMA)
+    return spark.createDataFrame([(i, *offer, *OFFER_TEXTS[offer[0]]) for i, offer in enumerate(OFFERS)], OFFER_SCHEMA)
 
 
 def check_context(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -207,12 +227,12 @@ def golden_select(log: DataFrame, key: str, segment: str, arm: str, reward: str,
     """Golden cases: one repeatable pick per template, then random rows up to n.
 
     A template whose segment has no rows is left out. Random cases expect the logged
-    offer.
+    offer. Cases are numbered in that order and carry the reason and the criteria to judge them by.
     """
     spark = log.sparkSession
     templates = spark.createDataFrame(
-        [(i, *t) for i, t in enumerate(GOLDEN_TEMPLATES, start=1)],
-        "template int, _tw_segment string, arm_expected string, case_type string",
+        [(i, *t, why) for i, (t, why) in enumerate(zip(GOLDEN_TEMPLATES, GOLDEN_REASONS), start=1)],
+        "template int, _tw_segment string, arm_expected string, case_type string, justification string",
     )
     row = F.struct(key, segment, reward)
     lot = F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), (F.lit(seed) + F.col("template")).cast("string"))), F.col(key))
@@ -220,11 +240,14 @@ def golden_select(log: DataFrame, key: str, segment: str, arm: str, reward: str,
     rates = F.create_map(*(F.lit(x) for pair in KNOWN_RATES.items() for x in pair))
     picked = (
         log.join(F.broadcast(templates), F.col(segment) == F.col("_tw_segment"))
-        .groupBy("template", "arm_expected", "case_type")
+        .groupBy("template", "arm_expected", "case_type", "justification")
         .agg(F.min_by(row, lot).alias("_tw"))
         .select(
             "template", "case_type", F.col(f"_tw.{key}").alias(key), F.col(f"_tw.{segment}").alias("segment"),
             "arm_expected", (F.try_element_at(rates, F.col("arm_expected")) > 0.12).cast("int").alias("reward_expected"),
+            "justification",
+            F.format_string('arm_chosen == "%s" OU conversion_rate > 0.12', "arm_expected").alias("pass_criteria"),
+            F.concat(F.lit("arm_chosen em braços com afinidade zero para "), F.col(f"_tw.{segment}")).alias("fail_criteria"),
             F.lit("").alias("_tw_lot"),
         )
     )
@@ -233,10 +256,13 @@ def golden_select(log: DataFrame, key: str, segment: str, arm: str, reward: str,
         .select(
             F.lit(len(GOLDEN_TEMPLATES) + 1).alias("template"), F.lit("random").alias("case_type"), key,
             F.col(segment).alias("segment"), F.col(arm).alias("arm_expected"),
-            F.col(reward).cast("int").alias("reward_expected"), "_tw_lot",
+            F.col(reward).cast("int").alias("reward_expected"), F.lit(RANDOM_REASON).alias("justification"),
+            F.lit(RANDOM_PASS).alias("pass_criteria"), F.lit(RANDOM_FAIL).alias("fail_criteria"), "_tw_lot",
         )
     )
-    return picked.unionByName(fill).orderBy("template", "_tw_lot", key).limit(n).drop("_tw_lot", "template")
+    cases = picked.unionByName(fill).orderBy("template", "_tw_lot", key).limit(n)
+    number = F.row_number().over(Window.orderBy("template", "_tw_lot", key))  # of n cases
+    return cases.select(F.format_string("GS_%03d", number).alias("case_id"), "*").drop("_tw_lot", "template")
 
 
 def golden_evaluate(cases: DataFrame, decisions: DataFrame, key: str) -> DataFrame:

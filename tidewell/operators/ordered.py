@@ -101,37 +101,79 @@ def number_rows(
     return joined.select(*df.columns, (F.col("_tw_before") + place + 1).alias(name), *extra)
 
 
+#: Accuracy of the sketch that brackets a quantile, and the part of the rows left on each side of it, 12 times the sketch's error.
+SKETCH, MARGIN = 4000, 0.003
+#: Groups with fewer rows are ordered whole: there the margin is less than a few rows.
+LEAST_BRACKETED = 2000
+
+
+def _counts(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float], few_groups: bool) -> DataFrame:
+    """(keys, _tw_i, _tw_v, _tw_n, _tw_total): how often each value occurs that may matter for level i; a null value stands for all below."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_tw_v"))
+    n = F.count("*")
+    if not few_groups:
+        # every value matters for every level; repeated ones are one row
+        counted = rows.groupBy(*keys, "_tw_v").agg(n.alias("_tw_n"))
+        totals = F.lit(None).cast("bigint")
+        return counted.select(*keys, F.lit(None).cast("int").alias("_tw_i"), "_tw_v", "_tw_n", totals.alias("_tw_total"))
+    marks = [max(0.0, f - MARGIN) for f in levels] + [min(1.0, f + MARGIN) for f in levels]
+    found = rows.groupBy(*keys).agg(
+        n.alias("_tw_total"), F.percentile_approx("_tw_v", marks, SKETCH).alias("_tw_q"),
+        F.min("_tw_v").alias("_tw_min"), F.max("_tw_v").alias("_tw_max"),
+    )
+    small = F.col("_tw_total") < LEAST_BRACKETED
+    size = len(levels)
+    lows = [F.when(small, F.col("_tw_min")).otherwise(F.get("_tw_q", F.lit(i))) for i in range(size)]
+    highs = [F.when(small, F.col("_tw_max")).otherwise(F.get("_tw_q", F.lit(size + i))) for i in range(size)]
+    side = found.select(*(F.col(k).alias(f"_tw_k_{k}") for k in keys), "_tw_total", F.array(*lows).alias("_tw_lo"), F.array(*highs).alias("_tw_hi"))
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_tw_k_{k}")) for k in keys), F.lit(True))
+    joined = rows.join(F.broadcast(side), on)  # one row for each of the few groups
+    v = F.col("_tw_v")
+    reached = reduce(lambda a, b: a + b, ((F.get("_tw_lo", F.lit(i)) <= v).cast("int") for i in range(size)))
+    inside = [
+        F.when(v.between(F.get("_tw_lo", F.lit(i)), F.get("_tw_hi", F.lit(i))), F.struct(F.lit(i).alias("_tw_i"), v.alias("_tw_v")))
+        for i in range(size)
+    ]
+    # a row counts once in the region between brackets it lies in, and once in each bracket
+    region = F.struct((reached + size).alias("_tw_i"), F.lit(None).cast(df.schema[value].dataType).alias("_tw_v"))
+    cells = joined.select(*keys, "_tw_total", F.inline(F.concat(F.array(region), F.array_compact(F.array(*inside)))))
+    counted = cells.groupBy(*keys, "_tw_i", "_tw_v").agg(n.alias("_tw_n"), F.max("_tw_total").alias("_tw_total"))
+    counted = stage(counted, "brackets")
+    level = F.explode(F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: i >= F.col("_tw_i") - size))
+    below = counted.where(F.col("_tw_i") >= size).select(*keys, level.alias("_tw_l"), "_tw_n", "_tw_total")
+    below = below.groupBy(*keys, F.col("_tw_l").alias("_tw_i")).agg(F.sum("_tw_n").alias("_tw_n"), F.max("_tw_total").alias("_tw_total"))
+    none = F.lit(None).cast(df.schema[value].dataType)
+    return counted.where(F.col("_tw_i") < size).unionByName(below.withColumn("_tw_v", none))
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float], few_groups: bool | None = None
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, for groups of any size.
 
-    Equal values are counted before any ordering, so repeated values cost one row
-    each. The built-in percentile keeps the value counts of a group in one buffer.
+    Without keys, or with ``few_groups`` (so few that a row for each may be broadcast), a sketch brackets each
+    quantile, what lies below is only counted, and only the values within are ordered. With many groups, equal values
+    are counted before any ordering. The built-in percentile keeps the value counts of a group in one buffer.
     """
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_tw_n"))
-    )
-    placed = running_sums(
-        counted, keys, [F.col(value).asc()], {"_tw_upto": F.col("_tw_n")}, {"_tw_total": F.col("_tw_n")}
-    )
-
+    levels = [float(f) for f in fractions.values()]
+    few = not keys if few_groups is None else few_groups
+    order = [F.col("_tw_v").asc_nulls_first()]
+    sums = {"_tw_upto": F.col("_tw_n")}
+    if few:
+        placed = running_sums(_counts(df, keys, value, levels, True), [*keys, "_tw_i"], order, sums)
+        hits = placed.withColumn("_tw_f", F.get(F.array(*(F.lit(f) for f in levels)), F.col("_tw_i")))
+    else:
+        counted = _counts(df, keys, value, levels, False).drop("_tw_i", "_tw_total")
+        placed = running_sums(counted, keys, order, sums, {"_tw_total": F.col("_tw_n")})
+        asked = F.inline(F.array(*(F.struct(F.lit(i).alias("_tw_i"), F.lit(f).alias("_tw_f")) for i, f in enumerate(levels))))
+        hits = placed.select("*", asked)
+    position = F.col("_tw_f") * (F.col("_tw_total") - 1)
     start, end = F.col("_tw_upto") - F.col("_tw_n"), F.col("_tw_upto")
-
-    def near(fraction: Column) -> Column:
-        """Whether the row holds one of the two positions around the quantile."""
-        position = fraction * (F.col("_tw_total") - 1)
-        return (start <= F.ceil(position)) & (end > F.floor(position))
-
-    levels = list(fractions.values())
-    wanted = reduce(lambda a, b: a | b, (near(F.lit(float(f))) for f in levels))
     # from here on at most two rows per group and level
-    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("f")) for i, f in enumerate(levels))))
-    hits = placed.where(wanted).withColumn("_tw_q", asked).where(near(F.col("_tw_q.f")))
-    position = F.col("_tw_q.f") * (F.col("_tw_total") - 1)
-    ends = hits.groupBy(*keys, F.col("_tw_q.i").alias("_tw_i")).agg(
-        F.max(F.when(end > F.floor(position), F.when(start <= F.floor(position), F.col(value)))).alias("_tw_lo"),
-        F.max(F.when(end > F.ceil(position), F.when(start <= F.ceil(position), F.col(value)))).alias("_tw_hi"),
+    hits = hits.where((start <= F.ceil(position)) & (end > F.floor(position)))
+    ends = hits.groupBy(*keys, "_tw_i").agg(
+        F.max(F.when((end > F.floor(position)) & (start <= F.floor(position)), F.col("_tw_v"))).alias("_tw_lo"),
+        F.max(F.when((end > F.ceil(position)) & (start <= F.ceil(position)), F.col("_tw_v"))).alias("_tw_hi"),
         F.max(position - F.floor(position)).alias("_tw_part"),
     )
     level = F.col("_tw_lo") + (F.col("_tw_hi") - F.col("_tw_lo")) * F.col("_tw_part")

@@ -22,9 +22,10 @@ from tidewell.tables import load
 
 
 @query("offer_catalog", f"""
-WITH {OFFER_VALUES}, {AFFINITY_VALUES}, {LOGS}
-SELECT o.position, offer_id, channel, duration_months, rate, segments AS segment_affinity, base_conversion_rate, n AS rounds
-FROM offers o JOIN affinity USING (offer_id) JOIN (SELECT arm AS offer_id, count(*) AS n FROM decisions GROUP BY 1) USING (offer_id)""")
+WITH {OFFER_VALUES}, {AFFINITY_VALUES}, {LOGS},
+texts(offer_id, name, description) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in B.OFFER_TEXTS.items())})
+SELECT o.position, offer_id, name, description, channel, duration_months, rate, segments AS segment_affinity, base_conversion_rate, n AS rounds
+FROM offers o JOIN affinity USING (offer_id) JOIN texts USING (offer_id) JOIN (SELECT arm AS offer_id, count(*) AS n FROM decisions GROUP BY 1) USING (offer_id)""")
 def offer_catalog(spark, d):
     """The offers beside how often the log shows them."""
     rounds = decisions(spark, d).groupBy(F.col("arm").alias("offer_id")).agg(F.count("*").alias("rounds"))
@@ -159,16 +160,19 @@ def conversion_probability(spark, d):
     return out.select("client", "offer_id", F.round("conversion_probability", 9).alias("conversion_probability"))
 
 
-TEMPLATES = "templates(template, segment, arm_expected, case_type) AS (VALUES " + ", ".join(
-    f"({i}, '{s}', '{a}', '{k}')" for i, (s, a, k) in enumerate(B.GOLDEN_TEMPLATES, start=1)
+TEMPLATES = "templates(template, segment, arm_expected, case_type, justification) AS (VALUES " + ", ".join(
+    f"({i}, '{s}', '{a}', '{k}', '{why}')" for i, ((s, a, k), why) in enumerate(zip(B.GOLDEN_TEMPLATES, B.GOLDEN_REASONS), start=1)
 ) + ")"
 GOLDEN = f"""{LOGS}, {TEMPLATES},
-picked AS (SELECT template, case_type, event_id, segment, arm_expected, arm_expected IN ('dep_6m_8pct', 'dep_12m_10pct', 'reativacao') AS likely, '' AS lot
+picked AS (SELECT template, case_type, event_id, segment, arm_expected, arm_expected IN ('dep_6m_8pct', 'dep_12m_10pct', 'reativacao') AS likely, '' AS lot,
+  justification, 'arm_chosen == "' || arm_expected || '" OU conversion_rate > 0.12' AS pass_criteria, 'arm_chosen em braços com afinidade zero para ' || segment AS fail_criteria
   FROM offer_log JOIN templates USING (segment)
   QUALIFY row_number() OVER (PARTITION BY template ORDER BY md5(event_id || '|' || (42 + template)), event_id) = 1),
-filler AS (SELECT {len(B.GOLDEN_TEMPLATES) + 1} AS template, 'random' AS case_type, event_id, segment, arm AS arm_expected, reward = 1 AS likely, md5(event_id || '|42') AS lot
+filler AS (SELECT {len(B.GOLDEN_TEMPLATES) + 1} AS template, 'random' AS case_type, event_id, segment, arm AS arm_expected, reward = 1 AS likely, md5(event_id || '|42') AS lot,
+  '{B.RANDOM_REASON}' AS justification, '{B.RANDOM_PASS}' AS pass_criteria, '{B.RANDOM_FAIL}' AS fail_criteria
   FROM offer_log ORDER BY lot, event_id LIMIT 30),
-golden AS (SELECT case_type, event_id, segment, arm_expected, CAST(likely AS INTEGER) AS reward_expected FROM
+golden AS (SELECT 'GS_' || lpad(CAST(row_number() OVER (ORDER BY template, lot, event_id) AS VARCHAR), 3, '0') AS case_id,
+  case_type, event_id, segment, arm_expected, CAST(likely AS INTEGER) AS reward_expected, justification, pass_criteria, fail_criteria FROM
   (SELECT * FROM picked UNION ALL SELECT * FROM filler) ORDER BY template, lot, event_id LIMIT 30)"""
 
 
@@ -211,14 +215,15 @@ def golden_pass_rates(spark, d):
 
 
 def faulty_records(spark, d):
-    """Decision records with faults planted by key arithmetic."""
-    k = F.col("event_id")
-    return offer_log(spark, d).select(
+    """Decision records with the estimates of their segment and faults planted by key arithmetic."""
+    k, every = F.col("event_id"), F.col("_tw_estimates")
+    by_segment = B.estimates_by_segment(estimates(spark, d))
+    return offer_log(spark, d).join(F.broadcast(by_segment), "segment").select(
         F.when(k % 50 != 0, k).alias("event_id"),
         F.when(k % 40 == 0, "unknown_offer").otherwise(F.col("arm")).alias("arm_chosen"),
         F.when(k % 30 != 0, "v1.0").alias("policy_version"),
         (k % 105).cast("double").alias("estimated_conversion"),
-        F.when(k % 60 == 0, 4).otherwise(5).alias("n_estimates"),
+        F.size(F.when(k % 60 == 0, F.slice(every, 1, 4)).otherwise(every)).alias("n_estimates"),
         F.when(k % 70 == 0, 2).otherwise(F.col("reward")).alias("reward"),
         k.alias("record"),
     )
