@@ -3,9 +3,9 @@
 Documents with equal shingle sets are one node. Each band bucket links its members to its smallest
 node only. An odd sketch is a bitmap in which every MinHash sample of a node flips one bit; the bits in
 which two sketches differ count the samples that differ, most precisely where similarity is high.
-What passes is confirmed on the full sets, first one partner per node. Members of one bucket that then
-still lie in different components are compared with each other as well, so no link that would join two
-components is left out, while large groups of near copies cost one comparison per node.
+What passes is confirmed on the full sets, first one partner per node. Where nodes of one cluster then still
+lie in different components, ``within_clusters`` finds the pairs that could join them, so no such link is
+left out, while large groups of near copies cost a few comparisons per node and not all pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import size_checked, strings, write_and_read
@@ -185,6 +185,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b")
 
 
+def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components of one cluster (nid, g, comp) that may reach the similarity; none that do are left out.
+
+    Two sets reach it if at most share * (sizes added up) items differ, share = (100 - percent) / (100 + percent). All sets of
+    a cluster are compared with its centre, the items that more than half of them hold: D is what a set has otherwise. With
+    f = |D| - share * size, sets with f(x) + f(y) <= 0 are surely similar, so all of them are tied to the set with the
+    smallest f. Any other similar pair must share (f(x) + f(y)) / 2 items of its Ds, hence one of the rarest of each:
+    only those items are joined. Sets that differ from the centre each in their own way meet nobody.
+    """
+    up, down = 100 - percent, 100 + percent  # f in units of 1 / down
+    mixed = known.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("g", "m")
+    rows = write_and_read(known.join(mixed, "g").join(sets, "nid"), "mixed")
+    held = rows.select("g", F.explode("items").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"))
+    # at most twice as many items as a set of the cluster has on average
+    centre = held.join(mixed, "g").where(F.col("n") * 2 > F.col("m")).groupBy("g").agg(F.collect_list("e").alias("centre"))
+    none = F.array().cast("array<bigint>")
+    other = F.concat(F.array_except("items", F.col("centre")), F.array_except(F.col("centre"), "items"))
+    apart = rows.join(centre, "g", "left").withColumn("centre", F.coalesce("centre", none)).select(
+        "nid", "g", "comp", F.size("items").cast("bigint").alias("n"), other.alias("d"), F.size(other).cast("bigint").alias("nd")
+    )
+    f = F.col("nd") * down - F.col("n") * up
+    apart = write_and_read(apart.withColumn("f", f), "apart")
+    middle = apart.groupBy("g").agg(F.min(F.struct("f", "nid")).alias("mid")).select("g", F.col("mid.f").alias("f0"), F.col("mid.nid").alias("c"))
+    judged = apart.join(middle, "g").withColumn("far", F.col("f") + F.col("f0") > 0)
+    tied = judged.where(~F.col("far") & (F.col("nid") != F.col("c"))).select(F.least("nid", "c").alias("a"), F.greatest("nid", "c").alias("b"))
+
+    # a partner of a far set has f0 at least, one of a near set more than -f0
+    partner = F.when(F.col("far"), F.col("f0")).otherwise(1 - F.col("f0"))
+    shared = F.greatest(F.lit(1), F.ceil((F.col("f") + partner) / (2 * down)))
+    items = judged.select("nid", "g", "comp", "n", "far", (F.col("nd") - shared + 1).alias("first"), "nd", F.explode("d").alias("e"))
+    often = items.groupBy("g", "e").agg(F.count("*").alias("df")).where("df > 1")
+    common = items.join(often, ["g", "e"])
+    # items of one set: those that no other set has come first and need no row
+    own = Window.partitionBy("nid")
+    ranked = common.withColumns({"alone": F.col("nd") - F.count("*").over(own), "r": F.row_number().over(own.orderBy("df", "e"))})
+    first = write_and_read(ranked.where(F.col("alone") + F.col("r") <= F.col("first")).select("g", "e", "nid", "comp", "n", "far"), "rare")
+    x = first.where("far").select("g", "e", *(F.col(c).alias(f"x_{c}") for c in ("nid", "comp", "n")))
+    y = first.select("g", "e", *(F.col(c).alias(f"y_{c}") for c in ("nid", "comp", "n", "far")))
+    near_enough = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    once = ~F.col("y_far") | (F.col("x_nid") < F.col("y_nid"))
+    met = x.join(y, ["g", "e"]).where((F.col("x_comp") != F.col("y_comp")) & near_enough & once)
+    return tied.union(met.select(F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b"))).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -235,24 +279,26 @@ def near_duplicates(
     links = write_and_read(confirmed(first, sets, percent), "links")
     comps = write_and_read(connected(links), "comps")
 
-    # buckets whose members do not all lie in one component yet
-    placed = members.join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    # candidates that could still join two components: within a cluster of similar nodes, and across clusters
+    clusters = write_and_read(connected(spokes), "clusters")
+    known = clusters.select(F.col("node").alias("nid"), F.col("comp").alias("g")).join(comps.withColumnRenamed("node", "nid"), "nid", "left")
+    known = write_and_read(known.withColumn("comp", F.coalesce("comp", "nid")), "known")
+    inside = within_clusters(known, sets, percent)
+    placed = members.select("h", "nid").join(known, "nid", "left").withColumns({"g": F.coalesce("g", "nid"), "comp": F.coalesce("comp", "nid")})
     placed = write_and_read(placed, "placed")
-    split = placed.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("h")
-    open_members = placed.join(split, "h", "left_semi").select("h", "nid", "comp").join(sketches, "nid")
-    x = open_members.select("h", *(F.col(c).alias(f"x_{c}") for c in ("nid", "comp", "n", "odd")))
-    y = open_members.select("h", *(F.col(c).alias(f"y_{c}") for c in ("nid", "comp", "n", "odd")))
+    split = placed.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("h")
+    open_members = placed.join(split, "h", "left_semi").select("h", "nid", "g").join(sketches, "nid")
+    x = open_members.select("h", *(F.col(c).alias(f"x_{c}") for c in ("nid", "g", "n", "odd")))
+    y = open_members.select("h", *(F.col(c).alias(f"y_{c}") for c in ("nid", "g", "n", "odd")))
     across = (
-        x.join(y, (x["h"] == y["h"]) & (F.col("x_comp") < F.col("y_comp")) & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent))
+        x.join(y, (x["h"] == y["h"]) & (F.col("x_g") < F.col("y_g")) & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent))
         .where(bits_apart(F.col("x_odd"), F.col("y_odd")) <= most_bits_apart(LEAST_ESTIMATE))
         .select(F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
     )
-    across = write_and_read(across, "across")
-    more = across.select(F.col("a").alias("nid")).union(across.select("b")).distinct().join(busy, "nid", "left_anti")
+    rest = write_and_read(sifted(inside, sketches).select("a", "b").union(across).distinct(), "rest")
+    more = rest.select(F.col("a").alias("nid")).union(rest.select("b")).distinct().join(busy, "nid", "left_anti")
     all_sets = sets.union(sets_of(more, "moresets"))
-    extra = write_and_read(confirmed(across, all_sets, percent), "links")
+    extra = write_and_read(confirmed(rest, all_sets, percent), "links")
     comps = write_and_read(connected(links.union(extra)), "comps")
 
     grouped = nodes.select("nid", "d1", "d2", "label", "copies").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
