@@ -214,18 +214,21 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
     # a partner of a far set has f0 at least, one of a near set more than -f0
     partner = F.when(F.col("far"), F.col("f0")).otherwise(1 - F.col("f0"))
     shared = F.greatest(F.lit(1), F.ceil((F.col("f") + partner) / (2 * down)))
-    items = judged.select("nid", "g", "comp", "n", "far", (F.col("nd") - shared + 1).alias("first"), "nd", F.explode("d").alias("e"))
+    items = judged.select("nid", "g", "comp", "n", "f", "far", (F.col("nd") - shared + 1).alias("first"), "nd", F.explode("d").alias("e"))
     often = items.groupBy("g", "e").agg(F.count("*").alias("df")).where("df > 1")
     common = items.join(often, ["g", "e"])
     # items of one set: those that no other set has come first and need no row
     own = Window.partitionBy("nid")
-    ranked = common.withColumns({"alone": F.col("nd") - F.count("*").over(own), "r": F.row_number().over(own.orderBy("df", "e"))})
-    first = write_and_read(ranked.where(F.col("alone") + F.col("r") <= F.col("first")).select("g", "e", "nid", "comp", "n", "far"), "rare")
-    x = first.where("far").select("g", "e", *(F.col(c).alias(f"x_{c}") for c in ("nid", "comp", "n")))
-    y = first.select("g", "e", *(F.col(c).alias(f"y_{c}") for c in ("nid", "comp", "n", "far")))
+    place = F.col("nd") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e"))
+    ranked = common.withColumn("place", place).where(F.col("place") <= F.col("first"))
+    first = write_and_read(ranked.select("g", "e", "nid", "comp", "n", "f", "far", (F.col("nd") - F.col("place")).alias("after")), "rare")
+    x = first.where("far").select("g", "e", *(F.col(c).alias(f"x_{c}") for c in ("nid", "comp", "n", "f", "after")))
+    y = first.select("g", "e", *(F.col(c).alias(f"y_{c}") for c in ("nid", "comp", "n", "f", "after", "far")))
+    # the first item that a pair shares leaves room, in what comes after it, for all the others that it must share
+    room = F.least("x_after", "y_after") + 1 >= F.ceil((F.col("x_f") + F.col("y_f")) / (2 * down))
     near_enough = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
     once = ~F.col("y_far") | (F.col("x_nid") < F.col("y_nid"))
-    met = x.join(y, ["g", "e"]).where((F.col("x_comp") != F.col("y_comp")) & near_enough & once)
+    met = x.join(y, ["g", "e"]).where((F.col("x_comp") != F.col("y_comp")) & near_enough & once & room)
     return tied.union(met.select(F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b"))).distinct()
 
 
