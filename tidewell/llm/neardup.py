@@ -326,6 +326,8 @@ def keep_first_of_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     marks = write_and_read(near_duplicates(docs, doc_id, text, words_per_shingle), "marks")
     gone = marks.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_tw_gone")).distinct()
+    if size_checked(gone, MAX_BROADCAST_NODES):  # else the texts are shuffled by document
+        gone = F.broadcast(gone)
     stay = docs.join(gone, F.col(doc_id).cast("bigint") == F.col("_tw_gone"), "left_anti")
     twice = marks.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if twice:
