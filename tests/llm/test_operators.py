@@ -345,6 +345,30 @@ def test_propagation_gathers_groups(session):
     assert before >= 400 and after <= before // 8 and hot <= 6
 
 
+@pytest.mark.parametrize("singles", [870, 0])
+def test_groups_larger_than_their_shard(session, singles):
+    """Interleaved ids: a hot group gathers in the fewest shards that hold it, and nothing else stays cut that fits, even if no shard has room to spare."""
+    texts = ["hot"] * 1000 + [f"warm{i}" for i in range(3) for _ in range(90)] + [f"t{i % 430}" for i in range(860)] + [f"u{i}" for i in range(singles)]
+    random.Random(4).shuffle(texts)
+    rows = list(enumerate(texts))
+    got = sharding.shards_of(session.createDataFrame(rows, "doc_id bigint, text string").repartition(3), shards=30).collect()
+    check_shards(got, rows, 30)
+    parts = defaultdict(set)
+    for r in got:
+        parts[texts[r.doc_id]].add(r.shard)
+    capacity = -(-len(rows) // 30)
+    assert len(parts["hot"]) == -(-1000 // capacity)
+    cut = [t for t in parts if t[0] == "t" and len(parts[t]) > 1]
+    assert len(cut) <= (0 if singles else 29)
+    assert all(len(parts[f"warm{i}"]) == -(-90 // capacity) for i in range(3))
+
+
+def test_groups_fit_in_the_fewest_shards():
+    room = [10, 10, 10, 10]
+    assert Counter(g for g, _, _ in sharding.fitted([("a", 23), ("b", 6), ("c", 4), ("d", 7)], room)) == Counter({"a": 3, "b": 1, "c": 1, "d": 1})
+    assert room == [0, 0, 0, 0]
+
+
 # pages
 
 
