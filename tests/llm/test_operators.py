@@ -397,6 +397,50 @@ def test_main_text(session):
         assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_copied_bodies_without_an_article_stay(session):
+    """Copies and near copies under main, role=main, content and plain divs keep their text; templates around them go where other bodies show them."""
+    draw = random.Random(16)
+    pages, want = [], {}
+
+    def put(host, body, menu=(), mark="div", name=None):
+        at = len(pages)
+        html = f"<title>T{at}</title><nav>n{at}</nav><{mark}>" + "".join(f"<p>{x}</p>" for x in [*menu, *body]) + f"</{mark.split()[0]}>"
+        pages.append((at, f"http://{host}.example/a/{name or at}", html))
+        want[at] = [*menu, *body]
+        return at
+
+    def text(n):
+        return [" ".join(prose(draw, 30)) for _ in range(n)]
+
+    menu = ["Start", "All our stories"]
+    for mark in ("main", "div role=main", 'div class="content"', "div"):
+        body = text(4)
+        host = f"h{len(pages)}"
+        for n in (2, 7):
+            for i in range(n):
+                put(f"{host}c{n}", body, menu, mark)  # nothing but title and navigation differs
+                put(f"{host}d{n}", [*body, f"printed at {i}"], menu, mark)
+                put(f"{host}e{n}", [*body[: i % 4], " ".join(prose(draw, 40)), *body[i % 4 + 1 :]], menu, mark)  # a paragraph edited
+    shared = text(1)
+    for _ in range(2):  # two of ten pages share a paragraph; the template of the host goes
+        want[put("part", [*shared, *text(3)], menu)] = None
+    for _ in range(8):
+        want[put("part", text(3), menu)] = None
+    copied = text(3)
+    for i in range(5):  # copies among pages of their own, and each body twice in a row
+        want[put("mixed", [*copied, f"printed at {i}"], menu)] = None
+    for _ in range(6):
+        body = text(3)
+        for i in range(2):
+            want[put("mixed", [*body, f"seen {draw.random()}"], menu)] = None
+    for at, _, html in pages:
+        if want[at] is None:
+            want[at] = re.findall("<p>(.*?)</p>", html)[len(menu) :]
+    table = session.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in htmltext.main_text(table).collect()}
+    assert got == {at: "\n".join(lines) for at, lines in want.items()}
+
+
 # packing
 
 
