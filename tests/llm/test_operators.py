@@ -220,6 +220,19 @@ def test_near_dedup_stage(docs, rows):
     assert {d for d in got if d is not None} == {d for d in kept if d is not None}
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_near_dedup_keeps_other_texts_of_an_id(session, bound, monkeypatch):
+    """Rows that share an id but not the text are judged each by its own group."""
+    monkeypatch.setattr(neardup, "MAX_BROADCAST_NODES", bound)
+    draw = random.Random(23)
+    a, b, c, d, e = (" ".join(prose(draw, 80)) for _ in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (3, c), (3, d), (4, e), (4, e + " more"), (5, None), (5, "x y"), (None, a), (6, d)]
+    got = Counter(tuple(r) for r in neardup.keep_first_of_group(session.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect())
+    either = {(4, e), (4, e + " more")}
+    assert sum(got[x] for x in either) == 1
+    assert Counter({x: n for x, n in got.items() if x not in either}) == Counter([(1, a), (2, b), (3, c), (3, d), (5, None), (5, "x y"), (None, a)])
+
+
 def test_components(session):
     draw = random.Random(12)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(draw.randint(200, 400), draw.randint(200, 400)) for _ in range(90)]

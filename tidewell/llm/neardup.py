@@ -124,9 +124,12 @@ def row_id(doc_id: str, text: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(text).bitwiseAND(NO_ID - 1).bitwiseOR(F.lit(NO_ID)))
 
 
-def sketched(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int) -> DataFrame:
-    """(doc_id, rid, n, d1, d2, odd, bands): set size, digest of the set, odd sketch and band keys; nulls after n for empty sets."""
-    ddl = "doc_id bigint, rid bigint, n bigint, d1 bigint, d2 bigint, odd array<bigint>, bands array<bigint>"
+def sketched(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int, hashed: bool = False) -> DataFrame:
+    """(doc_id, rid, n, d1, d2, odd, bands): set size, digest of the set, odd sketch and band keys; nulls after n for empty sets.
+
+    ``hashed`` adds ``text_hash``.
+    """
+    ddl = "doc_id bigint, rid bigint, n bigint, d1 bigint, d2 bigint, odd array<bigint>, bands array<bigint>" + ", text_hash bigint" * hashed
 
     def sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -147,11 +150,12 @@ def sketched(docs: DataFrame, doc_id: str, text: str, words_per_shingle: int) ->
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [frame.column(0), frame.column(1), pa.array(sizes, pa.int64()), pa.array([d for d, _ in digests], pa.int64()),
-                 pa.array([d for _, d in digests], pa.int64()), pa.array(odds, longs), pa.array(bands, longs)],
-                names=["doc_id", "rid", "n", "d1", "d2", "odd", "bands"],
+                 pa.array([d for _, d in digests], pa.int64()), pa.array(odds, longs), pa.array(bands, longs), *(frame.column(3 + i) for i in range(hashed))],
+                names=["doc_id", "rid", "n", "d1", "d2", "odd", "bands", *["text_hash"] * hashed],
             )
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_id(doc_id, text).alias("rid"), F.col(text)).mapInArrow(sketch, ddl)
+    extra = [F.xxhash64(text).alias("text_hash")] if hashed else []
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_id(doc_id, text).alias("rid"), F.col(text), *extra).mapInArrow(sketch, ddl)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words_per_shingle: int) -> DataFrame:
@@ -233,16 +237,17 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 5, percent: int = 80
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 5, percent: int = 80, hashed: bool = False
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of its group) and ``kept``.
 
     Words are split at white space, A-Z in lower case. Texts without words, null or empty, have an empty set and
     are linked with nothing. Equal sets are always linked. Repeated rows give a row each. A null id
     counts as larger than any other; ``kept`` says whether the id is that of its group. An empty table gives an
-    empty table, other columns are not read, texts of any length are taken whole.
+    empty table, other columns are not read, texts of any length are taken whole. ``hashed`` adds ``text_hash``, the text's
+    xxhash64, and ``comp``, which tells groups apart that have the same smallest id; null for a set of one row that is alone.
     """
-    rows = write_and_read(sketched(docs, doc_id, text, words_per_shingle), "sketch")
+    rows = write_and_read(sketched(docs, doc_id, text, words_per_shingle, hashed), "sketch")
     nodes = (
         rows.where("n > 0")
         .groupBy("d1", "d2")
@@ -306,30 +311,40 @@ def near_duplicates(
 
     grouped = nodes.select("nid", "d1", "d2", "label", "copies").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
     grouped = grouped.withColumn("comp", F.coalesce("comp", "nid"))
-    named = grouped.groupBy("comp").agg(F.min("label").alias("component_id"))
+    size = [F.count("*").alias("nodes")] if hashed else []
+    named = grouped.groupBy("comp").agg(F.min("label").alias("component_id"), *size)
+    told = (F.col("copies") > 1) | ~F.col("label").eqNullSafe(F.col("component_id"))
     per_set = (
         grouped.join(named, "comp")
-        .where((F.col("copies") > 1) | ~F.col("label").eqNullSafe(F.col("component_id")))
-        .select("d1", "d2", "copies", "component_id")
+        .where(told | (F.col("nodes") > 1) if hashed else told)
+        .select("d1", "d2", "copies", "component_id", *["comp"] * hashed)
     )
-    marked = attach(rows.select("doc_id", "n", "d1", "d2"), write_and_read(per_set, "groups"), ["d1", "d2"], weight="copies")
+    marked = attach(rows.select("doc_id", "n", "d1", "d2", *["text_hash"] * hashed), write_and_read(per_set, "groups"), ["d1", "d2"], weight="copies")
     component = F.when(F.col("component_id") < NO_ID, F.col("component_id")).when(F.col("component_id").isNull(), F.col("doc_id"))
     return marked.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *["text_hash", "comp"] * hashed
     )
 
 
 def keep_first_of_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id; see ``near_duplicates``.
 
-    Of several rows with one id, one stays. Rows without an id cannot be told apart and stay, unless a row with an id is in their group.
+    Rows are told apart by id and text: of repeated rows one stays; of rows that share an id but not the text, each is judged by its own
+    group, and one stays of those that are near duplicates of each other. Rows without an id cannot be told apart and stay.
     """
-    marks = write_and_read(near_duplicates(docs, doc_id, text, words_per_shingle), "marks")
-    gone = marks.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_tw_gone")).distinct()
+    marks = write_and_read(near_duplicates(docs, doc_id, text, words_per_shingle, hashed=True), "marks").where("doc_id IS NOT NULL")
+    gone = marks.where(~F.col("kept")).select("doc_id", "text_hash")
+    twice = marks.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if twice:  # texts of one id that are near duplicates of each other: the one with the smallest hash stays
+        own = marks.where("kept AND comp IS NOT NULL").select("doc_id", "comp", "text_hash")
+        several = own.groupBy("doc_id", "comp").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).where("first < last")
+        gone = gone.union(own.join(several, ["doc_id", "comp"]).where("text_hash > first").select("doc_id", "text_hash"))
+    gone = gone.distinct().select(F.col("doc_id").alias("_tw_gone"), F.col("text_hash").alias("_tw_gone_text"))
     if size_checked(gone, MAX_BROADCAST_NODES):  # else the texts are shuffled by document
         gone = F.broadcast(gone)
-    stay = docs.join(gone, F.col(doc_id).cast("bigint") == F.col("_tw_gone"), "left_anti")
-    twice = marks.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    same = (F.col(doc_id).cast("bigint") == F.col("_tw_gone")) & (F.xxhash64(text) == F.col("_tw_gone_text"))
+    stay = docs.join(gone, same, "left_anti")
     if twice:
-        stay = stay.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(stay.where(F.col(doc_id).isNull()))
+        with_id = stay.where(F.col(doc_id).isNotNull()).withColumn("_tw_text", F.xxhash64(text))
+        stay = with_id.dropDuplicates([doc_id, "_tw_text"]).drop("_tw_text").unionByName(stay.where(F.col(doc_id).isNull()))
     return stay
