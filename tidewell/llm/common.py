@@ -31,11 +31,16 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tidewell/{label}-{uuid.uuid4().hex}"
 
 
-def write_and_read(df: DataFrame, label: str) -> DataFrame:
-    """Write to a new folder under ``spark.checkpoint.dir`` and read back: no lineage, survives lost executors."""
+def written(df: DataFrame, label: str, **options) -> str:
+    """Write to a new folder under ``spark.checkpoint.dir``; the folder."""
     path = fresh_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
+    return path
+
+
+def write_and_read(df: DataFrame, label: str) -> DataFrame:
+    """Write and read back: no lineage, survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
 
 
 def size_checked(df: DataFrame, max_rows: int) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import licenses, quality, secrets
+from tidewell.llm import filteraudit, hardneg, licenses, quality, secrets
 
 SQL: dict[str, str] = {}
 
@@ -217,3 +217,80 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+#: ``<`` and ``|`` get one more backslash between them; a role has its backslashes and line ends spelt out first.
+_ESCAPED = r"""regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g')"""
+_ROLE = _ESCAPED.format(x=r"replace(replace(role, '\', '\\'), chr(10), '\n')")
+
+SQL["op11_chat_formatting"] = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+        SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+),
+formatted AS (SELECT *, '<|im_start|>' || {_ROLE} || chr(10) || {_ESCAPED.format(x="text")} || '<|im_end|>' || chr(10) AS f FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(f)) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments
+FROM formatted GROUP BY conv_id
+"""
+
+_FILTERS = filteraudit.FILTERS
+_PLACES = ", ".join(f"position('{f}' IN o) AS p{f}" for f in _FILTERS)
+_GONE = "least(" + ", ".join(f"CASE WHEN {f} THEN p{f} ELSE 6 END" for f in _FILTERS) + ")"
+_FAILS = " ".join(f"WHEN '{f}' THEN {f}" for f in _FILTERS)
+_ALONE = "(" + " + ".join(f"CAST({f} AS INT)" for f in _FILTERS) + ") = 1"
+
+SQL["op12_filter_audit"] = rf"""
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+said AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+    SELECT part, len(w) < {filteraudit.MIN_WORDS} AS A, 100 * len(list_distinct(w)) < {filteraudit.MIN_DISTINCT} * len(w) AS B,
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filteraudit.MAX_UPPER} * length(t) AS C, regexp_matches(t, '[#$%&*|]') AS D,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS E, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+    FROM words LEFT JOIN said USING (doc_id)
+),
+cells AS (SELECT part, A, B, C, D, E, count(*) AS n, sum(CAST(good AS INT)) AS good, sum(CAST(toxic AS INT)) AS toxic FROM flags GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+gone AS (SELECT *, {_GONE} AS gone FROM cells, (SELECT o, {_PLACES} FROM orders)),
+steps AS (
+    SELECT part, o, step, o[step] AS f, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+        sum(n) FILTER (gone < step AND CASE o[step] {_FAILS} END) AS redundant,
+        sum(n) FILTER (CASE o[step] {_FAILS} END AND {_ALONE}) AS unique_fails,
+        sum(good) FILTER (gone = step) AS good_lost, sum(toxic) FILTER (gone = step) AS toxic_lost
+    FROM gone, (SELECT unnest(range(1, 6)) AS step) GROUP BY part, o, step
+)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step,
+    {", ".join(f"CAST(coalesce({m}, 0) AS BIGINT) AS {m}" for m in filteraudit.MEASURES[:-1])},
+    CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM steps
+"""
+
+SQL["op13_hard_negatives"] = f"""
+WITH fine AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor({hardneg.SCALE} * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.id AS anchor_id, a.label = c.label AS same, c.id, CAST(list_dot_product(a.q, c.q) AS BIGINT) AS score
+    FROM (SELECT * FROM fine WHERE id % 50 = 0) a JOIN fine c ON c.id <> a.id
+),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {hardneg.POSITIVES}
+),
+negatives AS (
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS place, id, positive_score, score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND {hardneg.LOW} * positive_score <= 100 * score AND 100 * score <= {hardneg.HIGH} * positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score FROM negatives WHERE place <= {hardneg.NEGATIVES}
+"""
