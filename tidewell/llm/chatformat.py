@@ -229,8 +229,8 @@ def turn_bytes(formatted: str, spans: list[dict]) -> tuple[bytes, bytes, tuple]:
 class Reader:
     """Reads a sorted range of turns; ``out`` gets a digest of each conversation that lies in it whole, and pieces of all others."""
 
-    def __init__(self, number: int):
-        self.number, self.seq, self.out = number, 0, []
+    def __init__(self, number: int, piece_bytes: int = PIECE_BYTES):
+        self.number, self.seq, self.out, self.most = number, 0, [], piece_bytes
         self.conv, self.held, self.size = None, [], 0
         #: whether the conversation goes out in pieces: the first one may have begun in an earlier range, and long ones are not held
         self.pieced, self.started = True, False
@@ -242,7 +242,7 @@ class Reader:
         self.conv, self.started = conv, True
         self.held.append(turn_bytes(formatted, spans))
         self.size += len(self.held[-1][0])
-        if self.size > PIECE_BYTES:
+        if self.size > self.most:
             self._piece()
 
     def finish(self) -> None:
@@ -267,16 +267,19 @@ class Reader:
         self.held, self.size, self.pieced = [], 0, True
 
 
-def _read_range(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader = Reader(TaskContext.get().partitionId())
-    for frame in frames:
-        for row in zip(*(frame.column(i).to_pylist() for i in range(3))):
-            reader.turn(*row)
-            if len(reader.out) >= (OUT_PIECES if reader.pieced else BATCH_ROWS):
-                yield _batch(reader.out, DIGEST_NAMES + PIECE_NAMES, DIGEST_TYPES + PIECE_TYPES)
-                reader.out = []
-    reader.finish()
-    yield _batch(reader.out, DIGEST_NAMES + PIECE_NAMES, DIGEST_TYPES + PIECE_TYPES)
+def read_range(piece_bytes: int):
+    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(TaskContext.get().partitionId(), piece_bytes)
+        for frame in frames:
+            for row in zip(*(frame.column(i).to_pylist() for i in range(3))):
+                reader.turn(*row)
+                if len(reader.out) >= (OUT_PIECES if reader.pieced else BATCH_ROWS):
+                    yield _batch(reader.out, DIGEST_NAMES + PIECE_NAMES, DIGEST_TYPES + PIECE_TYPES)
+                    reader.out = []
+        reader.finish()
+        yield _batch(reader.out, DIGEST_NAMES + PIECE_NAMES, DIGEST_TYPES + PIECE_TYPES)
+
+    return work
 
 
 def _join_pieces(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +297,9 @@ def _join_pieces(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(out, DIGEST_NAMES, DIGEST_TYPES)
 
 
-def conversation_digests(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def conversation_digests(
+    turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", piece_bytes: int = PIECE_BYTES
+) -> DataFrame:
     """One row per conversation, read back from its formatted turns: digests of the turns and of the learnt text, and their lengths.
 
     Turns of a conversation follow ``turn`` (null first), then role and text (null counts as empty); repeated rows are turns each; rows
@@ -307,7 +312,7 @@ def conversation_digests(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     )
     ranged = rows.repartitionByRange("conv_id", "turn", "role", F.left("text", F.lit(RANGE_CHARS))).sortWithinPartitions("conv_id", "turn", "role", "text")
     formatted = format_turns(ranged.withColumn("parts", text_parts("text")).drop("text"))
-    read = formatted.select("conv_id", "formatted", "loss").mapInArrow(_read_range, f"{DIGEST_DDL}, {PIECE_DDL}")
+    read = formatted.select("conv_id", "formatted", "loss").mapInArrow(read_range(piece_bytes), f"{DIGEST_DDL}, {PIECE_DDL}")
     read = write_and_read(read, "chats")
     whole = read.where("range IS NULL").select(*DIGEST_NAMES)
     pieces = read.where("range IS NOT NULL").repartition("conv_id").sortWithinPartitions("conv_id", "range", "seq")

@@ -160,24 +160,24 @@ def anchor_blocks(folder: str) -> Iterator[pa.Table]:
             yield table.slice(at, TABLE_ANCHORS)
 
 
-def _chunks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _chunks(frames: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     held, rows = [], 0
     for frame in frames:
         if frame.num_rows:
             held.append(frame)
             rows += frame.num_rows
-        if rows >= CHUNK_ROWS:
+        if rows >= most:
             yield pa.Table.from_batches(held)
             held, rows = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def near_same(folder: str, most: int):
+def near_same(folder: str, most: int, chunk_rows: int):
     """Of each chunk of candidates, the best of an anchor's own label."""
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _chunks(frames):
+        for table in _chunks(frames, chunk_rows):
             rows = Candidates(table)
             for part in anchor_blocks(folder):
                 block = Rows(part)
@@ -200,11 +200,11 @@ def near_same(folder: str, most: int):
     return work
 
 
-def near_other(folder: str, most: int, low: int, high: int):
+def near_other(folder: str, most: int, low: int, high: int, chunk_rows: int):
     """Of each chunk of candidates, the best of other labels between the limits of every positive of an anchor."""
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _chunks(frames):
+        for table in _chunks(frames, chunk_rows):
             rows = Candidates(table)
             for part in anchor_blocks(folder):
                 block = Rows(part)
@@ -249,7 +249,7 @@ def usable(vectors: DataFrame, vec_id: str, vector: str, label: str, relabel_eve
 
 def hard_negatives(
     vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", every: int = 50,
-    positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH,
+    positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One row per anchor, positive and negative: ``anchor_id``, ``positive_id``, ``rank``, ``negative_id``, ``positive_score``, ``negative_score``.
 
@@ -266,7 +266,7 @@ def hard_negatives(
     files = max(1, -(-anchors.count() // FILE_ANCHORS))
 
     folder = written(anchors.repartition(files), "anchorfiles", maxRecordsPerFile=FILE_ANCHORS)
-    close = rows.mapInArrow(near_same(folder, positives), "aid bigint, id bigint, score bigint")
+    close = rows.mapInArrow(near_same(folder, positives, chunk_rows), "aid bigint, id bigint, score bigint")
     order = [F.col("score").desc(), F.col("id").asc_nulls_last()]
     close = close.withColumn("place", F.row_number().over(Window.partitionBy("aid").orderBy(*order))).where(F.col("place") <= positives)
     # at most ``positives`` rows of each anchor
@@ -275,7 +275,7 @@ def hard_negatives(
     aimed = write_and_read(anchors.join(lists, "aid"), "positives")
 
     folder = written(aimed.repartition(files), "aimedfiles", maxRecordsPerFile=FILE_ANCHORS)
-    far = rows.mapInArrow(near_other(folder, negatives, low, high), "aid bigint, p int, id bigint, score bigint")
+    far = rows.mapInArrow(near_other(folder, negatives, low, high, chunk_rows), "aid bigint, p int, id bigint, score bigint")
     far = far.withColumn("rank", F.row_number().over(Window.partitionBy("aid", "p").orderBy(*order))).where(F.col("rank") <= negatives)
     named = aimed.select("aid", F.col("id").alias("anchor_id"), F.posexplode("positives").alias("p", "positive"))
     return far.join(named, ["aid", "p"]).select(
