@@ -10,6 +10,7 @@ groups of equal token counts. A task packs its own input partition, so nothing i
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict, deque
@@ -32,13 +33,16 @@ END = 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Distinct words a worker keeps the ids of; then it starts anew.
 CACHE_WORDS = 300_000
+#: Longer runs of white space are left to the slower of the two libraries: the other descends once for each of their characters.
+MOST_SPACES = 10_000
+_SPACES = re.compile(r"\s+")
 
 
 class Tokens:
     """Byte-level BPE ids of texts. Words recur, so ids of space-separated words are kept.
 
     A piece of text that starts with one space before a visible character, after a visible one, is
-    always split there by the vocabulary's pattern; texts with other spacing are encoded whole.
+    always split there by the vocabulary's pattern; texts with other spacing, at the ends of lines too, are encoded whole.
     """
 
     kept: dict[str, "Tokens"] = {}
@@ -50,6 +54,7 @@ class Tokens:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.library = ranks_path, None
         self.words: dict[str, bytes] = {}
         self.newline = self._raw("\n")
 
@@ -60,8 +65,18 @@ class Tokens:
         return cls.kept[path]
 
     def _raw(self, text: str) -> bytes:
+        if len(text) > MOST_SPACES and max((m.end() - m.start() for m in _SPACES.finditer(text)), default=0) > MOST_SPACES:
+            return np.array(self._library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.coder.encode_ordinary(text), "<u4").tobytes()
 
+    def _library(self):
+        """The same vocabulary as the other library reads it; its file lies beside that of the ranks."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(re.sub(r"\.tiktoken$", ".json", self.path))
+        return self.library
+
     def _word(self, word: str) -> bytes:
         ids = self._raw(word)
         if len(self.words) >= CACHE_WORDS:
@@ -72,7 +87,7 @@ class Tokens:
     def _line(self, line: str) -> bytes | None:
         """None if the spacing of the line is not single spaces between visible characters."""
         words = line.split(" ")
-        if len(words) != len(line.split()):
+        if words != line.split():
             return None
         get, parts = self.words.get, []
         for i, w in enumerate(words):
