@@ -635,3 +635,22 @@ def test_near_duplicates_of_a_cluster_without_a_middle(session, monkeypatch):
     assert got == want
     assert 1 < len({c for _, _, c, _ in want}) < len(rows)
     assert 0 < seen[0].count() < 84 * 83 // 4
+
+
+def test_leaks_of_items_in_many_blocks(session, monkeypatch):
+    """The windows of a long item spread over blocks; it is reported once, and rows of equal items each."""
+    draw = random.Random(14)
+    long_item = prose(draw, 900)
+    edited = list(long_item)
+    for at in range(0, 900, 9):
+        edited[at] = "changed"
+    texts = [" ".join(prose(draw, 50) + edited), " ".join(long_item[:400]), " ".join(long_item), None]
+    table = session.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    bench = session.createDataFrame([(1, " ".join(long_item)), (1, " ".join(long_item)), (2, " ".join(long_item[100:140]))], "item_id int, text string")
+    monkeypatch.setattr(decontam, "CHUNK_WORDS", 100)
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 400)
+    got = Counter((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(table, bench).collect())
+    fuzzy = sum(1 for at in range(100, 140) if at % 9 == 0)
+    assert got == {(0, 1, 100): 2, (2, 1, 0): 2, (0, 2, fuzzy): 1, (1, 2, 0): 1, (2, 2, 0): 1}
+    with pytest.raises(ValueError):
+        decontam.without_leaks(table.withColumn("_tw_hits", F.lit(1)), bench)

@@ -245,3 +245,70 @@ def test_packer_keeps_every_token_once():
             used[0] += length
         assert all(used <= tier for used, tier in sequences.values())
         assert sum(used != tier for used, tier in sequences.values()) <= 1
+
+
+SPACES = [" ", "\n", "\t", "\r", "\x0b", "\x0c", "\xa0", "\x85", " ", "　", "\x1c", "​", "  "]
+
+
+def test_ids_around_any_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidewell.llm.queries import ranks_path
+
+    library, tokens, draw = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), packing.Tokens(ranks_path()), random.Random(1)
+    texts = ["a\n\xa0\xa0b", "\xa0", "x \xa0y\n z", " " * 30_000 + "b", "a" + "\n" * 20_000, "a" + " \n" * 9_000 + " b<|endoftext|> "]
+    for _ in range(8000):
+        texts.append("".join(draw.choice(SPACES) if draw.random() < 0.45 else draw.choice(["a", "é", "b1", "'s", "x.", "漢", "<|endoftext|>"]) for _ in range(draw.randint(0, 12))))
+    for text in texts:
+        assert tokens.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_very_long_run_of_spaces_packs():
+    from tidewell.llm.queries import ranks_path
+
+    ids = packing.Tokens(ranks_path()).encode("a" + " " * 3_000_000 + "b")
+    assert len(ids) == 3_000_001
+
+
+def live_by_force(words, excess):
+    out = np.zeros(len(words), bool)
+    for a in range(len(words)):
+        total = 0
+        for b in range(a, len(words)):
+            if not words[b]:
+                break
+            total += 1 if words[b] & 1 else -1
+            if total >= excess:
+                out[a : b + 1] = True
+    return out
+
+
+def test_live_places():
+    draw = np.random.RandomState(6)
+    for _ in range(200):
+        words = draw.choice([0, decontam.FOREIGN, 3, 5], draw.randint(1, 60), p=[0.05, 0.4, 0.3, 0.25]).astype(np.uint64)
+        excess = int(draw.randint(1, 6))
+        assert (decontam.live_places(words, excess) == live_by_force(words.tolist(), excess)).all()
+
+
+def test_long_edited_items_are_found():
+    """Items of 6,000 words, all windows of which are indexed, and copies with edits in up to 18 % of the words."""
+    draw = random.Random(8)
+    items = [(i, " ".join(prose(draw, 6000))) for i in range(4)]
+    index, found, planted = decontam.Index(items), 0, 0
+    for edits in (0.05, 0.18):
+        for i, text in items:
+            copy = text.split()
+            for _ in range(int(6000 * edits)):
+                at, kind = draw.randrange(len(copy)), draw.random()
+                if kind < 0.5:
+                    copy[at] = f"x{draw.randint(1, 999)}"
+                elif kind < 0.75:
+                    del copy[at]
+                else:
+                    copy.insert(at, f"x{draw.randint(1, 999)}")
+            hits = index.search([" ".join(prose(draw, 300) + copy + prose(draw, 300))])[0]
+            planted += 1
+            found += i in [h[0] for h in hits]
+    assert found >= 0.9 * planted
