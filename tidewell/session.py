@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -79,12 +80,37 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage (a lost executor re-reads files instead of recomputing)
     and lets later passes prune columns.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = staged_path(df.sparkSession, label)
     df.write.parquet(path)
-    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table with so many rows for each core and more is read by enough tasks whatever its files look like.
+ENOUGH_ROWS = 4_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly when fewer tasks than cores would hold its rows.
+
+    A file with one row group is read by one task, and work that costs much per row then runs on one core. The rows of each
+    task are counted without reading a column; a table that many tasks share is handed on as it is, so texts of a large input are never
+    moved. For scans and what is derived from them row by row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.select(F.spark_partition_id().alias("_tw_part")).groupBy("_tw_part").agg(F.count("*").alias("_tw_n"))
+    most, total = held.agg(F.max("_tw_n"), F.sum("_tw_n")).first()
+    if not total or total >= ENOUGH_ROWS * cores or most * cores <= 2 * total:
+        return df
+    return df.repartition(cores)
+
+
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A new path under the scratch folder that ``release_staged`` will delete."""
+    path = scratch_path(spark, label)
+    _staged.append(path)
+    return path
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete what this process has staged so far; for use once the results built on it are written."""
     count = 0
