@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.attach import attach
-from tidewell.session import stage
+from tidewell.session import spread, stage
 
 # English stop words, without those that hold an apostrophe
 # (the cleaning removes apostrophes first, so they could never match).
@@ -93,7 +93,7 @@ def _term_tables(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     The term counts feed both the document counts and the weights, so they are written
     once instead of tokenising the texts for each.
     """
-    counts = stage(term_counts(df, key, text), "terms")
+    counts = stage(term_counts(spread(df.select(key, text)), key, text), "terms")
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     return counts, frequency, df.agg(F.count("*").alias("n"))
 
@@ -121,7 +121,7 @@ def tfidf_weights(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def most_similar(df: DataFrame, key: str, text: str, query: str, k: int = 3) -> DataFrame:
-    """The k texts closest to the query by cosine of TF-IDF weights.
+    """The k texts closest to the query by cosine of TF-IDF weights, for a single question; ``search`` keeps an index for many.
 
     Query terms unknown to the table are dropped; a text without a shared term scores 0, so there
     are k rows whenever there are k texts. One aggregate per text gives both the product with the query

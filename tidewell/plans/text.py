@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tidewell.functions import pages as P
+from tidewell.functions import search as S
 from tidewell.functions import text as X
 from tidewell.plans.common import sql_list
 from tidewell.plans.registry import query
+from tidewell.session import scratch_root
 from tidewell.tables import load
 
 # blanks of the SQL patterns: the ASCII ones and the no-break space family
@@ -155,6 +159,12 @@ def tfidf_weights(spark, d):
     return X.tfidf_weights(load(spark, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
+def _index(spark, d):
+    """The index of the documents of a folder: built by the first query that asks it, found again by the others while the files stay the same."""
+    folder = f"{scratch_root(spark)}/tidewell/text-index-{hashlib.md5(d.encode()).hexdigest()}"
+    return S.index_of(load(spark, d, "documents"), "doc_id", "text", folder)
+
+
 QUESTION = "That the hein thatre eranenes, whou therouou heron then eratsh; theren blees sheon erstly at the rest of unseen zzz"
 
 
@@ -166,10 +176,25 @@ asked AS (SELECT term, df, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1
 s AS (SELECT doc_id, round(sum(weight * q) / (SELECT sqrt(sum(q * q)) FROM asked), 6) AS score FROM weights JOIN asked USING (term) GROUP BY 1)
 SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 3""")
 def text_similar(spark, d):
-    return X.most_similar(load(spark, d, "documents"), "doc_id", "text", QUESTION, k=3)
+    return S.most_similar(spark, _index(spark, d), QUESTION, k=3)
 
 
 @query("text_similar_unknown", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents ORDER BY doc_id LIMIT 3")
 def text_similar_unknown(spark, d):
     """No text shares a word with the question: still three rows."""
-    return X.most_similar(load(spark, d, "documents"), "doc_id", "text", "qqqq zzzz", k=3)
+    return S.most_similar(spark, _index(spark, d), "qqqq zzzz", k=3)
+
+
+@query("text_similar_each", f"""
+WITH {WEIGHTS}, questions AS (SELECT item_id, text AS question FROM benchmark),
+q_split AS (SELECT item_id AS doc_id, question AS text FROM questions),
+{TERMS.replace('tokens', 'q_tokens').replace('FROM documents)', 'FROM q_split)').replace('long AS', 'q_long AS').replace('FROM long', 'FROM q_long').replace('terms AS', 'q_terms AS').strip()},
+q_tf AS (SELECT doc_id AS item_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM q_terms) GROUP BY 1, 2),
+asked AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS q FROM q_tf JOIN df USING (term)),
+lengths AS (SELECT item_id, sqrt(sum(q * q)) AS len FROM asked GROUP BY 1),
+s AS (SELECT item_id, doc_id, round(sum(weight * q) / max(len), 6) AS score FROM weights JOIN asked USING (term) JOIN lengths USING (item_id) GROUP BY 1, 2)
+SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s
+QUALIFY rank <= 3""")
+def text_similar_each(spark, d):
+    """The three closest documents of every benchmark item, all asked of the stored index at once."""
+    return S.most_similar_each(_index(spark, d), load(spark, d, "benchmark"), "item_id", "text", k=3)
