@@ -7,13 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.moments import moments
+from tidewell.operators.moments import ridge as solve
 from tidewell.operators.windows import lag_matrix, lead_targets, look_back
-from tidewell.session import stage
 
 
 @dataclass(frozen=True)
@@ -37,21 +36,14 @@ def training_table(bars: DataFrame, series: str, day: str, lags: int, horizon: i
 
 
 def fit_direct(bars: DataFrame, series: str, day: str, lags: int, horizon: int, ridge: float = 0.01) -> StepModel:
+    """The models of all steps from one job: their features are the same, so one matrix of second moments serves them all."""
     table, features = training_table(bars, series, day, lags, horizon)
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    # every step reads the same rows: write them once
-    ready = stage(
-        assembler.transform(table).select("features", *(f"close_lead{j}" for j in range(1, horizon + 1))),
-        "forecast-train",
-    )
-    weights, intercepts = [], []
-    for j in range(1, horizon + 1):
-        fitted = LinearRegression(
-            featuresCol="features", labelCol=f"close_lead{j}", regParam=ridge, solver="normal"
-        ).fit(ready)
-        weights.append(tuple(float(w) for w in fitted.coefficients))
-        intercepts.append(float(fitted.intercept))
-    return StepModel(lags, tuple(weights), tuple(intercepts))
+    targets = [f"close_lead{j}" for j in range(1, horizon + 1)]
+    summary = moments(table, [*features, *targets])
+    if summary is None:
+        raise ValueError("no row has a full history and all values ahead")
+    weights, intercepts = solve(summary, len(features), ridge)
+    return StepModel(lags, tuple(tuple(w) for w in weights.tolist()), tuple(intercepts.tolist()))
 
 
 def predict_direct(bars: DataFrame, series: str, day: str, model: StepModel) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import uniform
+from tidewell.operators.moments import moments, newton_sums
+from tidewell.session import stage
 
 
 def _prepared(columns: Sequence[str]) -> list:
@@ -154,3 +158,76 @@ def ensemble_estimate(models: Sequence[PipelineModel], df: DataFrame) -> DataFra
         .withColumn("std", F.sqrt(spread / max(1, len(models) - 1)))
         .select(*df.columns, "mean", "std")
     )
+
+
+@dataclass(frozen=True)
+class Ensemble:
+    """Logistic models of the same columns: weights (members, columns) and intercepts."""
+
+    columns: tuple[str, ...]
+    weights: tuple[tuple[float, ...], ...]
+    intercepts: tuple[float, ...]
+
+    def probabilities(self) -> Column:
+        """An array with the probability that each member gives."""
+        def margin(weights: Sequence[float], level: float) -> Column:
+            return sum((F.col(c).cast("double") * w for c, w in zip(self.columns, weights)), F.lit(level))
+
+        return F.array(*(1.0 / (1.0 + F.exp(-margin(w, b))) for w, b in zip(self.weights, self.intercepts)))
+
+
+#: Rounds of the ensemble's fit, and the step under which a member stands still.
+MOST_ROUNDS, STILL = 50, 1e-10
+
+
+def fit_ensemble(
+    train: DataFrame, columns: Sequence[str], label: str, key: str, members: int = 30, balance: str | None = None
+) -> Ensemble:
+    """All members of ``bootstrap_models`` at once: Newton's method, one pass over the rows for each round of all members.
+
+    Weights are drawn in the row as there and written once beside the features. A member whose loss grew takes back half its step. Rows with a null or
+    NaN feature or label are refused; a column without deviation gets weight 0.
+    """
+    draws = [poisson_weight(uniform(F.col(key), seed=f"bootstrap{m}")) for m in range(members)]
+    share = F.col(balance).cast("double") if balance else F.lit(1.0)
+    rows = train.select(
+        F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.col(label).cast("double").alias("y"), F.array(*(d * share for d in draws)).alias("w")
+    )
+    rows = stage(rows, "ensemble")
+    bad = F.col("y").isNull() | F.isnan("y") | F.exists("x", lambda v: v.isNull() | F.isnan(v)) | F.exists("w", lambda v: v.isNull())
+    if rows.where(bad).limit(1).count():
+        raise ValueError("rows with a missing feature, label or weight")
+    size = len(columns)
+    summary = moments(rows.select(*(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(size))), [f"x{i}" for i in range(size)])
+    if summary is None:
+        raise ValueError("no rows to fit")
+    live = summary.deviation > 0
+    scale = np.where(live, summary.deviation, 1.0)
+    beta, last, loss = np.zeros((members, size + 1)), np.zeros((members, size + 1)), np.full(members, np.inf)
+    moving = np.ones(members, bool)
+    kept = np.concatenate([[True], live])
+    for _ in range(MOST_ROUNDS):
+        now, gradient, hessian = newton_sums(rows, size, members, beta, summary.mean, scale)
+        for m in np.flatnonzero(moving):
+            if now[m] > loss[m] * (1 + 1e-12) + 1e-12:
+                beta[m] = (beta[m] + last[m]) / 2
+                continue
+            step = np.zeros(size + 1)
+            step[kept] = np.linalg.lstsq(hessian[m][np.ix_(kept, kept)], gradient[m][kept], rcond=None)[0]
+            last[m], loss[m] = beta[m], now[m]
+            beta[m] = beta[m] + step
+            moving[m] = np.abs(step).max() > STILL * max(1.0, np.abs(beta[m]).max())
+        if not moving.any():
+            break
+    weights = np.where(live, beta[:, 1:] / scale, 0.0)
+    intercepts = beta[:, 0] - weights @ summary.mean
+    return Ensemble(tuple(columns), tuple(tuple(w) for w in weights.tolist()), tuple(intercepts.tolist()))
+
+
+def ensemble_scores(ensemble: Ensemble, df: DataFrame) -> DataFrame:
+    """Mean and sample deviation of the members' probabilities, per row."""
+    n = len(ensemble.intercepts)
+    given = df.withColumn("_tw_p", ensemble.probabilities())
+    mean = F.aggregate("_tw_p", F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.aggregate("_tw_p", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
+    return given.withColumn("mean", mean).withColumn("std", F.sqrt(spread / max(1, n - 1))).drop("_tw_p")

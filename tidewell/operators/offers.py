@@ -72,6 +72,11 @@ def offer_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *offer, *OFFER_TEXTS[offer[0]]) for i, offer in enumerate(OFFERS)], OFFER_SCHEMA)
 
 
+def with_rounds(offers: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Every offer with its ``rounds`` (offer_id, rounds); an offer that was never shown has 0."""
+    return offers.join(rounds, "offer_id", "left").withColumn("rounds", F.coalesce("rounds", F.lit(0).cast("bigint")))
+
+
 def check_context(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Adds the names of missing features; a row is valid when there are none."""
     named = [

@@ -17,19 +17,18 @@ from tidewell.plans.common import CLIENTS, LOGS, SCORED, clients, decisions, off
 from tidewell.plans.joins import AFFINITY_VALUES, OFFER_VALUES
 from tidewell.plans.models import UNIFORM
 from tidewell.plans.registry import query
-from tidewell.session import stage
 from tidewell.tables import load
 
 
 @query("offer_catalog", f"""
 WITH {OFFER_VALUES}, {AFFINITY_VALUES}, {LOGS},
 texts(offer_id, name, description) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in B.OFFER_TEXTS.items())})
-SELECT o.position, offer_id, name, description, channel, duration_months, rate, segments AS segment_affinity, base_conversion_rate, n AS rounds
-FROM offers o JOIN affinity USING (offer_id) JOIN texts USING (offer_id) JOIN (SELECT arm AS offer_id, count(*) AS n FROM decisions GROUP BY 1) USING (offer_id)""")
+SELECT o.position, offer_id, name, description, channel, duration_months, rate, segments AS segment_affinity, base_conversion_rate, coalesce(n, 0) AS rounds
+FROM offers o JOIN affinity USING (offer_id) JOIN texts USING (offer_id) LEFT JOIN (SELECT arm AS offer_id, count(*) AS n FROM decisions GROUP BY 1) USING (offer_id)""")
 def offer_catalog(spark, d):
-    """The offers beside how often the log shows them."""
+    """The offers beside how often the log shows them, 0 for one it never shows."""
     rounds = decisions(spark, d).groupBy(F.col("arm").alias("offer_id")).agg(F.count("*").alias("rounds"))
-    return B.offer_table(spark).join(rounds, "offer_id")
+    return B.with_rounds(B.offer_table(spark), rounds)
 
 
 @query("context_validate", f"""
@@ -78,9 +77,9 @@ def bootstrap_estimates(spark, d):
     columns = [*OFFER_FEATURES, *(f"segment{i}" for i in range(len(flags)))]
     log = offer_log(spark, d).join(F.broadcast(scaled), F.col("arm") == F.col("offer_id"))
     train = E.class_weights(log.select("event_id", *OFFER_FEATURES, *flags, "reward"), "reward")
-    models = M.bootstrap_models(stage(train, "bootstrap"), columns, "reward", "event_id", balance="weight")
+    members = M.fit_ensemble(train, columns, "reward", "event_id", balance="weight")
     people = pair_with_all(clients(spark, d).select("client", *flags), scaled)
-    out = M.ensemble_estimate(models, people)
+    out = M.ensemble_scores(members, people)
     return out.select("client", "offer_id", F.col("mean").between(0, 1).alias("is_share"), (F.col("std") > 0).alias("spread"))
 
 
