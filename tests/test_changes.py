@@ -1,11 +1,13 @@
 """Change sets against a replay, one change after the other."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import changes as C
+from tidewell.streaming.keyed import KeyedTable
 
 SCHEMA = "k int, a string, b int"
 LOG = "k int, seq int, op string, a string, b int"
@@ -70,3 +72,93 @@ def test_delete_reports_unknown(spark):
     base = spark.createDataFrame([(1, "x", 1), (2, "y", 2)], SCHEMA)
     left, unknown = C.apply_deletes(base, spark.createDataFrame([(2,), (9,)], "k int"), "k")
     assert [r["k"] for r in left.collect()] == [1] and [r["k"] for r in unknown.collect()] == [9]
+
+
+def random_log(rng, n, first=0):
+    log = []
+    for seq in range(first, first + n):
+        op = rng.choice(["insert", "update", "update", "delete"])
+        gone = op == "delete"
+        key = 1 if rng.random() < 0.3 else rng.randrange(60)
+        log.append((key, seq, op, None if gone or rng.random() < 0.4 else f"n{seq}", None if gone or rng.random() < 0.4 else 1000 + seq))
+    return log
+
+
+@pytest.mark.parametrize("bits", [64, 256, 1 << 14])
+def test_sifting_changes_no_result(spark, bits):
+    """Also with a filter so small that nearly every key seems changed."""
+    rng = random.Random(bits)
+    base = [(k, f"a{k}", k) for k in range(0, 400, 3)] + [(None, "n", 0)]
+    log = random_log(rng, 80)
+    table, changes = spark.createDataFrame(base, SCHEMA), spark.createDataFrame(log, LOG).repartition(3)
+    plain = Counter(map(tuple, C.apply_changes(table, changes, "k", "seq", "op").collect()))
+    assert Counter(map(tuple, C.apply_changes(table, changes, "k", "seq", "op", bits=bits).collect())) == plain
+    updates = changes.where("op = 'update'")
+    plain = Counter(map(tuple, C.apply_updates(table, updates, "k", "seq", ["a"]).collect()))
+    assert Counter(map(tuple, C.apply_updates(table, updates, "k", "seq", ["a"], bits=bits).collect())) == plain
+    gone = changes.where("op = 'delete'")
+    for got, want in zip(C.apply_deletes(table, gone, "k", bits=bits), C.apply_deletes(table, gone, "k")):
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    for got, want in zip(C.guard_unique(table, changes, "k", "seq", bits=bits), C.guard_unique(table, changes, "k", "seq")):
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_only_touched_rows_are_shuffled(spark, tmp_path):
+    spark.range(200_000).select(F.col("id").alias("k"), F.lit("a").alias("a"), F.lit(1).alias("b")).write.parquet(str(tmp_path / "base"))
+    spark.range(50).select((F.col("id") * 3001).alias("k"), F.col("id").alias("seq"), F.lit("update").alias("op"), F.lit("z").alias("a"), F.lit(None).cast("int").alias("b")).write.parquet(str(tmp_path / "log"))
+    base, log = spark.read.parquet(str(tmp_path / "base")), spark.read.parquet(str(tmp_path / "log"))
+    hit, rest = C.touched(base, log, "k")
+    assert rest is not None and 50 <= hit.count() <= 1000 and hit.count() + rest.count() == 200_000
+    changed = C.apply_changes(base, log, "k", "seq", "op")
+    assert changed.where("a = 'z'").count() == 50 and changed.count() == 200_000
+    assert "Exchange hashpartitioning" not in rest._jdf.queryExecution().executedPlan().toString()
+
+
+def keyed(spark, tmp_path, base, **options):
+    table = KeyedTable(spark, str(tmp_path / "keyed"), spark.createDataFrame([], SCHEMA).schema, "k", n_slots=4, **options)
+    table.create(spark.createDataFrame(base, SCHEMA))
+    return table
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 1e9])
+def test_keyed_table_equals_replay(spark, tmp_path, share):
+    rng, base = random.Random(7), [(k, f"a{k}", k) for k in range(0, 60, 2)]
+    table = keyed(spark, tmp_path, base, fold_share=share, fold_batches=5)
+    log, files = [], []
+    for batch in range(12):
+        part = random_log(rng, 15, first=15 * batch)
+        rng.shuffle(part)
+        log += part
+        version = table.append(spark.createDataFrame(part, LOG), batch)
+        again = table.append(spark.createDataFrame(part, LOG), batch)  # a replayed batch
+        assert again.last_batch == batch and again.number == version.number
+        assert sorted(map(tuple, table.read().collect())) == replay(base, log)
+        files.append(len(table.read().inputFiles()))
+    # what a read opens does not grow with the number of batches
+    assert max(files[6:]) <= max(files[:6])
+    assert len(list((tmp_path / "keyed" / "versions").glob("*.json"))) <= 4
+
+
+def test_reader_sees_one_version(spark, tmp_path):
+    base = [(k, "a", 0) for k in range(8)]
+    table = keyed(spark, tmp_path, base, fold_share=0.0)
+    before, old = table.version(), table.read()
+    table.append(spark.createDataFrame([(1, 1, "delete", None, None), (9, 2, "insert", "n", 5)], LOG), 0)
+    assert sorted(map(tuple, old.collect())) == sorted(base) == sorted(map(tuple, table.read(before).collect()))
+    assert sorted(r["k"] for r in table.read().collect()) == [0, 2, 3, 4, 5, 6, 7, 9]
+    # a writer that stops before the version is written leaves the table as it is
+    table._write_slots(table.read(), [0, 1, 2, 3], ["k", "a", "b"])
+    (tmp_path / "keyed" / "versions" / "99.json.x.draft").write_text("half")
+    assert table.version().number == 2 and table.read().count() == 8
+
+
+def test_late_changes_are_refused(spark, tmp_path):
+    table = keyed(spark, tmp_path, [(1, "a", 0)], fold_share=0.0)
+    table.append(spark.createDataFrame([(1, 10, "update", "b", None)], LOG), 0)
+    with pytest.raises(ValueError):
+        table.append(spark.createDataFrame([(1, 9, "update", "c", None)], LOG), 1)
+    table.append(spark.createDataFrame([], LOG), 1)
+    table.append(spark.createDataFrame([(1, 11, "delete", None, None)], LOG), 2)
+    assert table.read().collect() == []
+    table.append(spark.createDataFrame([(2, 12, "insert", "z", 1)], LOG), 3)
+    assert [tuple(r) for r in table.read().collect()] == [(2, "z", 1)]

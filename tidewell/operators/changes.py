@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.attach import attach
 from tidewell.operators.ordered import number_rows
+from tidewell.operators.sift import key_filter, worth_sifting
 
 
 def append_with_ids(base: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -37,8 +38,30 @@ def latest_fields(changes: DataFrame, key: str, seq: str, fields: Sequence[str])
     )
 
 
-def apply_updates(base: DataFrame, changes: DataFrame, key: str, seq: str, fields: Sequence[str]) -> DataFrame:
+def touched(base: DataFrame, changes: DataFrame, key: str, bits: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``base`` that the changes may touch, and the rest, which need not be shuffled; all rows and None where sifting is not worth it.
+
+    A Bloom filter over the changed keys goes to two scans of the base, one for each part. ``bits`` fixes its size and asks for it in any case.
+    """
+    if bits is None and not worth_sifting(base, changes):
+        return base, None
+    sieve = key_filter(changes.select(key), key, bits)
+    return (base, None) if sieve is None else sieve.split(base, key)
+
+
+def _with_rest(changed: DataFrame, rest: DataFrame | None) -> DataFrame:
+    return changed if rest is None else changed.unionByName(rest)
+
+
+def apply_updates(
+    base: DataFrame, changes: DataFrame, key: str, seq: str, fields: Sequence[str], bits: int | None = None
+) -> DataFrame:
     """Partial update: only fields present in the changes overwrite."""
+    base, rest = touched(base, changes, key, bits)
+    return _with_rest(_updated(base, changes, key, seq, fields), rest)
+
+
+def _updated(base: DataFrame, changes: DataFrame, key: str, seq: str, fields: Sequence[str]) -> DataFrame:
     joined = base.join(latest_fields(changes, key, seq, fields), key, "left")
     return joined.select(
         *(
@@ -48,10 +71,11 @@ def apply_updates(base: DataFrame, changes: DataFrame, key: str, seq: str, field
     )
 
 
-def apply_deletes(base: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def apply_deletes(base: DataFrame, keys: DataFrame, key: str, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The remaining rows, and the requested keys that are not in the table."""
     wanted = keys.select(key).distinct()
-    return base.join(wanted, key, "left_anti"), wanted.join(base.select(key), key, "left_anti")
+    base, rest = touched(base, keys, key, bits)
+    return _with_rest(base.join(wanted, key, "left_anti").select(*base.columns), rest), wanted.join(base.select(key), key, "left_anti")
 
 
 def fold_changes(changes: DataFrame, key: str, seq: str, op: str, fields: Sequence[str]) -> DataFrame:
@@ -74,12 +98,18 @@ def fold_changes(changes: DataFrame, key: str, seq: str, op: str, fields: Sequen
     return given.join(deleted, key, "full").join(started, key, "full")
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, key: str, seq: str, op: str) -> DataFrame:
+def apply_changes(base: DataFrame, changes: DataFrame, key: str, seq: str, op: str, bits: int | None = None) -> DataFrame:
     """The table after the whole ordered change log; the last change of a field wins.
 
     A null field of a change means 'not given'. An update of a key that does not exist
-    at that point has no effect; an insert of an existing key acts as an update.
+    at that point has no effect; an insert of an existing key acts as an update. Rows that no change
+    can touch meet neither the changes nor a shuffle, see ``touched``.
     """
+    base, rest = touched(base, changes, key, bits)
+    return _with_rest(_changed(base, changes, key, seq, op), rest)
+
+
+def _changed(base: DataFrame, changes: DataFrame, key: str, seq: str, op: str) -> DataFrame:
     fields = [c for c in base.columns if c != key]
     folded = fold_changes(changes, key, seq, op, fields)
     joined = base.withColumn("_tw_old", F.lit(True)).join(folded, key, "full")
@@ -97,11 +127,14 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, seq: str, op: s
     )
 
 
-def guard_unique(base: DataFrame, new: DataFrame, key: str, seq: str) -> tuple[DataFrame, DataFrame]:
+def guard_unique(
+    base: DataFrame, new: DataFrame, key: str, seq: str, bits: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """New rows with a free key, and the refused rows with the reason.
 
-    Of several new rows with one key the first by ``seq`` is accepted.
+    Of several new rows with one key the first by ``seq`` is accepted. Only keys of the table that may be among the new ones are shuffled.
     """
+    base, _ = touched(base.select(key), new, key, bits)
     firsts = new.groupBy(key).agg(F.min(seq).alias("_tw_first"), F.count("*").alias("_tw_n"))
     taken = base.select(key).distinct().withColumn("_tw_taken", F.lit(True))
     marks = firsts.join(taken, key, "left")

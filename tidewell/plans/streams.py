@@ -13,6 +13,7 @@ from tidewell.plans.registry import query
 from tidewell.session import scratch_path
 from tidewell.sources.files import write_json_lines
 from tidewell.streaming import streams as S
+from tidewell.streaming.keyed import KeyedTable
 from tidewell.tables import load
 
 
@@ -137,9 +138,14 @@ def stream_arm_totals(spark, d):
 
 @query("stream_apply_changes", f"WITH {ORDERS}, {CHANGES} SELECT * FROM changed")
 def stream_apply_changes(spark, d):
-    path, out = scratch_path(spark, "change-log"), scratch_path(spark, "changes")
-    log = change_log(spark, d)
-    log.repartition(3, "seq").write.parquet(path)
+    """Batches of changes renew a keyed table in versions; its slots are written anew when the log has grown."""
+    path = scratch_path(spark, "change-log")
+    log, base = change_log(spark, d), orders(spark, d)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for part in range(3):  # the log grows in order, drop after drop
+        log.where((F.col("seq") * 3 > last * part if part else F.lit(True)) & (F.col("seq") * 3 <= last * (part + 1))).write.mode("append").parquet(path)
+    table = KeyedTable(spark, scratch_path(spark, "keyed"), base.schema, "o_orderkey", n_slots=8)
+    table.create(base)
     stream = S.log_stream(spark, path, log.schema, files_per_batch=1)
-    S.drain_batches(stream, S.batch_writer(out), scratch_path(spark, "change-checkpoint"))
-    return S.current_table(spark, orders(spark, d), out, "o_orderkey", "seq", "op")
+    S.drain_batches(stream, table.sink(), scratch_path(spark, "change-checkpoint"))
+    return table.read()

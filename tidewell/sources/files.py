@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -153,6 +154,37 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    files, target = _file(spark, path)
+    return [str(f.getPath().getName()) for f in files.listStatus(target)] if files.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file of state, read by the driver."""
+    files, target = _file(spark, path)
+    stream = files.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_new_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that appears whole or not at all; one that is there already is not replaced."""
+    files, target = _file(spark, path)
+    _, draft = _file(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    files.mkdirs(target.getParent())
+    stream = files.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if files.exists(target) or not files.rename(draft, target):
+        files.delete(draft, False)
+        raise FileExistsError(path)
+
+
 def mark_complete(spark: SparkSession, folder: str, marker: str) -> None:
     """Leave an empty marker file, to be called after a stage's write has returned."""
     files, target = _file(spark, f"{folder}/{marker}")
