@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import scratch_root
+from tidewell.session import staged_path
 
 #: Rows in one Arrow batch: texts may be long, so fewer than the default of 10,000.
 BATCH_ROWS = 500
@@ -28,19 +26,22 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/tidewell/{label}-{uuid.uuid4().hex}"
+    """A new folder under ``spark.checkpoint.dir``; ``release_staged`` deletes it."""
+    return staged_path(spark, label)
 
 
-def written(df: DataFrame, label: str, **options) -> str:
-    """Write to a new folder under ``spark.checkpoint.dir``; the folder."""
+def written(df: DataFrame, label: str, few: bool = False, **options) -> str:
+    """Write to a new folder; the folder. ``few``: the result of a shuffle that may have many small partitions, in at most two files a core."""
     path = fresh_folder(df.sparkSession, label)
+    if few:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.options(compression="zstd", **options).parquet(path)
     return path
 
 
-def write_and_read(df: DataFrame, label: str) -> DataFrame:
+def write_and_read(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """Write and read back: no lineage, survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label, few))
 
 
 def size_checked(df: DataFrame, max_rows: int) -> bool:

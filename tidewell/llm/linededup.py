@@ -1,10 +1,10 @@
 """Removal of lines that other documents hold too, by probing a hash index instead of joining lines.
 
-Lines are reduced to a 128-bit key hash. Hashes found in two documents or more get into a
-minimal perfect hash, cut in shards by the leading bits of the hash: a shard is a stack of bit
-sets whose ranks give each hash a slot of its own, and two arrays over the slots, one with
-fingerprints (the other half of the hash) and one with the smallest document. Shards are files in
-the shared folder; tasks load them in blocks of bounded size and look up whole batches of lines.
+Lines are reduced to a 128-bit key hash, and the hashes of the lines, with their place, are written once. All distinct hashes get into a
+minimal perfect hash, cut in shards by the leading bits of the hash: a shard is a stack of bit sets whose ranks give
+each hash a slot of its own, and arrays over the slots: fingerprints (the other half of the hash), how many documents hold the line, and the smallest of them.
+The hashed lines travel to the shards, the shards say which lines go, and those places travel back to where the texts lie: each
+row of the input is known by its file and its number in it. So texts are read twice and never moved, however many shards there are.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,18 @@ from tidewell.llm.common import ASCII_LOWER, SPACE, fresh_folder, strings, write
 from tidewell.llm.files import open_store
 
 MIN_KEY = 10
-#: Hashes in one shard, about 1.2 MB of arrays.
+#: Hashes in one shard, about 1.5 MB of arrays.
 SHARD_KEYS = 1 << 16
-#: Shards a task holds at once. Larger indexes are probed in several passes.
-BLOCK_SHARDS = 128
+#: Shards in one folder of the index, whose lines are probed by tasks of their own; a task holds one shard at a time.
+BLOCK_SHARDS = 16
+#: Tasks that share the lines of a block, so that a line that a third of all documents hold does not meet in one.
+PROBE_PARTS = 4
+#: Folders of the places of dropped lines, by input file.
+MASK_FOLDERS = 64
+#: Rows of an input file whose places are written by one task.
+MASK_ROWS = 1 << 20
+#: Counts above are not told apart.
+MOST_COUNT = (1 << 32) - 1
 NO_DOC = (1 << 63) - 1
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -89,109 +99,162 @@ def level_ranks(levels: list[np.ndarray]) -> list[np.ndarray]:
     return ranks
 
 
-def shared_lines(docs: DataFrame, doc_id: str, text: str, min_key: int = MIN_KEY) -> DataFrame:
-    """(h1, h2, owner): line keys held by two documents or more, with the smallest of them."""
+def hashed_lines(docs: DataFrame, doc_id: str, text: str, min_key: int) -> DataFrame:
+    """(file, row, line, first, h1, h2, doc): every line with a long enough key; ``first`` marks the first line of the row with the key."""
 
     def lines(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            parts: list[tuple] = []
             ids = pc.fill_null(frame.column(0), NO_DOC).to_numpy(zero_copy_only=False)
-            for doc, t in zip(ids, strings(frame.column(1))):
+            files, rows = (frame.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            parts = []
+            for at, t in enumerate(strings(frame.column(1))):
                 h1, h2, ok = line_hashes(t, min_key)
-                if ok.any():
-                    pair = np.unique(np.stack([h1[ok], h2[ok]], 1), axis=0)
-                    parts.append((pair, np.full(len(pair), doc, np.int64)))
+                place = np.flatnonzero(ok)
+                if len(place):
+                    first = np.zeros(len(place), bool)
+                    first[np.unique(np.stack([h1[place], h2[place]], 1), axis=0, return_index=True)[1]] = True
+                    parts.append((np.full(len(place), at), place, first, h1[place], h2[place]))
             if parts:
-                pairs = np.concatenate([p for p, _ in parts]).view(np.int64)
+                at, place, first, h1, h2 = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.concatenate([d for _, d in parts]))],
-                    names=["h1", "h2", "doc"],
+                    [pa.array(files[at]), pa.array(rows[at]), pa.array(place.astype(np.int32)), pa.array(first), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[at])],
+                    names=["file", "row", "line", "first", "h1", "h2", "doc"],
                 )
 
-    rows = docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(lines, "h1 bigint, h2 bigint, doc bigint")
-    held = rows.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
-    return held.where("owner < last").select("h1", "h2", "owner")
+    rows = docs.select(F.col(doc_id).cast("bigint"), F.col(text), "_tw_file", "_tw_row")
+    return rows.mapInArrow(lines, "file bigint, row bigint, line int, first boolean, h1 bigint, h2 bigint, doc bigint")
 
 
-def build_index(keys: DataFrame) -> tuple[str, int, int]:
-    """Write the index of (h1, h2, owner) rows; returns its folder, its number of shards and of keys."""
-    spark = keys.sparkSession
+def _shard(shards: int):
+    return F.pmod(F.shiftrightunsigned("h1", 20), F.lit(shards))
+
+
+def build_index(lines: DataFrame) -> tuple[str, int]:
+    """Write the index of hashed lines; returns its folder and its number of shards."""
+    spark = lines.sparkSession
+    # how many rows hold the line, and the smallest document
+    keys = lines.groupBy("h1", "h2").agg(F.count_if("first").alias("n"), F.min("doc").alias("owner"))
     keys = write_and_read(keys, "lines")
-    n = keys.count()
-    shards = max(1, -(-n // SHARD_KEYS))
+    shards = max(1, -(-keys.count() // SHARD_KEYS))
     folder = fresh_folder(spark, "lineindex")
 
     def shard(table: pa.Table) -> pa.Table:
-        h1 = table.column("h1").to_numpy().view(np.uint64)
-        h2 = table.column("h2").to_numpy().view(np.uint64)
-        owner = table.column("owner").to_numpy()
+        h1, h2 = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        n, owner = table.column("n").to_numpy(), table.column("owner").to_numpy()
         # the 64 bits that place a key; equal ones with different h2 cannot both be placed
         key, first = np.unique(h1, return_index=True)
         rest = np.setdiff1d(np.arange(len(h1)), first)
         levels = build_mph(key)
         slot = probe_mph(levels, level_ranks(levels), key)
-        prints, owners = np.empty(len(key), np.uint64), np.empty(len(key), np.int64)
-        prints[slot], owners[slot] = h2[first], owner[first]
+        prints, counts, owners = np.empty(len(key), np.uint64), np.empty(len(key), np.uint32), np.empty(len(key), np.int64)
+        prints[slot], counts[slot], owners[slot] = h2[first], np.minimum(n[first], MOST_COUNT), owner[first]
         return pa.table({
             "shard": pa.array([table.column("shard")[0].as_py()], pa.int64()),
             "sizes": pa.array([[len(b) for b in levels]], pa.list_(pa.int64())),
             "bits": pa.array([b"".join(np.packbits(b).tobytes() for b in levels)], pa.binary()),
             "prints": pa.array([prints.tobytes()], pa.binary()),
+            "counts": pa.array([counts.tobytes()], pa.binary()),
             "owners": pa.array([owners.tobytes()], pa.binary()),
             "rest": pa.array([np.stack([h1[rest], h2[rest], owner[rest].view(np.uint64)], 1).tobytes()], pa.binary()),
         })
 
-    schema = "shard bigint, sizes array<bigint>, bits binary, prints binary, owners binary, rest binary"
-    at = F.pmod(F.shiftrightunsigned("h1", 20), F.lit(shards)).alias("shard")
-    built = keys.select("h1", "h2", "owner", at).groupBy("shard").applyInArrow(shard, schema)
-    built.withColumn("block", F.floor(F.col("shard") / BLOCK_SHARDS)).write.partitionBy("block").parquet(folder)
-    return folder, shards, n
-
+    schema = "shard bigint, sizes array<bigint>, bits binary, prints binary, counts binary, owners binary, rest binary"
+    built = keys.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(shard, schema)
+    # a row group for each shard, so that one can be read without the others
+    placed = built.withColumn("block", F.floor(F.col("shard") / BLOCK_SHARDS))
+    placed.write.partitionBy("block").option("parquet.block.size", 1 << 16).option("compression", "zstd").parquet(folder)
+    return folder, shards
+
+
+class Shard:
+    """Bit sets and arrays of one shard, loaded from the shared folder."""
+
+    def __init__(self, folder: str, number: int, block_shards: int):
+        store, path = open_store(f"{folder}/block={number // block_shards}")
+        found = pq.read_table(path, filesystem=store, filters=[("shard", "=", number)], partitioning=None).to_pylist()
+        row = found[0]
+        raw, self.levels, at = np.frombuffer(row["bits"], np.uint8), [], 0
+        for size in row["sizes"]:
+            end = at + -(-size // 8)
+            self.levels.append(np.unpackbits(raw[at:end], count=size).astype(bool))
+            at = end
+        self.ranks = level_ranks(self.levels)
+        self.prints, self.counts, self.owners = (np.frombuffer(row[c], t) for c, t in (("prints", np.uint64), ("counts", np.uint32), ("owners", np.int64)))
+        self.rest = {(a, b): c for a, b, c in np.frombuffer(row["rest"], np.uint64).reshape(-1, 3).tolist()}
+
+    def smaller_holder(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether a line is held by several documents and a smaller one than this is among them."""
+        slot = probe_mph(self.levels, self.ranks, h1)
+        hit = (slot >= 0) & (self.prints[slot] == h2) if len(self.prints) else np.zeros(len(h1), bool)
+        out = np.zeros(len(h1), bool)
+        out[hit] = (self.counts[slot[hit]] > 1) & (self.owners[slot[hit]] < doc[hit])
+        if self.rest:
+            for i in np.flatnonzero(~hit):
+                out[i] = self.rest.get((int(h1[i]), int(h2[i])), NO_DOC) < doc[i]
+        return out
 
-class Block:
-    """The shards of one block, loaded from the shared folder; a worker keeps the last one."""
 
-    kept: tuple[str, "Block"] | None = None
+def dropped_lines(lines: DataFrame, folder: str, shards: int) -> DataFrame:
+    """(file, row, lines): the numbers of the lines that go, for every row that loses some."""
+    block_shards = BLOCK_SHARDS
 
-    def __init__(self, folder: str, shards: int):
-        self.shards, self.parts = shards, {}
+    def probe(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = None, None
+        for frame in frames:
+            of = frame.column("shard").to_numpy()
+            h1, h2 = (frame.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+            doc, gone = frame.column("doc").to_numpy(), np.zeros(len(of), bool)
+            for own in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1) if len(of) else []:
+                if number != of[own[0]]:
+                    number = int(of[own[0]])
+                    shard = Shard(folder, number, block_shards)
+                gone[own] = shard.smaller_holder(h1[own], h2[own], doc[own])
+            if gone.any():
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(gone)) for c in frame.columns[:3]], names=["file", "row", "line"])
+
+    share = F.pmod(F.xxhash64("file", "row"), F.lit(PROBE_PARTS))
+    placed = lines.select("file", "row", "line", "h1", "h2", "doc", _shard(shards).alias("shard"))
+    dealt = placed.repartition(F.floor(F.col("shard") / BLOCK_SHARDS), share).sortWithinPartitions("shard")
+    gone = dealt.mapInArrow(probe, "file bigint, row bigint, line int")
+    # as long as the lines of one text
+    return gone.groupBy("file", "row").agg(F.collect_list("line").alias("lines"))
+
+
+class Masks:
+    """Places of dropped lines of one input file; a worker keeps those of the last file."""
+
+    kept: tuple[tuple, "Masks"] | None = None
+
+    def __init__(self, folder: str, file: int):
         store, path = open_store(folder)
-        for row in pq.read_table(path, filesystem=store).to_pylist():
-            raw, levels = np.frombuffer(row["bits"], np.uint8), []
-            at = 0
-            for size in row["sizes"]:
-                end = at + -(-size // 8)
-                levels.append(np.unpackbits(raw[at:end], count=size).astype(bool))
-                at = end
-            self.parts[row["shard"]] = (
-                levels, level_ranks(levels), np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["owners"], np.int64),
-                {(a, b): c for a, b, c in np.frombuffer(row["rest"], np.uint64).reshape(-1, 3).tolist()},
-            )
+        found = None
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            found = pq.read_table(path, filesystem=store, filters=[("file", "=", file)], partitioning=None, columns=["row", "lines"])
+        self.at = {} if found is None else {int(r): i for i, r in enumerate(found.column("row").to_numpy())}
+        self.lines = None if found is None else found.column("lines")
+
+    def of(self, row: int) -> list[int]:
+        at = self.at.get(row)
+        return [] if at is None else self.lines[at].as_py()
 
     @classmethod
-    def load(cls, folder: str, shards: int) -> "Block":
-        if cls.kept is None or cls.kept[0] != folder:
+    def load(cls, folder: str, file: int) -> "Masks":
+        if cls.kept is None or cls.kept[0] != (folder, file):
             cls.kept = None
-            cls.kept = (folder, cls(folder, shards))
+            cls.kept = ((folder, file), cls(folder, file))
         return cls.kept[1]
 
-    def owners(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Smallest document of every hash, -1 for hashes that this block does not hold."""
-        out = np.full(len(h1), -1, np.int64)
-        shard = ((h1 >> np.uint64(20)) % np.uint64(self.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        edges = np.flatnonzero(np.diff(shard[order])) + 1
-        for own in np.split(order, edges):
-            if not len(own) or shard[own[0]] not in self.parts:
-                continue
-            levels, ranks, prints, owners, rest = self.parts[shard[own[0]]]
-            slot = probe_mph(levels, ranks, h1[own])
-            hit = (slot >= 0) & (prints[slot] == h2[own]) if len(prints) else np.zeros(len(own), bool)
-            out[own[hit]] = owners[slot[hit]]
-            if rest:
-                for i in own[~hit]:
-                    out[i] = rest.get((int(h1[i]), int(h2[i])), -1)
-        return out
+
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_tw_file`` and ``_tw_row``, which stay the same whenever it is read. What is not read from Parquet files as it stands is written first."""
+    columns = [F.col(c) for c in docs.columns]
+    file, row = F.xxhash64("_metadata.file_path").alias("_tw_file"), F.col("_metadata.row_index").alias("_tw_row")
+    try:
+        placed = docs.select(*columns, file, row)
+        placed.schema  # resolves the names
+        return placed
+    except AnalysisException:
+        return write_and_read(docs, "docs").select(*columns, file, row)
 
 
 def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_key: int = MIN_KEY) -> DataFrame:
@@ -200,56 +263,35 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The key of a line is the line stripped of white space, A-Z in lower case; keys under ``min_key`` code
     points never count. All copies in the smallest document stay. A null or empty text is one empty line
     and stays empty; a null id counts as larger than any other; repeated rows of one id are one document;
-    other columns pass through; an empty table gives an empty table.
+    other columns pass through, but one named like the two counts is refused; an empty table gives an empty table. The places of the lines that one input file loses
+    are held by a task.
     """
-    folder, shards, n = build_index(shared_lines(docs, doc_id, text, min_key))
-    blocks = [] if n == 0 else [f"{folder}/block={b}" for b in range(-(-shards // BLOCK_SHARDS))]
-    rows = docs.withColumns({"_tw_owned": F.lit(None).cast("binary")})
-
-    def probe(path: str):
-        @F.arrow_udf("binary")
-        def owned(ids: pa.Array, texts: pa.Array, before: pa.Array) -> pa.Array:
-            """One byte per line: 1 if it goes."""
-            block = Block.load(path, shards)
-            hashed = [line_hashes(t, min_key) for t in strings(texts)]
-            if not hashed:
-                return pa.array([], pa.binary())
-            counts = [len(ok) for _, _, ok in hashed]
-            h1, h2, ok = (np.concatenate(x) for x in zip(*hashed))
-            holder = np.full(len(ok), -1, np.int64)
-            holder[ok] = block.owners(h1[ok], h2[ok])
-            mine = np.repeat(pc.fill_null(ids, NO_DOC).to_numpy(zero_copy_only=False), counts)
-            gone = (holder >= 0) & (holder < mine)
-            ends = np.cumsum(counts)
-            out = []
-            for start, end, old in zip(ends - counts, ends, before.to_pylist()):
-                mask = gone[start:end]
-                if old is not None:
-                    mask = mask | np.frombuffer(old, bool)
-                out.append(mask.tobytes())
-            return pa.array(out, pa.binary())
-
-        return owned(F.col(doc_id).cast("bigint"), F.col(text), F.col("_tw_owned"))
-
-    for i, path in enumerate(blocks):
-        rows = rows.withColumn("_tw_owned", probe(path))
-        if i + 1 < len(blocks):
-            rows = write_and_read(rows, "probed")
-
-    @F.arrow_udf("struct<text:string,n_lines:bigint,n_dropped:bigint>")
-    def without(texts: pa.Array, masks: pa.Array) -> pa.Array:
-        kept, lines, dropped = [], [], []
-        for t, mask in zip(texts.to_pylist(), masks.to_pylist()):
+    clash = {"_tw_lines", "_tw_dropped", "_tw_file", "_tw_row"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns named like results: {sorted(clash)}")
+    placed = placed_rows(docs)
+    lines = write_and_read(hashed_lines(placed, doc_id, text, min_key), "hashes")
+    folder, shards = build_index(lines)
+    masks = fresh_folder(docs.sparkSession, "masks")
+    gone = dropped_lines(lines, folder, shards).withColumn("part", F.pmod("file", F.lit(MASK_FOLDERS)))
+    gone = gone.repartition("part", F.floor(F.col("row") / MASK_ROWS)).sortWithinPartitions("part", "file", "row")
+    gone.write.partitionBy("part").option("compression", "zstd").parquet(masks)
+
+    def without(texts: pa.Array, files: pa.Array, rows: pa.Array) -> pa.Array:
+        kept, counts, dropped = [], [], []
+        for t, file, row in zip(texts.to_pylist(), files.to_pylist(), rows.to_pylist()):
             parts = (t or "").split("\n")
-            gone = np.zeros(len(parts), bool) if mask is None else np.frombuffer(mask, bool)
-            lines.append(len(parts))
-            dropped.append(int(gone.sum()))
-            kept.append(t if not gone.any() else "\n".join(p for p, g in zip(parts, gone) if not g))
+            lost = set(Masks.load(f"{masks}/part={file % MASK_FOLDERS}", file).of(row))
+            counts.append(len(parts))
+            dropped.append(len(lost))
+            kept.append("\n".join(p for i, p in enumerate(parts) if i not in lost) if lost else t)
         return pa.StructArray.from_arrays(
-            [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["text", "n_lines", "n_dropped"]
+            [pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=["text", "n_lines", "n_dropped"]
         )
 
-    done = rows.withColumn("_tw_r", without(F.col(text), F.col("_tw_owned")))
+    # not evaluated anew for each use of its result
+    cut = F.arrow_udf(without, "struct<text:string,n_lines:bigint,n_dropped:bigint>").asNondeterministic()
+    done = placed.withColumn("_tw_r", cut(F.col(text), F.col("_tw_file"), F.col("_tw_row")))
     r = F.col("_tw_r")
     return done.select(
         *(r["text"].alias(c) if c == text else F.col(c) for c in docs.columns),
