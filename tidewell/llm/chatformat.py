@@ -167,7 +167,6 @@ def format_turns(turns: DataFrame, role: str = "role", parts: str = "parts", ran
     if clash:
         raise ValueError(f"columns named like results: {sorted(clash)}")
 
-    @F.arrow_udf(RESULT)
     def formatted(roles: pa.Array, messages: pa.Array) -> pa.Array:
         coder = Tokens.load(ranks_path) if ranks_path else None
         texts, losses, found, tokens = [], [], [], []
@@ -182,7 +181,8 @@ def format_turns(turns: DataFrame, role: str = "role", parts: str = "parts", ran
             [pa.array(texts, pa.string()), pa.array(losses, SPANS), pa.array(found, ATTACHMENTS), pa.array(tokens, pa.int64())], names=list(ADDED)
         )
 
-    done = turns.withColumn("_tw_chat", formatted(F.col(role).cast("string"), F.col(parts)))
+    once = F.arrow_udf(formatted, RESULT).asNondeterministic()
+    done = turns.withColumn("_tw_chat", once(F.col(role).cast("string"), F.col(parts)))
     return done.select(*(c for c in turns.columns if c != parts), *(F.col("_tw_chat")[c].alias(c) for c in ADDED))
 
 

@@ -38,6 +38,7 @@ ITEM_WINDOWS = None
 #: Words of the items whose windows are searched in one pass (an index takes about 2 kB a window), and of one item in one block.
 BLOCK_WORDS = 30_000
 CHUNK_WORDS = 8_192
+#: A table of the low bits of the keys sifts the windows: 16 to 32 places a key, at most so many bits.
 TABLE_BITS = 18
 #: Value of words that no item holds. Those of items are odd, 0 is the pad.
 FOREIGN = 2
@@ -227,8 +228,8 @@ class Index:
             for _, e, band, key, valid in walk(all_words, begins[item] + offset, {w}):
                 order = np.argsort(key[valid], kind="stable")
                 keys = key[valid][order]
-                seen = np.zeros(1 << TABLE_BITS, bool)
-                seen[(keys & _U((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
+                seen = np.zeros(1 << min(TABLE_BITS, (16 * len(keys)).bit_length()), bool)
+                seen[(keys & _U(len(seen) - 1)).astype(np.int64)] = True
                 self.tables[w, e, band] = keys, item[valid][order], offset[valid][order], seen
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
@@ -260,7 +261,7 @@ class Index:
             if (w, e, band) not in self.tables:
                 continue
             keys, item, offset, seen = self.tables[w, e, band]
-            near = np.flatnonzero(seen[(key & _U((1 << TABLE_BITS) - 1)).astype(np.int64)] & valid)
+            near = np.flatnonzero(seen[(key & _U(len(seen) - 1)).astype(np.int64)] & valid)
             left = np.searchsorted(keys, key[near], "left")
             count = np.searchsorted(keys, key[near], "right") - left
             if count.any():
@@ -297,12 +298,12 @@ HITS = f"array<struct<{','.join(f'{n}:bigint' for n in HIT_FIELDS)}>>"
 def hits_column(spark, index: Index, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(index)
 
-    @F.arrow_udf(HITS)
     def search(column: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in HIT_FIELDS]))
         return pa.array([[dict(zip(HIT_FIELDS, h)) for h in hits] for hits in shared.value.search(strings(column))], kind)
 
-    return search(text)
+    # once per text: else a filter on the hits would search anew
+    return F.arrow_udf(search, HITS).asNondeterministic()(text)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -78,13 +78,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_tw_f`` of the counts; nothing is shuffled."""
     schema = "struct<" + ",".join(f"{name}:bigint" for name in _FEATURES) + ">"
 
-    @F.arrow_udf(schema)
     def features(column: pa.Array) -> pa.Array:
         rows = [text_features(t) for t in strings(column)]
         columns = list(zip(*rows)) if rows else [[] for _ in _FEATURES]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_FEATURES)
 
-    return docs.withColumn("_tw_f", features(F.col(text)))
+    # once per text: else a filter on the counts would count anew
+    counted = F.arrow_udf(features, schema).asNondeterministic()
+    return docs.withColumn("_tw_f", counted(F.col(text)))
 
 
 def base_failed(f: Column) -> Column:
