@@ -14,14 +14,15 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates two steps until nothing changes: each edge hangs its larger end on the smallest neighbour
     of its smaller end, then all smaller neighbours of a node hang on the smallest of them. Edges never
     grow in number, so a component of any size is spread over many tasks; rounds grow with the logarithm of
-    its width. Nulls and loops are no links; an empty table gives an empty table.
+    its width. What is joined back is written first, so Spark knows its size: a small one is broadcast, and beside a large one the rows of
+    a node with very many links are split over tasks. Nulls and loops are no links; an empty table gives an empty table.
     """
     edges = (
         links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
         .where("u < v")
         .distinct()
     )
-    edges = write_and_read(edges, "edges")
+    edges = write_and_read(edges, "edges", few=True)
     before = None
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -29,19 +30,22 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = mark
         least = (
-            edges.select(F.col("u").alias("n"), F.col("u").alias("m"))
-            .union(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
+            edges.select(F.inline(F.array(F.struct(F.col("u").alias("n"), F.col("u").alias("m")), F.struct(F.col("v").alias("n"), F.col("u").alias("m")))))
             .groupBy("n")
             .agg(F.min("m").alias("m"))
         )
-        hung = edges.join(least, F.col("u") == F.col("n")).select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        # a node that is the smallest of its neighbours stays where it hangs
+        least = write_and_read(least.where("m < n"), "least", few=True)
+        hung = edges.join(least, F.col("u") == F.col("n"), "left").select(F.coalesce("m", "u").alias("u"), "v").where("u < v").distinct()
+        hung = write_and_read(hung, "hung", few=True)
         smallest = hung.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "n")
+        smallest = write_and_read(smallest, "smallest", few=True)
         both = hung.join(smallest, F.col("v") == F.col("n")).select(
             F.inline(F.array(
                 F.struct(F.col("m").alias("p"), F.col("u").alias("q")),
                 F.struct(F.col("m").alias("p"), F.col("v").alias("q")),
             ))
         )
-        edges = write_and_read(both.where("p < q").distinct().select(F.col("p").alias("u"), F.col("q").alias("v")), "edges")
+        edges = write_and_read(both.where("p < q").distinct().select(F.col("p").alias("u"), F.col("q").alias("v")), "edges", few=True)
     stars = edges.select(F.col("v").alias("node"), F.col("u").alias("comp"))
     return stars.union(edges.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct())

@@ -31,8 +31,8 @@ SAMPLES = BANDS * ROWS
 BITS = 1024
 #: Pairs whose estimate is lower are dropped. At similarity 0.8 the estimate has a deviation of 0.04, so this is 5 of them.
 LEAST_ESTIMATE = 0.6
-#: Words whose hashes a worker keeps.
-CACHE_WORDS = 500_000
+#: Words whose hashes a worker keeps; more of them would not fit its processor's cache.
+CACHE_WORDS = 20_000
 #: So many node ids at most are broadcast (about 50 bytes each); beyond, texts are shuffled by document.
 MAX_BROADCAST_NODES = 200_000
 
@@ -184,7 +184,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     x = sets.select(F.col("nid").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("nid").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(y, "b").join(x, "a")
+    # merged, not hashed: rows with whole sets must be able to spill
+    both = pairs.select("a", "b").join(y.hint("merge"), "b").join(x.hint("merge"), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b")
 
@@ -200,7 +201,7 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """
     up, down = 100 - percent, 100 + percent  # f in units of 1 / down
     mixed = known.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("g", "m")
-    rows = write_and_read(known.join(mixed, "g").join(sets, "nid"), "mixed")
+    rows = write_and_read(known.join(mixed, "g").join(sets.hint("merge"), "nid"), "mixed", few=True)
     held = rows.select("g", F.explode("items").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"))
     # at most twice as many items as a set of the cluster has on average
     centre = held.join(mixed, "g").where(F.col("n") * 2 > F.col("m")).groupBy("g").agg(F.collect_list("e").alias("centre"))
@@ -210,7 +211,7 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
         "nid", "g", "comp", F.size("items").cast("bigint").alias("n"), other.alias("d"), F.size(other).cast("bigint").alias("nd")
     )
     f = F.col("nd") * down - F.col("n") * up
-    apart = write_and_read(apart.withColumn("f", f), "apart")
+    apart = write_and_read(apart.withColumn("f", f), "apart", few=True)
     middle = apart.groupBy("g").agg(F.min(F.struct("f", "nid")).alias("mid")).select("g", F.col("mid.f").alias("f0"), F.col("mid.nid").alias("c"))
     judged = apart.join(middle, "g").withColumn("far", F.col("f") + F.col("f0") > 0)
     tied = judged.where(~F.col("far") & (F.col("nid") != F.col("c"))).select(F.least("nid", "c").alias("a"), F.greatest("nid", "c").alias("b"))
@@ -225,7 +226,7 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
     own = Window.partitionBy("nid")
     place = F.col("nd") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e"))
     ranked = common.withColumn("place", place).where(F.col("place") <= F.col("first"))
-    first = write_and_read(ranked.select("g", "e", "nid", "comp", "n", "f", "far", (F.col("nd") - F.col("place")).alias("after")), "rare")
+    first = write_and_read(ranked.select("g", "e", "nid", "comp", "n", "f", "far", (F.col("nd") - F.col("place")).alias("after")), "rare", few=True)
     x = first.where("far").select("g", "e", *(F.col(c).alias(f"x_{c}") for c in ("nid", "comp", "n", "f", "after")))
     y = first.select("g", "e", *(F.col(c).alias(f"y_{c}") for c in ("nid", "comp", "n", "f", "after", "far")))
     # the first item that a pair shares leaves room, in what comes after it, for all the others that it must share
@@ -254,11 +255,11 @@ def near_duplicates(
         .agg(F.min("rid").alias("label"), F.count("*").alias("copies"), F.first(F.struct("n", "odd", "bands")).alias("s"))
         .select(F.monotonically_increasing_id().alias("nid"), "d1", "d2", "label", "copies", "s.*")
     )
-    nodes = write_and_read(nodes, "nodes")
+    nodes = write_and_read(nodes, "nodes", few=True)
 
     keyed = nodes.select("nid", F.explode("bands").alias("h"))
     buckets = keyed.groupBy("h").agg(F.min("nid").alias("pivot"), F.max("nid").alias("last")).where("pivot < last").select("h", "pivot")
-    members = write_and_read(keyed.join(buckets, "h"), "members")
+    members = write_and_read(keyed.join(buckets, "h"), "members", few=True)
 
     def sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs whose sizes and odd sketches allow the similarity, with the bits they are apart."""
@@ -273,7 +274,7 @@ def near_duplicates(
 
     sketches = nodes.select("nid", "n", "odd")
     spokes = members.where("pivot < nid").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
-    spokes = write_and_read(sifted(spokes, sketches), "spokes")
+    spokes = write_and_read(sifted(spokes, sketches), "spokes", few=True)
     first = spokes.groupBy("b").agg(F.min(F.struct("z", "a")).alias("best")).select("best.a", "b")
 
     # every node that shares a bucket and may be compared
@@ -284,16 +285,16 @@ def near_duplicates(
         return write_and_read(full_sets(docs, wanted, doc_id, text, words_per_shingle), label)
 
     sets = sets_of(busy, "sets")
-    links = write_and_read(confirmed(first, sets, percent), "links")
-    comps = write_and_read(connected(links), "comps")
+    links = write_and_read(confirmed(first, sets, percent), "links", few=True)
+    comps = write_and_read(connected(links), "comps", few=True)
 
     # candidates that could still join two components: within a cluster of similar nodes, and across clusters
-    clusters = write_and_read(connected(spokes), "clusters")
+    clusters = write_and_read(connected(spokes), "clusters", few=True)
     known = clusters.select(F.col("node").alias("nid"), F.col("comp").alias("g")).join(comps.withColumnRenamed("node", "nid"), "nid", "left")
-    known = write_and_read(known.withColumn("comp", F.coalesce("comp", "nid")), "known")
+    known = write_and_read(known.withColumn("comp", F.coalesce("comp", "nid")), "known", few=True)
     inside = within_clusters(known, sets, percent)
     placed = members.select("h", "nid").join(known, "nid", "left").withColumns({"g": F.coalesce("g", "nid"), "comp": F.coalesce("comp", "nid")})
-    placed = write_and_read(placed, "placed")
+    placed = write_and_read(placed, "placed", few=True)
     split = placed.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("h")
     open_members = placed.join(split, "h", "left_semi").select("h", "nid", "g").join(sketches, "nid")
     x = open_members.select("h", *(F.col(c).alias(f"x_{c}") for c in ("nid", "g", "n", "odd")))
@@ -303,11 +304,11 @@ def near_duplicates(
         .where(bits_apart(F.col("x_odd"), F.col("y_odd")) <= most_bits_apart(LEAST_ESTIMATE))
         .select(F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b"))
     )
-    rest = write_and_read(sifted(inside, sketches).select("a", "b").union(across).distinct(), "rest")
+    rest = write_and_read(sifted(inside, sketches).select("a", "b").union(across).distinct(), "rest", few=True)
     more = rest.select(F.col("a").alias("nid")).union(rest.select("b")).distinct().join(busy, "nid", "left_anti")
     all_sets = sets.union(sets_of(more, "moresets"))
-    extra = write_and_read(confirmed(rest, all_sets, percent), "links")
-    comps = write_and_read(connected(links.union(extra)), "comps")
+    extra = write_and_read(confirmed(rest, all_sets, percent), "links", few=True)
+    comps = write_and_read(connected(links.union(extra)), "comps", few=True)
 
     grouped = nodes.select("nid", "d1", "d2", "label", "copies").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
     grouped = grouped.withColumn("comp", F.coalesce("comp", "nid"))
@@ -319,7 +320,7 @@ def near_duplicates(
         .where(told | (F.col("nodes") > 1) if hashed else told)
         .select("d1", "d2", "copies", "component_id", *["comp"] * hashed)
     )
-    marked = attach(rows.select("doc_id", "n", "d1", "d2", *["text_hash"] * hashed), write_and_read(per_set, "groups"), ["d1", "d2"], weight="copies")
+    marked = attach(rows.select("doc_id", "n", "d1", "d2", *["text_hash"] * hashed), write_and_read(per_set, "groups", few=True), ["d1", "d2"], weight="copies")
     component = F.when(F.col("component_id") < NO_ID, F.col("component_id")).when(F.col("component_id").isNull(), F.col("doc_id"))
     return marked.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *["text_hash", "comp"] * hashed

@@ -32,7 +32,7 @@ END = 1
 #: Text of the one special token of the vocabulary and its id (fixed values).
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Distinct words a worker keeps the ids of; then it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Longer runs of white space are left to the slower of the two libraries: the other descends once for each of their characters.
 MOST_SPACES = 10_000
 _SPACES = re.compile(r"\s+")
