@@ -286,10 +286,10 @@ def near_duplicates(
 
     sets = sets_of(busy, "sets")
     links = write_and_read(confirmed(first, sets, percent), "links", few=True)
-    comps = write_and_read(connected(links), "comps", few=True)
+    comps = connected(links)
 
     # candidates that could still join two components: within a cluster of similar nodes, and across clusters
-    clusters = write_and_read(connected(spokes), "clusters", few=True)
+    clusters = connected(spokes)
     known = clusters.select(F.col("node").alias("nid"), F.col("comp").alias("g")).join(comps.withColumnRenamed("node", "nid"), "nid", "left")
     known = write_and_read(known.withColumn("comp", F.coalesce("comp", "nid")), "known", few=True)
     inside = within_clusters(known, sets, percent)
@@ -308,7 +308,7 @@ def near_duplicates(
     more = rest.select(F.col("a").alias("nid")).union(rest.select("b")).distinct().join(busy, "nid", "left_anti")
     all_sets = sets.union(sets_of(more, "moresets"))
     extra = write_and_read(confirmed(rest, all_sets, percent), "links", few=True)
-    comps = write_and_read(connected(links.union(extra)), "comps", few=True)
+    comps = connected(links.union(extra))
 
     grouped = nodes.select("nid", "d1", "d2", "label", "copies").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
     grouped = grouped.withColumn("comp", F.coalesce("comp", "nid"))
