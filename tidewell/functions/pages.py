@@ -8,9 +8,10 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tidewell.functions.columns import after_prefix, last_piece, last_word_int, resolve_link
+from tidewell.session import spread
 
 # Elements without content, and elements whose content is not text.
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -117,7 +118,7 @@ def _map_pages(
             out["_tw"] = [extract(read_page(text, wanted)) for text in batch[html]]
             yield out
 
-    return pages.select(*dict.fromkeys([*keep, html])).mapInPandas(run, schema)
+    return spread(pages.select(*dict.fromkeys([*keep, html]))).mapInPandas(run, schema)
 
 
 def page_titles(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -226,16 +227,21 @@ def page_totals(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return out.select(key, F.coalesce(last_word_int(F.col("_tw")), F.lit(1)).alias("total_pages"))
 
 
+def _links(found: list[Element]) -> list[dict]:
+    links = [e for e in found if e.tag == "a" and any(a.tag == "nav" for a in e.enclosing())]
+    return [{"position": i, "href": e.attrs.get("href"), "label": e.text()} for i, e in enumerate(links)]
+
+
+def page_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """The links inside the page's navigation, one row each."""
+    kind = ArrayType(StructType([StructField("position", IntegerType()), StructField("href", StringType()), StructField("label", StringType())]))
+    return _map_pages(pages, html, [key], {"nav", "a"}, _links, kind).select(key, F.inline("_tw"))
+
+
 @F.udtf(returnType="position int, href string, label string", useArrow=True)
 class PageLinks:
-    """Table function: the links inside the page's navigation, one row each."""
+    """The same as a table function, for use in SQL and lateral joins."""
 
     def eval(self, html: str):
-        found = read_page(html, {"nav", "a"})
-        links = [e for e in found if e.tag == "a" and any(a.tag == "nav" for a in e.enclosing())]
-        for position, link in enumerate(links):
-            yield position, link.attrs.get("href"), link.text()
-
-
-def page_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    return pages.select(key, html).lateralJoin(PageLinks(F.col(html).outer())).drop(html)
+        for link in _links(read_page(html, {"nav", "a"})):
+            yield link["position"], link["href"], link["label"]

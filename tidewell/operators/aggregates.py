@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions.columns import reais
 from tidewell.operators.ordered import exact_quantiles
+from tidewell.operators.quantiles import column_quantiles
 
 
 def sum_of(value: Column, decimals: int | None = None) -> Column:
@@ -112,7 +113,7 @@ def quantile(df: DataFrame, column: str, fraction: float, accuracy: int | None =
     """Exact interpolated quantile, or the approximate one with a given accuracy."""
     if accuracy:
         return df.agg(F.percentile_approx(column, fraction, accuracy).alias("quantile"))
-    return exact_quantiles(df, [], column, {"quantile": fraction})
+    return column_quantiles(df, column, {"quantile": fraction})
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:

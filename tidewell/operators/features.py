@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,8 @@ from tidewell.functions.columns import uniform
 from tidewell.operators.aggregates import mean_of
 from tidewell.operators.attach import attach
 from tidewell.operators.ordered import number_rows
+from tidewell.session import stage
+
 
 def category_codes(df: DataFrame, column: str, by: str = "frequency") -> DataFrame:
     """Fitted map (category, code, row count); by descending frequency or alphabetical.
@@ -35,24 +35,49 @@ def encode(df: DataFrame, codes: DataFrame, column: str, name: str, unknown: int
     return coded.withColumn(name, F.coalesce(F.col(name), F.lit(unknown)))
 
 
+def _frequency_coded(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``_tw_code``, null for a missing category, and ``_tw_size``, the number of categories. Codes stay a table."""
+    codes = stage(category_codes(df, column), "codes")
+    coded = encode(df, codes, column, "_tw_code", unknown=None)
+    return coded.crossJoin(F.broadcast(codes.agg(F.count("*").cast("int").alias("_tw_size"))))
+
+
 def one_hot_vector(df: DataFrame, column: str, name: str) -> DataFrame:
-    """MLlib one-hot over frequency codes, last category dropped, as an array."""
-    stages = [
-        StringIndexer(inputCol=column, outputCol="_tw_code"),
-        OneHotEncoder(inputCol="_tw_code", outputCol="_tw_vec", dropLast=True),
-    ]
-    out = Pipeline(stages=stages).fit(df).transform(df)
-    return out.withColumn(name, vector_to_array("_tw_vec")).drop("_tw_code", "_tw_vec")
+    """One-hot over frequency codes, last category dropped, as an array of 0 and 1; all 0 for a missing category.
+
+    More than ``MOST_COLUMNS`` categories are refused: use ``one_hot_sparse``.
+    """
+    coded = _frequency_coded(df, column)
+    wide = F.assert_true(F.col("_tw_size") <= MOST_COLUMNS, F.lit(f"more than {MOST_COLUMNS} categories in {column}"))
+    slots = F.when(F.col("_tw_size") > 1, F.sequence(F.lit(0), F.col("_tw_size") - 2)).otherwise(F.array().cast("array<int>"))
+    hot = F.transform(slots, lambda i: F.coalesce((i == F.col("_tw_code")).cast("double"), F.lit(0.0)))
+    return coded.withColumn(name, F.when(wide.isNull(), hot)).select(*df.columns, name)
+
+
+def one_hot_sparse(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The same as a struct (size, indices, values) with at most one entry, for any number of categories."""
+    coded = _frequency_coded(df, column)
+    size = F.greatest(F.col("_tw_size") - 1, F.lit(0))
+    kept = F.col("_tw_code") < size
+    indices = F.when(kept, F.array("_tw_code")).otherwise(F.array().cast("array<int>"))
+    values = F.when(kept, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>"))
+    return coded.withColumn(name, F.struct(size.alias("size"), indices.alias("indices"), values.alias("values"))).select(*df.columns, name)
+
+
+#: Columns or entries that one row may get for its categories.
+MOST_COLUMNS = 10_000
 
 
 def one_hot_columns(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
     """One 0/1 column ``column_value`` per category, none dropped; the category goes.
 
-    The categories become column names, so without ``values`` all of them are looked up. For a
-    column with very many categories use ``one_hot_pairs``.
+    The categories become column names, so without ``values`` all of them are looked up; more than
+    ``MOST_COLUMNS`` are refused. For a column with very many categories use ``one_hot_pairs``.
     """
     if values is None:
-        found = df.where(F.col(column).isNotNull()).select(column).distinct().collect()
+        found = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MOST_COLUMNS + 1).collect()
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} categories in {column}; name the values or use one_hot_pairs")
         values = sorted(r[0] for r in found)
     flags = [F.coalesce(F.col(column) == v, F.lit(False)).cast("int").alias(f"{column}_{v}") for v in values]
     return df.select(*(c for c in df.columns if c != column), *flags)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.attach import attach
-from tidewell.operators.ordered import number_rows
+from tidewell.operators.ordered import last_known, number_rows
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
@@ -44,18 +44,47 @@ def join_outcomes(
     if horizon_days is None:
         joined = attach(events, first_outcome(outcomes, key, observed), [key], how=how)
     else:
-        # first what is in time, then the earliest of that
-        moments = events.select(key, F.col(decided).alias("_tw_decided")).where(F.col(decided).isNotNull()).distinct()
-        late = F.col("_tw_decided") + F.make_dt_interval(F.lit(horizon_days))
-        in_time = outcomes.join(moments, key).where(F.col(observed).between(F.col("_tw_decided"), late))
-        rest = [c for c in outcomes.columns if c != key]
-        lot = F.struct(F.col(observed), *(F.col(c) for c in rest if c != observed))
-        first = in_time.groupBy(key, "_tw_decided").agg(F.min_by(F.struct(*rest), lot).alias("_tw"))
-        per_decision = first.select(key, F.col("_tw_decided").alias(decided), "_tw.*")
-        joined = attach(events, per_decision, [key, decided], how=how)
+        joined = _next_outcome(events, outcomes, key, observed, decided, horizon_days, how)
     return joined.withColumn("reward", F.coalesce(F.col("reward"), F.lit(0)))
 
 
+def _next_outcome(
+    events: DataFrame, outcomes: DataFrame, key: str, observed: str, decided: str, horizon_days: int, how: str
+) -> DataFrame:
+    """Events with the first outcome from their decision on, if it lies within the horizon.
+
+    Both logs are merged by key and, backwards, time, and every decision takes the outcome last seen; the order is cut in ranges,
+    so a key with very many decisions and outcomes spreads over tasks and no pairs of them are made.
+    """
+    rest = [c for c in outcomes.columns if c != key]
+    meets = F.col(key).isNotNull() & F.col(decided).isNotNull()
+    event = F.struct(*(F.col(c).alias(c) for c in events.columns)).alias("_tw_event")
+    outcome = F.struct(*(F.col(c).alias(c) for c in rest)).alias("_tw_outcome")
+    none = F.lit(None)
+    kind = outcomes.select(outcome).schema["_tw_outcome"].dataType
+    event_kind = events.select(event).schema["_tw_event"].dataType
+    late = outcomes.where(F.col(key).isNotNull() & F.col(observed).isNotNull())
+    # at one moment the outcome counts for the decision, so backwards it comes first; of several, the one whose other columns are smallest comes last
+    lot = F.struct(*(F.col(c) for c in rest if c != observed)) if len(rest) > 1 else F.struct(F.lit(0).alias("none"))
+    lot_kind = late.select(lot.alias("lot")).schema["lot"].dataType
+    log = events.where(meets).select(
+        F.col(key).alias("_tw_key"), F.col(decided).cast("timestamp").alias("_tw_at"), F.lit(1).alias("_tw_side"), none.cast(lot_kind).alias("_tw_lot"), event, none.cast(kind).alias("_tw_outcome")
+    ).unionByName(late.select(
+        F.col(key).alias("_tw_key"), F.col(observed).cast("timestamp").alias("_tw_at"), F.lit(0).alias("_tw_side"), lot.alias("_tw_lot"), none.cast(event_kind).alias("_tw_event"), outcome
+    ))
+    order = [F.col("_tw_at").desc(), F.col("_tw_side").asc(), F.col("_tw_lot").desc_nulls_last()]
+    merged = last_known(log, ["_tw_key"], order, {"_tw_next": "_tw_outcome"}).where("_tw_side = 1")
+    end = F.col("_tw_at") + F.make_dt_interval(F.lit(horizon_days))
+    found = F.when(F.col(f"_tw_next.{observed}").cast("timestamp") <= end, F.col("_tw_next"))
+    placed = merged.select("_tw_event", found.alias("_tw_found"))
+    if how == "left":
+        rows = events.where(~F.coalesce(meets, F.lit(False))).select(event, none.cast(kind).alias("_tw_found"))
+        placed = placed.unionByName(rows)
+    else:
+        placed = placed.where(F.col("_tw_found").isNotNull())
+    return placed.select(*(F.col(f"_tw_event.{c}") for c in events.columns), *(F.col(f"_tw_found.{c}").alias(c) for c in rest))
+
+
 def recover_context(outcomes: DataFrame, decisions: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Outcomes with the context of their decision, and the outcomes of unknown events."""
     known = attach(outcomes, decisions, [key], how="inner")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import drift_status, window_number
-from tidewell.operators.ordered import exact_quantiles
+from tidewell.operators.quantiles import Quantiles, quantiles_of
 from tidewell.operators.windows import change_flag
 
 # Fixed values.
@@ -41,11 +41,14 @@ def drift_summary(windows: DataFrame) -> DataFrame:
     )
 
 
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    pairs = F.array(
-        *(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns)
-    )
-    return df.select(F.inline(pairs)).where(F.col("value").isNotNull())
+def _bins(found: Quantiles) -> tuple[list[float], list[int]]:
+    """Distinct edges, and the rows of the expected side in each bin; the last bin is closed."""
+    edges, below = [], []
+    for level, n in zip(found.levels, found.below):
+        if level is not None and (not edges or level != edges[-1]):
+            edges.append(level)
+            below.append(n)
+    return edges, [b - a for a, b in zip(below, [*below[1:-1], found.n])] if len(edges) > 1 else []
 
 
 def feature_psi(expected: DataFrame, recent: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
@@ -53,43 +56,32 @@ def feature_psi(expected: DataFrame, recent: DataFrame, columns: Sequence[str],
 
     Bin edges are quantiles of the expected rows with repeated edges merged, the last
     bin is closed, and values outside stay out of the bins but count in the share. A
-    single edge gives 0. All columns share their passes: a sketch, a count around the bracketed edges, and the count per bin.
+    single edge gives 0. The quantiles also tell how many expected rows lie in each bin, so the expected side is read twice,
+    the recent one once, with all columns beside each other and the edges as constants. NaN is refused.
     """
-    both = _long(expected, columns)
-    fractions = {f"_tw_q{i}": i / bins for i in range(bins + 1)}
-    # as many groups as the caller listed columns
-    edges = exact_quantiles(both, ["column_name"], "value", fractions, few_groups=True).select(
-        "column_name", F.array_distinct(F.array(*fractions)).alias("edges")
-    )
-    sides = both.withColumn("side", F.lit("e")).unionByName(_long(recent, columns).withColumn("side", F.lit("a")))
-    # one row per monitored column: as many as the caller listed
-    placed = sides.join(F.broadcast(edges), "column_name")
-    reached = sum(
-        (F.coalesce(F.get("edges", F.lit(i)) <= F.col("value"), F.lit(False)).cast("int") for i in range(bins + 1)),
-        F.lit(0),
-    )
-    n_edges = F.size("edges")
-    bin_no = (
-        F.when(F.col("value") > F.element_at("edges", -1), F.lit(None).cast("int"))
-        .when(reached == 0, F.lit(None).cast("int"))
-        .otherwise(F.least(reached, n_edges - 1))
-    )
-    counted = placed.groupBy("column_name", n_edges.alias("n_edges"), bin_no.alias("bin")).agg(
-        F.count_if(F.col("side") == "e").alias("e"), F.count_if(F.col("side") == "a").alias("a")
-    )
-    totals = counted.groupBy("column_name").agg(F.sum("e").alias("all_e"), F.sum("a").alias("all_a"))
-    grid = edges.select(
-        "column_name", F.explode(F.sequence(F.lit(1), F.greatest(F.size("edges") - 1, F.lit(1)))).alias("bin")
-    )
-    shares = (
-        grid.join(counted, ["column_name", "bin"], "left").join(F.broadcast(totals), "column_name")
-        .withColumn("e_share", F.coalesce(F.try_divide("e", "all_e"), F.lit(0.0)))
-        .withColumn("a_share", F.coalesce(F.try_divide("a", "all_a"), F.lit(0.0)))
-    )
-    e = F.when(F.col("e_share") == 0, EMPTY_SHARE).otherwise(F.col("e_share"))
-    a = F.when(F.col("a_share") == 0, EMPTY_SHARE).otherwise(F.col("a_share"))
-    term = F.when(F.coalesce(F.col("n_edges"), F.lit(2)) < 2, 0.0).otherwise((a - e) * F.log(a / e))
-    scored = shares.groupBy("column_name").agg(F.sum(term).alias("_tw_psi"))
+    spark = expected.sparkSession
+    found = quantiles_of(expected, columns, [i / bins for i in range(bins + 1)])
+    if found is None:
+        raise ValueError("NaN in a monitored column")
+    placed = {c: _bins(q) for c, q in found.items()}
+    counts = []
+    for at, (c, (edges, _)) in enumerate(placed.items()):
+        v = F.col(c).cast("double")
+        counts.append(F.count(v).alias(f"n{at}"))
+        for b, (low, high) in enumerate(zip(edges, edges[1:])):
+            inside = (v >= low) & ((v <= high) if b == len(edges) - 2 else (v < high))
+            counts.append(F.count_if(inside).alias(f"n{at}_{b}"))
+    seen = recent.agg(*counts).first()
+    # as many rows as columns were listed, times the bins
+    rows = [
+        (c, b + 1, len(edges), own[b] if own else 0, found[c].n, seen[f"n{at}_{b}"] if own else 0, seen[f"n{at}"])
+        for at, (c, (edges, own)) in enumerate(placed.items()) for b in range(max(1, len(own)))
+    ]
+    counted = spark.createDataFrame(rows, "column_name string, bin int, n_edges int, e bigint, all_e bigint, a bigint, all_a bigint")
+    share_e, share_a = F.coalesce(F.try_divide("e", "all_e"), F.lit(0.0)), F.coalesce(F.try_divide("a", "all_a"), F.lit(0.0))
+    e, a = F.when(share_e == 0, EMPTY_SHARE).otherwise(share_e), F.when(share_a == 0, EMPTY_SHARE).otherwise(share_a)
+    term = F.when(F.col("n_edges") < 2, 0.0).otherwise((a - e) * F.log(a / e))
+    scored = counted.groupBy("column_name").agg(F.sum(term).alias("_tw_psi"))
     return scored.select(
         "column_name", F.round("_tw_psi", 4).alias("psi"), drift_status(F.col("_tw_psi")).alias("status")
     )

@@ -65,7 +65,7 @@ def running_sums(
     return staged.join(F.broadcast(spanning), on, "left").select(
         *df.columns,
         *(
-            (F.coalesce(F.col(f"{c}_before"), F.lit(0)) + F.sum(c).over(here)).alias(name)
+            F.coalesce(F.col(f"{c}_before") + F.sum(c).over(here), F.sum(c).over(here), F.col(f"{c}_before")).alias(name)
             for name, c in zip(sums, run)
         ),
         *(F.coalesce(F.col(f"{c}_all"), F.sum(c).over(local)).alias(name) for name, c in zip(totals, tot)),
@@ -101,6 +101,49 @@ def number_rows(
     return joined.select(*df.columns, (F.col("_tw_before") + place + 1).alias(name), *extra)
 
 
+PLACE = "_tw_place"
+
+
+def sorted_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``split_in_ranges`` with the rows of a range sorted and numbered by ``PLACE``."""
+    bounds = [*(F.col(k).asc() for k in keys), *order]
+    ranged = df.repartitionByRange(*bounds).sortWithinPartitions(*bounds)
+    return stage(ranged.withColumns({RANGE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()}), "ranges")
+
+
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Mapping[str, str]) -> DataFrame:
+    """Add, for each (name, column), the last value that is not null up to and including the row, in groups of any size.
+
+    A range needs one value of all ranges before it: the last known one at its first group.
+    """
+    staged = sorted_ranges(df, keys, order)
+    group = [*keys, RANGE]
+    lasts = {f"_tw_last{i}": c for i, c in enumerate(columns.values())}
+    # a struct, so that the value may be one itself
+    per_range = staged.groupBy(*group).agg(
+        *(F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), F.col(PLACE))).alias(n) for n, c in lasts.items())
+    )
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    spanning = per_range.withColumn("_tw_ranges", F.count("*").over(Window.partitionBy(*keys))).select(
+        *(F.col(c).alias(f"_tw_on_{c}") for c in group), *(F.last(n, ignorenulls=True).over(earlier).alias(f"{n}_before") for n in lasts), "_tw_ranges",
+    ).where(F.col("_tw_ranges") > 1)
+    # at most two groups of a range reach into another one
+    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_tw_on_{c}")) for c in group))
+    here = Window.partitionBy(*group).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    known = {name: F.coalesce(F.last(c, ignorenulls=True).over(here), F.col(f"{n}_before.v")) for (name, c), n in zip(columns.items(), lasts)}
+    kept = [c for c in df.columns if c not in known]
+    return staged.join(F.broadcast(spanning), on, "left").select(*kept, *(v.alias(n) for n, v in known.items())).select(
+        *df.columns, *(n for n in known if n not in df.columns)
+    )
+
+
+def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """At least the last ``n`` rows of every group: no more than ``n`` of each range that the group lies in."""
+    staged = sorted_ranges(df, keys, order)
+    back = Window.partitionBy(*keys, RANGE).orderBy(F.desc(PLACE))
+    return staged.withColumn("_tw_back", F.row_number().over(back)).where(F.col("_tw_back") <= n).select(*df.columns)
+
+
 #: Accuracy of the sketch that brackets a quantile, and the part of the rows left on each side of it, 12 times the sketch's error.
 SKETCH, MARGIN = 4000, 0.003
 #: Groups with fewer rows are ordered whole: there the margin is less than a few rows.

@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.sources.files import broadcast_if_small
 from tidewell.functions.columns import all_of, any_of, keyed_hash
-from tidewell.operators.ordered import exact_quantiles, number_rows
+from tidewell.operators.ordered import number_rows
+from tidewell.operators.quantiles import column_quantiles
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -76,7 +78,7 @@ def trim_outliers(df: DataFrame, column: str, fraction: float = 0.99, accuracy:
     if accuracy:
         limit = df.agg(F.percentile_approx(column, fraction, accuracy).alias("_tw_limit"))
     else:
-        limit = exact_quantiles(df, [], column, {"_tw_limit": fraction})
+        limit = column_quantiles(df, column, {"_tw_limit": fraction})
     kept = df.where(F.col(column) > 0).crossJoin(F.broadcast(limit))
     return kept.where(F.col(column) <= F.col("_tw_limit")).drop("_tw_limit")
 
@@ -137,10 +139,44 @@ def sort_by_choice(df: DataFrame, column: str, ascending: bool, key: str) -> Dat
     return df.orderBy(chosen, F.col(key))
 
 
+#: Rows before the end of a page that one task may keep in its heap, and rows of the range that is sorted for a deeper one.
+SHALLOW, MOST_SORTED = 10_000, 100_000
+#: Ranges that a pass tells apart, and passes at most: the last range may hold more rows only if their keys are equal.
+PAGE_RANGES, MOST_PASSES = 64, 8
+
+
 def newest(df: DataFrame, key: str, limit: int = 10, offset: int = 0) -> DataFrame:
+    """The page of ``limit`` rows after the first ``offset`` by descending key.
+
+    A deep page is found by rank: rows are counted by range of the key, only the range that holds the page is kept, counted again
+    by finer ranges while it is large, and sorted at last. Keys that have no quantiles (texts) are sorted whole.
+    """
+    if offset + limit > SHALLOW and not isinstance(df.schema[key].dataType, (T.StringType, T.BinaryType, T.BooleanType)):
+        df, offset = _page_range(df, key, limit, offset)
     return df.orderBy(F.desc(key)).offset(offset).limit(limit)
 
 
+def _page_range(df: DataFrame, key: str, limit: int, offset: int) -> tuple[DataFrame, int]:
+    """The rows of a range of keys that holds the page, and the offset in it."""
+    marks = [i / PAGE_RANGES for i in range(1, PAGE_RANGES)]
+    k = F.col(key)
+    for _ in range(MOST_PASSES):
+        total, bounds = df.where(k.isNotNull()).agg(F.count("*"), F.percentile_approx(key, marks, 100 * PAGE_RANGES)).first()
+        if total <= MOST_SORTED or offset >= total:
+            break
+        bounds = sorted(set(bounds))
+        # rows from a bound upwards come before those below it
+        above = df.agg(*(F.count_if(k >= F.lit(b)).alias(f"n{i}") for i, b in enumerate(bounds))).first()
+        before = [(above[i], b) for i, b in enumerate(bounds)]
+        skip, high = max(((n, b) for n, b in before if n <= offset), default=(0, None), key=lambda x: x[0])
+        reached, low = min(((n, b) for n, b in before if n >= offset + limit), default=(total, None), key=lambda x: x[0])
+        inside = (k < F.lit(high) if high is not None else F.lit(True)) & (k >= F.lit(low) if low is not None else F.lit(True))
+        df, offset = df.where(inside), offset - skip
+        if reached - skip >= total:
+            break
+    return df, offset
+
+
 def number_pages(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
     """Every row with its 1-based page and the page count (the last page may be short)."""
     if size <= 0:

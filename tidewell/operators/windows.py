@@ -2,7 +2,7 @@
 
 Operators on bars (one row per series and day) use plain windows: a series has at
 most one row per day, whatever the number of ticks. Operators on raw rows go
-through ``ordered``, which splits large groups.
+through ``ordered``, which splits large groups; ``ranges=True`` asks for that where both are possible.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.aggregates import mean_of
 from tidewell.operators.joins import with_group_stats
-from tidewell.operators.ordered import number_rows, running_sums, with_halo
+from tidewell.operators.ordered import last_known, last_n, number_rows, running_sums, with_halo
 
 
 def daily_bars(ticks: DataFrame, series: str, moment: str, value: str, tie: str) -> DataFrame:
@@ -30,16 +30,26 @@ def daily_bars(ticks: DataFrame, series: str, moment: str, value: str, tie: str)
 
 
 def expanding_mean(
-    bars: DataFrame, series: str, order: str, value: str, name: str, digits: int = 2, decimals: int | None = None
+    bars: DataFrame, series: str, order: str, value: str, name: str, digits: int | None = 2, decimals: int | None = None,
+    ranges: bool = False, tie: str | None = None,
 ) -> DataFrame:
-    """Mean of everything up to and including the row."""
+    """Mean of everything up to and including the row.
+
+    ``ranges`` carries (sum, count) from range to range, so a series of any length spreads over many tasks; rows that ``order`` does not tell apart need a ``tie``.
+    """
+    if ranges:
+        amount = F.col(value) if decimals is None else F.col(value).cast(f"decimal(24,{decimals})")
+        sums = {"_tw_sum": amount, "_tw_count": F.col(value).isNotNull().cast("bigint")}
+        placed = running_sums(bars, [series], [F.col(c) for c in (order, tie) if c], sums)
+        mean = F.try_divide(F.col("_tw_sum").cast("double"), F.col("_tw_count"))
+        return placed.withColumn(name, mean if digits is None else F.round(mean, digits)).drop("_tw_sum", "_tw_count")
     frame = Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     if decimals is None:
         mean = F.avg(value).over(frame)
     else:
         fixed = F.col(value).cast(f"decimal(24,{decimals})")
         mean = F.sum(fixed).over(frame).cast("double") / F.count(value).over(frame)
-    return bars.withColumn(name, F.round(mean, digits))
+    return bars.withColumn(name, mean if digits is None else F.round(mean, digits))
 
 
 def fill_with_group_mean(df: DataFrame, key: str, value: str, decimals: int | None = None) -> DataFrame:
@@ -117,8 +127,12 @@ def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], na
     return number_rows(rows, keys, [F.col(c) for c in order], name)
 
 
-def carry_forward(bars: DataFrame, series: str, order: str, column: str) -> DataFrame:
-    """Nulls take the last known value of the series."""
+def carry_forward(
+    bars: DataFrame, series: str, order: str, column: str, ranges: bool = False, tie: str | None = None
+) -> DataFrame:
+    """Nulls take the last known value of the series; with ``ranges`` also for series too long for a task."""
+    if ranges:
+        return last_known(bars, [series], [F.col(c) for c in (order, tie) if c], {column: column})
     window = Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return bars.withColumn(column, F.last(column, ignorenulls=True).over(window))
 
@@ -132,21 +146,26 @@ def every_day(bars: DataFrame, series: str, day: str, start=None, end=None) -> D
     return days.join(bars, [series, day], "left")
 
 
-def look_back(bars: DataFrame, series: str, day: str, columns: Sequence[str], reference, n: int) -> DataFrame:
+def look_back(
+    bars: DataFrame, series: str, day: str, columns: Sequence[str], reference, n: int, ranges: bool = False, tie: str | None = None
+) -> DataFrame:
     """Exactly n rows ending at the reference date as one array per column.
 
-    A shorter history repeats its last row at the end.
+    A shorter history repeats its last row at the end. With ``ranges`` each range of a long series hands on its last n rows only.
     """
     if n <= 0:
         raise ValueError("look-back must be positive")
-    newest = Window.partitionBy(series).orderBy(F.desc(day))
+    order = [c for c in (day, tie) if c]
+    newest = Window.partitionBy(series).orderBy(*(F.desc(c) for c in order))
+    past = bars.where(F.col(day) <= F.lit(reference))
+    if ranges:
+        past = last_n(past, [series], [F.col(c) for c in order], n)
     kept = (
-        bars.where(F.col(day) <= F.lit(reference))
-        .withColumn("_tw_rn", F.row_number().over(newest))
+        past.withColumn("_tw_rn", F.row_number().over(newest))
         .where(F.col("_tw_rn") <= n)
     )
     rows = kept.groupBy(series).agg(
-        F.array_sort(F.collect_list(F.struct(day, *columns))).alias("_tw_rows")
+        F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order)))).alias("_tw_rows")
     )
     padded = F.concat(
         F.col("_tw_rows"), F.array_repeat(F.element_at("_tw_rows", -1), F.lit(n) - F.size("_tw_rows"))

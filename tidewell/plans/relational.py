@@ -168,6 +168,13 @@ def paginate(spark, d):
     return R.number_pages(rows, [F.col("p_name"), F.col("p_partkey")], 25)
 
 
+@query("paginate_deep", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 10 OFFSET (SELECT count(*) // 2 FROM orders)")
+def paginate_deep(spark, d):
+    """A page in the middle of the table: found by counting ranges of the key, not by sorting all rows before it."""
+    rows = load(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return R.newest(rows, "o_orderkey", limit=10, offset=rows.count() // 2)
+
+
 @query("top_k", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 3")
 def top_k(spark, d):
     return R.top_k(load(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 3)

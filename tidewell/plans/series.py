@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -140,3 +140,34 @@ WITH {BARS} SELECT series, count(*) AS n, round(regr_slope(close, date_diff('day
 FROM bars GROUP BY 1""")
 def trend(spark, d):
     return series_trend(bars(spark, d), "series", "day", "close").withColumn("slope", F.round("slope", 6))
+
+
+TICKS = "w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+
+
+def _ticks(spark, d):
+    return load(spark, d, "events").select("event_id", "event_type", "ts", "value")
+
+
+@query("tick_running_mean", f"""
+SELECT event_id, CAST(sum(CAST(value AS DECIMAL(24, {PLACES}))) OVER w AS DOUBLE) / count(value) OVER w AS running_mean FROM events WINDOW {TICKS}""")
+def tick_running_mean(spark, d):
+    """Running mean of raw ticks: a few series that hold all rows, so each spreads over ranges."""
+    out = W.expanding_mean(_ticks(spark, d), "event_type", "ts", "value", "running_mean", digits=None, decimals=PLACES, ranges=True, tie="event_id")
+    return out.select("event_id", "running_mean")
+
+
+@query("tick_carry_forward", f"""
+SELECT event_id, last_value(v IGNORE NULLS) OVER w AS value FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN value END AS v FROM events) WINDOW {TICKS}""")
+def tick_carry_forward(spark, d):
+    gaps = _ticks(spark, d).withColumn("value", F.when(F.col("event_id") % 5 == 0, F.col("value")))
+    return W.carry_forward(gaps, "event_type", "ts", "value", ranges=True, tie="event_id").select("event_id", "value")
+
+
+@query("tick_look_back", """
+SELECT event_type, list(value ORDER BY ts, event_id) AS value FROM (SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-20'
+  QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 20) GROUP BY 1""")
+def tick_look_back(spark, d):
+    """The last twenty ticks of every series up to a moment."""
+    moment = F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz")
+    return W.look_back(_ticks(spark, d), "event_type", "ts", ["value"], moment, 20, ranges=True, tie="event_id")

@@ -112,6 +112,25 @@ def stream_refit(spark, d):
     ).crossJoin(F.broadcast(models))
 
 
+@query("stream_refit_each_hundred", f"""
+WITH {LOGS}, n AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 100 + 1 AS version FROM offer_log)
+SELECT version, arm, count(*) AS rounds, CAST(sum(reward) AS BIGINT) AS hits FROM n WHERE version <= (SELECT count(*) // 100 FROM n) GROUP BY 1, 2""")
+def stream_refit_each_hundred(spark, d):
+    """Rounds and hits of every offer in each full hundred of observations, numbered on from batch to batch."""
+    path, root = scratch_path(spark, "refit-log"), scratch_path(spark, "refit")
+    rows = offer_log(spark, d).select("event_id", "arm", "reward")
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    for part in range(4):  # the log grows in order, drop after drop
+        rows.where((F.col("event_id") * 4 > last * part if part else F.lit(True)) & (F.col("event_id") * 4 <= last * (part + 1))).write.mode("append").parquet(path)
+
+    def fit(waiting):
+        return waiting.groupBy("version", "arm").agg(F.count("*").alias("rounds"), F.sum(F.col("reward").cast("bigint")).alias("hits"))
+
+    sink = S.CountedRefit(root, fit, ["event_id"])
+    S.drain_batches(S.log_stream(spark, path, rows.schema, files_per_batch=1), sink, scratch_path(spark, "refit-checkpoint"))
+    return sink.models(spark)
+
+
 @query("stream_incremental", "SELECT event_id, ts, event_type FROM events")
 def stream_incremental(spark, d):
     """Two drops into one folder and a run after each, and a third run that finds nothing new."""

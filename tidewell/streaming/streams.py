@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.operators.changes import apply_changes
+from tidewell.operators.ordered import number_rows
 from tidewell.sources.files import folder_exists, remove_folder
 
 
@@ -180,3 +181,46 @@ class RefitSink:
 
     def versions(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("n_rows bigint, batch bigint").parquet(f"{self.root}/versions")
+
+
+class CountedRefit:
+    """Refit at every so many observations, wherever the micro-batches begin and end.
+
+    Observations are numbered in the order of ``order`` within a batch and on from the batch before; each full ``every`` of
+    them makes a version, so one batch of 250 rows gives the same versions as 250 batches of one. ``fit`` gets rows with a column ``version``
+    and returns rows with it, for all the versions that a batch completes at once. Folders per batch number make a replayed batch replace its own
+    files, and a one-row state says where the numbering stands and from which batch on rows still wait.
+    """
+
+    STATE = "total bigint, since bigint"
+
+    def __init__(self, root: str, fit: Callable[[DataFrame], DataFrame], order: list[str], every: int = 100):
+        self.root, self.fit, self.order, self.every = root, fit, order, every
+
+    def _state(self, spark: SparkSession, number: int) -> tuple[int, int]:
+        """Rows numbered so far, and the first batch with rows of an open version, after batch ``number``."""
+        path = f"{self.root}/state/batch={number}"
+        if number < 0 or not folder_exists(spark, path):
+            return 0, 0
+        return tuple(spark.read.schema(self.STATE).parquet(path).first())
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        total, since = self._state(spark, number - 1)
+        numbered = number_rows(batch, [], [F.col(c) for c in self.order], "_tw_n")
+        version = F.floor((F.col("_tw_n") + F.lit(total - 1)) / self.every) + 1
+        placed = numbered.withColumn("version", version).drop("_tw_n")
+        placed.write.mode("overwrite").parquet(f"{self.root}/rows/batch={number}")
+        own = spark.read.schema(placed.schema).parquet(f"{self.root}/rows/batch={number}")
+        before, total = total // self.every, total + own.count()
+        complete = total // self.every
+        if complete > before:
+            folders = [f"{self.root}/rows/batch={b}" for b in range(since, number + 1) if folder_exists(spark, f"{self.root}/rows/batch={b}")]
+            waiting = spark.read.schema(placed.schema).parquet(*folders).where((F.col("version") > before) & (F.col("version") <= complete))
+            self.fit(waiting).write.mode("overwrite").parquet(f"{self.root}/models/batch={number}")
+            since = number
+        spark.createDataFrame([(total, since)], self.STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/state/batch={number}")
+
+    def models(self, spark: SparkSession) -> DataFrame:
+        """What was fitted, all versions."""
+        return spark.read.parquet(f"{self.root}/models").drop("batch")
