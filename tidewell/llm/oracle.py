@@ -10,6 +10,8 @@ _LIMITS = [("hi", n) for n in quality.METRICS] + [("lo", n) for n, (_, low) in q
 
 
 def _quality() -> str:
+    levels = " ".join(f"WHEN '{m}' THEN {level}" for m, level in quality.UPPER.items())
+
     def limit(which: str, name: str) -> str:
         least, _ = quality.METRICS[name]
         side = "q3 + " if which == "hi" else "q1 - "
@@ -19,7 +21,8 @@ def _quality() -> str:
         by = ", ".join([*keys, "metric"])
         group = f"GROUP BY {', '.join(keys)}" if keys else ""
         return f"""(SELECT {"".join(k + ", " for k in keys)}max(total) AS n, {", ".join(limit(*x) for x in _LIMITS)} FROM (
-            SELECT {by}, max(total) AS total, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3
+            SELECT {by}, max(total) AS total, min(bucket) FILTER (upto * 1000 >= total * {quality.LOWER}) AS q1,
+                min(bucket) FILTER (upto * 1000 >= total * CASE metric {levels} ELSE {quality.QUARTILE} END) AS q3
             FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM {table}) GROUP BY {by}) {group})"""
 
     chosen = ", ".join(

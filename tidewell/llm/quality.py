@@ -27,7 +27,11 @@ METRICS = {
     "repeats": (100, False),
     "stutter": (25, False),
 }
-#: A fence lies this many spreads beyond the quartile.
+#: Upper quantile, in parts per thousand, from which a fence is measured, and the lower one it is compared with. Most texts repeat nothing, so
+#: the quartiles of repetition are 0 whatever the group is like; there the fence starts at the tail.
+UPPER, LOWER = {"dup_lines": 990, "repeats": 990}, 250
+QUARTILE = 750
+#: A fence lies this many spreads beyond its quantile.
 FENCE = 3
 #: Groups with fewer passing documents take the fences of their language, then of all.
 MIN_GROUP = 50
@@ -140,10 +144,13 @@ def fences(sketch: DataFrame) -> DataFrame:
         upto = Window.partitionBy(*keys, "metric").orderBy("bucket")
         whole = Window.partitionBy(*keys, "metric")
         placed = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(whole)})
+        upper = F.lit(QUARTILE)
+        for name, level in UPPER.items():
+            upper = F.when(F.col("metric") == name, level).otherwise(upper)
         quartiles = placed.groupBy(*keys, "metric").agg(
             F.max("total").alias("total"),
-            F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-            F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
+            F.min(F.when(F.col("upto") * 1000 >= F.col("total") * LOWER, F.col("bucket"))).alias("q1"),
+            F.min(F.when(F.col("upto") * 1000 >= F.col("total") * upper, F.col("bucket"))).alias("q3"),
         )
         columns = [F.max("total").alias(f"{label}_n")]
         for name, (least, low) in METRICS.items():
