@@ -358,6 +358,25 @@ def test_propagation_gathers_groups(session):
     assert before >= 400 and after <= before // 8 and hot <= 6
 
 
+@pytest.mark.parametrize("spare,least", [(0.3, 0.99), (0.05, 0.95)])
+def test_rounds_alone_gather(session, spare, least):
+    """From a start that cuts every group, nearly all come together by the rounds alone where the shards have room to spare."""
+    draw = random.Random(3)
+    sizes = [draw.choice([2, 3, 3, 5, 8, 20]) for _ in range(1200)]
+    members = [g for g, n in enumerate(sizes) for _ in range(n)]
+    draw.shuffle(members)
+    blocks = Counter((f"g{g}", at * 10 // len(members)) for at, g in enumerate(members))
+    table = session.createDataFrame([(g, s, n) for (g, s), n in blocks.items()], sharding.BLOCK)
+    room = sharding.capacities(int(len(members) * (1 + spare)), 10)
+    before, groups = sharding.cut_groups(table)
+    done = sharding.propagate(table, room)
+    cut, n = sharding.cut_groups(done)
+    assert before >= 0.8 * groups and n == groups == 1200
+    assert 1 - cut / n >= least
+    assert all(a <= b for a, b in zip(sharding.loads(done, 10), room))
+    assert sum(sharding.loads(done, 10)) == len(members)
+
+
 @pytest.mark.parametrize("singles", [870, 0])
 def test_groups_larger_than_their_shard(session, singles):
     """Interleaved ids: a hot group gathers in the fewest shards that hold it, and nothing else stays cut that fits, even if no shard has room to spare."""

@@ -2,7 +2,7 @@
 
 The few groups that take much of a shard or more are set first, in as few shards as hold them. The members of all others
 start dealt evenly over the room left. In every round each block of linked documents (the members of
-one group that share a shard) asks to move where most of its group is. A shard takes in only what its quota leaves
+one group that share a shard) asks to move where most of its group is, or, while that shard is full, to the shard with room that holds most of it. A shard takes in only what its quota leaves
 free and what other blocks hand back in exchange, largest gains first. Groups that the rounds leave cut, as the shard they
 ask for is full, are laid anew into the room beside the whole ones. Blocks are counts, so a group of any
 size is at most one row for each shard. Documents without links fill the shards up at the end, so
@@ -83,10 +83,14 @@ def propagate(blocks: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataF
     group = Window.partitionBy("g")
     for _ in range(rounds):
         load = blocks.groupBy("shard").agg(F.sum("n").alias("load"))
+        now = loads(blocks, len(room))
+        # room that is left, also for the whole of a group: of several shards with it the one that holds most is asked
+        spare = number_at([r - n for r, n in zip(room, now)], F.col("shard"))
+        held = blocks.withColumn("open", spare >= F.sum("n").over(group) - F.col("n"))
         # a group has at most one block for each shard, so this window is small
-        best = F.max(F.struct("n", F.hash("g", "shard"), "shard")).over(group)
+        best = F.max(F.struct("open", "n", F.hash("g", "shard"), "shard")).over(group)
         asked = (
-            blocks.withColumn("to", best["shard"]).withColumn("gain", best["n"] - F.col("n"))
+            held.withColumn("to", best["shard"]).withColumn("gain", best["n"] - F.col("n"))
             .where(F.col("to") != F.col("shard"))
         )
         asked = write_and_read(asked.select("g", F.col("shard").alias("src"), F.col("to").alias("dst"), "n", "gain"), "asked")
@@ -122,6 +126,13 @@ def propagate(blocks: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataF
     return blocks
 
 
+def cut_groups(blocks: DataFrame) -> tuple[int, int]:
+    """(groups that lie in several shards, groups)."""
+    parts = blocks.groupBy("g").agg(F.count("*").alias("parts"))
+    cut, n = parts.agg(F.count_if(F.col("parts") > 1), F.count("*")).first()
+    return cut, n
+
+
 def whole_groups(blocks: DataFrame, room: list[int]) -> DataFrame:
     """The blocks with all groups that are still cut laid anew, one after the other, into the room that the others leave.
 
