@@ -113,3 +113,50 @@ def test_repartitioning_does_not_change_results(spark, folder, queries, tmp_path
             for frame in (queries[name](spark, folder), queries[name](spark, str(target)))
         ]
         assert digest[0] == digest[1], name
+
+
+def executed(plan):
+    """All nodes of a plan that has run, through adaptive stages."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    children = plan.children()
+    found = [plan]
+    for child in inner or [children.apply(i) for i in range(children.size())]:
+        found += executed(child)
+    return found
+
+
+@pytest.mark.parametrize("name", ["thompson_choose", "offer_propensity", "cross_client_offer", "scale_minmax", "trim_outliers", "bootstrap_estimates"])
+def test_broadcast_sides_are_small(spark, folder, queries, name):
+    """What is sent to every executor is a row or a short list, by the rows that Spark counted."""
+    df = queries[name](spark, folder)
+    df.collect()
+    nodes = executed(df._jdf.queryExecution().executedPlan())
+    sizes = [n.metrics().apply("numOutputRows").value() for n in nodes if n.getClass().getSimpleName() == "BroadcastExchangeExec"]
+    joins = [n for n in nodes if n.getClass().getSimpleName() == "BroadcastNestedLoopJoinExec"]
+    assert not any(n.getClass().getSimpleName() == "CartesianProductExec" for n in nodes)
+    assert len(sizes) >= len(joins) and all(size <= 100 for size in sizes)
+
+
+def test_clients_are_not_shuffled_for_a_choice(spark, folder, queries):
+    plan = physical(queries["thompson_choose"](spark, folder))
+    moved = re.findall(r"Exchange ([^\n]*)", plan)
+    assert moved and not any(m.startswith("hashpartitioning") and "client" in m for m in moved) and "rangepartitioning" not in plan
+
+
+def test_a_large_table_is_no_fixed_dimension(spark):
+    from tidewell.operators.joins import pair_with_all
+
+    with pytest.raises(ValueError):
+        pair_with_all(spark.range(3), spark.range(20_000).withColumnRenamed("id", "other"))
+
+
+def test_narrow_inputs_are_spread(spark, tmp_path):
+    from tidewell.session import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    held = spread(one).groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == 8 and max(r["count"] for r in held) < 200 and sum(r["count"] for r in held) == 1000
+    many = spark.range(1000).repartition(8)
+    assert spread(many) is many and spread(one.limit(0)).count() == 0

@@ -97,8 +97,14 @@ def align(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys), "full").orderBy(*keys)
 
 
+#: Entries that a fixed dimension may have.
+MOST_FIXED = 10_000
+
+
 def pair_with_all(rows: DataFrame, fixed: DataFrame) -> DataFrame:
-    """Every row with every entry of a fixed, hand-written dimension."""
+    """Every row with every entry of a fixed, hand-written dimension; a table that is none is refused."""
+    if fixed.limit(MOST_FIXED + 1).count() > MOST_FIXED:
+        raise ValueError(f"more than {MOST_FIXED} rows to pair every row with")
     return rows.crossJoin(F.broadcast(fixed))
 
 
