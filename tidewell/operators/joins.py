@@ -79,7 +79,7 @@ def _next_outcome(
     placed = merged.select("_tw_event", found.alias("_tw_found"))
     if how == "left":
         rows = events.where(~F.coalesce(meets, F.lit(False))).select(event, none.cast(kind).alias("_tw_found"))
-        placed = placed.unionByName(rows)
+        placed = rows.unionByName(placed)
     else:
         placed = placed.where(F.col("_tw_found").isNotNull())
     return placed.select(*(F.col(f"_tw_event.{c}") for c in events.columns), *(F.col(f"_tw_found.{c}").alias(c) for c in rest))

@@ -119,9 +119,14 @@ def prediction_log(model: PipelineModel, df: DataFrame, key: str, inputs: Sequen
     )
 
 
+def poisson_levels() -> list[float]:
+    """Cumulative probabilities of Poisson(1); 32 bits leave nothing above 12."""
+    return list(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+
+
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw from a uniform of 32 bits: its cumulative probabilities leave nothing above 12."""
-    cumulative = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+    """Poisson(1) draw from a uniform of 32 bits."""
+    cumulative = poisson_levels()
     weight = F.lit(12.0)
     for count, upto in reversed(list(enumerate(cumulative))):
         weight = F.when(u < upto, F.lit(float(count))).otherwise(weight)
@@ -188,11 +193,14 @@ def fit_ensemble(
     Weights are drawn in the row as there and written once beside the features. A member whose loss grew takes back half its step. Rows with a null or
     NaN feature or label are refused; a column without deviation gets weight 0.
     """
-    draws = [poisson_weight(uniform(F.col(key), seed=f"bootstrap{m}")) for m in range(members)]
-    share = F.col(balance).cast("double") if balance else F.lit(1.0)
-    rows = train.select(
-        F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.col(label).cast("double").alias("y"), F.array(*(d * share for d in draws)).alias("w")
+    # a draw is how many of the cumulative probabilities it reaches; each is bound once
+    levels = F.array(*(F.lit(c) for c in poisson_levels()))
+    drawn = train.select(
+        F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.col(label).cast("double").alias("y"),
+        (F.col(balance).cast("double") if balance else F.lit(1.0)).alias("share"),
+        F.array(*(uniform(F.col(key), seed=f"bootstrap{m}") for m in range(members))).alias("u"),
     )
+    rows = drawn.select("x", "y", F.transform("u", lambda u: F.size(F.filter(levels, lambda c: c <= u)) * F.col("share")).alias("w"))
     rows = stage(rows, "ensemble")
     bad = F.col("y").isNull() | F.isnan("y") | F.exists("x", lambda v: v.isNull() | F.isnan(v)) | F.exists("w", lambda v: v.isNull())
     if rows.where(bad).limit(1).count():

@@ -48,15 +48,6 @@ def join_outcomes_left(spark, d):
     )
 
 
-@query("join_outcomes_horizon", f"""
-WITH {LOGS}, in_time AS (SELECT d.event_id, first(reward ORDER BY observed_at, reward) AS reward, min(observed_at) AS observed_at FROM decisions d JOIN outcomes o
-  ON d.event_id = o.event_id AND o.observed_at BETWEEN decided_at AND decided_at + INTERVAL 2 DAY GROUP BY 1)
-SELECT d.*, coalesce(reward, 0) AS reward, observed_at FROM decisions d LEFT JOIN in_time USING (event_id)""")
-def join_outcomes_horizon(spark, d):
-    """Each decision with its first outcome within two days: both logs merged by key and time."""
-    return J.join_outcomes(decisions(spark, d), outcomes(spark, d), "event_id", "observed_at", decided="decided_at", horizon_days=2)
-
-
 @query("join_outcomes_inner", f"""
 WITH {LOGS} SELECT d.*, reward, observed_at FROM decisions d JOIN first_outcomes USING (event_id)""")
 def join_outcomes_inner(spark, d):
