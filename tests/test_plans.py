@@ -119,6 +119,7 @@ def executed(plan):
     """All nodes of a plan that has run, through adaptive stages."""
     kind = plan.getClass().getSimpleName()
     inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    inner = [plan.child()] if kind == "ReusedExchangeExec" else inner
     children = plan.children()
     found = [plan]
     for child in inner or [children.apply(i) for i in range(children.size())]:
