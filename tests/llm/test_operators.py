@@ -205,12 +205,29 @@ def groups_by_force(rows, k, percent=80):
     )
 
 
-@pytest.mark.parametrize("k,bound", [(2, 200_000), (5, 0)])
-def test_near_duplicates(docs, rows, k, bound, monkeypatch):
+@pytest.mark.parametrize("k,bound,members", [(2, 200_000, 200), (5, 0, 200), (2, 200_000, 1)])
+def test_near_duplicates(docs, rows, k, bound, members, monkeypatch):
     monkeypatch.setattr(neardup, "MAX_BROADCAST_NODES", bound)
+    monkeypatch.setattr(neardup, "MOST_MEMBERS", members)
     assert plain(neardup.near_duplicates(docs, words_per_shingle=k).collect()) == groups_by_force(rows, k)
 
 
+def test_crowded_buckets(session, monkeypatch):
+    """Texts that share much boilerplate fill buckets with members of many clusters; no link is lost where these are joined on what sets them apart."""
+    draw = random.Random(12)
+    boiler = prose(draw, 200)
+    rows = []
+    for i in range(60):
+        own = prose(draw, draw.choice([8, 12, 60, 120]))
+        for k in range(2):
+            text = list(boiler) + own
+            text[draw.randrange(len(text))] = f"x{i}k{k}"
+            rows.append((2 * i + k, " ".join(text), "en", "s"))
+    monkeypatch.setattr(neardup, "MOST_MEMBERS", 2)
+    table = session.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(4)
+    assert plain(neardup.near_duplicates(table, words_per_shingle=2).collect()) == groups_by_force(rows, 2)
+
+
 def test_near_dedup_stage(docs, rows):
     stay = neardup.keep_first_of_group(docs)
     assert stay.columns == docs.columns

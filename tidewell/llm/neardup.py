@@ -33,6 +33,8 @@ BITS = 1024
 LEAST_ESTIMATE = 0.6
 #: Words whose hashes a worker keeps; more of them would not fit its processor's cache.
 CACHE_WORDS = 20_000
+#: Members of one band bucket that are all compared with those of other clusters; larger buckets are joined on the items that set their members apart.
+MOST_MEMBERS = 200
 #: So many node ids at most are broadcast (about 50 bytes each); beyond, texts are shuffled by document.
 MAX_BROADCAST_NODES = 200_000
 
@@ -191,7 +193,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components of one cluster (nid, g, comp) that may reach the similarity; none that do are left out.
+    """Pairs (a, b) of nodes in different components of one cluster (nid, g, comp), or of one crowded bucket, that may reach the similarity; none that do are left out.
 
     Two sets reach it if at most share * (sizes added up) items differ, share = (100 - percent) / (100 + percent). All sets of
     a cluster are compared with its centre, the items that more than half of them hold: D is what a set has otherwise. With
@@ -223,7 +225,7 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
     often = items.groupBy("g", "e").agg(F.count("*").alias("df")).where("df > 1")
     common = items.join(often, ["g", "e"])
     # items of one set: those that no other set has come first and need no row
-    own = Window.partitionBy("nid")
+    own = Window.partitionBy("g", "nid")
     place = F.col("nd") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e"))
     ranked = common.withColumn("place", place).where(F.col("place") <= F.col("first"))
     first = write_and_read(ranked.select("g", "e", "nid", "comp", "n", "f", "far", (F.col("nd") - F.col("place")).alias("after")), "rare", few=True)
@@ -295,8 +297,17 @@ def near_duplicates(
     inside = within_clusters(known, sets, percent)
     placed = members.select("h", "nid").join(known, "nid", "left").withColumns({"g": F.coalesce("g", "nid"), "comp": F.coalesce("comp", "nid")})
     placed = write_and_read(placed, "placed", few=True)
-    split = placed.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("h")
-    open_members = placed.join(split, "h", "left_semi").select("h", "nid", "g").join(sketches, "nid")
+    split = placed.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).where("g0 < g1").select("h", "m")
+    split = write_and_read(split, "split", few=True)
+    crowded = split.where(F.col("m") > MOST_MEMBERS)
+    if not crowded.isEmpty():
+        # all pairs of so many would be too many: what they have in common is their centre, and few share more
+        members_of = write_and_read(placed.join(crowded, "h").select("nid", F.col("h").alias("g"), "comp"), "crowded", few=True)
+        others = members_of.select("nid").distinct().join(busy, "nid", "left_anti")
+        sets = sets.union(sets_of(others, "crowdedsets"))
+        busy = busy.union(others)
+        inside = inside.union(within_clusters(members_of, sets, percent)).distinct()
+    open_members = placed.join(split.where(F.col("m") <= MOST_MEMBERS), "h", "left_semi").select("h", "nid", "g").join(sketches, "nid")
     x = open_members.select("h", *(F.col(c).alias(f"x_{c}") for c in ("nid", "g", "n", "odd")))
     y = open_members.select("h", *(F.col(c).alias(f"y_{c}") for c in ("nid", "g", "n", "odd")))
     across = (
