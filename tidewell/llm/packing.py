@@ -31,19 +31,13 @@ STEP_TOKENS = 8 * 2048
 END = 1
 #: Text of the one special token of the vocabulary and its id (fixed values).
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Distinct words a worker keeps the ids of; then it starts anew.
-CACHE_WORDS = 100_000
 #: Longer runs of white space are left to the slower of the two libraries: the other descends once for each of their characters.
 MOST_SPACES = 10_000
-_SPACES = re.compile(r"\s+")
+_SPACES = re.compile(r"\s{%d}" % MOST_SPACES)
 
 
 class Tokens:
-    """Byte-level BPE ids of texts. Words recur, so ids of space-separated words are kept.
-
-    A piece of text that starts with one space before a visible character, after a visible one, is
-    always split there by the vocabulary's pattern; texts with other spacing, at the ends of lines too, are encoded whole.
-    """
+    """Byte-level BPE ids of texts, as the library of the vocabulary gives them."""
 
     kept: dict[str, "Tokens"] = {}
 
@@ -55,8 +49,6 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path, self.library = ranks_path, None
-        self.words: dict[str, bytes] = {}
-        self.newline = self._raw("\n")
 
     @classmethod
     def load(cls, path: str) -> "Tokens":
@@ -64,11 +56,6 @@ class Tokens:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def _raw(self, text: str) -> bytes:
-        if len(text) > MOST_SPACES and max((m.end() - m.start() for m in _SPACES.finditer(text)), default=0) > MOST_SPACES:
-            return np.array(self._library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.array(self.coder.encode_ordinary(text), "<u4").tobytes()
-
     def _library(self):
         """The same vocabulary as the other library reads it; its file lies beside that of the ranks."""
         if self.library is None:
@@ -77,42 +64,13 @@ class Tokens:
             self.library = Tokenizer.from_file(re.sub(r"\.tiktoken$", ".json", self.path))
         return self.library
 
-    def _word(self, word: str) -> bytes:
-        ids = self._raw(word)
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
-
-    def _line(self, line: str) -> bytes | None:
-        """None if the spacing of the line is not single spaces between visible characters."""
-        words = line.split(" ")
-        if words != line.split():
-            return None
-        get, parts = self.words.get, []
-        for i, w in enumerate(words):
-            w = " " + w if i else w
-            parts.append(get(w) or self._word(w))
-        return b"".join(parts)
-
     def encode(self, text: str) -> np.ndarray:
         if SPECIAL in text:
-            parts = [self.encode(t) for t in text.split(SPECIAL)]
-            joined = [parts[0]]
-            for p in parts[1:]:
-                joined += [np.array([SPECIAL_ID], "<u4"), p]
-            return np.concatenate(joined)
-        if not text:
-            return np.zeros(0, "<u4")
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            ids = self._line(line)
-            if ids is None:
-                return np.frombuffer(self._raw(text), "<u4")
-            if i:
-                out.append(self.newline)
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<u4")
+            first, *rest = (self.encode(t) for t in text.split(SPECIAL))
+            return np.concatenate([first, *(x for p in rest for x in (np.array([SPECIAL_ID], "<u4"), p))])
+        if len(text) > MOST_SPACES and _SPACES.search(text):
+            return np.array(self._library().encode(text, add_special_tokens=False).ids, "<u4")
+        return self.coder.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
 
 class Packer:
