@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import stage
+from tidewell.session import spread, stage
 
 RANGE = "_tw_range"
 
@@ -206,7 +206,7 @@ def exact_quantiles(
         placed = running_sums(_counts(df, keys, value, levels, True), [*keys, "_tw_i"], order, sums)
         hits = placed.withColumn("_tw_f", F.get(F.array(*(F.lit(f) for f in levels)), F.col("_tw_i")))
     else:
-        counted = _counts(df, keys, value, levels, False).drop("_tw_i", "_tw_total")
+        counted = _counts(spread(df.select(*keys, value)), keys, value, levels, False).drop("_tw_i", "_tw_total")
         placed = running_sums(counted, keys, order, sums, {"_tw_total": F.col("_tw_n")})
         asked = F.inline(F.array(*(F.struct(F.lit(i).alias("_tw_i"), F.lit(f).alias("_tw_f")) for i, f in enumerate(levels))))
         hits = placed.select("*", asked)

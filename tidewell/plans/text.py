@@ -11,7 +11,7 @@ from tidewell.functions import search as S
 from tidewell.functions import text as X
 from tidewell.plans.common import sql_list
 from tidewell.plans.registry import query
-from tidewell.session import scratch_root
+from tidewell.session import scratch_root, spread
 from tidewell.tables import load
 
 # blanks of the SQL patterns: the ASCII ones and the no-break space family
@@ -146,7 +146,7 @@ def page_links_udtf(spark, d):
 
 @query("clean_text", f"WITH {TOKENS} SELECT doc_id, array_to_string(w, ' ') AS clean FROM tokens")
 def clean_text(spark, d):
-    return load(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("clean"))
+    return spread(load(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.clean_text(F.col("text")).alias("clean"))
 
 
 @query("ngrams", f"WITH {TERMS} SELECT doc_id, unnest(t) AS term FROM terms")
