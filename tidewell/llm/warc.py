@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import fresh_folder, write_and_read
 from tidewell.llm.files import open_store
 from tidewell.operators.attach import attach
+from tidewell.operators.sift import key_filter
 
 #: Magic number of the skippable frame with the dictionary (fixed value of the format).
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -156,15 +157,21 @@ def write_archives(
     Of rows with equal payloads the one with the smallest page id is the response and the others revisit it. A null payload
     is empty, and empty payloads count as equal; a null id counts as larger than any other, and if a payload has only null ids
     all its rows are responses, as are repeated rows of the smallest id; a null url gives a record without target; other columns
-    are not read; an empty table gives an empty manifest. Payloads are shuffled once; those of the most frequent digests spread over all tasks.
+    are not read; an empty table gives an empty manifest. Only payloads that repeat are shuffled, once; those of the most frequent digests spread over all tasks.
     """
     rows = pages.select(
         F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).cast("binary").alias("payload")
     ).withColumn("sha", F.sha1("payload"))
     many = rows.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    known = attach(rows, write_and_read(many, "payloads"), ["sha"], weight="n", keep_weight=True)
+    many = write_and_read(many, "payloads")
+    # a filter over the digests that repeat: the payloads of all others are written where they are read
+    sieve = key_filter(many, "sha")
+    repeated, alone = (rows, None) if sieve is None else sieve.split(rows, "sha")
+    known = attach(repeated, many, ["sha"], weight="n", keep_weight=True)
     response = F.col("n").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
     ready = known.select("page_id", "url", "payload", "first_id", response.alias("response"))
+    if alone is not None:
+        ready = ready.union(alone.select("page_id", "url", "payload", F.lit(None).cast("bigint"), F.lit(True)))
 
     def write(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
