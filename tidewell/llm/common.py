@@ -14,6 +14,9 @@ BATCH_ROWS = 500
 #: Settings of every query of this folder.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
 
+#: Files a core for small tables of links and components, and for tables that grow with the documents.
+FEW, SOME = 2, 8
+
 #: White space of all word definitions here: \x20 and \x09 to \x0D, as in Python's bytes.split.
 SPACE = " \t\n\x0b\x0c\r"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -30,16 +33,16 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return staged_path(spark, label)
 
 
-def written(df: DataFrame, label: str, few: bool = False, **options) -> str:
-    """Write to a new folder; the folder. ``few``: the result of a shuffle that may have many small partitions, in at most two files a core."""
+def written(df: DataFrame, label: str, few: int = 0, **options) -> str:
+    """Write to a new folder; the folder. ``few``: the result of a shuffle that may have many small partitions, in at most so many files a core."""
     path = fresh_folder(df.sparkSession, label)
     if few:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+        df = df.coalesce(few * df.sparkSession.sparkContext.defaultParallelism)
     df.write.options(compression="zstd", **options).parquet(path)
     return path
 
 
-def write_and_read(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+def write_and_read(df: DataFrame, label: str, few: int = 0) -> DataFrame:
     """Write and read back: no lineage, survives lost executors."""
     return df.sparkSession.read.schema(df.schema).parquet(written(df, label, few))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import write_and_read
+from tidewell.llm.common import FEW, write_and_read
 
 #: Edges that a task contracts at once.
 CHUNK_EDGES = 1_000_000
@@ -79,11 +79,11 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.least(a, b).cast("bigint").alias("u"), F.greatest(a, b).cast("bigint").alias("v")).where("u < v")
     while True:
         # few tasks, if the shuffle before it has many small partitions: the more edges a task sees, the more it contracts
-        edges = write_and_read(edges.distinct().coalesce(2 * cores).mapInArrow(_contract, ddl).distinct(), "edges", few=True)
+        edges = write_and_read(edges.distinct().coalesce(FEW * cores).mapInArrow(_contract, ddl).distinct(), "edges", few=FEW)
         if _all_stars(edges):
             break
         both = F.inline(F.array(F.struct(F.col("u").alias("n"), F.col("u").alias("m")), F.struct(F.col("v").alias("n"), F.col("u").alias("m"))))
-        least = write_and_read(edges.select(both).groupBy("n").agg(F.min("m").alias("m")), "least", few=True)
+        least = write_and_read(edges.select(both).groupBy("n").agg(F.min("m").alias("m")), "least", few=FEW)
         of_u = edges.join(least.withColumnRenamed("m", "mu"), F.col("u") == F.col("n")).drop("n")
         of_v = of_u.join(least.withColumnRenamed("m", "mv"), F.col("v") == F.col("n")).drop("n")
         root = F.least("mu", "mv", "u")

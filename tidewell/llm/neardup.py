@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import size_checked, strings, write_and_read
+from tidewell.llm.common import FEW, SOME, size_checked, strings, write_and_read
 from tidewell.llm.graph import connected
 from tidewell.operators.attach import attach
 
@@ -203,7 +203,7 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """
     up, down = 100 - percent, 100 + percent  # f in units of 1 / down
     mixed = known.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("g", "m")
-    rows = write_and_read(known.join(mixed, "g").join(sets.hint("merge"), "nid"), "mixed", few=True)
+    rows = write_and_read(known.join(mixed, "g").join(sets.hint("merge"), "nid"), "mixed", few=FEW)
     held = rows.select("g", F.explode("items").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"))
     # at most twice as many items as a set of the cluster has on average
     centre = held.join(mixed, "g").where(F.col("n") * 2 > F.col("m")).groupBy("g").agg(F.collect_list("e").alias("centre"))
@@ -213,7 +213,7 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
         "nid", "g", "comp", F.size("items").cast("bigint").alias("n"), other.alias("d"), F.size(other).cast("bigint").alias("nd")
     )
     f = F.col("nd") * down - F.col("n") * up
-    apart = write_and_read(apart.withColumn("f", f), "apart", few=True)
+    apart = write_and_read(apart.withColumn("f", f), "apart", few=FEW)
     middle = apart.groupBy("g").agg(F.min(F.struct("f", "nid")).alias("mid")).select("g", F.col("mid.f").alias("f0"), F.col("mid.nid").alias("c"))
     judged = apart.join(middle, "g").withColumn("far", F.col("f") + F.col("f0") > 0)
     tied = judged.where(~F.col("far") & (F.col("nid") != F.col("c"))).select(F.least("nid", "c").alias("a"), F.greatest("nid", "c").alias("b"))
@@ -228,7 +228,7 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
     own = Window.partitionBy("g", "nid")
     place = F.col("nd") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e"))
     ranked = common.withColumn("place", place).where(F.col("place") <= F.col("first"))
-    first = write_and_read(ranked.select("g", "e", "nid", "comp", "n", "f", "far", (F.col("nd") - F.col("place")).alias("after")), "rare", few=True)
+    first = write_and_read(ranked.select("g", "e", "nid", "comp", "n", "f", "far", (F.col("nd") - F.col("place")).alias("after")), "rare", few=FEW)
     x = first.where("far").select("g", "e", *(F.col(c).alias(f"x_{c}") for c in ("nid", "comp", "n", "f", "after")))
     y = first.select("g", "e", *(F.col(c).alias(f"y_{c}") for c in ("nid", "comp", "n", "f", "after", "far")))
     # the first item that a pair shares leaves room, in what comes after it, for all the others that it must share
@@ -257,11 +257,11 @@ def near_duplicates(
         .agg(F.min("rid").alias("label"), F.count("*").alias("copies"), F.first(F.struct("n", "odd", "bands")).alias("s"))
         .select(F.monotonically_increasing_id().alias("nid"), "d1", "d2", "label", "copies", "s.*")
     )
-    nodes = write_and_read(nodes, "nodes", few=True)
+    nodes = write_and_read(nodes, "nodes", few=SOME)
 
     keyed = nodes.select("nid", F.explode("bands").alias("h"))
     buckets = keyed.groupBy("h").agg(F.min("nid").alias("pivot"), F.max("nid").alias("last")).where("pivot < last").select("h", "pivot")
-    members = write_and_read(keyed.join(buckets, "h"), "members", few=True)
+    members = write_and_read(keyed.join(buckets, "h"), "members", few=SOME)
 
     def sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs whose sizes and odd sketches allow the similarity, with the bits they are apart."""
@@ -276,7 +276,7 @@ def near_duplicates(
 
     sketches = nodes.select("nid", "n", "odd")
     spokes = members.where("pivot < nid").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct()
-    spokes = write_and_read(sifted(spokes, sketches), "spokes", few=True)
+    spokes = write_and_read(sifted(spokes, sketches), "spokes", few=FEW)
     first = spokes.groupBy("b").agg(F.min(F.struct("z", "a")).alias("best")).select("best.a", "b")
 
     # every node that shares a bucket and may be compared
@@ -287,22 +287,22 @@ def near_duplicates(
         return write_and_read(full_sets(docs, wanted, doc_id, text, words_per_shingle), label)
 
     sets = sets_of(busy, "sets")
-    links = write_and_read(confirmed(first, sets, percent), "links", few=True)
+    links = write_and_read(confirmed(first, sets, percent), "links", few=FEW)
     comps = connected(links)
 
     # candidates that could still join two components: within a cluster of similar nodes, and across clusters
     clusters = connected(spokes)
     known = clusters.select(F.col("node").alias("nid"), F.col("comp").alias("g")).join(comps.withColumnRenamed("node", "nid"), "nid", "left")
-    known = write_and_read(known.withColumn("comp", F.coalesce("comp", "nid")), "known", few=True)
+    known = write_and_read(known.withColumn("comp", F.coalesce("comp", "nid")), "known", few=FEW)
     inside = within_clusters(known, sets, percent)
     placed = members.select("h", "nid").join(known, "nid", "left").withColumns({"g": F.coalesce("g", "nid"), "comp": F.coalesce("comp", "nid")})
-    placed = write_and_read(placed, "placed", few=True)
+    placed = write_and_read(placed, "placed", few=SOME)
     split = placed.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).where("g0 < g1").select("h", "m")
-    split = write_and_read(split, "split", few=True)
+    split = write_and_read(split, "split", few=FEW)
     crowded = split.where(F.col("m") > MOST_MEMBERS)
     if not crowded.isEmpty():
         # all pairs of so many would be too many: what they have in common is their centre, and few share more
-        members_of = write_and_read(placed.join(crowded, "h").select("nid", F.col("h").alias("g"), "comp"), "crowded", few=True)
+        members_of = write_and_read(placed.join(crowded, "h").select("nid", F.col("h").alias("g"), "comp"), "crowded", few=FEW)
         others = members_of.select("nid").distinct().join(busy, "nid", "left_anti")
         sets = sets.union(sets_of(others, "crowdedsets"))
         busy = busy.union(others)
@@ -315,10 +315,10 @@ def near_duplicates(
         .where(bits_apart(F.col("x_odd"), F.col("y_odd")) <= most_bits_apart(LEAST_ESTIMATE))
         .select(F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b"))
     )
-    rest = write_and_read(sifted(inside, sketches).select("a", "b").union(across).distinct(), "rest", few=True)
+    rest = write_and_read(sifted(inside, sketches).select("a", "b").union(across).distinct(), "rest", few=FEW)
     more = rest.select(F.col("a").alias("nid")).union(rest.select("b")).distinct().join(busy, "nid", "left_anti")
     all_sets = sets.union(sets_of(more, "moresets"))
-    extra = write_and_read(confirmed(rest, all_sets, percent), "links", few=True)
+    extra = write_and_read(confirmed(rest, all_sets, percent), "links", few=FEW)
     comps = connected(links.union(extra))
 
     grouped = nodes.select("nid", "d1", "d2", "label", "copies").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
@@ -331,7 +331,7 @@ def near_duplicates(
         .where(told | (F.col("nodes") > 1) if hashed else told)
         .select("d1", "d2", "copies", "component_id", *["comp"] * hashed)
     )
-    marked = attach(rows.select("doc_id", "n", "d1", "d2", *["text_hash"] * hashed), write_and_read(per_set, "groups", few=True), ["d1", "d2"], weight="copies")
+    marked = attach(rows.select("doc_id", "n", "d1", "d2", *["text_hash"] * hashed), write_and_read(per_set, "groups", few=FEW), ["d1", "d2"], weight="copies")
     component = F.when(F.col("component_id") < NO_ID, F.col("component_id")).when(F.col("component_id").isNull(), F.col("doc_id"))
     return marked.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *["text_hash", "comp"] * hashed
