@@ -284,7 +284,7 @@ def near_duplicates(
 
     def sets_of(some: DataFrame, label: str) -> DataFrame:
         wanted = nodes.select("nid", "label", "d1", "d2").join(some, "nid", "left_semi")
-        return write_and_read(full_sets(docs, wanted, doc_id, text, words_per_shingle), label)
+        return write_and_read(full_sets(docs, wanted, doc_id, text, words_per_shingle), label, few=SOME)
 
     sets = sets_of(busy, "sets")
     links = write_and_read(confirmed(first, sets, percent), "links", few=FEW)
@@ -344,7 +344,7 @@ def keep_first_of_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     Rows are told apart by id and text: of repeated rows one stays; of rows that share an id but not the text, each is judged by its own
     group, and one stays of those that are near duplicates of each other. Rows without an id cannot be told apart and stay.
     """
-    marks = write_and_read(near_duplicates(docs, doc_id, text, words_per_shingle, hashed=True), "marks").where("doc_id IS NOT NULL")
+    marks = write_and_read(near_duplicates(docs, doc_id, text, words_per_shingle, hashed=True), "marks", few=SOME).where("doc_id IS NOT NULL")
     gone = marks.where(~F.col("kept")).select("doc_id", "text_hash")
     twice = marks.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if twice:  # texts of one id that are near duplicates of each other: the one with the smallest hash stays
