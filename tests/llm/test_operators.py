@@ -205,10 +205,10 @@ def groups_by_force(rows, k, percent=80):
     )
 
 
-@pytest.mark.parametrize("k,bound,members", [(2, 200_000, 200), (5, 0, 200), (2, 200_000, 1)])
-def test_near_duplicates(docs, rows, k, bound, members, monkeypatch):
+@pytest.mark.parametrize("k,bound,pairs", [(2, 200_000, 1_000_000), (5, 0, 1_000_000), (2, 200_000, 0)])
+def test_near_duplicates(docs, rows, k, bound, pairs, monkeypatch):
     monkeypatch.setattr(neardup, "MAX_BROADCAST_NODES", bound)
-    monkeypatch.setattr(neardup, "MOST_MEMBERS", members)
+    monkeypatch.setattr(neardup, "MOST_PAIRS", pairs)
     assert plain(neardup.near_duplicates(docs, words_per_shingle=k).collect()) == groups_by_force(rows, k)
 
 
@@ -223,7 +223,7 @@ def test_crowded_buckets(session, monkeypatch):
             text = list(boiler) + own
             text[draw.randrange(len(text))] = f"x{i}k{k}"
             rows.append((2 * i + k, " ".join(text), "en", "s"))
-    monkeypatch.setattr(neardup, "MOST_MEMBERS", 2)
+    monkeypatch.setattr(neardup, "MOST_PAIRS", 2)
     table = session.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(4)
     assert plain(neardup.near_duplicates(table, words_per_shingle=2).collect()) == groups_by_force(rows, 2)
 

@@ -33,8 +33,8 @@ BITS = 1024
 LEAST_ESTIMATE = 0.6
 #: Words whose hashes a worker keeps; more of them would not fit its processor's cache.
 CACHE_WORDS = 20_000
-#: Members of one band bucket that are all compared with those of other clusters; larger buckets are joined on the items that set their members apart.
-MOST_MEMBERS = 200
+#: Pairs of different clusters that one band bucket may make. The members of a bucket that would make more are joined on the items that set them apart.
+MOST_PAIRS = 1_000_000
 #: So many node ids at most are broadcast (about 50 bytes each); beyond, texts are shuffled by document.
 MAX_BROADCAST_NODES = 200_000
 
@@ -222,9 +222,10 @@ def within_clusters(known: DataFrame, sets: DataFrame, percent: int) -> DataFram
     partner = F.when(F.col("far"), F.col("f0")).otherwise(1 - F.col("f0"))
     shared = F.greatest(F.lit(1), F.ceil((F.col("f") + partner) / (2 * down)))
     items = judged.select("nid", "g", "comp", "n", "f", "far", (F.col("nd") - shared + 1).alias("first"), "nd", F.explode("d").alias("e"))
-    often = items.groupBy("g", "e").agg(F.count("*").alias("df")).where("df > 1")
+    # an item that one component alone holds is shared with no partner
+    often = items.groupBy("g", "e").agg(F.count("*").alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("g", "e", "df")
     common = items.join(often, ["g", "e"])
-    # items of one set: those that no other set has come first and need no row
+    # items of one set: those that no set of another component has come first and need no row
     own = Window.partitionBy("g", "nid")
     place = F.col("nd") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e"))
     ranked = common.withColumn("place", place).where(F.col("place") <= F.col("first"))
@@ -297,17 +298,19 @@ def near_duplicates(
     inside = within_clusters(known, sets, percent)
     placed = members.select("h", "nid").join(known, "nid", "left").withColumns({"g": F.coalesce("g", "nid"), "comp": F.coalesce("comp", "nid")})
     placed = write_and_read(placed, "placed", few=SOME)
-    split = placed.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).where("g0 < g1").select("h", "m")
-    split = write_and_read(split, "split", few=FEW)
-    crowded = split.where(F.col("m") > MOST_MEMBERS)
+    split = placed.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("h")
+    mixed = write_and_read(placed.join(split, "h", "left_semi").select("h", "nid", "g", "comp"), "open", few=SOME)
+    n = F.col("n").cast("double")
+    sizes = mixed.groupBy("h", "g").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum(n).alias("all"), F.sum(n * n).alias("own"))
+    # members that pairs of different clusters would number, twice
+    crowded = write_and_read(sizes.where(F.col("all") * F.col("all") - F.col("own") > 2.0 * MOST_PAIRS).select("h"), "crowded", few=FEW)
     if not crowded.isEmpty():
-        # all pairs of so many would be too many: what they have in common is their centre, and few share more
-        members_of = write_and_read(placed.join(crowded, "h").select("nid", F.col("h").alias("g"), "comp"), "crowded", few=FEW)
+        members_of = write_and_read(mixed.join(crowded, "h").select("nid", F.col("h").alias("g"), "comp"), "crowd", few=SOME)
         others = members_of.select("nid").distinct().join(busy, "nid", "left_anti")
-        sets = sets.union(sets_of(others, "crowdedsets"))
+        sets = sets.union(sets_of(others, "crowdsets"))
         busy = busy.union(others)
         inside = inside.union(within_clusters(members_of, sets, percent)).distinct()
-    open_members = placed.join(split.where(F.col("m") <= MOST_MEMBERS), "h", "left_semi").select("h", "nid", "g").join(sketches, "nid")
+    open_members = mixed.join(crowded, "h", "left_anti").select("h", "nid", "g").join(sketches, "nid")
     x = open_members.select("h", *(F.col(c).alias(f"x_{c}") for c in ("nid", "g", "n", "odd")))
     y = open_members.select("h", *(F.col(c).alias(f"y_{c}") for c in ("nid", "g", "n", "odd")))
     across = (
