@@ -29,16 +29,18 @@ DIGITS = 6
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A complete index in a folder. ``n`` texts, so many buckets, and the name of the key column."""
+    """A complete index in a folder. ``n`` texts, so many buckets, and the name and type of the key column."""
 
     folder: str
     n: int
     buckets: int
     key: str
+    kind: str
     fingerprint: str
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/{name}")
+        columns = {"postings": f"key {self.kind}, term string, df bigint, weight double, bucket int", "terms": "term string, df bigint, bucket int"}
+        return spark.read.schema(columns.get(name, f"key {self.kind}")).parquet(f"{self.folder}/{name}")
 
     def bucket(self, term: str = "term"):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
@@ -69,10 +71,10 @@ def build_index(df: DataFrame, key: str, text: str, folder: str) -> TextIndex:
     kept = spark.read.schema(keys.schema).parquet(f"{folder}/keys")
     kept.orderBy("key").limit(FIRST_KEYS).write.mode("overwrite").parquet(f"{folder}/first")
     n = kept.count()
-    mark = fingerprint(df)
-    row = spark.createDataFrame([(n, buckets, key, mark)], "n bigint, buckets int, key string, fingerprint string")
+    facts = (n, buckets, key, keys.schema["key"].dataType.simpleString(), fingerprint(df))
+    row = spark.createDataFrame([facts], "n bigint, buckets int, key string, kind string, fingerprint string")
     row.coalesce(1).write.mode("overwrite").parquet(f"{folder}/facts")
-    return TextIndex(folder, n, buckets, key, mark)
+    return TextIndex(folder, *facts)
 
 
 def open_index(spark: SparkSession, folder: str) -> TextIndex | None:
@@ -80,7 +82,7 @@ def open_index(spark: SparkSession, folder: str) -> TextIndex | None:
     if not folder_exists(spark, f"{folder}/facts/_SUCCESS"):
         return None
     row = spark.read.parquet(f"{folder}/facts").first()
-    return TextIndex(folder, row["n"], row["buckets"], row["key"], row["fingerprint"])
+    return TextIndex(folder, *(row[c] for c in ("n", "buckets", "key", "kind", "fingerprint")))
 
 
 def index_of(df: DataFrame, key: str, text: str, folder: str) -> TextIndex:
@@ -112,14 +114,13 @@ def most_similar(spark: SparkSession, index: TextIndex, query: str, k: int = 3)
     raw = {t: counts[t][0] * _idf(index.n, df) for t, df in known.items()}
     length = math.sqrt(sum(w * w for w in raw.values()))
     first = index.table(spark, "first" if 2 * k <= FIRST_KEYS else "keys")
-    kind = first.schema["key"].dataType.simpleString()
     if raw:
         weights = spark.createDataFrame([(t, w / length) for t, w in sorted(raw.items())], "term string, asked double")
         postings = index.table(spark, "postings").where(F.col("bucket").isin(sorted({counts[t][1] for t in raw})) & F.col("term").isin(sorted(raw)))
         scores = postings.join(F.broadcast(weights), "term").groupBy("key").agg(F.round(F.sum(F.col("weight") * F.col("asked")), DIGITS).alias("score"))
         scored = scores.orderBy(F.desc("score"), "key").limit(k)
     else:
-        scored = spark.createDataFrame([], f"key {kind}, score double")
+        scored = spark.createDataFrame([], f"key {index.kind}, score double")
     # the first texts in order with score 0, of which only those without a score of their own fill up
     others = first.select("key", F.lit(0.0).alias("score")).orderBy("key").limit(2 * k)
     best = scored.unionByName(others).groupBy("key").agg(F.max("score").alias("score"))
