@@ -81,8 +81,10 @@ def open_index(spark: SparkSession, folder: str) -> TextIndex | None:
     """The index in a folder, or None if none was written there to its end."""
     if not folder_exists(spark, f"{folder}/facts/_SUCCESS"):
         return None
-    row = spark.read.parquet(f"{folder}/facts").first()
-    return TextIndex(folder, *(row[c] for c in ("n", "buckets", "key", "kind", "fingerprint")))
+    facts = spark.read.parquet(f"{folder}/facts")
+    names = ["n", "buckets", "key", "kind", "fingerprint"]
+    # one written by another version of this module counts as none
+    return TextIndex(folder, *facts.select(*names).first()) if set(facts.columns) == set(names) else None
 
 
 def index_of(df: DataFrame, key: str, text: str, folder: str) -> TextIndex:
