@@ -53,6 +53,22 @@ def test_weights(texts):
     assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
+def test_only_distinct_terms_of_a_block_travel(spark):
+    """Terms of texts meet their count and norm where the texts lie; repeated and null keys keep their rows."""
+    rows = [(i % 7 if i % 11 else None, f"fox dog {'fox ' * (i % 3)}w{chr(97 + i % 5)}x") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    weights = X.tfidf_weights(df, "id", "text")
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" not in plan and plan.count("hashpartitioning(term#") == 1
+    got = weights.collect()
+    assert len(got) == sum(len(set(direct_terms(t))) for _, t in rows)
+    assert {r["df"] for r in got if r["term"] == "fox"} == {60}
+    squares = Counter()
+    for r in got:
+        squares[r["id"]] += r["weight"] ** 2
+    assert set(squares) == {*range(7), None} and all(x == pytest.approx(1) for x in squares.values())
+
+
 def test_similarity(texts):
     query = "quick fox unheardof"
     want, df = direct_weights(TEXTS)

@@ -69,18 +69,26 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     The sorted terms of a text hold equal ones next to each other: where a run starts
     and how long it is gives the count, without moving texts or terms.
     """
-    words = df.select(key, long_words(clean_tokens(F.col(text))).alias("_tw_words"))
-    ordered = words.select(key, F.sort_array(with_neighbours(F.col("_tw_words"))).alias("_tw_s"))
+    return _counted(_worded(df, key, text), key)
+
+
+def _worded(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, long_words(clean_tokens(F.col(text))).alias("_tw_words"))
+
+
+def _counted(words: DataFrame, *keys: str) -> DataFrame:
+    """The term counts of the words of every row, with its ``keys``."""
+    ordered = words.select(*keys, F.sort_array(with_neighbours(F.col("_tw_words"))).alias("_tw_s"))
     terms = F.col("_tw_s")
     first = F.filter(
         F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1))
     )
     none = F.array().cast("array<int>")
-    starts = ordered.select(key, "_tw_s", F.when(F.size(terms) > 0, first).otherwise(none).alias("_tw_at"))
+    starts = ordered.select(*keys, "_tw_s", F.when(F.size(terms) > 0, first).otherwise(none).alias("_tw_at"))
     at = F.col("_tw_at")
     ends = F.slice(F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(terms))), F.lit(1), F.size(at))
     runs = F.zip_with(at, ends, lambda i, j: F.struct(F.get(terms, i).alias("term"), (j - i).cast("bigint").alias("tf")))
-    return starts.select(key, F.inline(runs))
+    return starts.select(*keys, F.inline(runs))
 
 
 def smooth_idf(n: Column, document_count: Column) -> Column:
@@ -111,13 +119,39 @@ def _weighted(counts: DataFrame, frequency: DataFrame, total: DataFrame) -> Data
     )
 
 
+#: Bytes of text in one block, about.
+BLOCK_BYTES = 32 * 1024 * 1024
+
+
+def text_size(df: DataFrame, text: str) -> tuple[int, int]:
+    """Number of rows, and of bytes in their texts."""
+    return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0))).first())
+
+
 def tfidf_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     """Long sparse weights (key, term, df, weight), the weights of a text of unit length.
 
-    The norm is a window per text, as long as the text itself.
+    The words of the texts are dealt out in blocks by key, once. Only a block's distinct terms travel, with the number of its texts that hold
+    them, to be summed by term, and back with the sum; the terms of the texts meet it where they lie, in their block, and so does the norm, a window per text.
     """
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return _weighted(*_term_tables(df, key, text)).select(key, "term", "df", (F.col("raw") / norm).alias("weight"))
+    count, size = text_size(df, text)
+    blocks = max(df.sparkSession.sparkContext.defaultParallelism, size // BLOCK_BYTES + 1)
+    block = F.coalesce(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.lit(0))
+    # the words travel as one string
+    told = _worded(spread(df.select(key, text)), key, text).select(key, F.array_join("_tw_words", " ").alias("_tw_line"), block.alias("_tw_block"))
+    line = F.col("_tw_line")
+    parted = F.when(line != "", F.split(line, " ")).otherwise(F.array().cast("array<string>"))
+    words = told.repartitionById(blocks, "_tw_block").select("_tw_block", key, parted.alias("_tw_words"))
+    # every row counts; said with the key, so both uses of the words need the same columns and share one exchange
+    rows = F.count(key) + F.count_if(F.col(key).isNull())
+    distinct = words.select("_tw_block", key, F.explode(F.array_distinct(with_neighbours(F.col("_tw_words")))).alias("term"))
+    held = distinct.groupBy("_tw_block", "term").agg(rows.alias("_tw_n")).repartition(blocks, "term")
+    summed = held.select("_tw_block", "term", F.sum("_tw_n").over(Window.partitionBy("term")).alias("df")).repartitionById(blocks, "_tw_block")
+    known = summed.select(F.col("_tw_block").alias("_tw_at"), F.col("term").alias("_tw_term"), "df").hint("shuffle_hash")
+    met = _counted(words, "_tw_block", key).join(known, (F.col("_tw_block") == F.col("_tw_at")) & (F.col("term") == F.col("_tw_term")))
+    raw = met.select("_tw_block", key, "term", "df", (F.col("tf") * smooth_idf(F.lit(count), F.col("df"))).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("_tw_block", key)))
+    return raw.select(key, "term", "df", (F.col("raw") / norm).alias("weight"))
 
 
 def most_similar(df: DataFrame, key: str, text: str, query: str, k: int = 3) -> DataFrame:
