@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_text_pages import TEXTS, direct_terms, direct_weights
 
+from tidewell import session
 from tidewell.functions import search as S
 from tidewell.functions import text as X
 from tidewell.tables import load
@@ -41,6 +42,14 @@ def test_index_answers_as_computed(spark, stored, query, k):
         assert got == [tuple(r) for r in X.most_similar(df, "id", "text", query, k).collect()]
 
 
+def test_building_stages_no_copy_of_the_postings(spark, tmp_path):
+    df = spark.createDataFrame(TEXTS, "id int, text string")
+    before = len(session._staged)
+    index = S.build_index(df, "id", "text", str(tmp_path / "index"))
+    assert len(session._staged) == before
+    assert index.table(spark, "postings").count() == sum(len(set(direct_terms(t))) for _, t in TEXTS)
+
+
 def test_many_questions_at_once(spark, stored):
     _, index = stored
     questions = [(1, "quick fox"), (2, "lazy dog over fox"), (3, "unheardof"), (4, None), (5, "quick fox")]
