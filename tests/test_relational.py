@@ -154,3 +154,15 @@ def test_short_history_repeats_last_row(spark):
     assert got == [0.0, 1.0, 2.0, 2.0, 2.0]
     with pytest.raises(ValueError):
         W.look_back(bars, "s", "d", ["c"], datetime.date(2024, 1, 9), 0)
+
+
+def test_rows_stay_where_they_lie_when_the_groups_are_few(spark):
+    """The size of the groups is measured, not guessed from that of the rows."""
+    from tidewell.operators.windows import fill_with_group_floor
+
+    rows = spark.range(2_000_000).select((F.col("id") % 10).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).cast("double").alias("v"))
+    keys = F.when(F.col("k") > 0, F.col("k"))
+    filled = fill_with_group_floor(rows.withColumn("k", keys), "k", "v")
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert {r["k"] for r in filled.where("v IS NULL").select("k").distinct().collect()} == {None} and filled.count() == 2_000_000

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.attach import attach
 from tidewell.operators.ordered import last_known, number_rows
+from tidewell.session import stage
+from tidewell.sources.files import BROADCAST_LIMIT, plan_size
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
@@ -17,7 +20,13 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Col
         df.groupBy(*keys)
         .agg(*(expr.alias(name) for name, expr in stats.items()), F.count("*").alias("_tw_rows"))
     )
-    return attach(df, per_key, keys, weight="_tw_rows", keep_weight=False)
+    # whether the groups are few is known once they are counted; then the rows stay where they lie
+    per_key = stage(per_key, "groups")
+    if plan_size(per_key) > BROADCAST_LIMIT:
+        return attach(df, per_key, keys, weight="_tw_rows", keep_weight=False)
+    side = per_key.select(*(F.col(k).alias(f"_tw_k_{k}") for k in keys), *stats)
+    on = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_tw_k_{k}") for k in keys))
+    return df.join(F.broadcast(side), on, "left").select(*df.columns, *stats)
 
 
 def first_outcome(outcomes: DataFrame, key: str, observed: str) -> DataFrame:
