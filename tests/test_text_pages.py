@@ -129,3 +129,18 @@ def test_cards_pager_and_category(spark):
 def test_links_of_navigation_only(spark):
     pages = spark.createDataFrame([(1, '<nav><a href="/a">A</a></nav><a href="/b">B</a>'), (2, "none")], "id int, html string")
     assert [tuple(r) for r in P.page_links(pages, "id").collect()] == [(1, 0, "/a", "A")]
+
+
+def test_long_pages_make_small_batches(spark):
+    """What a Python worker is handed at once is bounded by its bytes, not only by its rows."""
+    from tidewell.session import tune
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch[["id"]].head(1).assign(id=len(batch))
+
+    pages = tune(spark).range(0, 1000, 1, 1).select("id", F.repeat(F.lit("x"), 40_000).alias("html"))
+    handed = [r["id"] for r in pages.mapInPandas(sizes, "id long").collect()]
+    assert sum(handed) == 1000 and max(handed) * 40_000 <= 9_000_000
+    counts = P.page_contents(pages.withColumn("html", F.concat(F.lit("<p>"), "html")), "id").select(F.size("paragraphs").alias("n"))
+    assert counts.groupBy("n").count().collect() == [(1, 1000)]
