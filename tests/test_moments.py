@@ -103,3 +103,44 @@ def test_separable_rows_end(spark):
     assert row["mean"] > 0.99
     with pytest.raises(ValueError):
         M.fit_ensemble(train.withColumn("x", F.lit(None).cast("double")), ["x"], "y", "id", members=2)
+
+
+def test_rows_alike_are_written_as_one(spark, monkeypatch):
+    """Draws stay those of each row: two features of few values, beside single fits; what is written does not grow with the rows."""
+    rows = spark.range(0, 6000, 1, 3).select(
+        "id", (F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 5 > 2).cast("int").alias("b"), (F.col("id") * 7919 % 11 < 3 + F.col("id") % 3).cast("int").alias("y")
+    )
+    staged = []
+    monkeypatch.setattr(M, "stage", lambda df, label, real=M.stage: staged.append(real(df, label)) or staged[-1])
+    found = M.fit_ensemble(rows, ["a", "b"], "y", "id", members=3)
+    assert staged[0].count() <= 3 * 12 and staged[0].agg(F.sum("n")).first()[0] == 6000
+    for m in range(3):
+        ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows.withColumn("w", M.poisson_weight(uniform(F.col("id"), seed=f"bootstrap{m}"))))
+        single = LogisticRegression(labelCol="y", weightCol="w", maxIter=500, tol=1e-14).fit(ready)
+        assert np.allclose(found.weights[m], single.coefficients, atol=1e-5, rtol=1e-5)
+        assert found.intercepts[m] == pytest.approx(single.intercept, abs=1e-4)
+
+
+def test_rows_that_differ_are_all_written(spark, monkeypatch):
+    """More than a task holds back."""
+    rows = spark.range(0, 80_000, 1, 1).select("id", (F.col("id") * 7919 % 80_000).cast("double").alias("a"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    staged = []
+    monkeypatch.setattr(M, "stage", lambda df, label, real=M.stage: staged.append(real(df, label)) or staged[-1])
+    M.fit_ensemble(rows, ["a"], "y", "id", members=2)
+    want = rows.agg(*(F.sum(M.poisson_weight(uniform(F.col("id"), seed=f"bootstrap{m}"))) for m in range(2)), F.count("*")).first()
+    facts = staged[0].agg(*(F.sum(F.get("w", F.lit(m))) for m in range(2)), F.sum("n"), F.count("*"), F.count_distinct("x"))
+    assert tuple(facts.first()) == (*want, 80_000, 80_000)
+
+
+def test_moments_of_counted_rows(spark):
+    counted = spark.createDataFrame([(1.0, 2.0, 3.0), (4.0, -1.0, 2.0), (float("nan"), 1.0, 5.0)], "a double, b double, n double")
+    x = np.array([(1.0, 2.0)] * 3 + [(4.0, -1.0)] * 2)
+    found = moments(counted, ["a", "b"], count="n")
+    assert found.n == 5 and np.allclose(found.mean, x.mean(axis=0)) and np.allclose(found.covariance, np.cov(x.T, bias=True))
+
+
+def test_scores_of_rows_with_missing_features(spark):
+    found = M.Ensemble(("a", "b"), ((0.5, -0.1), (0.2, 0.3)), (0.1, -1.0))
+    rows = [(0, 1.0, 1.0), (1, None, 1.0), (2, float("nan"), 1.0), (3, 1e9, 0.0), (4, -1e9, 0.0)]
+    got = {r.k: (r["mean"], r["std"]) for r in M.ensemble_scores(found, spark.createDataFrame(rows, "k int, a double, b double")).collect()}
+    assert got[1] == (None, None) and np.isnan(got[2]).all() and got[3] == (1.0, 0.0) and got[4] == (0.0, 0.0) and 0 < got[0][0] < 1

@@ -205,12 +205,13 @@ def client_segment(poutcome: Column, pdays: Column, job: Column, housing: Column
     )
 
 
-def keyed_hash(*parts: Column, seed: int | str = 42) -> Column:
+def keyed_hash(*parts: Column, seed: int | str | Column = 42) -> Column:
     """md5 of the key parts and a seed: repeatable for any partitioning."""
-    return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts), F.lit(str(seed))))
+    end = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts), end))
 
 
-def uniform(*parts: Column, seed: int | str = 42) -> Column:
+def uniform(*parts: Column, seed: int | str | Column = 42) -> Column:
     """A number in [0, 1) decided by the key parts and the seed alone."""
     head = F.substring(keyed_hash(*parts, seed=seed), 1, 8)
     return F.conv(head, 16, 10).cast("double") / F.lit(4294967296.0)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -181,6 +183,56 @@ class Ensemble:
         return F.array(*(1.0 / (1.0 + F.exp(-margin(w, b))) for w, b in zip(self.weights, self.intercepts)))
 
 
+#: Rows that a task holds back to merge those alike.
+HELD = 1 << 15
+
+
+def _alike(drawn: DataFrame, size: int, members: int) -> DataFrame:
+    """Rows (x, y, share, u) as (x, y, w, n): those of a task that are alike in x and y as one, with the sums of their weights and their number.
+
+    A row with a missing value comes out with NaN for y.
+    """
+    levels = np.array(poisson_levels())
+
+    def sums(z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort(z.T)
+        z, w = z[order], w[order]
+        starts = np.flatnonzero(np.concatenate([[True], (z[1:] != z[:-1]).any(axis=1)]))
+        return z[starts], np.add.reduceat(w, starts, axis=0)
+
+    def batch(z: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(z), 8192):
+            x, y, v, n = z[i : i + 8192, :-1], z[i : i + 8192, -1], w[i : i + 8192, :-1], w[i : i + 8192, -1]
+            lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1]), pa.int32()), pa.array(a.ravel()))
+            yield pa.RecordBatch.from_arrays([lists(x), pa.array(y), lists(v), pa.array(n)], names=["x", "y", "w", "n"])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for frame in frames:
+            if not frame.num_rows:
+                continue
+            z = np.empty((frame.num_rows, size + 1))
+            z[:, :-1] = frame.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            z[:, -1] = frame.column(1).to_numpy(zero_copy_only=False)
+            share = frame.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            missing = np.isnan(z).any(axis=1) | frame.column(2).is_null().to_numpy(zero_copy_only=False)
+            z[missing], share[missing] = [*[0.0] * size, np.nan], 0.0
+            u = frame.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, members)
+            w = np.empty((len(z), members + 1))
+            # a draw is how many of the cumulative probabilities it reaches
+            w[:, :-1] = np.searchsorted(levels, u, side="right") * share[:, None]
+            w[:, -1] = 1.0
+            held.append(sums(z, w))
+            if sum(len(h[0]) for h in held) > HELD:
+                held = [sums(*map(np.concatenate, zip(*held)))]
+                if len(held[0][0]) > HELD // 2:
+                    yield from batch(*held.pop())
+        if held:
+            yield from batch(*sums(*map(np.concatenate, zip(*held))))
+
+    return drawn.mapInArrow(run, "x array<double>, y double, w array<double>, n double")
+
+
 #: Rounds of the ensemble's fit, and the step under which a member stands still.
 MOST_ROUNDS, STILL = 50, 1e-10
 
@@ -190,23 +242,23 @@ def fit_ensemble(
 ) -> Ensemble:
     """All members of ``bootstrap_models`` at once: Newton's method, one pass over the rows for each round of all members.
 
-    Weights are drawn in the row as there and written once beside the features. A member whose loss grew takes back half its step. Rows with a null or
+    Weights are drawn in the row as there and written once beside the features; rows alike in features and label are written as one with the sums of their
+    weights as far as a task holds them together, which leaves every sum as it is. A member whose loss grew takes back half its step. Rows with a null or
     NaN feature or label are refused; a column without deviation gets weight 0.
     """
-    # a draw is how many of the cumulative probabilities it reaches; each is bound once
-    levels = F.array(*(F.lit(c) for c in poisson_levels()))
+    # an array of seeds, not a column for each member: the generated method of so many columns is too long for the JVM to compile
+    seeds = F.array(*(F.lit(f"bootstrap{m}") for m in range(members)))
     drawn = train.select(
         F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.col(label).cast("double").alias("y"),
         (F.col(balance).cast("double") if balance else F.lit(1.0)).alias("share"),
-        F.array(*(uniform(F.col(key), seed=f"bootstrap{m}") for m in range(members))).alias("u"),
+        F.transform(seeds, lambda seed: uniform(F.col(key), seed=seed)).alias("u"),
     )
-    rows = drawn.select("x", "y", F.transform("u", lambda u: F.size(F.filter(levels, lambda c: c <= u)) * F.col("share")).alias("w"))
-    rows = stage(rows, "ensemble")
-    bad = F.col("y").isNull() | F.isnan("y") | F.exists("x", lambda v: v.isNull() | F.isnan(v)) | F.exists("w", lambda v: v.isNull())
-    if rows.where(bad).limit(1).count():
-        raise ValueError("rows with a missing feature, label or weight")
     size = len(columns)
-    summary = moments(rows.select(*(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(size))), [f"x{i}" for i in range(size)])
+    rows = stage(_alike(drawn, size, members), "ensemble")
+    if rows.where(F.isnan("y")).limit(1).count():
+        raise ValueError("rows with a missing feature, label or weight")
+    each = [F.get("x", F.lit(i)).alias(f"x{i}") for i in range(size)]
+    summary = moments(rows.select(*each, "n"), [f"x{i}" for i in range(size)], count="n")
     if summary is None:
         raise ValueError("no rows to fit")
     live = summary.deviation > 0
@@ -233,9 +285,18 @@ def fit_ensemble(
 
 
 def ensemble_scores(ensemble: Ensemble, df: DataFrame) -> DataFrame:
-    """Mean and sample deviation of the members' probabilities, per row."""
-    n = len(ensemble.intercepts)
-    given = df.withColumn("_tw_p", ensemble.probabilities())
-    mean = F.aggregate("_tw_p", F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate("_tw_p", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
-    return given.withColumn("mean", mean).withColumn("std", F.sqrt(spread / max(1, n - 1))).drop("_tw_p")
+    """Mean and sample deviation of the members' probabilities, per row; null where a feature is null."""
+    weights, levels = ensemble.weights, ensemble.intercepts
+
+    @F.arrow_udf("mean double, std double")
+    def scores(*x: pa.Array) -> pa.Array:
+        z = [a.to_numpy(zero_copy_only=False).astype(np.float64) for a in x]
+        with np.errstate(over="ignore", invalid="ignore"):
+            p = [1.0 / (1.0 + np.exp(-sum((a * b for a, b in zip(z, w)), np.full(len(x[0]), level)))) for w, level in zip(weights, levels)]
+            mean = sum(p) / len(p)
+            spread = sum((a - mean) * (a - mean) for a in p)
+        return pa.StructArray.from_arrays([pa.array(mean), pa.array(np.sqrt(spread / max(1, len(p) - 1)))], names=["mean", "std"])
+
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ensemble.columns), F.lit(True))
+    given = df.withColumn("_tw_scores", scores(*(F.col(c).cast("double") for c in ensemble.columns)))
+    return given.withColumns({c: F.when(known, F.col(f"_tw_scores.{c}")) for c in ("mean", "std")}).drop("_tw_scores")

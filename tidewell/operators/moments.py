@@ -79,22 +79,31 @@ def _matrix(frame: pa.RecordBatch, columns: int) -> np.ndarray:
     return z[~np.isnan(z).any(axis=1)]
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> Moments | None:
-    """Second moments of the columns over the rows without a null or NaN in any of them; None without such rows."""
+def moments(df: DataFrame, columns: Sequence[str], count: str | None = None) -> Moments | None:
+    """Second moments of the columns over the rows without a null or NaN in any of them; None without such rows.
+
+    ``count`` names a column that tells how many rows a row stands for.
+    """
     size = len(columns)
 
     def task(frames: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
         total = None
         for frame in frames:
-            z = _matrix(frame, size)
+            z = _matrix(frame, size + bool(count))
             if len(z):
-                mean = z.mean(axis=0)
-                away = z - mean
-                own = [np.array(float(len(z))), mean, away.T @ away]
+                if count:
+                    z, n = z[:, :-1], z[:, -1]
+                    mean = n @ z / n.sum()
+                    away = z - mean
+                    own = [np.array(n.sum()), mean, (away * n[:, None]).T @ away]
+                else:
+                    mean = z.mean(axis=0)
+                    away = z - mean
+                    own = [np.array(float(len(z))), mean, away.T @ away]
                 total = own if total is None else _merge_moments(total, own)
         return total
 
-    found = merged(df.select(*(F.col(c).cast("double") for c in columns)), task, _merge_moments)
+    found = merged(df.select(*(F.col(c).cast("double") for c in [*columns, *([count] if count else [])])), task, _merge_moments)
     return None if found is None else Moments(float(found[0]), found[1], found[2])
 
 

@@ -17,6 +17,7 @@ from tidewell.plans.common import CLIENTS, LOGS, SCORED, clients, decisions, off
 from tidewell.plans.joins import AFFINITY_VALUES, OFFER_VALUES
 from tidewell.plans.models import UNIFORM
 from tidewell.plans.registry import query
+from tidewell.session import spread, stage
 from tidewell.tables import load
 
 
@@ -76,9 +77,10 @@ def bootstrap_estimates(spark, d):
     flags = [(F.col("segment") == s).cast("double").alias(f"segment{i}") for i, s in enumerate(SEGMENTS[:-1])]
     columns = [*OFFER_FEATURES, *(f"segment{i}" for i in range(len(flags)))]
     log = offer_log(spark, d).join(F.broadcast(scaled), F.col("arm") == F.col("offer_id"))
-    train = E.class_weights(log.select("event_id", *OFFER_FEATURES, *flags, "reward"), "reward")
-    members = M.fit_ensemble(train, columns, "reward", "event_id", balance="weight")
-    people = pair_with_all(clients(spark, d).select("client", *flags), scaled)
+    # read twice: the joined log is written once, then dealt out, since thirty draws a row are much work
+    train = E.class_weights(stage(log.select("event_id", *OFFER_FEATURES, *flags, "reward"), "offer_log"), "reward")
+    members = M.fit_ensemble(spread(train), columns, "reward", "event_id", balance="weight")
+    people = pair_with_all(spread(clients(spark, d).select("client", *flags)), scaled)
     out = M.ensemble_scores(members, people)
     return out.select("client", "offer_id", F.col("mean").between(0, 1).alias("is_share"), (F.col("std") > 0).alias("spread"))
 
