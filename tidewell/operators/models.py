@@ -1,10 +1,11 @@
-"""MLlib models: fitting, applying, storing."""
+"""MLlib models, ensembles and forests: fitting, applying, storing."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 from itertools import accumulate
 
@@ -16,12 +17,12 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import uniform
+from tidewell.operators import forest
 from tidewell.operators.moments import moments, newton_sums
 from tidewell.session import stage
 
@@ -62,11 +63,9 @@ def with_vector(df: DataFrame, array_column: str, name: str = "features") -> Dat
 
 def fit_forest(
     train: DataFrame, columns: Sequence[str], label: str, trees: int = 20, depth: int = 5, seed: int = 174
-) -> PipelineModel:
-    forest = RandomForestRegressor(
-        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
-    )
-    return Pipeline(stages=[*_prepared(columns), forest]).fit(train)
+) -> forest.Forest:
+    """Bootstrap weights, a third of the columns for each node, bins and gain as MLlib's random forest has them, from one pass over the rows."""
+    return forest.fit(train, columns, label, trees, depth, seed)
 
 
 def project(df: DataFrame, features: str, k: int = 2, name: str = "pca") -> DataFrame:
@@ -94,19 +93,27 @@ def silhouette(df: DataFrame, features: str, cluster_column: str) -> float:
     ).evaluate(df)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: PipelineModel | forest.Forest, path: str) -> None:
+    if isinstance(model, forest.Forest):
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps({"forest": asdict(model)}),)], "value string").write.mode("overwrite").text(f"{path}/metadata")
+        return
     model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    """Load a stored pipeline; a missing one is refused with a clear message."""
+def load_model(path: str) -> PipelineModel | forest.Forest:
+    """Load a stored model; a missing one is refused with a clear message."""
     spark = SparkSession.getActiveSession()
     try:
-        spark.read.text(f"{path}/metadata")
+        stored = spark.read.text(f"{path}/metadata").first()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         raise FileNotFoundError(f"no fitted model at {path}") from error
+    found = json.loads(stored[0]).get("forest") if stored else None
+    if found:
+        parts = (tuple(map(tuple, found[k])) for k in ("feature", "threshold", "value"))
+        return forest.Forest(tuple(found["columns"]), *parts)
     return PipelineModel.load(path)
 
 
