@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from test_text_pages import TEXTS, direct_terms, direct_weights
 
 from tidewell import session
+from tidewell.functions import postings as P
 from tidewell.functions import search as S
 from tidewell.functions import text as X
 from tidewell.tables import load
@@ -50,6 +51,62 @@ def test_building_stages_no_copy_of_the_postings(spark, tmp_path):
     assert index.table(spark, "postings").count() == sum(len(set(direct_terms(t))) for _, t in TEXTS)
 
 
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_building_leaves_a_small_index_and_no_shuffle(spark, tmp_path):
+    """Postings and norms take no more than three times the table (six times when weights were kept); blocks and the files of shuffles are gone."""
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = kept.getAllFiles()
+        return {names.apply(i).getName() for i in range(names.size())} if names.size() else set()
+
+    texts = tmp_path / "texts"
+    load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").write.parquet(str(texts))
+    df = spark.read.parquet(str(texts))
+    before = {x for x in shuffles() if x.startswith("shuffle_")}
+    index = S.build_index(df, "doc_id", "text", str(tmp_path / "index"))
+    assert sorted(x.name for x in (tmp_path / "index").iterdir()) == ["facts", "first", "keys", "postings"]
+    assert folder_bytes(tmp_path / "index") < 3 * folder_bytes(texts)
+    deadline = time.time() + 20
+    while (left := {x for x in shuffles() if x.startswith("shuffle_")} - before) and time.time() < deadline:
+        time.sleep(0.2)
+    # the aggregates and the fingerprint that are collected leave a few rows
+    assert sum(1 for x in left if x.endswith(".data")) <= 4 * spark.sparkContext.defaultParallelism
+    want = X.tfidf_weights(df, "doc_id", "text").agg(F.count("*"), F.sum("df")).first()
+    assert index.table(spark, "postings").agg(F.count("*"), F.sum("df")).first() == want
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_rounds_parts_and_odd_keys(spark, tmp_path, monkeypatch, kind):
+    """The same answers from many rounds, units and halved batches; keys may repeat, be null or no numbers."""
+    monkeypatch.setattr(S, "ROUND_BYTES", 20)
+    monkeypatch.setattr(S, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(S, "UNIT_ROWS", 1)
+    monkeypatch.setattr(S, "PART_ROWS", 5)
+    monkeypatch.setattr(P, "PACK_BYTES", 40)
+    texts = [*TEXTS, (6, None), (7, "quick zebra"), (7, "quick zebra"), (None, "quick quick zebra")]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(3).withColumn("id", F.col("id").cast(kind))
+    index = S.build_index(df, "id", "text", str(tmp_path / "i"))
+    flat = X.tfidf_weights(df, "id", "text").select("id", "term", "df").groupBy("id", "term", "df").count().collect()
+    got = index.table(spark, "postings").groupBy("key", "term", "df").count().collect()
+    assert Counter(tuple(r) for r in got) == Counter(tuple(r) for r in flat)
+    norms = {r["key"]: r["norm"] for r in index.table(spark, "keys").collect()}
+    assert len(norms) == len({i for i, _ in texts})
+    for r in X.tfidf_weights(df, "id", "text").join(index.table(spark, "postings"), ["term"]).where(F.col("id").eqNullSafe(F.col("key"))).collect():
+        assert r["weight"] == pytest.approx(r["tf"] * S._idf(len(texts), index_df(flat, r["term"])) / norms[r["id"]])
+    asked = S.most_similar(spark, index, "zebra", 3).collect()
+    assert {r["id"] for r in asked[:2]} == {None, 7 if kind != "string" else "7"} and asked[2]["score"] == 0
+    each = S.most_similar_each(index, spark.createDataFrame([(1, "zebra"), (None, "quick")], "q int, text string"), "q", "text", k=3).collect()
+    assert sorted((r["rank"], str(r["id"]), r["score"]) for r in each) == [(n, str(r["id"]), r["score"]) for n, r in enumerate(asked[:2], 1)]
+
+
+def index_df(rows, term):
+    return next(r["df"] for r in rows if r["term"] == term)
+
+
 def test_many_questions_at_once(spark, stored):
     _, index = stored
     questions = [(1, "quick fox"), (2, "lazy dog over fox"), (3, "unheardof"), (4, None), (5, "quick fox")]

@@ -76,6 +76,11 @@ def _worded(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, long_words(clean_tokens(F.col(text))).alias("_tw_words"))
 
 
+def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line): the words that terms are made of, joined by blanks."""
+    return _worded(df, key, text).select(key, F.array_join("_tw_words", " ").alias("line"))
+
+
 def _counted(words: DataFrame, *keys: str) -> DataFrame:
     """The term counts of the words of every row, with its ``keys``."""
     ordered = words.select(*keys, F.sort_array(with_neighbours(F.col("_tw_words"))).alias("_tw_s"))
