@@ -490,6 +490,20 @@ def test_copied_bodies_without_an_article_stay(session):
     assert got == {at: "\n".join(lines) for at, lines in want.items()}
 
 
+def test_hosts_of_articles_are_aligned(session, monkeypatch):
+    """Where markup decides every line, neighbours are compared and templates found all the same; the articles stay."""
+    draw = random.Random(17)
+    found, whole = [], htmltext.templates
+    monkeypatch.setattr(htmltext, "templates", lambda pages: found.append(whole(pages).collect()) or whole(pages))
+    bodies = [[" ".join(prose(draw, 20)) for _ in range(2)] for _ in range(6)]
+    pages = [
+        (i, f"http://one.example/{i}", "<div>All our stories</div><article>" + "".join(f"<p>{x}</p>" for x in body) + "</article>") for i, body in enumerate(bodies)
+    ]
+    got = htmltext.main_text(session.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)).collect()
+    assert {r.page_id: (r.text, r.n_template) for r in got} == {i: ("\n".join(body), 0) for i, body in enumerate(bodies)}
+    assert len(found) == 1 and {(r.scope, len(r.template)) for r in found[0]} == {("one.example", 1), ("one.example/", 1)}
+
+
 # packing
 
 
