@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_text_pages import TEXTS, direct_terms, direct_weights
@@ -87,6 +88,16 @@ def test_rounds_parts_and_odd_keys(spark, tmp_path, monkeypatch, kind):
     monkeypatch.setattr(S, "UNIT_ROWS", 1)
     monkeypatch.setattr(S, "PART_ROWS", 5)
     monkeypatch.setattr(P, "PACK_BYTES", 40)
+    parts = list(P.pack(pa.array([1, 2, 3]), pa.array(["a b a", "b a", ""]), 4, 2))
+    frame = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*parts)], names=["part", "size", "block"])
+    small = {}
+    for bound in (1, 1 << 20):
+        monkeypatch.setattr(P, "SORTED_ROWS", bound)
+        monkeypatch.setattr(P, "OUT_ROWS", bound)
+        got = pa.Table.from_batches(list(P.unpacked(4, 2, 4, pa.int64())(iter([frame])))).to_pylist()
+        small[bound] = Counter((r["key"], r["term"], r["df"], r["tf"]) for r in got)
+    want = [(1, "a", 2, 2), (1, "a b", 1, 1), (1, "b", 2, 1), (1, "b a", 2, 1), (2, "a", 2, 1), (2, "b", 2, 1), (2, "b a", 2, 1)]
+    assert small[1] == small[1 << 20] == Counter(want)
     texts = [*TEXTS, (6, None), (7, "quick zebra"), (7, "quick zebra"), (None, "quick quick zebra")]
     df = spark.createDataFrame(texts, "id int, text string").repartition(3).withColumn("id", F.col("id").cast(kind))
     index = S.build_index(df, "id", "text", str(tmp_path / "i"))
@@ -103,6 +114,13 @@ def test_rounds_parts_and_odd_keys(spark, tmp_path, monkeypatch, kind):
     assert sorted((r["rank"], str(r["id"]), r["score"]) for r in each) == [(n, str(r["id"]), r["score"]) for n, r in enumerate(asked[:2], 1)]
 
 
+def test_an_unknown_question_reads_the_first_keys_only(spark, stored):
+    _, index = stored
+    plan = S.most_similar(spark, index, "unheardof", 3)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet [^\n]*", plan)
+    assert len(scans) == 1 and "/index/first" in scans[0]
+
+
 def index_df(rows, term):
     return next(r["df"] for r in rows if r["term"] == term)
 

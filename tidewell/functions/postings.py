@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 MIX = 1_000_003
 #: Bytes of text that are packed at once; a larger batch is halved, down to single texts.
 PACK_BYTES = 1 << 22
-#: Rows in a batch that is handed back.
-OUT_ROWS = 1 << 17
+#: Postings that are sorted at once: a term that most texts hold has one for each; and rows in a batch that is handed back.
+SORTED_ROWS, OUT_ROWS = 1 << 21, 1 << 17
 BLOCK_DDL = "round int, part int, size bigint, block binary"
 
 
@@ -154,7 +154,8 @@ class _Block:
         read = _Reader(raw)
         terms, postings, kind, size = np.frombuffer(read.take(32), np.int64).tolist()
         in_unit = read.planes(width, np.uint32)
-        self.lengths, self.held, self.tf = (read.planes(n, np.uint32).astype(np.int64) for n in (terms, terms, postings))
+        self.lengths, self.held = (read.planes(terms, np.uint32).astype(np.int64) for _ in range(2))
+        self.tf = read.planes(postings, np.uint32)
         self.keys = _keys_read(read.take(size), kind, postings, key)
         self.letters = read.take(len(raw) - read.at)
         self.terms = np.concatenate([[0], np.cumsum(in_unit, dtype=np.int64)])
@@ -162,25 +163,44 @@ class _Block:
         self.at = np.concatenate([[0], np.cumsum(self.lengths)])[self.terms]
 
 
-def unit_postings(blocks: list[_Block], unit: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray] | None:
-    """(key, term, df, tf) of all postings of a unit, sorted by term."""
-    some = [(b, b.terms[unit], b.terms[unit + 1], b.postings[unit], b.postings[unit + 1]) for b in blocks]
-    some = [x for x in some if x[1] < x[2]]
+def _grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours that together have at most SORTED_ROWS, or are single."""
+    at, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and total + size > SORTED_ROWS:
+            yield at, i
+            at, total = i, 0
+        total += size
+    yield at, len(sizes)
+
+
+def unit_postings(blocks: list[_Block], unit: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """(key, term, df, tf) of all postings of a unit, in batches, sorted by term; a unit of more than SORTED_ROWS is several sorted runs."""
+    some = [b for b in blocks if b.terms[unit] < b.terms[unit + 1]]
     if not some:
-        return None
-    letters = b"".join(b.letters[b.at[unit] : b.at[unit + 1]] for b, *_ in some)
-    ends = np.concatenate([[0], np.cumsum(np.concatenate([b.lengths[x:y] for b, x, y, _, _ in some]))])
+        return
+    letters = b"".join(b.letters[b.at[unit] : b.at[unit + 1]] for b in some)
+    spans = [slice(b.terms[unit], b.terms[unit + 1]) for b in some]
+    held = np.concatenate([b.held[x] for b, x in zip(some, spans)])
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([b.lengths[x] for b, x in zip(some, spans)]))])
     given = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)).dictionary_encode()
     order = pc.sort_indices(given.dictionary)
-    rank = np.empty(len(order), np.int64)
-    rank[order.to_numpy()] = np.arange(len(order))
-    place = np.repeat(rank[given.indices.to_numpy()], np.concatenate([b.held[x:y] for b, x, y, _, _ in some]))
-    sort = np.argsort(place, kind="stable")
-    keys = pa.concat_arrays([b.keys.slice(x, y - x) for b, _, _, x, y in some]).take(pa.array(sort))
-    tf = np.concatenate([b.tf[x:y] for b, _, _, x, y in some])[sort]
-    df = np.bincount(place, minlength=len(order))
-    terms = given.dictionary.take(order).take(pa.array(np.repeat(np.arange(len(order)), df)))
-    return keys, terms, np.repeat(df, df), tf
+    terms = given.dictionary.take(order)
+    rank = np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    rank = rank[given.indices.to_numpy()]
+    df = np.bincount(rank, weights=held, minlength=len(order)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([x.stop - x.start for x in spans])])
+    for lo, hi in _grouped([b.postings[unit + 1] - b.postings[unit] for b in some]):
+        entries = slice(first[lo], first[hi])
+        place = np.repeat(rank[entries], held[entries])
+        sort = np.argsort(place, kind="stable")
+        place = place[sort]
+        keys = pa.concat_arrays([b.keys.slice(b.postings[unit], b.postings[unit + 1] - b.postings[unit]) for b in some[lo:hi]])
+        tf = np.concatenate([b.tf[b.postings[unit] : b.postings[unit + 1]] for b in some[lo:hi]])
+        for a in range(0, len(sort), OUT_ROWS):
+            at = slice(a, a + OUT_ROWS)
+            yield keys.take(pa.array(sort[at])), terms.take(pa.array(place[at])), df[place[at]], tf[sort[at]]
 
 
 def unpacked(units: int, parts: int, buckets: int, key: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -198,14 +218,8 @@ def unpacked(units: int, parts: int, buckets: int, key: pa.DataType) -> Callable
             if pa.types.is_integer(key):  # keys that ascend make small files
                 blocks.sort(key=lambda b: b.keys[0].as_py() or 0)
             for unit in range(lo, hi):
-                found = unit_postings(blocks, unit - lo)
-                if found is None:
-                    continue
-                keys, terms, df, tf = found
-                for a in range(0, len(keys), OUT_ROWS):
-                    b = min(a + OUT_ROWS, len(keys))
-                    columns = [keys.slice(a, b - a), terms.slice(a, b - a).cast(pa.string()), pa.array(df[a:b], pa.int64()), pa.array(tf[a:b], pa.int32())]
-                    bucket = pa.array(np.full(b - a, unit % buckets, np.int32))
-                    yield pa.RecordBatch.from_arrays([*columns, bucket], names=["key", "term", "df", "tf", "bucket"])
+                for keys, terms, df, tf in unit_postings(blocks, unit - lo):
+                    columns = [keys, terms.cast(pa.string()), pa.array(df), pa.array(tf.astype(np.int32)), pa.array(np.full(len(df), unit % buckets, np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "term", "df", "tf", "bucket"])
 
     return run
